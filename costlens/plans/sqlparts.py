@@ -104,3 +104,99 @@ def stat_rows(src: str = "spend", scores: str = "scores", keys: str = S) -> str:
     return f"""SELECT r.*, COALESCE(d.stat_z_score, 0.0) AS stat_z_score,
   COALESCE(d.stat_is_anomaly, 0) AS stat_is_anomaly
 FROM {src} r LEFT JOIN {scores} d ON {on} AND CAST(r."timestamp" AS DATE) = d.date"""
+
+
+# --- stand-in raw exports and their normalisation ---------------------------
+NA_LIST = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', "
+           "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+
+_LINE_TEAM = ("FROM lineitem LEFT JOIN part ON l_partkey = p_partkey "
+              "LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey")
+_RAW_ENV = "CASE l_linestatus WHEN 'F' THEN 'Prod' WHEN 'O' THEN 'Dev' END"
+_LABEL = ("CAST(l_quantity >= 49 AS INTEGER) AS is_anomaly, "
+          "CASE WHEN l_quantity >= 49 THEN 'spike' ELSE 'none' END AS anomaly_type")
+
+
+def _vendor(compute: str, storage: str, network: str) -> str:
+    return (f"CASE WHEN p_type IN ('STANDARD', 'ECONOMY') THEN '{compute}' "
+            f"WHEN p_type IN ('MEDIUM', 'SMALL') THEN '{storage}' "
+            f"WHEN p_type = 'LARGE' THEN '{network}' ELSE 'Promo ' || p_type END")
+
+
+RAW_AWS = f"""SELECT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS "lineItem/UsageStartDate",
+  {_vendor('AmazonEC2', 'AmazonStorage', 'AmazonNetwork')} AS "productCode",
+  l_extendedprice AS "lineItem/UnblendedCost", l_extendedprice * (1 - l_discount) AS "lineItem/NetUnblendedCost",
+  {_RAW_ENV} AS "resourceTags/user:Environment", c_mktsegment AS "resourceTags/user:Team", {_LABEL}
+{_LINE_TEAM} WHERE l_returnflag = 'A'"""
+
+RAW_GCP = f"""SELECT strftime(l_shipdate, '%Y-%m-%d') AS usage_start_time,
+  {_vendor('Compute Engine', 'Cloud Storage', 'Cloud Network')} AS "service/description",
+  l_extendedprice AS cost, {_RAW_ENV} AS "labels/env", c_mktsegment AS "labels/owner", {_LABEL}
+{_LINE_TEAM} WHERE l_returnflag = 'N'"""
+
+RAW_AZURE = f"""SELECT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS "UsageDateTime",
+  {_vendor('Virtual Machines', 'Storage', 'Network')} AS "MeterCategory",
+  l_extendedprice AS "CostInBillingCurrency",
+  CAST(json_object('env', {_RAW_ENV}, 'team', c_mktsegment) AS VARCHAR) AS "Tags", {_LABEL}
+{_LINE_TEAM} WHERE l_returnflag = 'R'"""
+
+RAW_AZURE_EVENTS = """SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS "UsageDateTime",
+  event_type AS "MeterCategory", value AS "CostInBillingCurrency", props AS "Tags",
+  0 AS is_anomaly, 'none' AS anomaly_type FROM events"""
+
+
+def na_null(x: str) -> str:
+    return f"CASE WHEN {x} IN ({NA_LIST}) THEN NULL ELSE {x} END"
+
+
+def lower_fill(x: str) -> str:
+    return f"COALESCE(LOWER({na_null(x)}), 'unknown')"
+
+
+def parse_ts(x: str) -> str:
+    return f"CAST({na_null(x)} AS TIMESTAMP)"
+
+
+def category_map(x: str, mapping: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {whens} ELSE 'OTHER' END"
+
+
+def json_tag(x: str, key: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR NOT json_valid({x}) THEN 'unknown' "
+            f"WHEN json_type({x}) <> 'OBJECT' THEN 'unknown' "
+            f"WHEN NOT list_contains(json_keys({x}), '{key}') THEN 'unknown' "
+            f"WHEN json_type({x}, '$.{key}') = 'NULL' THEN 'none' "
+            f"ELSE LOWER(json_extract_string({x}, '$.{key}')) END")
+
+
+def norm_aws(src: str = "raw_aws") -> str:
+    from costlens import fixed
+    return f"""SELECT {parse_ts('"lineItem/UsageStartDate"')} AS "timestamp", 'AWS' AS cloud_provider,
+  {category_map('"productCode"', fixed.AWS_SERVICE_MAP)} AS unified_category,
+  CAST("lineItem/UnblendedCost" AS DOUBLE) AS cost,
+  {lower_fill('"resourceTags/user:Environment"')} AS normalized_env,
+  {lower_fill('"resourceTags/user:Team"')} AS normalized_team,
+  CAST(is_anomaly AS INTEGER) AS is_anomaly, anomaly_type FROM {src}"""
+
+
+def norm_gcp(src: str = "raw_gcp") -> str:
+    from costlens import fixed
+    return f"""SELECT {parse_ts('usage_start_time')} AS "timestamp", 'GCP' AS cloud_provider,
+  {category_map('"service/description"', fixed.GCP_SERVICE_MAP)} AS unified_category,
+  CAST(cost AS DOUBLE) AS cost, {lower_fill('"labels/env"')} AS normalized_env,
+  {lower_fill('"labels/owner"')} AS normalized_team,
+  CAST(is_anomaly AS INTEGER) AS is_anomaly, anomaly_type FROM {src}"""
+
+
+def norm_azure(src: str = "raw_azure") -> str:
+    from costlens import fixed
+    return f"""SELECT {parse_ts('"UsageDateTime"')} AS "timestamp", 'Azure' AS cloud_provider,
+  {category_map('"MeterCategory"', fixed.AZURE_SERVICE_MAP)} AS unified_category,
+  CAST("CostInBillingCurrency" AS DOUBLE) AS cost, {json_tag('"Tags"', 'env')} AS normalized_env,
+  {json_tag('"Tags"', 'team')} AS normalized_team,
+  CAST(is_anomaly AS INTEGER) AS is_anomaly, anomaly_type FROM {src}"""
+
+
+UNION_CLOUDS = [("raw_aws", RAW_AWS), ("raw_gcp", RAW_GCP), ("raw_azure", RAW_AZURE),
+                ("spend", f"{norm_aws()}\nUNION ALL\n{norm_gcp()}\nUNION ALL\n{norm_azure()}")]
