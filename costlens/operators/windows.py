@@ -74,7 +74,8 @@ def sequences(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S,
     """``out`` = the previous ``seq_len`` rows' feature vectors, flattened
     row-major (oldest first); null until ``seq_len`` predecessors exist."""
     order = order or spend_order(df, keys)
-    idx = df if IDX in df.columns else positional_index(df, keys, order)
+    given = IDX in df.columns
+    idx = df if given else positional_index(df, keys, order)
     vec = F.array(*[F.col(f).cast("double") for f in features])
 
     def build(w: Window) -> list[Column]:
@@ -82,8 +83,8 @@ def sequences(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S,
         return [F.collect_list(vec).over(fr).alias("_seq")]
 
     res = framed(idx, keys, build, before=seq_len, bucket_rows=bucket_rows)
-    return (res.withColumn(out, F.when(F.size("_seq") == seq_len, F.flatten("_seq")))
-               .drop("_seq"))
+    res = res.withColumn(out, F.when(F.size("_seq") == seq_len, F.flatten("_seq"))).drop("_seq")
+    return res if given else res.drop(IDX)
 
 
 # --- daily-series windows ---------------------------------------------------

@@ -200,3 +200,42 @@ def norm_azure(src: str = "raw_azure") -> str:
 
 UNION_CLOUDS = [("raw_aws", RAW_AWS), ("raw_gcp", RAW_GCP), ("raw_azure", RAW_AZURE),
                 ("spend", f"{norm_aws()}\nUNION ALL\n{norm_gcp()}\nUNION ALL\n{norm_azure()}")]
+
+
+# --- row-level tier-2 features -----------------------------------------------
+SPEND_ORDER = '"timestamp", cost, normalized_env, normalized_team, is_anomaly, anomaly_type'
+
+
+def row_features(src: str = "spend", keys: str = S, order: str = SPEND_ORDER) -> str:
+    w = f"(PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
+    mean = "CASE WHEN _n > 0 THEN CAST(_s AS DOUBLE) / (_n * 100) END"
+    var = ("CAST(CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0))"
+           " AS DOUBLE)")
+    return f"""SELECT * EXCLUDE (_n, _s, _q, _c),
+  isodow("timestamp") - 1 AS day_of_week,
+  CAST(isodow("timestamp") - 1 IN (5, 6) AS INTEGER) AS is_weekend,
+  COALESCE({mean}, 0.0) AS rolling_mean_7d,
+  COALESCE(CASE WHEN _n >= 2 THEN SQRT({var} / (_n * (_n - 1) * 10000)) END, 0.0) AS rolling_std_7d,
+  COALESCE(cost / ({mean} + 1e-05), 0.0) AS cost_ratio
+FROM (SELECT *, COUNT(_c) OVER {w} AS _n, CAST(SUM(_c) OVER {w} AS BIGINT) AS _s,
+             SUM(CAST(_c AS DECIMAL(38,0)) * CAST(_c AS DECIMAL(38,0))) OVER {w} AS _q
+      FROM (SELECT *, {cents('cost')} AS _c FROM {src}))"""
+
+
+def minmax_scaled(src: str = "feat", keys: str = S,
+                  feats: tuple[str, ...] = ("cost", "cost_ratio", "rolling_mean_7d")) -> str:
+    aggs = ", ".join(f"MIN({f}) AS {f}_min, MAX({f}) AS {f}_max" for f in feats)
+    on = " AND ".join(f"r.{k.strip()} = m.{k.strip()}" for k in keys.split(","))
+    scaled = ", ".join(
+        f"CASE WHEN m.{f}_max = m.{f}_min THEN 0.0 ELSE (r.{f} - m.{f}_min) / (m.{f}_max - m.{f}_min) END"
+        f" AS {f}_scaled" for f in feats)
+    return f"""SELECT r.*, {scaled} FROM {src} r
+JOIN (SELECT {keys}, {aggs} FROM {src} GROUP BY ALL) m ON {on}"""
+
+
+def sequences(src: str, feats: tuple[str, ...], keys: str = S, order: str = SPEND_ORDER,
+              seq_len: int = 14, out: str = "window") -> str:
+    w = f"(PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN {seq_len} PRECEDING AND 1 PRECEDING)"
+    vec = ", ".join(f"CAST({f} AS DOUBLE)" for f in feats)
+    return f"""SELECT * EXCLUDE (_seq), CASE WHEN len(_seq) = {seq_len} THEN flatten(_seq) END AS {out}
+FROM (SELECT *, list([{vec}]) OVER {w} AS _seq FROM {src})"""
