@@ -239,3 +239,134 @@ def sequences(src: str, feats: tuple[str, ...], keys: str = S, order: str = SPEN
     vec = ", ".join(f"CAST({f} AS DOUBLE)" for f in feats)
     return f"""SELECT * EXCLUDE (_seq), CASE WHEN len(_seq) = {seq_len} THEN flatten(_seq) END AS {out}
 FROM (SELECT *, list([{vec}]) OVER {w} AS _seq FROM {src})"""
+
+
+# --- daily cleaned series and window-only forecasting ------------------------
+D38 = "DECIMAL(38,0)"
+
+
+def dec(x: str) -> str:
+    return f"CAST({x} AS {D38})"
+
+
+def cleaned(src: str = "d", keys: str = S) -> str:
+    w = f"(PARTITION BY {keys} ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+    cc = "CASE WHEN had_anomaly = 1 THEN rolling_median ELSE cost END"
+    return f"""SELECT *, {cc} AS cleaned_cost, CAST(ROUND({cc} * 100) AS BIGINT) AS y
+FROM (SELECT *, quantile_cont(cost_cents, 0.5) OVER {w} / 100 AS rolling_median FROM {src})"""
+
+
+def series_ctes(spend_sql: str | None = None, keys: str = S) -> list[tuple[str, str]]:
+    return [("spend", spend_sql or spend(team=False)), ("d", daily_flag(keys=keys)),
+            ("series", cleaned(keys=keys))]
+
+
+EPOCH = "CAST(date - DATE '1970-01-01' AS BIGINT)"
+
+
+def using(keys: str) -> str:
+    return f"USING ({keys})"
+
+
+def tw_fit(src: str, p: str, keys: str = S) -> list[tuple[str, str]]:
+    """trend_weekday_fit: CTEs {p}fit (slope, intercept, dates), {p}wd, {p}sig."""
+    den = f"{dec('n')} * sxx - {dec('sx')} * {dec('sx')}"
+    fit = f"""SELECT {keys}, n, first_date, last_date,
+  CASE WHEN ({den}) = 0 THEN 0.0
+       ELSE CAST({dec('n')} * sxy - {dec('sx')} * {dec('sy')} AS DOUBLE) / CAST({den} AS DOUBLE) END AS slope,
+  CASE WHEN ({den}) = 0 THEN CAST(sy AS DOUBLE) / n
+       ELSE CAST({dec('sy')} * sxx - {dec('sx')} * sxy AS DOUBLE) / CAST({den} AS DOUBLE) END AS intercept
+FROM (SELECT {keys}, COUNT(*) AS n, CAST(SUM(_x) AS BIGINT) AS sx, CAST(SUM(y) AS BIGINT) AS sy,
+        SUM({dec('_x')} * {dec('_x')}) AS sxx, SUM({dec('_x')} * {dec('y')}) AS sxy,
+        MIN(date) AS first_date, MAX(date) AS last_date
+      FROM (SELECT *, {EPOCH} AS _x FROM {src}) GROUP BY ALL)"""
+    resid = f"""SELECT t.*, t.y - CAST(ROUND(f.intercept + f.slope * {EPOCH.replace('date', 't.date')}) AS BIGINT) AS _r,
+  isodow(t.date) - 1 AS _dow FROM {src} t JOIN {p}fit f {using(keys)}"""
+    wd = f"""SELECT {keys}, _dow, CAST(ROUND(CAST(SUM(_r) AS DOUBLE) / COUNT(*)) AS BIGINT) AS _eff
+FROM {p}resid GROUP BY ALL"""
+    sig = f"""SELECT {keys},
+  SQRT(CAST({dec('_n')} * _q - {dec('_s')} * {dec('_s')} AS DOUBLE) / CAST(_n * _n AS DOUBLE)) AS sigma_cents
+FROM (SELECT {keys}, COUNT(*) AS _n, CAST(SUM(_r - _eff) AS BIGINT) AS _s,
+        SUM({dec('_r - _eff')} * {dec('_r - _eff')}) AS _q
+      FROM {p}resid JOIN {p}wd {using(keys + ', _dow')} GROUP BY ALL)"""
+    return [(f"{p}fit", fit), (f"{p}resid", resid), (f"{p}wd", wd), (f"{p}sig", sig)]
+
+
+def tw_pred(dates: str, p: str, keys: str = S, extra: str = "") -> str:
+    """Dates (keys, date, ...) joined to the fit: adds pred_cents, sigma_cents."""
+    return f"""SELECT q.*, CAST(ROUND(f.intercept + f.slope * {EPOCH.replace('date', 'q.date')}) AS BIGINT)
+    + COALESCE(w._eff, 0) AS pred_cents, g.sigma_cents{extra}
+FROM {dates} q JOIN {p}fit f {using(keys)} JOIN {p}sig g {using(keys)}
+LEFT JOIN {p}wd w ON {' AND '.join(f'w.{k.strip()} = q.{k.strip()}' for k in keys.split(','))}
+     AND w._dow = isodow(q.date) - 1"""
+
+
+def future(p: str, horizon: int, keys: str = S) -> str:
+    return f"""SELECT {keys}, h, CAST(last_date + h AS DATE) AS date
+FROM {p}fit, (SELECT CAST(unnest(generate_series(1, {horizon})) AS INTEGER) AS h)"""
+
+
+def band(model: str) -> str:
+    return f"""GREATEST(0.0, CAST(pred_cents AS DOUBLE) / 100) AS predicted_cost,
+  GREATEST(0.0, (pred_cents - 1.645 * sigma_cents) / 100) AS lower_bound,
+  GREATEST(0.0, (pred_cents + 1.645 * sigma_cents) / 100) AS upper_bound, '{model}' AS model_used"""
+
+
+def naive_fit(src: str, p: str, keys: str = S) -> list[tuple[str, str]]:
+    nb = f"""SELECT {keys}, date, y AS _y, y - LAG(y, 7) OVER (PARTITION BY {keys} ORDER BY date) AS _r,
+  ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY date DESC) - 1 AS _back FROM {src}"""
+    fit = f"""SELECT {keys}, last_date,
+  CASE WHEN _n > 0 THEN SQRT(CAST({dec('_n')} * _q - {dec('_s')} * {dec('_s')} AS DOUBLE)
+                             / CAST(_n * _n AS DOUBLE)) END AS sigma_cents
+FROM (SELECT {keys}, MAX(date) AS last_date, COUNT(_r) AS _n, CAST(SUM(_r) AS BIGINT) AS _s,
+        SUM({dec('_r')} * {dec('_r')}) AS _q FROM {p}nb GROUP BY ALL)"""
+    slot = f"SELECT {keys}, 6 - _back AS slot, _y FROM {p}nb WHERE _back < 7"
+    return [(f"{p}nb", nb), (f"{p}fit", fit), (f"{p}slot", slot)]
+
+
+def naive_pred(steps: str, p: str, keys: str = S) -> str:
+    on = ' AND '.join(f's.{k.strip()} = q.{k.strip()}' for k in keys.split(','))
+    return f"""SELECT q.*, s._y AS pred_cents, f.sigma_cents
+FROM {steps} q JOIN {p}fit f {using(keys)}
+LEFT JOIN {p}slot s ON {on} AND s.slot = ((q.h - 1) % 7)"""
+
+
+def tw_forecast(src: str, p: str, horizon: int = 90, keys: str = S) -> list[tuple[str, str]]:
+    return tw_fit(src, p, keys) + [
+        (f"{p}fut", future(p, horizon, keys)),
+        (f"{p}fc", f"SELECT {keys}, date, {band('trend_weekday')} FROM ({tw_pred(p + 'fut', p, keys)})")]
+
+
+def naive_forecast(src: str, p: str, horizon: int = 90, keys: str = S) -> list[tuple[str, str]]:
+    return naive_fit(src, p, keys) + [
+        (f"{p}fut", future(p, horizon, keys)),
+        (f"{p}fc", f"SELECT {keys}, date, {band('seasonal_naive')} FROM ({naive_pred(p + 'fut', p, keys)})")]
+
+
+def route(src: str = "series", keys: str = S, n_val: int = 30) -> list[tuple[str, str]]:
+    sp = f"""SELECT *, ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS pos,
+  CAST(ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY date DESC) <= {n_val} AS INTEGER) AS is_validation
+FROM {src}"""
+    val = f"""SELECT v.*, v.pos - t._nt + 1 AS h FROM rt_sp v
+JOIN (SELECT {keys}, COUNT(*) AS _nt FROM rt_train GROUP BY ALL) t {using(keys)} WHERE v.is_validation = 1"""
+    both = f"""SELECT a.{keys.replace(', ', ', a.')}, a.date, a.y, a.pred_cents AS trend_cents, b.pred_cents AS naive_cents
+FROM ({tw_pred('rt_val', 'rtt')}) a JOIN ({naive_pred('rt_val', 'rtn')}) b
+ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in keys.split(','))} AND a.date = b.date"""
+    wm = ("CASE WHEN actual_abs = 0 THEN 0.0 ELSE CAST({e} AS DOUBLE) / actual_abs END")
+    res = f"""SELECT {keys}, {wm.format(e='trend_err')} AS wmape_trend, {wm.format(e='naive_err')} AS wmape_naive,
+  CASE WHEN {wm.format(e='trend_err')} < {wm.format(e='naive_err')} THEN 'trend_weekday' ELSE 'seasonal_naive' END
+    AS model_used
+FROM (SELECT {keys}, CAST(SUM(ABS(y - trend_cents)) AS BIGINT) AS trend_err,
+        CAST(SUM(ABS(y - naive_cents)) AS BIGINT) AS naive_err, CAST(SUM(ABS(y)) AS BIGINT) AS actual_abs
+      FROM rt_both GROUP BY ALL)"""
+    return ([("rt_sp", sp), ("rt_train", "SELECT * FROM rt_sp WHERE is_validation = 0"), ("rt_val", val)]
+            + tw_fit("rt_train", "rtt", keys) + naive_fit("rt_train", "rtn", keys)
+            + [("rt_both", both), ("route", res)])
+
+
+def production(src: str = "series", keys: str = S, horizon: int = 90) -> list[tuple[str, str]]:
+    on = ' AND '.join(f'r.{k.strip()} = c.{k.strip()}' for k in keys.split(','))
+    final = f"""SELECT c.* FROM (SELECT * FROM pt_fc UNION ALL SELECT * FROM pn_fc) c
+JOIN route r ON {on} AND c.model_used = r.model_used"""
+    return (route(src, keys) + tw_forecast(src, "pt_", horizon, keys) + naive_forecast(src, "pn_", horizon, keys)
+            + [("production", final)])
