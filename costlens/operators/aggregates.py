@@ -104,15 +104,15 @@ def exact_percentile(df: DataFrame, value: str, p: float, keys: Sequence[str] =
     idx = positional_index(vals, keys, ["_v"])
     n = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     pos = (F.col("_n") - 1).cast("double") * F.lit(p)
-    ranks = n.select(*keys, pos.alias("_pos"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
+    ranks = n.select(*keys, pos.alias("_rk"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
     # ranks has one row per group: AQE broadcasts it when groups are few
     j = idx.join(ranks, list(keys), "inner")
     j = j.where((F.col(IDX) == F.col("_lo")) | (F.col(IDX) == F.col("_hi")))
     g = j.groupBy(*keys).agg(F.max(F.when(F.col(IDX) == F.col("_lo"), F.col("_v"))).alias("_a"),
                              F.max(F.when(F.col(IDX) == F.col("_hi"), F.col("_v"))).alias("_b"),
-                             F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"))
+                             F.first("_rk").alias("_rk"), F.first("_lo").alias("_lo"))
     a, b = F.col("_a"), F.col("_b")
-    res = g.select(*keys, (a + (b - a) * (F.col("_pos") - F.col("_lo"))).alias(out))
+    res = g.select(*keys, (a + (b - a) * (F.col("_rk") - F.col("_lo"))).alias(out))
     return res.drop("_all") if dummy else res
 
 

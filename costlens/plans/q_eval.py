@@ -1,3 +1,126 @@
-"""Queries."""
+"""Queries: contamination cut, evaluation metrics and labelled perturbation
+(I5, E4-E6, E9, C6, J5)."""
 
-from costlens.plans.catalog import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from costlens.operators import aggregates as A
+from costlens.operators import detect as D
+from costlens.operators import labels as L
+from costlens.operators import windows as W
+from costlens.plans import sqlparts as Q
+from costlens.plans.catalog import query
+from costlens.sources import tables as T
+
+FLAGS = ["stat_is_anomaly", "ml_is_anomaly"]
+
+EVAL = [("spend", Q.spend(team=False)), ("feat", Q.row_features()), ("daily", Q.daily()),
+        ("resid", Q.seasonal()), ("scores", Q.day_scores()), ("flags", Q.stat_rows("feat")),
+        ("th", "SELECT cloud_provider, unified_category, quantile_cont(cost_ratio, 0.95) AS _th "
+               "FROM flags GROUP BY ALL"),
+        ("ev", "SELECT f.*, CAST(f.cost_ratio > t._th AS INTEGER) AS ml_is_anomaly FROM flags f "
+               "LEFT JOIN th t USING (cloud_provider, unified_category)")]
+
+
+def eval_frame(spark, sf_dir):
+    """Spend rows with tier-2 features, the statistical flag (I3 window
+    version) and the contamination cut of cost_ratio as second tier."""
+    sp = T.spend(T.Tables(spark, sf_dir), team=False)
+    feat = W.rolling_features(sp)
+    flagged = D.broadcast_day_score(feat, D.day_scores(sp))
+    return D.contamination_flag(flagged, "cost_ratio")
+
+
+@query("contamination_flag", Q.with_(*EVAL, final="SELECT * FROM ev"))
+def contamination_flag(spark, sf_dir):
+    """Flag rows whose score (here cost_ratio) is above the stream's 95th
+    percentile (5 % contamination), exact distributed percentile."""
+    return eval_frame(spark, sf_dir)
+
+
+@query("percentile_threshold", Q.with_(*EVAL, final="""SELECT cloud_provider, unified_category,
+  _th AS threshold FROM th"""))
+def percentile_threshold(spark, sf_dir):
+    """Linear-interpolated 95th percentile of the score per stream."""
+    feat = W.rolling_features(T.spend(T.Tables(spark, sf_dir), team=False))
+    return A.exact_percentile(feat, "cost_ratio", 0.95, ["cloud_provider", "unified_category"])
+
+
+def _conf_sql(flag):
+    return f"""SELECT '{flag}' AS tier, COUNT(*) FILTER (WHERE is_anomaly = 1 AND {flag} = 1) AS tp,
+  COUNT(*) FILTER (WHERE NOT (is_anomaly = 1) AND {flag} = 1) AS fp,
+  COUNT(*) FILTER (WHERE is_anomaly = 1 AND NOT ({flag} = 1)) AS fn,
+  COUNT(*) FILTER (WHERE NOT (is_anomaly = 1) AND NOT ({flag} = 1)) AS tn FROM ev"""
+
+
+@query("confusion", Q.with_(*EVAL, final="\nUNION ALL\n".join(_conf_sql(f) for f in FLAGS)))
+def confusion(spark, sf_dir):
+    """TP / FP / FN / TN of each tier's flag against the label."""
+    ev = eval_frame(spark, sf_dir)
+    parts = [A.confusion(ev, f).select(F.lit(f).alias("tier"), "*") for f in FLAGS]
+    return parts[0].unionByName(parts[1])
+
+
+PRF_SQL = """SELECT tier, tp, fp, fn,
+  CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+FROM (""" + "\nUNION ALL\n".join(_conf_sql(f) for f in FLAGS) + ")"
+
+
+@query("precision_recall_f1", Q.with_(*EVAL, final=PRF_SQL))
+def precision_recall_f1(spark, sf_dir):
+    """E5: precision, recall and F1 per tier, 0 where undefined."""
+    return A.precision_recall_f1(eval_frame(spark, sf_dir), FLAGS)
+
+
+@query("detection_rate", Q.with_(*EVAL, final="""SELECT COUNT(*) FILTER (WHERE is_anomaly = 1) AS true_anomalies,
+  COUNT(*) FILTER (WHERE is_anomaly = 1 AND stat_is_anomaly = 1) AS caught_stat_is_anomaly,
+  COUNT(*) FILTER (WHERE is_anomaly = 1 AND ml_is_anomaly = 1) AS caught_ml_is_anomaly,
+  CAST(COUNT(*) FILTER (WHERE is_anomaly = 1 AND stat_is_anomaly = 1) AS DOUBLE)
+    / GREATEST(1, COUNT(*) FILTER (WHERE is_anomaly = 1)) * 100 AS rate_stat_is_anomaly,
+  CAST(COUNT(*) FILTER (WHERE is_anomaly = 1 AND ml_is_anomaly = 1) AS DOUBLE)
+    / GREATEST(1, COUNT(*) FILTER (WHERE is_anomaly = 1)) * 100 AS rate_ml_is_anomaly FROM ev"""))
+def detection_rate(spark, sf_dir):
+    """Caught / max(1, injected) x 100 per tier."""
+    return A.detection_rate(eval_frame(spark, sf_dir), FLAGS)
+
+
+@query("true_anomalies", Q.with_(*EVAL, final="""SELECT "timestamp", cloud_provider, unified_category,
+  cost, anomaly_type, stat_is_anomaly, ml_is_anomaly FROM ev WHERE is_anomaly = 1"""))
+def true_anomalies(spark, sf_dir):
+    """Labelled rows with what each tier said about them."""
+    return eval_frame(spark, sf_dir).where(F.col("is_anomaly") == 1).select(
+        "timestamp", "cloud_provider", "unified_category", "cost", "anomaly_type", *FLAGS)
+
+
+PERTURB = [("spend", Q.spend(team=False)), ("d", Q.daily_flag()),
+           ("dr", "SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS _dr FROM (SELECT DISTINCT date FROM d)"),
+           ("sr", f"SELECT {Q.S}, ROW_NUMBER() OVER (ORDER BY {Q.S}) - 1 AS _sr FROM (SELECT DISTINCT {Q.S} FROM d)"),
+           ("c", """SELECT (SELECT COUNT(*) FROM sr) AS _ns, (SELECT MAX(date) FROM dr WHERE _dr = 45) AS _spike,
+  (SELECT MAX(date) FROM dr WHERE _dr = 140) AS _ctx0"""),
+           ("c2", "SELECT _ns, _spike, CAST(_ctx0 + CAST(6 - (isodow(_ctx0) - 1) AS INTEGER) AS DATE) AS _ctx FROM c"),
+           ("x", f"""SELECT d.*, _dr * _ns + _sr AS _idx, _dr - 100 AS _di, _spike, _ctx
+FROM d JOIN dr USING (date) JOIN sr USING ({Q.S}), c2"""),
+           ("f", """SELECT *, CASE WHEN date = _ctx THEN CAST(1.55 AS DOUBLE)
+    WHEN _di >= 0 AND _di < 15 AND _idx % 2 = 0 THEN CAST(1.05 AS DOUBLE) + _di * CAST(0.025 AS DOUBLE)
+    WHEN date = _spike AND _idx % 3 = 0 THEN CAST(3.5 AS DOUBLE) END AS _f,
+  CASE WHEN date = _ctx THEN 'contextual' WHEN _di >= 0 AND _di < 15 AND _idx % 2 = 0 THEN 'drift'
+    WHEN date = _spike AND _idx % 3 = 0 THEN 'spike' END AS _kind FROM x"""),
+           ("perturbed", f"""SELECT {Q.S}, date,
+  CASE WHEN _f IS NOT NULL THEN CAST(ROUND(cost_cents * _f) AS BIGINT) ELSE cost_cents END AS cost_cents,
+  CAST(CASE WHEN _f IS NOT NULL THEN CAST(ROUND(cost_cents * _f) AS BIGINT) ELSE cost_cents END AS DOUBLE) / 100 AS cost,
+  CAST(CASE WHEN _f IS NOT NULL THEN 1 ELSE had_anomaly END AS INTEGER) AS is_anomaly,
+  COALESCE(_kind, CASE WHEN had_anomaly = 1 THEN 'spike' ELSE 'none' END) AS anomaly_type FROM f""")]
+
+
+def perturbed_daily(spark, sf_dir):
+    return L.perturb_labelled(A.daily_cost_flag(T.spend(T.Tables(spark, sf_dir), team=False)))
+
+
+@query("perturb_labelled", Q.with_(*PERTURB, final="SELECT * FROM perturbed"))
+def perturb_labelled(spark, sf_dir):
+    """Spike / drift / contextual labelled anomalies added to the daily
+    cost table by the generator's row-numbering rule."""
+    return perturbed_daily(spark, sf_dir)
