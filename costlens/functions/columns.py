@@ -119,6 +119,22 @@ def stream_name(provider: str | Column = "cloud_provider",
 
 
 # --- exact moments from integer sums ---------------------------------------
+_TWO32 = 4294967296
+
+
+def dec_to_double(x: Column) -> Column:
+    """DECIMAL(38,0) -> DOUBLE, correctly rounded on every engine.
+
+    Engines convert integers above 2**64 with different rounding, so the
+    value is split into exact 32-bit halves, each converted exactly, and
+    added once (a single IEEE rounding)."""
+    x = x.cast("decimal(38,0)")
+    lo = x % F.lit(_TWO32)
+    hi = ((x - lo) / F.lit(_TWO32)).cast("long")
+    return hi.cast("double") * F.lit(float(_TWO32)) + lo.cast("double")
+
+
+
 def exact_mean(s: Column, n: Column) -> Column:
     """sum / n with one double division."""
     return s.cast("double") / n
@@ -130,10 +146,10 @@ def exact_sample_std(n: Column, s: Column, q: Column) -> Column:
     when n < 2."""
     num = (n.cast("decimal(38,0)") * q.cast("decimal(38,0)")
            - s.cast("decimal(38,0)") * s.cast("decimal(38,0)"))
-    return F.when(n >= 2, F.sqrt(num.cast("double") / (n * (n - 1)).cast("double")))
+    return F.when(n >= 2, F.sqrt(dec_to_double(num) / (n * (n - 1)).cast("double")))
 
 
 def exact_pop_std(n: Column, s: Column, q: Column) -> Column:
     num = (n.cast("decimal(38,0)") * q.cast("decimal(38,0)")
            - s.cast("decimal(38,0)") * s.cast("decimal(38,0)"))
-    return F.when(n >= 1, F.sqrt(num.cast("double") / (n * n).cast("double")))
+    return F.when(n >= 1, F.sqrt(dec_to_double(num) / (n * n).cast("double")))

@@ -86,7 +86,7 @@ def residual_std(df: DataFrame, actual: str, pred: str, keys: Sequence[str] = ()
                               F.sum(r.cast("decimal(38,0)") * r.cast("decimal(38,0)")).alias("q"))
     n, s, q = F.col("n"), F.col("s"), F.col("q")
     num = n.cast("decimal(38,0)") * q - s.cast("decimal(38,0)") * s.cast("decimal(38,0)")
-    return g.select(*keys, "n", F.when(n > 0, F.sqrt(num.cast("double") / (n * n * 10000)))
+    return g.select(*keys, "n", F.when(n > 0, F.sqrt(C.dec_to_double(num) / (n * n * 10000)))
                     .alias("residual_std"))
 
 

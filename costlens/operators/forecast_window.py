@@ -67,10 +67,10 @@ def trend_weekday_fit(train: DataFrame, keys: Sequence[str] = S, y: str = "y") -
     num_b = _d("n") * F.col("sxy") - _d("sx") * _d("sy")
     num_a = _d("sy") * F.col("sxx") - _d("sx") * F.col("sxy")
     g = g.select(*keys, "n", "first_date", "last_date",
-                 F.when(den == 0, F.lit(0.0)).otherwise(num_b.cast("double") / den.cast("double"))
+                 F.when(den == 0, F.lit(0.0)).otherwise(C.dec_to_double(num_b) / C.dec_to_double(den))
                  .alias("slope"),
                  F.when(den == 0, F.col("sy").cast("double") / F.col("n"))
-                 .otherwise(num_a.cast("double") / den.cast("double")).alias("intercept"))
+                 .otherwise(C.dec_to_double(num_a) / C.dec_to_double(den)).alias("intercept"))
     # weekday effect of the residual, then sigma of what remains
     r = train.join(g.select(*keys, "slope", "intercept"), list(keys), "inner").withColumn(
         "_fit", F.round(F.col("intercept") + F.col("slope") * epoch_day("date")).cast("long")
@@ -83,7 +83,7 @@ def trend_weekday_fit(train: DataFrame, keys: Sequence[str] = S, y: str = "y") -
     sig = r2.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r2").alias("_s"),
                                 F.sum(_d("_r2") * _d("_r2")).alias("_q"))
     num = _d("_n") * F.col("_q") - _d("_s") * _d("_s")
-    sig = sig.select(*keys, F.sqrt(num.cast("double") / (F.col("_n") * F.col("_n")).cast("double"))
+    sig = sig.select(*keys, F.sqrt(C.dec_to_double(num) / (F.col("_n") * F.col("_n")).cast("double"))
                      .alias("sigma_cents"))
     return g.join(effects, list(keys), "inner").join(sig, list(keys), "inner")
 
@@ -138,7 +138,7 @@ def naive_fit(series: DataFrame, keys: Sequence[str] = S, y: str = "y",
         F.count("_r").alias("_n"), F.sum("_r").alias("_s"), F.sum(_d("_r") * _d("_r")).alias("_q"))
     num = _d("_n") * F.col("_q") - _d("_s") * _d("_s")
     return g.select(*keys, "last_date", "last_season",
-                    F.when(F.col("_n") > 0, F.sqrt(num.cast("double")
+                    F.when(F.col("_n") > 0, F.sqrt(C.dec_to_double(num)
                                                    / (F.col("_n") * F.col("_n")).cast("double")))
                     .alias("sigma_cents"))
 

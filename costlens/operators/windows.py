@@ -55,7 +55,7 @@ def rolling_features(spend: DataFrame, keys: Sequence[str] = S,
     n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
     mean = F.when(n > 0, s.cast("double") / (n * 100))
     var_num = (n.cast("decimal(38,0)") * q - s.cast("decimal(38,0)") * s.cast("decimal(38,0)"))
-    std = F.when(n >= 2, F.sqrt(var_num.cast("double") / (n * (n - 1) * 10000)))
+    std = F.when(n >= 2, F.sqrt(C.dec_to_double(var_num) / (n * (n - 1) * 10000)))
     out = out.select(
         *[c for c in out.columns if c not in ("_n", "_s", "_q")],
         C.day_of_week("timestamp").alias("day_of_week"),
@@ -102,7 +102,7 @@ def rolling_z(daily: DataFrame, value_cents: str, keys: Sequence[str] = S,
     n, s, q = _moments(x, w)
     var_num = n.cast("decimal(38,0)") * q - s.cast("decimal(38,0)") * s.cast("decimal(38,0)")
     z = F.when((n < 2) | (var_num == 0), F.lit(0.0)).otherwise(
-        (n * x - s).cast("double") / F.sqrt(var_num.cast("double") * n / (n - 1)))
+        (n * x - s).cast("double") / F.sqrt(C.dec_to_double(var_num) * n / (n - 1)))
     return daily.withColumn(out, F.round(z, 6))
 
 

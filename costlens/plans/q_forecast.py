@@ -148,8 +148,8 @@ def wmape(spark, sf_dir):
 
 
 @query("residual_std", Q.with_(*SER, *Q.route(), final="""SELECT cloud_provider, unified_category,
-  COUNT(*) AS n, SQRT(CAST(CAST(COUNT(*) AS DECIMAL(38,0)) * SUM(CAST(_r AS DECIMAL(38,0)) * CAST(_r AS DECIMAL(38,0)))
-       - CAST(SUM(_r) AS DECIMAL(38,0)) * CAST(SUM(_r) AS DECIMAL(38,0)) AS DOUBLE) / (COUNT(*) * COUNT(*) * 10000))
+  COUNT(*) AS n, SQRT(""" + Q.d2d("""CAST(COUNT(*) AS DECIMAL(38,0)) * SUM(CAST(_r AS DECIMAL(38,0)) * CAST(_r AS DECIMAL(38,0)))
+       - CAST(SUM(_r) AS DECIMAL(38,0)) * CAST(SUM(_r) AS DECIMAL(38,0))""") + """ / (COUNT(*) * COUNT(*) * 10000))
     AS residual_std
 FROM (SELECT *, CAST(ROUND(y / 100.0 * 100) AS BIGINT) - CAST(ROUND(naive_cents / 100.0 * 100) AS BIGINT) AS _r
       FROM rt_both) GROUP BY ALL"""))

@@ -19,6 +19,13 @@ def cents(x: str) -> str:
     return f"CAST(ROUND({x} * 100) AS BIGINT)"
 
 
+def d2d(x: str) -> str:
+    """Twin of ``dec_to_double``: exact 32-bit halves, one rounding."""
+    h = f"CAST({x} AS HUGEINT)"
+    return (f"(CAST(({h} - {h} % 4294967296) // 4294967296 AS DOUBLE) * CAST(4294967296 AS DOUBLE)"
+            f" + CAST({h} % 4294967296 AS DOUBLE))")
+
+
 CATEGORY_FROM_TYPE = ("CASE WHEN p_type IN ('STANDARD', 'ECONOMY') THEN 'COMPUTE' "
                       "WHEN p_type IN ('MEDIUM', 'SMALL') THEN 'STORAGE' "
                       "WHEN p_type = 'LARGE' THEN 'NETWORK' ELSE 'OTHER' END")
@@ -80,7 +87,7 @@ def rolling_z(src: str, x: str, out: str, keys: str = S, window: int = 14) -> st
   ROUND(CASE WHEN _n < 2 OR (CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0))) = 0
              THEN 0.0
              ELSE CAST(_n * {x} - _s AS DOUBLE)
-                  / SQRT(CAST(CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0)) AS DOUBLE)
+                  / SQRT({d2d("CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0))")}
                          * _n / (_n - 1)) END, 6) AS {out}
 FROM (SELECT *, COUNT({x}) OVER {w} AS _n, CAST(SUM({x}) OVER {w} AS BIGINT) AS _s,
              SUM(CAST({x} AS DECIMAL(38,0)) * CAST({x} AS DECIMAL(38,0))) OVER {w} AS _q
@@ -209,8 +216,7 @@ SPEND_ORDER = '"timestamp", cost, normalized_env, normalized_team, is_anomaly, a
 def row_features(src: str = "spend", keys: str = S, order: str = SPEND_ORDER) -> str:
     w = f"(PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
     mean = "CASE WHEN _n > 0 THEN CAST(_s AS DOUBLE) / (_n * 100) END"
-    var = ("CAST(CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0))"
-           " AS DOUBLE)")
+    var = d2d("CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0))")
     return f"""SELECT * EXCLUDE (_n, _s, _q, _c),
   isodow("timestamp") - 1 AS day_of_week,
   CAST(isodow("timestamp") - 1 IN (5, 6) AS INTEGER) AS is_weekend,
@@ -273,9 +279,9 @@ def tw_fit(src: str, p: str, keys: str = S) -> list[tuple[str, str]]:
     den = f"{dec('n')} * sxx - {dec('sx')} * {dec('sx')}"
     fit = f"""SELECT {keys}, n, first_date, last_date,
   CASE WHEN ({den}) = 0 THEN 0.0
-       ELSE CAST({dec('n')} * sxy - {dec('sx')} * {dec('sy')} AS DOUBLE) / CAST({den} AS DOUBLE) END AS slope,
+       ELSE {d2d(f"{dec('n')} * sxy - {dec('sx')} * {dec('sy')}")} / {d2d(den)} END AS slope,
   CASE WHEN ({den}) = 0 THEN CAST(sy AS DOUBLE) / n
-       ELSE CAST({dec('sy')} * sxx - {dec('sx')} * sxy AS DOUBLE) / CAST({den} AS DOUBLE) END AS intercept
+       ELSE {d2d(f"{dec('sy')} * sxx - {dec('sx')} * sxy")} / {d2d(den)} END AS intercept
 FROM (SELECT {keys}, COUNT(*) AS n, CAST(SUM(_x) AS BIGINT) AS sx, CAST(SUM(y) AS BIGINT) AS sy,
         SUM({dec('_x')} * {dec('_x')}) AS sxx, SUM({dec('_x')} * {dec('y')}) AS sxy,
         MIN(date) AS first_date, MAX(date) AS last_date
@@ -285,7 +291,7 @@ FROM (SELECT {keys}, COUNT(*) AS n, CAST(SUM(_x) AS BIGINT) AS sx, CAST(SUM(y) A
     wd = f"""SELECT {keys}, _dow, CAST(ROUND(CAST(SUM(_r) AS DOUBLE) / COUNT(*)) AS BIGINT) AS _eff
 FROM {p}resid GROUP BY ALL"""
     sig = f"""SELECT {keys},
-  SQRT(CAST({dec('_n')} * _q - {dec('_s')} * {dec('_s')} AS DOUBLE) / CAST(_n * _n AS DOUBLE)) AS sigma_cents
+  SQRT({d2d(f"{dec('_n')} * _q - {dec('_s')} * {dec('_s')}")} / CAST(_n * _n AS DOUBLE)) AS sigma_cents
 FROM (SELECT {keys}, COUNT(*) AS _n, CAST(SUM(_r - _eff) AS BIGINT) AS _s,
         SUM({dec('_r - _eff')} * {dec('_r - _eff')}) AS _q
       FROM {p}resid JOIN {p}wd {using(keys + ', _dow')} GROUP BY ALL)"""
@@ -316,7 +322,7 @@ def naive_fit(src: str, p: str, keys: str = S) -> list[tuple[str, str]]:
     nb = f"""SELECT {keys}, date, y AS _y, y - LAG(y, 7) OVER (PARTITION BY {keys} ORDER BY date) AS _r,
   ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY date DESC) - 1 AS _back FROM {src}"""
     fit = f"""SELECT {keys}, last_date,
-  CASE WHEN _n > 0 THEN SQRT(CAST({dec('_n')} * _q - {dec('_s')} * {dec('_s')} AS DOUBLE)
+  CASE WHEN _n > 0 THEN SQRT({d2d(f"{dec('_n')} * _q - {dec('_s')} * {dec('_s')}")}
                              / CAST(_n * _n AS DOUBLE)) END AS sigma_cents
 FROM (SELECT {keys}, MAX(date) AS last_date, COUNT(_r) AS _n, CAST(SUM(_r) AS BIGINT) AS _s,
         SUM({dec('_r')} * {dec('_r')}) AS _q FROM {p}nb GROUP BY ALL)"""
