@@ -1,3 +1,116 @@
-"""Queries."""
+"""Queries: sources, sinks and the streaming append.
 
-from costlens.plans.catalog import query  # noqa: F401
+Each query writes what it needs under the session's checkpoint folder
+(a fresh sub-folder per call) and returns the read-back, so the check
+compares what actually landed in storage.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from costlens import schema as SC
+from costlens.operators import detect as D
+from costlens.operators import forecast_window as FW
+from costlens.operators import normalize as N
+from costlens.operators import serve as SV
+from costlens.plans import sqlparts as Q
+from costlens.plans.catalog import query
+from costlens.plans.q_serve import ORGS
+from costlens.sources import files as IO
+from costlens.sources import tables as T
+from costlens.streaming import append as K
+
+FIRST = "(SELECT id FROM orgs ORDER BY created_at, id LIMIT 1)"
+
+
+def _first_tenant(t):
+    return SV.first_tenant(T.organizations(t)).first()["id"]
+
+
+@query("scan_billing_csv", Q.with_(("raw_gcp", Q.RAW_GCP), final="SELECT * FROM raw_gcp"))
+def scan_billing_csv(spark, sf_dir):
+    """A1: a GCP billing export written as headered CSV, read back with its
+    schema and the CSV null-token rule."""
+    path = IO.scratch_path(spark, "gcp_raw_billing.csv")
+    IO.write_billing_csv(T.raw_gcp(T.Tables(spark, sf_dir)), path)
+    return IO.read_billing_csv(spark, path, SC.RAW_GCP)
+
+
+@query("scan_table", Q.with_(("cs", Q.spend(team=True, tenant=True)), final="""SELECT "timestamp",
+  cloud_provider, unified_category, cost, is_anomaly, anomaly_type FROM cs
+WHERE organization_id = 'org-1' AND cloud_provider = 'AWS' AND unified_category = 'COMPUTE'
+  AND "timestamp" >= TIMESTAMP '1998-01-01 00:00:00' AND "timestamp" <= TIMESTAMP '1998-12-31 00:00:00'"""))
+def scan_table(spark, sf_dir):
+    """A4: the tenant table (Parquet, partitioned by tenant) read with a
+    tenant + stream + time predicate: partition pruning plus pushed filters."""
+    path = IO.scratch_path(spark, "cloud_spend")
+    IO.write_tenant_table(T.spend(T.Tables(spark, sf_dir), team=True, tenant=True), path)
+    return SV.spend_range(IO.read_tenant_table(spark, path), "org-1", "AWS", "COMPUTE",
+                          dt.date(1998, 1, 1), dt.date(1998, 12, 31))
+
+
+@query("write_dataset", Q.with_(*Q.scored_days(), final="SELECT * FROM scores"))
+def write_dataset(spark, sf_dir):
+    """A5: scored stream-days written as Parquet (overwrite) and read back."""
+    days = D.day_scores(T.spend(T.Tables(spark, sf_dir), team=False))
+    return IO.write_dataset(days, IO.scratch_path(spark, "scored_days"))
+
+
+@query("append_spend", Q.with_(("orgs", ORGS), ("spend", Q.spend(team=True)),
+                               final=f"SELECT s.*, o.id AS organization_id FROM spend s, {FIRST} o"))
+def append_spend(spark, sf_dir):
+    """Spend stamped with the oldest tenant and appended to the tenant
+    table; the read-back is returned."""
+    t = T.Tables(spark, sf_dir)
+    path = IO.scratch_path(spark, "cloud_spend")
+    IO.write_tenant_table(SV.stamp_tenant(T.spend(t, team=True), _first_tenant(t)), path)
+    return IO.read_tenant_table(spark, path)
+
+
+@query("append_forecast", Q.with_(("orgs", ORGS), *Q.series_ctes(), *Q.production(),
+                                  final=f"SELECT p.*, o.id AS organization_id FROM production p, {FIRST} o"))
+def append_forecast(spark, sf_dir):
+    """The routed forecast stamped with the oldest tenant, appended to
+    the forecast table and read back."""
+    t = T.Tables(spark, sf_dir)
+    fc = FW.production_forecast_exact(FW.cleaned_series(T.spend(t, team=False)))
+    fc = SV.stamp_tenant(fc.withColumn("date", F.to_date("date")), _first_tenant(t))
+    path = IO.scratch_path(spark, "cloud_forecast")
+    IO.write_tenant_table(fc, path)
+    return IO.read_tenant_table(spark, path)
+
+
+EVENTS_NORM = Q.norm_azure("raw_ev")
+
+
+@query("append_event", Q.with_(("orgs", ORGS), ("spend", Q.spend(team=True)), ("raw_ev", Q.RAW_AZURE_EVENTS),
+                               final=f"""SELECT s.*, o.id AS organization_id FROM spend s, {FIRST} o
+UNION ALL SELECT e.*, o.id FROM ({EVENTS_NORM}) e, {FIRST} o"""))
+def append_event(spark, sf_dir):
+    """Arriving billing rows (the event feed as an Azure export) are
+    normalised and appended to a tenant table that already holds spend."""
+    t = T.Tables(spark, sf_dir)
+    tenant = _first_tenant(t)
+    path = IO.scratch_path(spark, "cloud_spend")
+    IO.write_tenant_table(SV.stamp_tenant(T.spend(t, team=True), tenant), path)
+    arriving = N.normalize_azure(T.raw_azure_events(t))
+    IO.write_tenant_table(SV.stamp_tenant(arriving, tenant), path)
+    return IO.read_tenant_table(spark, path)
+
+
+@query("stream_append", Q.with_(("orgs", ORGS), ("raw_ev", Q.RAW_AZURE_EVENTS),
+                                final=f"SELECT e.*, o.id AS organization_id FROM ({EVENTS_NORM}) e, {FIRST} o"))
+def stream_append(spark, sf_dir):
+    """K1: the event table re-written as several Parquet files, consumed by
+    a Structured Streaming file source, normalised and appended per
+    micro-batch to the tenant table (checkpointed); read back."""
+    t = T.Tables(spark, sf_dir)
+    ev = t.events
+    src = IO.scratch_path(spark, "arriving")
+    ev.repartition(4, "event_type").write.parquet(src)
+    sink, ckpt = IO.scratch_path(spark, "cloud_spend"), IO.scratch_path(spark, "stream_ckpt")
+    K.stream_append(spark, src, ev.schema, _first_tenant(t), sink, ckpt)
+    return IO.read_tenant_table(spark, sink)
