@@ -50,8 +50,8 @@ GBT_SEED = 42
 CHANGEPOINT_PRIOR = 0.05
 MEDIAN_WINDOW = 7              # centred median used to clean flagged days
 LOOKAHEADS = [7, 30, 90]
-ADDITIVE_MODEL = "Prophet"
-GBT_MODEL = "LightGBM"
+ADDITIVE_MODEL = "additive"
+GBT_MODEL = "boosted_trees"
 BAND_MODEL = "Ensemble ML"
 BAND_LOW = 0.85
 BAND_HIGH = 1.15
