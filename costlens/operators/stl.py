@@ -41,39 +41,40 @@ def settings(period: int = fixed.STL_PERIOD) -> dict:
 
 def _loess(y: np.ndarray, q: int, at: np.ndarray, rw: np.ndarray | None) -> np.ndarray:
     """Local-linear LOESS of y (at positions 0..n-1) with span q, evaluated
-    at positions ``at`` (may lie outside 0..n-1 by one step)."""
+    at positions ``at`` (may lie one step outside 0..n-1); all evaluation
+    points at once as an (len(at) x q) window matrix."""
     n = len(y)
-    half = q // 2
-    out = np.empty(len(at))
-    j = np.arange(n, dtype=float)
-    for k, xs in enumerate(at):
-        if q >= n:
-            left, right = 0, n - 1
-        else:
-            left = int(min(max(xs - half, 0), n - q))
-            right = left + q - 1
-        h = max(xs - left, right - xs)
-        if q > n:
-            h += (q - n) // 2
-        idx = j[left:right + 1]
-        r = np.abs(idx - xs)
-        w = np.where(r <= 0.999 * h, np.where(r <= 0.001 * h, 1.0, (1 - (r / h) ** 3) ** 3), 0.0) \
-            if h > 0 else np.ones_like(r)
-        if rw is not None:
-            w = w * rw[left:right + 1]
-        sw = w.sum()
-        if sw <= 0:
-            out[k] = y[int(min(max(round(xs), 0), n - 1))]
-            continue
-        w = w / sw
-        if h > 0:
-            a = (w * idx).sum()
-            c = (w * (idx - a) ** 2).sum()
-            if math.sqrt(c) > 0.001 * (n - 1):
-                b = (xs - a) / c
-                w = w * (b * (idx - a) + 1.0)
-        out[k] = (w * y[left:right + 1]).sum()
-    return out
+    xs = np.asarray(at, dtype=float)
+    qq = min(q, n)
+    if q >= n:
+        left = np.zeros(len(xs), dtype=np.int64)
+    else:
+        left = np.clip(xs - q // 2, 0, n - q).astype(np.int64)
+    right = left + qq - 1
+    h = np.maximum(xs - left, right - xs)
+    if q > n:
+        h = h + (q - n) // 2
+    idx = left[:, None] + np.arange(qq)[None, :]
+    r = np.abs(idx - xs[:, None])
+    hh = h[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tri = (1 - (r / hh) ** 3) ** 3
+    w = np.where(r <= 0.999 * hh, np.where(r <= 0.001 * hh, 1.0, tri), 0.0)
+    w = np.where(hh > 0, w, 1.0)
+    if rw is not None:
+        w = w * rw[idx]
+    sw = w.sum(axis=1)
+    ok = sw > 0
+    w = np.divide(w, sw[:, None], out=np.zeros_like(w), where=ok[:, None])
+    a = (w * idx).sum(axis=1)
+    c = (w * (idx - a[:, None]) ** 2).sum(axis=1)
+    adj = (h > 0) & (np.sqrt(c) > 0.001 * (n - 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        b = np.where(adj, (xs - a) / np.where(c > 0, c, 1.0), 0.0)
+    w = w * np.where(adj[:, None], b[:, None] * (idx - a[:, None]) + 1.0, 1.0)
+    out = (w * y[idx]).sum(axis=1)
+    fallback = y[np.clip(np.round(xs).astype(np.int64), 0, n - 1)]
+    return np.where(ok, out, fallback)
 
 
 def _moving_average(x: np.ndarray, k: int) -> np.ndarray:
