@@ -40,11 +40,13 @@ def contamination_flag(spark, sf_dir):
 
 
 @query("percentile_threshold", Q.with_(*EVAL, final="""SELECT cloud_provider, unified_category,
-  _th AS threshold FROM th"""))
+  ROUND(_th, 9) AS threshold FROM th"""))
 def percentile_threshold(spark, sf_dir):
     """Linear-interpolated 95th percentile of the score per stream."""
     feat = W.rolling_features(T.spend(T.Tables(spark, sf_dir), team=False))
-    return A.exact_percentile(feat, "cost_ratio", 0.95, ["cloud_provider", "unified_category"])
+    th = A.exact_percentile(feat, "cost_ratio", 0.95, ["cloud_provider", "unified_category"])
+    # reported to 9 decimals: engines interpolate the last bit differently
+    return th.withColumn("threshold", F.round("threshold", 9))
 
 
 def _conf_sql(flag):

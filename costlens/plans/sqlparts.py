@@ -356,7 +356,7 @@ FROM {src}"""
     val = f"""SELECT v.*, v.pos - t._nt + 1 AS h FROM rt_sp v
 JOIN (SELECT {keys}, COUNT(*) AS _nt FROM rt_train GROUP BY ALL) t {using(keys)} WHERE v.is_validation = 1"""
     both = f"""SELECT a.{keys.replace(', ', ', a.')}, a.date, a.y, a.pred_cents AS trend_cents, b.pred_cents AS naive_cents
-FROM ({tw_pred('rt_val', 'rtt')}) a JOIN ({naive_pred('rt_val', 'rtn')}) b
+FROM ({tw_pred('rt_val', 'rtt', keys)}) a JOIN ({naive_pred('rt_val', 'rtn', keys)}) b
 ON {' AND '.join(f'a.{k.strip()} = b.{k.strip()}' for k in keys.split(','))} AND a.date = b.date"""
     wm = ("CASE WHEN actual_abs = 0 THEN 0.0 ELSE CAST({e} AS DOUBLE) / actual_abs END")
     res = f"""SELECT {keys}, {wm.format(e='trend_err')} AS wmape_trend, {wm.format(e='naive_err')} AS wmape_naive,
