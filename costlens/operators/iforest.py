@@ -159,18 +159,24 @@ def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str] = tuple
                     continue
                 fe, th, lf, rt, va, psi = model[key]
                 X = grp[feats].to_numpy(dtype=float)
-                n_t, m = fe.shape[0], len(X)
-                node = np.zeros((n_t, m), dtype=np.int64)
-                ti = np.arange(n_t)[:, None]
+                n_t, width = fe.shape
+                m, n_f = X.shape
+                # flat gathers: node ids are offsets into the padded tree arrays
+                base = (np.arange(n_t, dtype=np.int64) * width)[:, None]
+                fe_f, th_f = fe.reshape(-1), th.reshape(-1)
+                lf_f, rt_f = lf.reshape(-1).astype(np.int64), rt.reshape(-1).astype(np.int64)
+                xf = X.reshape(-1)
+                row = (np.arange(m, dtype=np.int64) * n_f)[None, :]
+                flat = np.broadcast_to(base, (n_t, m)).copy()
                 for _ in range(64):
-                    f = fe[ti, node]
+                    f = np.take(fe_f, flat)
                     internal = f >= 0
                     if not internal.any():
                         break
-                    x = X[np.arange(m)[None, :], np.where(internal, f, 0)]
-                    nxt = np.where(x <= th[ti, node], lf[ti, node], rt[ti, node])
-                    node = np.where(internal, nxt, node)
-                depth = va[ti, node].mean(axis=0)
+                    x = np.take(xf, row + np.maximum(f, 0))
+                    go = np.where(x <= np.take(th_f, flat), np.take(lf_f, flat), np.take(rt_f, flat))
+                    flat = np.where(internal, base + go, flat)
+                depth = np.take(va.reshape(-1), flat).mean(axis=0)
                 score[grp.index.to_numpy()] = np.power(2.0, -depth / c_factor(psi))
             yield pdf.assign(**{out: score})
 
@@ -182,6 +188,10 @@ def isolation_forest(feat: DataFrame, keys: Sequence[str] = S,
                      features: Sequence[str] = tuple(fixed.IFOREST_FEATURES)) -> DataFrame:
     """I4 + I5: score every row, flag scores above the stream's 95th
     percentile (``ml_is_anomaly``)."""
+    # the features feed the pool and the scoring: materialise them once
+    feat = feat.checkpoint(eager=True)
     forest = fit_forest(feat, features, keys)
-    scored = score_rows(feat, forest, features)
+    # scored rows feed both the percentile and the flag join: materialise
+    # them once in the checkpoint folder instead of scoring twice
+    scored = score_rows(feat, forest, features).checkpoint(eager=True)
     return D.contamination_flag(scored, "iforest_score", keys)

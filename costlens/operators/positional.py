@@ -34,7 +34,7 @@ IDX = "_pos"
 _PID = "_pid"
 _LOCAL = "_local"
 
-DEFAULT_BUCKET_ROWS = int(os.environ.get("COSTLENS_BUCKET_ROWS", str(1 << 20)))
+DEFAULT_BUCKET_ROWS = int(os.environ.get("COSTLENS_BUCKET_ROWS", str(1 << 16)))
 
 
 def positional_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],

@@ -9,10 +9,10 @@ filter (D8), a row's score excludes the row itself and is 0 before 14
 predecessors (D9), threshold = 95th percentile of the real scores, strict
 ``>`` (D10). Scores are not comparable to the LSTM's.
 
-Distributed fit: the Gram matrix of the windows (42 x 42) and their sum
-are Spark aggregates (partial per task, merged per stream); only those
-1,000-odd numbers per stream reach the eigen step, which runs per stream in
-a grouped map. The fitted bases (42 x 8 per stream) are broadcast and
+Distributed fit: each task accumulates the Gram matrix of its windows
+(42 x 42) and their sum with numpy, Spark sums those blocks per stream;
+only 1,807 numbers per stream reach the eigen step, which runs per stream
+in a grouped map. The fitted bases (42 x 8 per stream) are broadcast and
 every window is scored in Arrow batches.
 """
 
@@ -41,12 +41,34 @@ def scaled_features(feat: DataFrame, keys: Sequence[str] = S) -> DataFrame:
 
 
 def gram_stats(windows: DataFrame, keys: Sequence[str] = S, col: str = "window") -> DataFrame:
-    """n, sum and upper-triangle products of the window vectors per stream."""
-    w = F.col(col)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(w[i]).alias(f"s{i}") for i in range(DIM)]
-    aggs += [F.sum(w[i] * w[j]).alias(f"g{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
-    return windows.where(w.isNotNull()).groupBy(*keys).agg(*aggs)
+    """Per stream: n, the sum and the Gram matrix of the window vectors, as
+    (keys, k, v) rows with k = 0 (n), 1..DIM (sum), then DIM x DIM (Gram).
+
+    Each task accumulates its partial sums with numpy (``X.T @ X``) and
+    emits one small block per stream it saw; Spark sums the blocks."""
+    keys = list(keys)
+
+    def part(batches):
+        acc: dict = {}
+        for pdf in batches:
+            pdf = pdf[pdf[col].notna()]
+            if pdf.empty:
+                continue
+            for key, grp in pdf.groupby(keys, sort=False):
+                X = np.stack(grp[col].to_numpy()).astype(float)
+                n, sm, g = acc.get(key, (0, 0.0, 0.0))
+                acc[key] = (n + len(X), sm + X.sum(axis=0), g + X.T @ X)
+        for key, (n, sm, g) in acc.items():
+            v = np.concatenate([[float(n)], sm, np.asarray(g).reshape(-1)])
+            out = pd.DataFrame({"k": np.arange(len(v), dtype=np.int32), "v": v})
+            for name, val in zip(keys, key if isinstance(key, tuple) else (key,)):
+                out.insert(0, name, val)
+            yield out[[*keys, "k", "v"]]
+
+    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys],
+                           T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType())])
+    partial = windows.select(*keys, col).mapInPandas(part, schema)
+    return partial.groupBy(*keys, "k").agg(F.sum("v").alias("v"))
 
 
 MODEL_SCHEMA = T.StructType([
@@ -56,18 +78,13 @@ MODEL_SCHEMA = T.StructType([
 
 def _eigen_factory(k: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        n = float(r["n"])
-        s = np.array([r[f"s{i}"] for i in range(DIM)], dtype=float)
-        g = np.zeros((DIM, DIM))
-        for i in range(DIM):
-            for j in range(i, DIM):
-                g[i, j] = g[j, i] = r[f"g{i}_{j}"]
-        mean = s / n
+        v = pdf.sort_values("k")["v"].to_numpy(dtype=float)
+        n, sm, g = v[0], v[1:1 + DIM], v[1 + DIM:].reshape(DIM, DIM)
+        mean = sm / n
         cov = g / n - np.outer(mean, mean)
-        vals, vecs = np.linalg.eigh(cov)
+        vals, vecs = np.linalg.eigh((cov + cov.T) / 2)
         basis = vecs[:, np.argsort(vals)[::-1][:k]]
-        return pd.DataFrame([(r["cloud_provider"], r["unified_category"], mean.tolist(),
+        return pd.DataFrame([(pdf["cloud_provider"].iloc[0], pdf["unified_category"].iloc[0], mean.tolist(),
                               basis.reshape(-1).tolist())], columns=[f.name for f in MODEL_SCHEMA.fields])
     return fit
 
@@ -104,12 +121,15 @@ def score_windows(df: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN, co
 
 def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     """Scale -> windows -> fit on clean windows -> score all -> p95 -> flag."""
-    scaled = scaled_features(feat, keys)
+    # scaled features feed both the training and the scoring windows
+    scaled = scaled_features(feat, keys).checkpoint(eager=True)
     clean = scaled.where(F.col("is_anomaly") == 0)
     train = W.sequences(clean, SCALED, keys).select(*keys, "window")
     model = fit_subspace(train, keys)
     full = W.sequences(scaled, SCALED, keys)
-    scored = score_windows(full, model)
+    # the scored frame feeds the percentile and the flag join: materialise it
+    # once in the checkpoint folder instead of scoring twice
+    scored = score_windows(full, model).checkpoint(eager=True)
     th = A.exact_percentile(scored.where(F.col("window").isNotNull()), "dl_mse_score",
                             fixed.SEQ_PERCENTILE, keys, out="_th")
     return (scored.join(th, list(keys), "left")
