@@ -43,7 +43,10 @@ def cleaned_series(spend: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     """E2 -> F4 -> F5: daily cost, flag, centred median, cleaned cost and
     cleaned cents (``y``) per stream."""
     d = W.clean_anomalies(A.daily_cost_flag(spend, keys), keys)
-    return d.withColumn("y", C.cents("cleaned_cost"))
+    # The series (streams x days, bounded by the calendar) feeds every fit,
+    # split and forecast below: materialise it once in the checkpoint folder
+    # instead of re-aggregating the raw spend in each branch.
+    return d.withColumn("y", C.cents("cleaned_cost")).checkpoint(eager=True)
 
 
 def tail_split(series: DataFrame, n_tail: int = fixed.VALIDATION_DAYS,
@@ -57,35 +60,44 @@ def tail_split(series: DataFrame, n_tail: int = fixed.VALIDATION_DAYS,
 
 # --- trend + weekday -------------------------------------------------------
 def trend_weekday_fit(train: DataFrame, keys: Sequence[str] = S, y: str = "y") -> DataFrame:
-    """One row per stream: slope, intercept, weekday effects, sigma, dates."""
+    """One row per stream: slope, intercept, weekday effects, sigma, dates.
+
+    One shuffle: every step is a window over ``partitionBy(stream)`` or
+    ``partitionBy(stream, weekday)`` (both satisfied by hashing on the
+    stream) and the final ``groupBy(stream)`` reuses that partitioning.
+    All sums are exact integer sums; each double comes from one division."""
+    w = Window.partitionBy(*keys)
     x = epoch_day("date")
-    g = train.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(F.col(y)).alias("sy"),
-        F.sum(_d(x) * _d(x)).alias("sxx"), F.sum(_d(x) * _d(y)).alias("sxy"),
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    t = train.select(*keys, "date", F.col(y).alias("_y"), x.alias("_x"),
+                     C.day_of_week("date").alias("_dow"))
+    n = F.count(F.lit(1)).over(w)
+    sx, sy = F.sum("_x").over(w), F.sum("_y").over(w)
+    sxx = F.sum(_d("_x") * _d("_x")).over(w)
+    sxy = F.sum(_d("_x") * _d("_y")).over(w)
+    t = t.select("*", n.alias("n"), sx.alias("sx"), sy.alias("sy"), sxx.alias("sxx"), sxy.alias("sxy"))
     den = _d("n") * F.col("sxx") - _d("sx") * _d("sx")
     num_b = _d("n") * F.col("sxy") - _d("sx") * _d("sy")
     num_a = _d("sy") * F.col("sxx") - _d("sx") * F.col("sxy")
-    g = g.select(*keys, "n", "first_date", "last_date",
+    t = t.select(*keys, "date", "_y", "_x", "_dow", "n",
                  F.when(den == 0, F.lit(0.0)).otherwise(C.dec_to_double(num_b) / C.dec_to_double(den))
                  .alias("slope"),
                  F.when(den == 0, F.col("sy").cast("double") / F.col("n"))
                  .otherwise(C.dec_to_double(num_a) / C.dec_to_double(den)).alias("intercept"))
     # weekday effect of the residual, then sigma of what remains
-    r = train.join(g.select(*keys, "slope", "intercept"), list(keys), "inner").withColumn(
-        "_fit", F.round(F.col("intercept") + F.col("slope") * epoch_day("date")).cast("long")
-    ).withColumn("_r", F.col(y) - F.col("_fit")).withColumn("_dow", C.day_of_week("date"))
-    wd = r.groupBy(*keys, "_dow").agg(
-        F.round(F.sum("_r").cast("double") / F.count(F.lit(1))).cast("long").alias("_eff"))
-    effects = wd.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_dow", "_eff")))
-                                    .alias("weekday_effect"))
-    r2 = r.join(wd, [*keys, "_dow"], "inner").withColumn("_r2", F.col("_r") - F.col("_eff"))
-    sig = r2.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r2").alias("_s"),
-                                F.sum(_d("_r2") * _d("_r2")).alias("_q"))
+    t = t.withColumn("_r", F.col("_y") - F.round(F.col("intercept") + F.col("slope") * F.col("_x")).cast("long"))
+    wd = Window.partitionBy(*keys, "_dow")
+    t = t.withColumn("_eff", F.round(F.sum("_r").over(wd).cast("double") / F.count(F.lit(1)).over(wd))
+                     .cast("long"))
+    t = t.withColumn("_r2", F.col("_r") - F.col("_eff"))
+    g = t.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.first("slope").alias("slope"), F.first("intercept").alias("intercept"),
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("_dow", "_eff")))).alias("weekday_effect"),
+        F.count(F.lit(1)).alias("_n"), F.sum("_r2").alias("_s"), F.sum(_d("_r2") * _d("_r2")).alias("_q"))
     num = _d("_n") * F.col("_q") - _d("_s") * _d("_s")
-    sig = sig.select(*keys, F.sqrt(C.dec_to_double(num) / (F.col("_n") * F.col("_n")).cast("double"))
-                     .alias("sigma_cents"))
-    return g.join(effects, list(keys), "inner").join(sig, list(keys), "inner")
+    return g.select(*keys, "n", "first_date", "last_date", "slope", "intercept", "weekday_effect",
+                    F.sqrt(C.dec_to_double(num) / (F.col("_n") * F.col("_n")).cast("double"))
+                    .alias("sigma_cents"))
 
 
 def trend_weekday_predict(fit: DataFrame, dates: DataFrame, keys: Sequence[str] = S) -> DataFrame:
