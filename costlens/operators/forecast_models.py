@@ -69,14 +69,24 @@ def _grow(X, r, depth, max_depth, min_leaf, nodes):
     return idx
 
 
-def _tree_predict(nodes, X):
-    out = np.empty(len(X))
-    for i, x in enumerate(X):
-        k = 0
-        while nodes[k][0] >= 0:
-            k = nodes[k][2] if x[nodes[k][0]] <= nodes[k][1] else nodes[k][3]
-        out[i] = nodes[k][4]
-    return out
+def _as_arrays(nodes):
+    a = np.array(nodes, dtype=float)
+    return (a[:, 0].astype(np.int64), a[:, 1], a[:, 2].astype(np.int64), a[:, 3].astype(np.int64), a[:, 4])
+
+
+def _tree_predict(tree, X):
+    """Vectorised walk: one numpy step per tree level for all rows."""
+    feat, thr, left, right, val = tree
+    node = np.zeros(len(X), dtype=np.int64)
+    rows = np.arange(len(X))
+    for _ in range(64):
+        f = feat[node]
+        internal = f >= 0
+        if not internal.any():
+            break
+        x = X[rows, np.maximum(f, 0)]
+        node = np.where(internal, np.where(x <= thr[node], left[node], right[node]), node)
+    return val[node]
 
 
 class BoostedTrees:
@@ -91,26 +101,28 @@ class BoostedTrees:
         for _ in range(self.rounds):
             nodes = []
             _grow(X, y - pred, 0, self.depth, self.min_leaf, nodes)
-            self.trees.append(nodes)
-            pred += self.lr * _tree_predict(nodes, X)
+            tree = _as_arrays(nodes)
+            self.trees.append(tree)
+            pred += self.lr * _tree_predict(tree, X)
         return self
 
     def predict(self, X):
         p = np.full(len(X), self.base)
-        for nodes in self.trees:
-            p += self.lr * _tree_predict(nodes, X)
+        for tree in self.trees:
+            p += self.lr * _tree_predict(tree, X)
         return p
 
 
 def _lag_matrix(y: np.ndarray, dates: pd.Series, lags=(1, 7), roll=7) -> tuple[np.ndarray, np.ndarray]:
     """Rows with every lag available (warm-up dropped, C8)."""
     n, start = len(y), max(max(lags), roll)
-    rows, target = [], []
-    dow = pd.to_datetime(dates).dt.dayofweek.to_numpy()
-    for i in range(start, n):
-        rows.append([y[i - k] for k in lags] + [y[i - roll:i].mean(), dow[i]])
-        target.append(y[i])
-    return np.array(rows, dtype=float).reshape(-1, len(lags) + 2), np.array(target)
+    if n <= start:
+        return np.empty((0, len(lags) + 2)), np.empty(0)
+    dow = pd.to_datetime(dates).dt.dayofweek.to_numpy(dtype=float)
+    c = np.concatenate([[0.0], np.cumsum(y)])
+    idx = np.arange(start, n)
+    cols = [y[idx - k] for k in lags] + [(c[idx] - c[idx - roll]) / roll, dow[idx]]
+    return np.column_stack(cols), y[idx]
 
 
 def _recurse(model, history: np.ndarray, next_dates, lags=(1, 7), roll=7) -> np.ndarray:

@@ -24,6 +24,7 @@ from costlens.functions import columns as C
 from costlens.operators import aggregates as A
 from costlens.operators import windows as W
 from costlens.schema import S
+from costlens.session import materialize
 
 TREND = "trend_weekday"
 NAIVE = "seasonal_naive"
@@ -46,7 +47,7 @@ def cleaned_series(spend: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     # The series (streams x days, bounded by the calendar) feeds every fit,
     # split and forecast below: materialise it once in the checkpoint folder
     # instead of re-aggregating the raw spend in each branch.
-    return d.withColumn("y", C.cents("cleaned_cost")).checkpoint(eager=True)
+    return materialize(d.withColumn("y", C.cents("cleaned_cost")), "daily-series")
 
 
 def tail_split(series: DataFrame, n_tail: int = fixed.VALIDATION_DAYS,

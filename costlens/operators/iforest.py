@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from costlens import fixed
 from costlens.operators import detect as D
 from costlens.schema import S
+from costlens.session import materialize
 
 POOL_ROWS = 4096
 EULER = 0.5772156649015329
@@ -189,9 +190,9 @@ def isolation_forest(feat: DataFrame, keys: Sequence[str] = S,
     """I4 + I5: score every row, flag scores above the stream's 95th
     percentile (``ml_is_anomaly``)."""
     # the features feed the pool and the scoring: materialise them once
-    feat = feat.checkpoint(eager=True)
+    feat = materialize(feat, "iforest-features")
     forest = fit_forest(feat, features, keys)
     # scored rows feed both the percentile and the flag join: materialise
     # them once in the checkpoint folder instead of scoring twice
-    scored = score_rows(feat, forest, features).checkpoint(eager=True)
+    scored = materialize(score_rows(feat, forest, features), "iforest-scored")
     return D.contamination_flag(scored, "iforest_score", keys)

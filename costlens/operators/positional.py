@@ -11,9 +11,9 @@ stream can hold a third of all rows. Instead:
    offsets with a small window. Each row's index is its offset plus its
    position inside the partition. No group is ever gathered in one task.
 
-   The sorted, tagged frame is checkpointed (reliable checkpoint in
-   ``spark.checkpoint.dir``) so the counts and the rows agree even when the
-   input is itself non-deterministic.
+   The sorted, tagged frame is written once as a Parquet table in the
+   shared ``spark.checkpoint.dir`` folder, so the counts and the rows agree
+   even when the input is itself non-deterministic.
 
 2. ``framed`` evaluates row frames over fixed-size buckets of that index.
    The ``h`` rows just before a bucket are copied into it as read-only
@@ -30,6 +30,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costlens.session import materialize
+
 IDX = "_pos"
 _PID = "_pid"
 _LOCAL = "_local"
@@ -54,7 +56,7 @@ def positional_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     # The counts and the rows must see the same partitions: materialise the
     # tagged frame once in the shared checkpoint folder (this also cuts the
     # lineage, so a lost executor re-reads it instead of re-sorting).
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialize(tagged, "positional")
     # one row per (partition, stream): how many rows and where they start
     seg = tagged.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("_n"),
                                           F.min(_LOCAL).alias("_first"))

@@ -31,6 +31,7 @@ from costlens.operators import aggregates as A
 from costlens.operators import scale as SC
 from costlens.operators import windows as W
 from costlens.schema import S
+from costlens.session import materialize
 
 DIM = fixed.SEQ_LEN * len(fixed.SEQ_FEATURES)
 SCALED = [f"{f}_scaled" for f in fixed.SEQ_FEATURES]
@@ -122,14 +123,14 @@ def score_windows(df: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN, co
 def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     """Scale -> windows -> fit on clean windows -> score all -> p95 -> flag."""
     # scaled features feed both the training and the scoring windows
-    scaled = scaled_features(feat, keys).checkpoint(eager=True)
+    scaled = materialize(scaled_features(feat, keys), "seq-scaled")
     clean = scaled.where(F.col("is_anomaly") == 0)
     train = W.sequences(clean, SCALED, keys).select(*keys, "window")
     model = fit_subspace(train, keys)
     full = W.sequences(scaled, SCALED, keys)
     # the scored frame feeds the percentile and the flag join: materialise it
     # once in the checkpoint folder instead of scoring twice
-    scored = score_windows(full, model).checkpoint(eager=True)
+    scored = materialize(score_windows(full, model), "seq-scored")
     th = A.exact_percentile(scored.where(F.col("window").isNotNull()), "dl_mse_score",
                             fixed.SEQ_PERCENTILE, keys, out="_th")
     return (scored.join(th, list(keys), "left")

@@ -63,6 +63,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut the lineage by writing ``df`` as a Parquet table in the shared
+    checkpoint folder and reading it back.
+
+    Compared with an RDD checkpoint the table is columnar and compressed,
+    and later reads prune columns. A lost executor re-reads the table
+    instead of recomputing the plan."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/costlens-materialized/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    # the schema is known: skip footer inference on the read-back
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Return ``broadcast(df)`` if it holds at most ``max_rows`` rows.
 
