@@ -20,6 +20,7 @@ from costlens import fixed
 from costlens.functions import columns as C
 from costlens.operators import serve as SV
 from costlens.schema import S
+from costlens.session import materialize
 
 TENANT_STREAM = ["organization_id", *S]
 
@@ -101,7 +102,11 @@ def report_text(date: Column, kind: Column, stream: Column, note: Column) -> Col
 def rca_report(cloud_spend: DataFrame, inc: DataFrame, keys: Sequence[str] = TENANT_STREAM) -> DataFrame:
     """One report per incident: fetch the window, attribute the jump,
     write the report; an incident with no rows gets the skip note."""
-    ctx = rca_context(cloud_spend, inc, keys)
+    # incidents and their windows are small (bounded by incident days) and
+    # each feeds three branches: write them once instead of re-deriving
+    # them from the raw spend in every branch
+    inc = materialize(inc, "incidents")
+    ctx = materialize(rca_context(cloud_spend, inc, keys), "rca-context")
     counts = ctx.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("n_records"))
     top = owner_attribution(owner_jump(ctx, keys), keys).select(
         *keys, "date", "normalized_team", "normalized_env", "jump_half_cents")
