@@ -91,12 +91,20 @@ def residual_std(df: DataFrame, actual: str, pred: str, keys: Sequence[str] = ()
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, keys: Sequence[str] = (),
-                     out: str = "threshold") -> DataFrame:
+                     out: str = "threshold", approx_accuracy: int | None = None) -> DataFrame:
     """Linear-interpolated percentile per group, exact and distributed.
 
     ``percentile()`` would buffer a whole group in one task; here the values
     are indexed with the range-partitioned ``positional_index`` and only the
-    two order statistics around rank (n-1)*p are picked out."""
+    two order statistics around rank (n-1)*p are picked out.
+
+    ``approx_accuracy`` switches to ``percentile_approx`` (a mergeable
+    sketch: one partial aggregate, no sort) for callers that accept a rank
+    error of about 1/accuracy; the exact path stays the default."""
+    if approx_accuracy:
+        g = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), p, approx_accuracy)
+                                  .alias(out))
+        return g
     dummy = not keys
     if dummy:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
