@@ -38,7 +38,7 @@ LAGS_SQL = """SELECT cloud_provider, unified_category, date, cleaned_cost,
   LAG(cleaned_cost, 1) OVER w AS lag_1, LAG(cleaned_cost, 7) OVER w AS lag_7,
   LAG(cleaned_cost, 14) OVER w AS lag_14,
   CASE WHEN COUNT(y) OVER w7 = 7 THEN CAST(SUM(y) OVER w7 AS DOUBLE) / 700 END AS rolling_mean_7,
-  isodow(date) - 1 AS day_of_week
+  CAST(isodow(date) - 1 AS INTEGER) AS day_of_week
 FROM series WINDOW w AS (PARTITION BY cloud_provider, unified_category ORDER BY date),
   w7 AS (PARTITION BY cloud_provider, unified_category ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""
 

@@ -85,7 +85,7 @@ def parse_ts(spark, sf_dir):
                       C.to_day(ts).alias("date"))
 
 
-@query("calendar_features", f"""SELECT event_id, ts, isodow(ts) - 1 AS day_of_week,
+@query("calendar_features", f"""SELECT event_id, ts, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
   CAST(isodow(ts) - 1 IN (5, 6) AS INTEGER) AS is_weekend FROM events""")
 def calendar_features(spark, sf_dir):
     """Monday = 0 weekday and weekend flag."""

@@ -218,7 +218,7 @@ def row_features(src: str = "spend", keys: str = S, order: str = SPEND_ORDER) ->
     mean = "CASE WHEN _n > 0 THEN CAST(_s AS DOUBLE) / (_n * 100) END"
     var = d2d("CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0))")
     return f"""SELECT * EXCLUDE (_n, _s, _q, _c),
-  isodow("timestamp") - 1 AS day_of_week,
+  CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
   CAST(isodow("timestamp") - 1 IN (5, 6) AS INTEGER) AS is_weekend,
   COALESCE({mean}, 0.0) AS rolling_mean_7d,
   COALESCE(CASE WHEN _n >= 2 THEN SQRT({var} / (_n * (_n - 1) * 10000)) END, 0.0) AS rolling_std_7d,
@@ -350,7 +350,7 @@ def naive_forecast(src: str, p: str, horizon: int = 90, keys: str = S) -> list[t
 
 
 def route(src: str = "series", keys: str = S, n_val: int = 30) -> list[tuple[str, str]]:
-    sp = f"""SELECT *, ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS pos,
+    sp = f"""SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS INTEGER) AS pos,
   CAST(ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY date DESC) <= {n_val} AS INTEGER) AS is_validation
 FROM {src}"""
     val = f"""SELECT v.*, v.pos - t._nt + 1 AS h FROM rt_sp v
