@@ -53,7 +53,7 @@ def _hash_unit(cols: Sequence[str]) -> F.Column:
 
 def training_pool(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S,
                   pool: int = POOL_ROWS) -> DataFrame:
-    cols = [c for c in df.columns if c not in keys]
+    cols = [c for c in df.columns if c not in keys and c != "_pos"]
     with_u = df.select(*keys, *features, _hash_unit(sorted(cols)).alias("_u"))
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     frac = F.least(F.lit(1.0), F.lit(2.0 * pool) / F.col("_n"))

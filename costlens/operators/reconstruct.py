@@ -30,6 +30,7 @@ from costlens import fixed
 from costlens.operators import aggregates as A
 from costlens.operators import scale as SC
 from costlens.operators import windows as W
+from costlens.operators.positional import IDX
 from costlens.schema import S
 from costlens.session import materialize
 
@@ -124,7 +125,11 @@ def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S) -> DataFra
     """Scale -> windows -> fit on clean windows -> score all -> p95 -> flag."""
     # scaled features feed both the training and the scoring windows
     scaled = materialize(scaled_features(feat, keys), "seq-scaled")
+    # training windows run over the clean subsequence (D8): its positions
+    # are re-numbered; the full sequence reuses the feature index if present
     clean = scaled.where(F.col("is_anomaly") == 0)
+    if IDX in clean.columns:
+        clean = clean.drop(IDX)
     train = W.sequences(clean, SCALED, keys).select(*keys, "window")
     model = fit_subspace(train, keys)
     full = W.sequences(scaled, SCALED, keys)
@@ -136,4 +141,4 @@ def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S) -> DataFra
     return (scored.join(th, list(keys), "left")
                   .withColumn("dl_is_anomaly", F.coalesce((F.col("dl_mse_score") > F.col("_th")).cast("int"),
                                                           F.lit(0)))
-                  .drop("_th", "window"))
+                  .drop("_th", "window", IDX))

@@ -51,13 +51,13 @@ def isolation_forest(spark, sf_dir):
 def sequence_reconstruction(spark, sf_dir):
     """Reconstruction error of each row's previous-14-row window under a
     rank-8 linear autoencoder fit on clean windows; p95 flag."""
-    return RC.sequence_reconstruction(W.rolling_features(_spend(spark, sf_dir)))
+    return RC.sequence_reconstruction(W.rolling_features(_spend(spark, sf_dir), keep_index=True))
 
 
 def tiers(spark, sf_dir):
     """Every spend row with the three tier flags and the vote."""
     sp = _spend(spark, sf_dir)
-    feat = W.rolling_features(sp)
+    feat = W.rolling_features(sp, keep_index=True)
     ml = IF.isolation_forest(feat)
     dl = RC.sequence_reconstruction(ml)
     flagged = D.broadcast_day_score(dl, D.day_scores(sp))

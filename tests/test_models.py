@@ -61,3 +61,16 @@ def test_boosted_trees_fit_a_step():
     y = np.where(X[:, 0] < 100, 1.0, 5.0)
     p = M.BoostedTrees(rounds=50).fit(X, y).predict(X)
     assert abs(p[:90].mean() - 1.0) < 0.5 and abs(p[110:].mean() - 5.0) < 0.5
+
+
+def test_forest_invariant_to_partitioning(spark):
+    """Content-hash pool and seeded trees: same flags with 1 or 24 shuffle partitions."""
+    def run(parts):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        out = QM.isolation_forest(spark, SF_SMALL)
+        return sorted((r["timestamp"], r["cloud_provider"], r["unified_category"], r["cost"],
+                       r["normalized_env"], r["ml_is_anomaly"], round(r["iforest_score"], 12))
+                      for r in out.collect())
+    a, b = run(1), run(24)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert a == b
