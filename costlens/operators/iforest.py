@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from costlens import fixed
 from costlens.operators import detect as D
 from costlens.schema import S
-from costlens.session import materialize
+from costlens.session import materialize, share
 
 POOL_ROWS = 4096
 EULER = 0.5772156649015329
@@ -147,11 +147,11 @@ def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str] = tuple
     """Anomaly score s = 2^(-E[h(x)] / c(psi)) for every row (higher = more
     isolated). The forest table is bounded by streams x trees x nodes."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(_pack(forest.collect()))
+    get_model = share(spark, _pack(forest.collect()))
     feats = list(features)
 
     def run(batches):
-        model = bc.value
+        model = get_model()
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
             score = np.zeros(len(pdf))

@@ -32,7 +32,7 @@ from costlens.operators import scale as SC
 from costlens.operators import windows as W
 from costlens.operators.positional import IDX
 from costlens.schema import S
-from costlens.session import materialize
+from costlens.session import materialize, share
 
 DIM = fixed.SEQ_LEN * len(fixed.SEQ_FEATURES)
 SCALED = [f"{f}_scaled" for f in fixed.SEQ_FEATURES]
@@ -100,10 +100,10 @@ def score_windows(df: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN, co
     """Mean squared reconstruction error of each row's window (0 without one)."""
     packed = {(r["cloud_provider"], r["unified_category"]):
               (np.array(r["mean"]), np.array(r["basis"]).reshape(DIM, k)) for r in model.collect()}
-    bc = df.sparkSession.sparkContext.broadcast(packed)
+    get_model = share(df.sparkSession, packed)
 
     def run(batches):
-        m = bc.value
+        m = get_model()
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
             score = np.zeros(len(pdf))

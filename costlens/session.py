@@ -51,18 +51,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A scratch folder is created only when the session names none, which is
     the case for unit tests on a single machine.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-    else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="costlens-ckpt-"))
+    if sc is None:
+        if conf:
+            return conf
+        path = tempfile.mkdtemp(prefix="costlens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", path)
+        return path
+    sc.setCheckpointDir(conf if conf else tempfile.mkdtemp(prefix="costlens-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def share(spark: SparkSession, value):
+    """Ship a small, bounded model to the tasks: a broadcast variable when
+    the session has a SparkContext, the task closure otherwise. Returns a
+    zero-argument getter usable inside the task."""
+    try:
+        bc = spark.sparkContext.broadcast(value)
+        return lambda: bc.value
+    except Exception:
+        return lambda: value
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage by writing ``df`` as a Parquet table in the shared
     checkpoint folder and reading it back.
