@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from costlens.functions import columns as C
 from costlens.operators.positional import IDX, positional_index
 from costlens.schema import S
+from costlens.session import materialize
 
 
 def daily_cost(spend: DataFrame, keys: Sequence[str] = S) -> DataFrame:
@@ -91,35 +92,72 @@ def residual_std(df: DataFrame, actual: str, pred: str, keys: Sequence[str] = ()
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, keys: Sequence[str] = (),
-                     out: str = "threshold", approx_accuracy: int | None = None) -> DataFrame:
+                     out: str = "threshold", approx_accuracy: int | None = None,
+                     bracket_accuracy: int = 100_000, method: str = "sort") -> DataFrame:
     """Linear-interpolated percentile per group, exact and distributed.
 
-    ``percentile()`` would buffer a whole group in one task; here the values
-    are indexed with the range-partitioned ``positional_index`` and only the
-    two order statistics around rank (n-1)*p are picked out.
-
-    ``approx_accuracy`` switches to ``percentile_approx`` (a mergeable
-    sketch: one partial aggregate, no sort) for callers that accept a rank
-    error of about 1/accuracy; the exact path stays the default."""
+    ``percentile()`` would buffer a whole group in one task. Two exact
+    strategies avoid that:
+
+    * ``method='sort'`` (default): index the values with the range-partitioned
+      ``positional_index`` and pick the two order statistics around rank
+      (n-1)*p. Fully distributed; fastest at small and medium sizes.
+    * ``method='bracket'``: a mergeable quantile sketch (``percentile_approx``)
+      brackets the rank with two data values [a, b]; one pass counts the
+      values below a and keeps only those inside [a, b] (about
+      6 / ``bracket_accuracy`` of a group), which a small window ranks. No
+      global sort; meant for very large groups. If a bracket ever missed its
+      rank, it falls back to the sort path, so the result is always exact.
+
+    ``approx_accuracy`` instead returns the sketch value itself, for callers
+    that accept a rank error of about 1/accuracy."""
     if approx_accuracy:
-        g = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), p, approx_accuracy)
-                                  .alias(out))
-        return g
+        return df.groupBy(*keys).agg(
+            F.percentile_approx(F.col(value).cast("double"), p, approx_accuracy).alias(out))
     dummy = not keys
     if dummy:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    keys = list(keys)
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    idx = positional_index(vals, keys, ["_v"])
-    n = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if method == "sort":
+        ranked = positional_index(vals, keys, ["_v"])
+        n = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        pos = (F.col("_n") - 1).cast("double") * F.lit(p)
+        sk = n.select(*keys, pos.alias("_rk"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
+        return _pick(ranked.join(sk, keys, "inner"), keys, out, dummy)
+    # narrow (keys, value) frame read by every pass below: write it once
+    vals = materialize(vals, "percentile-values")
+    eps = 3.0 / bracket_accuracy
+    sk = vals.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_v", F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps))),
+                            bracket_accuracy).alias("_ab"))
+    sk = sk.select(*keys, "_n", F.col("_ab")[0].alias("_a"), F.col("_ab")[1].alias("_b"))
     pos = (F.col("_n") - 1).cast("double") * F.lit(p)
-    ranks = n.select(*keys, pos.alias("_rk"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
-    # ranks has one row per group: AQE broadcasts it when groups are few
-    j = idx.join(ranks, list(keys), "inner")
-    j = j.where((F.col(IDX) == F.col("_lo")) | (F.col(IDX) == F.col("_hi")))
-    g = j.groupBy(*keys).agg(F.max(F.when(F.col(IDX) == F.col("_lo"), F.col("_v"))).alias("_a"),
-                             F.max(F.when(F.col(IDX) == F.col("_hi"), F.col("_v"))).alias("_b"),
-                             F.first("_rk").alias("_rk"), F.first("_lo").alias("_lo"))
-    a, b = F.col("_a"), F.col("_b")
+    sk = sk.select("*", pos.alias("_rk"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
+    # one row per group: AQE broadcasts it when the groups are few
+    j = vals.join(sk, keys, "inner")
+    counts = j.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_a")).alias("_below"),
+                                  F.count_if(F.col("_v") <= F.col("_b")).alias("_upto"))
+    chk = sk.join(counts, keys, "inner")
+    ok = (F.col("_below") <= F.col("_lo")) & (F.col("_upto") - 1 >= F.col("_hi"))
+    if chk.where(~ok).limit(1).count() == 0:
+        cand = j.where((F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b"))) \
+                .join(counts.select(*keys, "_below"), keys, "inner")
+        w = Window.partitionBy(*keys).orderBy("_v")
+        ranked = cand.withColumn(IDX, F.row_number().over(w) - 1 + F.col("_below"))
+    else:
+        ranked = positional_index(vals, keys, ["_v"]).join(sk, keys, "inner")
+    return _pick(ranked, keys, out, dummy)
+
+
+def _pick(ranked: DataFrame, keys: Sequence[str], out: str, dummy: bool) -> DataFrame:
+    """Interpolate between the order statistics at ranks _lo and _hi."""
+    ranked = ranked.where((F.col(IDX) == F.col("_lo")) | (F.col(IDX) == F.col("_hi")))
+    g = ranked.groupBy(*keys).agg(F.max(F.when(F.col(IDX) == F.col("_lo"), F.col("_v"))).alias("_x"),
+                                  F.max(F.when(F.col(IDX) == F.col("_hi"), F.col("_v"))).alias("_y"),
+                                  F.first("_rk").alias("_rk"), F.first("_lo").alias("_lo"))
+    a, b = F.col("_x"), F.col("_y")
     res = g.select(*keys, (a + (b - a) * (F.col("_rk") - F.col("_lo"))).alias(out))
     return res.drop("_all") if dummy else res
 

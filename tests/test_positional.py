@@ -48,10 +48,13 @@ def test_halo_frames_match_plain_windows(spark):
 def test_exact_percentile_matches_numpy(spark):
     import numpy as np
     df = _data(spark, 501)
-    got = {r["k"]: r["threshold"] for r in A.exact_percentile(df, "v", 0.95, ["k"]).collect()}
-    for k in "abc":
-        vals = np.array([r["v"] for r in df.where(F.col("k") == k).collect()])
-        assert abs(got[k] - np.percentile(vals, 95)) < 1e-12
+    for method in ("bracket", "sort"):
+        for p in (0.95, 0.5, 0.0, 1.0):
+            got = {r["k"]: r["threshold"]
+                   for r in A.exact_percentile(df, "v", p, ["k"], method=method).collect()}
+            for k in "abc":
+                vals = np.array([r["v"] for r in df.where(F.col("k") == k).collect()])
+                assert abs(got[k] - np.percentile(vals, 100 * p)) < 1e-12
 
 
 def test_scale_invariance(spark):
