@@ -34,6 +34,9 @@ from costlens.schema import S
 from costlens.session import materialize, share
 
 POOL_ROWS = 4096
+# a stream's forest is at most 100 trees x 511 nodes x 5 arrays (~2 MB), and
+# the stream key (provider x category) has at most 3 x 4 values
+MAX_MODEL_BYTES = 256 * 1024 * 1024
 EULER = 0.5772156649015329
 
 
@@ -147,7 +150,11 @@ def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str] = tuple
     """Anomaly score s = 2^(-E[h(x)] / c(psi)) for every row (higher = more
     isolated). The forest table is bounded by streams x trees x nodes."""
     spark = df.sparkSession
-    get_model = share(spark, _pack(forest.collect()))
+    packed = _pack(forest.collect())
+    size = sum(sum(a.nbytes for a in v[:5]) for v in packed.values())
+    if size > MAX_MODEL_BYTES:
+        raise ValueError(f"forest of {size} bytes exceeds the broadcast bound {MAX_MODEL_BYTES}")
+    get_model = share(spark, packed)
     feats = list(features)
 
     def run(batches):

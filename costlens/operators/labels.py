@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from costlens import fixed
 from costlens.functions import columns as C
 from costlens.schema import S
+from costlens.session import bounded_broadcast
+
+MAX_RANK_ROWS = 1_000_000
 
 
 def perturb_labelled(daily: DataFrame, keys: Sequence[str] = S) -> DataFrame:
@@ -35,9 +38,10 @@ def perturb_labelled(daily: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     # one-row constants joined on a literal key (both sides: one row)
     consts = (n_streams.withColumn("_k", F.lit(1))
               .join(anchors.select("_spike", sunday.alias("_ctx")).withColumn("_k", F.lit(1)), "_k"))
-    # the rank tables are bounded by the calendar and the stream count
-    d = (daily.join(F.broadcast(dates), ["date"], "inner")
-              .join(F.broadcast(streams), list(keys), "inner")
+    # the rank tables are bounded by the calendar and the stream count; they
+    # are broadcast behind a row-count check, a shuffle join beyond it
+    d = (daily.join(bounded_broadcast(dates, MAX_RANK_ROWS), ["date"], "inner")
+              .join(bounded_broadcast(streams, MAX_RANK_ROWS), list(keys), "inner")
               .withColumn("_k", F.lit(1))
               .join(F.broadcast(consts), "_k", "inner"))
     idx = F.col("_dr") * F.col("_ns") + F.col("_sr")

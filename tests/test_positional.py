@@ -65,3 +65,19 @@ def test_scale_invariance(spark):
     b = sorted(map(tuple, null_fill(spark, "/root/testdata/sf0.001").collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_hot_stream_is_split_into_bounded_window_groups(spark):
+    """One stream holds ~90 % of the rows: every window partition of the
+    bucketed frame stays within bucket_rows + halo rows."""
+    rows = [("hot" if i % 10 else "cold", i, float(i % 97)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    idx = P.positional_index(df, ["k"], ["t"])
+    b, before = 256, 7
+    bucket = F.floor(F.col("_pos") / b)
+    pos_in = F.col("_pos") - bucket * b
+    copies = idx.select("k", F.explode(F.when(pos_in >= b - before, F.array(bucket, bucket + 1))
+                                       .otherwise(F.array(bucket))).alias("_bucket"))
+    sizes = [r["n"] for r in copies.groupBy("k", "_bucket").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) <= b + before
+    assert len(sizes) >= 4500 // b
