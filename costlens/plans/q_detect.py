@@ -49,10 +49,16 @@ def broadcast_day_score(spark, sf_dir):
     return D.broadcast_day_score(sp, D.day_scores(sp))
 
 
-@query("stat_detector", Q.with_(*Q.scored_days(Q.spend(team=True)), final=Q.stat_rows()))
+@query("stat_detector", Q.with_(*Q.scored_days(), ("rows", Q.spend(team=True)),
+                               final=Q.stat_rows("rows")))
 def stat_detector(spark, sf_dir):
-    """I3 (window version): spend rows scored by the statistical tier."""
-    return D.stat_detector(spend(Tables(spark, sf_dir), team=True))
+    """I3 (window version): spend rows scored by the statistical tier.
+
+    The spend view has one row per line item (the team lookup joins are
+    key lookups), so the day scores are computed from the lean view without
+    those joins; only the scored rows carry the team."""
+    t = Tables(spark, sf_dir)
+    return D.broadcast_day_score(spend(t, team=True), D.day_scores(spend(t, team=False)))
 
 
 def flagship(spark, sf_dir):
