@@ -92,10 +92,34 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/costlens-materialized/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _register_cleanup(spark, path)
     # the schema is known: skip footer inference on the read-back
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CREATED: list[str] = []
+
+
+def _register_cleanup(spark: SparkSession, path: str) -> None:
+    """Tables written by ``materialize`` are intermediate: remove the ones
+    this process created when it exits (results returned earlier are lazy
+    plans over them, so they must live as long as the process)."""
+    if not _CREATED:
+        import atexit
+
+        def _drop() -> None:
+            try:
+                jvm = spark._jvm
+                conf = spark._jsc.hadoopConfiguration()
+                for p in _CREATED:
+                    jp = jvm.org.apache.hadoop.fs.Path(p)
+                    jp.getFileSystem(conf).delete(jp, True)
+            except Exception:
+                pass
+        atexit.register(_drop)
+    _CREATED.append(path)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Return ``broadcast(df)`` if it holds at most ``max_rows`` rows.
 
