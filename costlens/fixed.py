@@ -79,8 +79,6 @@ DEFAULT_STREAM = "AWS-COMPUTE"
 HISTORY_RANGES = [30, 90, 180]
 RCA_DAYS_BEFORE = 2
 RCA_DAYS_AFTER = 1
-LIVE_EVENT = {"cloud_provider": "AWS", "unified_category": "COMPUTE", "normalized_env": "dev",
-              "normalized_team": "ai-research", "is_anomaly": 1, "anomaly_type": "massive_spike"}
 
 # --- fixed values: incident report wording -------------------------------
 REPORT_HEADER = "=== FINOPS ROOT CAUSE ANALYSIS REPORT ==="

@@ -132,24 +132,3 @@ def dec_to_double(x: Column) -> Column:
     lo = x % F.lit(_TWO32)
     hi = ((x - lo) / F.lit(_TWO32)).cast("long")
     return hi.cast("double") * F.lit(float(_TWO32)) + lo.cast("double")
-
-
-
-def exact_mean(s: Column, n: Column) -> Column:
-    """sum / n with one double division."""
-    return s.cast("double") / n
-
-
-def exact_sample_std(n: Column, s: Column, q: Column) -> Column:
-    """Sample std from n, sum and sum of squares of integers, computed as
-    sqrt((n*q - s*s) / (n*(n-1))) with an exact integer numerator; null
-    when n < 2."""
-    num = (n.cast("decimal(38,0)") * q.cast("decimal(38,0)")
-           - s.cast("decimal(38,0)") * s.cast("decimal(38,0)"))
-    return F.when(n >= 2, F.sqrt(dec_to_double(num) / (n * (n - 1)).cast("double")))
-
-
-def exact_pop_std(n: Column, s: Column, q: Column) -> Column:
-    num = (n.cast("decimal(38,0)") * q.cast("decimal(38,0)")
-           - s.cast("decimal(38,0)") * s.cast("decimal(38,0)"))
-    return F.when(n >= 1, F.sqrt(dec_to_double(num) / (n * n).cast("double")))

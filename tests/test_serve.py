@@ -58,3 +58,14 @@ def test_rca_skip_note_and_owner(spark):
     assert "Skipping LLM evaluation" in rep[dt.date(2025, 1, 1)]["report"]
     assert rep[dt.date(2026, 3, 10)]["owner_team"] == "b"
     assert "50.000 USD" in rep[dt.date(2026, 3, 10)]["report"]
+
+
+def test_timeline_sum_option(spark):
+    d = dt.datetime
+    rows = SV.spend_range(_rows(spark, [
+        ("o", d(2026, 6, 29), "AWS", "COMPUTE", 10.0, "p", "t", 0, "none"),
+        ("o", d(2026, 6, 29), "AWS", "COMPUTE", 4.0, "p", "t", 1, "spike")]),
+        "o", "AWS", "COMPUTE", "2026-06-01", "2026-06-30")
+    fc = spark.createDataFrame([], FC_DDL)
+    tl = SV.timeline(rows, fc, "AWS", "COMPUTE", "2026-06-30", 30, agg="sum").collect()
+    assert len(tl) == 1 and tl[0]["actual"] == 14.0 and tl[0]["isAnomaly"] == 1
