@@ -53,7 +53,13 @@ def _env(linestatus: Column) -> Column:
 
 
 def _line_items(t: Tables, team: bool, tenant: bool) -> DataFrame:
-    """lineitem left-joined to the dimensions a view needs (and no more)."""
+    """lineitem left-joined to the dimensions a view needs (and no more).
+
+    Dimension chains are joined among themselves first (orders with
+    customer, supplier with nation), so the lineitem-sized side is shuffled
+    once per chain instead of once per table. The rewrite is exact: an
+    equality on the inner key rejects nulls, so
+    (L left O) left C = L left (O left C)."""
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
                            "l_extendedprice", "l_discount", "l_returnflag",
                            "l_linestatus", "l_shipdate")
@@ -62,15 +68,15 @@ def _line_items(t: Tables, team: bool, tenant: bool) -> DataFrame:
     if team:
         orders = t.orders.select("o_orderkey", "o_custkey")
         cust = t.customer.select("c_custkey", "c_mktsegment")
-        df = (df.join(orders, df.l_orderkey == orders.o_orderkey, "left")
-                .join(cust, F.col("o_custkey") == cust.c_custkey, "left"))
+        oc = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
+        df = df.join(oc, df.l_orderkey == oc.o_orderkey, "left")
     if tenant:
         supp = t.supplier.select("s_suppkey", "s_nationkey")
         nation = t.nation.select("n_nationkey", "n_regionkey")
-        # supplier -> nation is a dimension chain; AQE turns either join into
-        # a broadcast at run time when the measured side is small.
-        df = (df.join(supp, df.l_suppkey == supp.s_suppkey, "left")
-                .join(nation, F.col("s_nationkey") == nation.n_nationkey, "left"))
+        # supplier x nation is dimension-sized; AQE broadcasts it at run
+        # time when the measured side is small
+        sn = supp.join(nation, supp.s_nationkey == nation.n_nationkey, "left")
+        df = df.join(sn, df.l_suppkey == sn.s_suppkey, "left")
     return df
 
 
