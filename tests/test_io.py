@@ -57,3 +57,19 @@ def test_stream_equals_batch(spark):
     a = sorted(map(tuple, streamed.select(*cols).collect()))
     b = sorted(map(tuple, batch.select(*cols).collect()))
     assert a == b and len(a) == t.events.count()
+
+
+def test_nightly_batch_writes_tenant_tables(spark):
+    """The composed nightly job: every spend row lands once (a rerun
+    replaces, not duplicates), every stream gets 90 forecast days."""
+    from pyspark.sql import functions as F
+    from costlens.plans.nightly import run_nightly
+    out = IO.scratch_path(spark, "nightly")
+    paths = run_nightly(spark, "/root/testdata/sf0.001", out)
+    paths = run_nightly(spark, "/root/testdata/sf0.001", out)
+    cs = IO.read_tenant_table(spark, paths["cloud_spend"])
+    fc = IO.read_tenant_table(spark, paths["cloud_forecast"])
+    assert cs.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert cs.select("organization_id").distinct().count() == 1
+    g = fc.groupBy("cloud_provider", "unified_category").agg(F.countDistinct("date").alias("d")).collect()
+    assert g and all(r["d"] == 90 for r in g)
