@@ -164,3 +164,21 @@ def last_per_day(spark, sf_dir):
 def max_date(spark, sf_dir):
     """Each stream's newest day (history cut-off)."""
     return SV.max_date(T.spend(T.Tables(spark, sf_dir), team=False))
+
+
+EV = """SELECT 'org-events' AS organization_id, ts AS "timestamp", 'Azure' AS cloud_provider,
+  UPPER(event_type) AS unified_category, value AS cost, 0 AS is_anomaly, 'none' AS anomaly_type FROM events"""
+
+
+@query("spend_range_intraday", Q.with_(("ev", EV), ("params", """SELECT MAX(CAST("timestamp" AS DATE)) AS end_date
+FROM ev WHERE organization_id = 'org-events' AND cloud_provider = 'Azure' AND unified_category = 'CLICK'"""),
+    final="""SELECT "timestamp", cloud_provider, unified_category, cost, is_anomaly, anomaly_type FROM ev, params
+WHERE organization_id = 'org-events' AND cloud_provider = 'Azure' AND unified_category = 'CLICK'
+  AND "timestamp" >= CAST(end_date - 7 AS TIMESTAMP) AND "timestamp" <= CAST(end_date AS TIMESTAMP)"""))
+def spend_range_intraday(spark, sf_dir):
+    """C1 on the intraday event feed: the last 7 days of one stream, both
+    bounds at midnight, so events later on the end day are excluded (D12)."""
+    ev = T.event_spend(T.Tables(spark, sf_dir))
+    end = SV.last_stream_day(ev, "org-events", "Azure", "CLICK")
+    start = end - dt.timedelta(days=7) if end else None
+    return SV.spend_range(ev, "org-events", "Azure", "CLICK", start, end)
