@@ -163,10 +163,11 @@ def raw_azure(t: Tables) -> DataFrame:
     )
 
 
-def raw_azure_events(t: Tables) -> DataFrame:
-    """The event table as an Azure-style export: intraday timestamps and
-    free-form JSON tags (``{"k": n}``: no env, no team)."""
-    return t.events.select(
+def events_as_azure(events: DataFrame) -> DataFrame:
+    """Event rows in the Azure export layout: intraday timestamps and
+    free-form JSON tags (``{"k": n}``: no env, no team). Works on a batch or
+    a streaming frame."""
+    return events.select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("UsageDateTime"),
         F.col("event_type").alias("MeterCategory"),
         F.col("value").alias("CostInBillingCurrency"),
@@ -176,6 +177,11 @@ def raw_azure_events(t: Tables) -> DataFrame:
     )
 
 
+def raw_azure_events(t: Tables) -> DataFrame:
+    """The event table as an Azure-style export."""
+    return events_as_azure(t.events)
+
+
 def event_spend(t: Tables) -> DataFrame:
     """Intraday spend rows from the event table: one stream per event type."""
     return t.events.select(

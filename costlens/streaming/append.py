@@ -16,17 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costlens.operators import normalize as N
-
-
-def events_to_azure(df: DataFrame) -> DataFrame:
-    """Event rows in the Azure export layout (intraday timestamps, JSON tags)."""
-    return df.select(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("UsageDateTime"),
-        F.col("event_type").alias("MeterCategory"),
-        F.col("value").alias("CostInBillingCurrency"),
-        F.col("props").alias("Tags"),
-        F.lit(0).alias("is_anomaly"),
-        F.lit("none").alias("anomaly_type"))
+from costlens.sources.tables import events_as_azure
 
 
 def stream_append(spark: SparkSession, source_dir: str, schema: T.StructType, tenant: str,
@@ -34,7 +24,7 @@ def stream_append(spark: SparkSession, source_dir: str, schema: T.StructType, te
     """Run the append stream until every available file is committed."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
-    out = N.normalize_azure(events_to_azure(src)).withColumn("organization_id", F.lit(tenant))
+    out = N.normalize_azure(events_as_azure(src)).withColumn("organization_id", F.lit(tenant))
     q = (out.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).partitionBy("organization_id")
          .trigger(availableNow=True).start(sink_dir))
