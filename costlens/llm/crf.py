@@ -1,11 +1,12 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Documents carry labels, tokens don't, so labelled tokens come first: counts of
-hashed words over all training documents give each word's log-odds between
-toxic and other documents, and a word far on the toxic side marks its tokens
-in toxic documents. The field has two states; its features are the binned
-log-odds of a word and of its neighbours. It is fitted on a bounded sample of
-the training rows. Forward-backward marginals of every token of every whole
+hashed words over all training documents say how surely each word leans to
+toxic documents, and a word far on that side marks its tokens in toxic
+documents. The field has two states; its features are the binned evidence of
+a word and of its neighbours. It is fitted on a bounded sample of the training
+rows, where a document's own share is taken out of the counts, so that words
+seen nowhere else prove nothing. Forward-backward marginals of every token of every whole
 text give the offending offsets, and their sum, maximum and density the
 document's score by a logistic regression on the same sample.
 
@@ -21,15 +22,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm import counts
-from costlens.llm.kernels import byte_table, words_of
+from costlens.llm.kernels import byte_table, span_hashes, words_of
 from costlens.llm.langid import held_out, separators
-from costlens.session import share
+from costlens.session import materialize, share
 
-BITS = 18
 BINS = 12
-#: Log-odds from which a word marks a toxic document's token.
-MARK = 2.0
+#: Bytes of a stem.
+STEM = 6
+#: Toxic documents that a word of the lexicon is in, at least, and the words
+#: of the lexicon, at most: the size of the model, which tasks hold whole.
+LEAST_DOCS = 3
+LEXICON = 200_000
+#: Evidence from which a word marks a toxic document's token.
+MARK = 4.0
 #: Documents that the field is fitted on, at most; taken by a hash of the id.
 SAMPLE = 1000
 #: Words of the pieces that the sample's whole texts are cut into for the fit.
@@ -37,66 +42,110 @@ PIECE = 64
 SPAN_AT = 0.5
 
 
-def word_sets(docs: DataFrame) -> DataFrame:
-    """The distinct hashed words of each text, as 32-bit integers: smaller in
-    a shuffle than the text."""
-    def run(batches):
-        import pyarrow as pa
-        table, sep = byte_table(), separators()
-        for b in batches:
-            for i, _, o, _, _, h, w in words_of(b.column("text"), sep, table):
-                k = len(o) - 1
-                doc = np.repeat(np.arange(k, dtype=np.int64), np.diff(w))
-                once = np.unique(doc << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64))
-                cut = np.searchsorted(once, np.arange(k + 1, dtype=np.int64) << BITS)
-                bare = (once & ((1 << BITS) - 1)).astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, k),
-                     pa.array([bare[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())],
-                    names=["doc_id", "words"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).mapInArrow(run, "doc_id long, words binary")
+def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes [2, words] of each word and of its first STEM bytes, so that the
+    endings of a stem add up. Short words have one hash twice."""
+    cut = np.minimum(ends, starts + STEM)
+    stems = span_hashes(data, starts, cut, byte_table()) ^ np.uint64(STEM)
+    return np.stack([words, np.where(ends - starts > STEM, stems, words)])
 
 
-def word_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """How many toxic and other rows (toxic, words) hold each hashed word."""
-    size = 1 << BITS
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(h, bad, good): in how many toxic and other rows (toxic, text) each word
+    and stem is. Every word is counted; a batch is summed before the shuffle."""
 
     def count(batches):
-        tables = {k: np.zeros(size + counts.BLOCK, np.int64) for k in ("0", "1")}
+        import pyarrow as pa
+        table, sep = byte_table(), separators()
         for b in batches:
             toxic = np.array(b.column("toxic").to_pylist(), dtype=np.int64)
-            words = b.column("words").to_pylist()
-            for c in (0, 1):
-                mine = [w for w, y in zip(words, toxic) if y == c]
-                t = tables[str(c)]
-                t[:size] += np.bincount(np.frombuffer(b"".join(mine), "<u4"), minlength=size)
-                t[size] += len(mine)
-        yield from counts.emit(tables)
-
-    got = counts.collect_tables(counts.add_up(rows.mapInArrow(count, counts.FIELDS)), size + counts.BLOCK)
-    zero = np.zeros(size + counts.BLOCK, np.int64)
-    bad, good = got.get("1", zero), got.get("0", zero)
-    return bad[:size], good[:size], int(bad[size]), int(good[size])
-
+            seen, label = [], []
+            for i, data, o, s, e, h, w in words_of(b.column("text"), sep, table):
+                doc = np.repeat(np.arange(len(o) - 1), np.diff(w))
+                t = token_hashes(data, s, e, h).ravel()
+                d = np.tile(doc, 2)
+                order = np.lexsort((t, d))
+                t, d = t[order], d[order]
+                once = np.ones(len(t), bool)
+                once[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+                seen.append(t[once])
+                label.append(toxic[i:i + len(o) - 1][d[once]])
+            if not seen:
+                continue
+            h, at = np.unique(np.concatenate(seen), return_inverse=True)
+            y = np.concatenate(label)
+            bad = np.bincount(at, y, len(h)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.astype(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(h)) - bad)],
+                names=["h", "bad", "good"])
+
+    return rows.mapInArrow(count, "h long, bad long, good long").groupBy("h").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
-def log_odds(bad, good, n_bad, n_good) -> np.ndarray:
-    """Shrunk by two documents on either side, so rare words stay near zero."""
-    if not n_bad or not n_good:
-        return np.zeros(len(bad), np.float32)
-    base = (bad + good) / (n_bad + n_good)
-    return np.log(((bad + 4 * base + 0.01) / (n_bad + 4)) / ((good + 4 * base + 0.01) / (n_good + 4))).astype(np.float32)
 
-
-def bins_of(odds: np.ndarray) -> np.ndarray:
-    """Fixed steps of 0.5 from -1.5 to 4 and beyond."""
-    return np.clip(np.floor(odds / 0.5) + 3, 0, BINS - 1).astype(np.int64)
+@dataclass
+class Lexicon:
+    """Words that lean to toxic documents, sorted by hash, with their counts."""
+    h: np.ndarray
+    bad: np.ndarray
+    good: np.ndarray
+    n_bad: int
+    n_good: int
+
+    def bins(self, tokens: np.ndarray, y: int | None = None) -> np.ndarray:
+        """Bin of each token: the stronger of word and stem. With ``y`` the
+        token's own document, of that label, is taken out of the counts."""
+        if not len(self.h):
+            return np.zeros(tokens.shape[1], np.int64)
+        at = np.minimum(np.searchsorted(self.h, tokens), len(self.h) - 1)
+        known = self.h[at] == tokens
+        out = np.zeros(tokens.shape, np.int64)
+        k = at[known]
+        if y is None:
+            out[known] = self.all[k]
+        else:
+            out[known] = bins_of(evidence(self.bad[k] - y, self.good[k] - (1 - y), self.n_bad - y, self.n_good - (1 - y)))
+        return out.max(0)
+
+    def __post_init__(self):
+        self.all = bins_of(evidence(self.bad, self.good, self.n_bad, self.n_good))
+
+
+def lexicon(labelled: DataFrame) -> Lexicon:
+    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = n.get(1, 0), n.get(0, 0)
+    top = (word_counts(labelled).where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") * good > F.col("good") * bad))
+           .orderBy(F.desc(F.col("bad") / (F.col("good") + 1)), "h").limit(LEXICON).collect())
+    top.sort(key=lambda r: np.uint64(r["h"] % (1 << 64)))
+    return Lexicon(np.array([r["h"] % (1 << 64) for r in top], np.uint64), np.array([r["bad"] for r in top], np.int64),
+                   np.array([r["good"] for r in top], np.int64), bad, good)
+
+
+def evidence(bad, good, n_bad, n_good) -> np.ndarray:
+    """How surely a word leans to toxic documents: the root of the likelihood
+    ratio statistic of word and label. Words whose odds are not at least twice
+    as high there, at the lower end of the confidence interval, have none."""
+    bad, good = np.maximum(bad, 0).astype(np.float64), np.maximum(good, 0).astype(np.float64)
+    if n_bad <= 0 or n_good <= 0:
+        return np.zeros(len(bad))
+    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    clear = odds - 1.64 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)) >= np.log(2)
+    share = (bad + good) / (n_bad + n_good)
+    total = np.zeros(len(bad))
+    for seen, n, p in ((bad, n_bad, share), (n_bad - bad, n_bad, 1 - share),
+                       (good, n_good, share), (n_good - good, n_good, 1 - share)):
+        total += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(n * p, 1e-9)), 0)
+    return np.where(clear, np.sqrt(np.maximum(2 * total, 0)), 0)
+
+
+def bins_of(lean: np.ndarray) -> np.ndarray:
+    """No evidence (below 2) is bin 0; then steps of 1, up to 12 and beyond."""
+    return np.clip(np.floor(lean) - 1, 0, BINS - 1).astype(np.int64)
 
 
 @dataclass
 class Field:
-    bins: np.ndarray        # [2**BITS] uint8
+    words: Lexicon
     own: np.ndarray         # [BINS] weight of state 1 by the word's bin
     side: np.ndarray        # [2, BINS] by the word before and after
     move: np.ndarray        # [2, 2] transitions
@@ -111,10 +160,10 @@ def neighbours(b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before, after = np.empty_like(b), np.empty_like(b)
     before[1:], after[:-1] = b[:-1], b[1:]
     inside = np.unique(first[(first >= 0) & (first < len(b))])
-    before[inside] = 3
+    before[inside] = 0
     if len(b):
-        after[inside[inside > 0] - 1] = 3
-        after[-1] = 3
+        after[inside[inside > 0] - 1] = 0
+        after[-1] = 0
     return before, after
 
 
@@ -200,23 +249,28 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 400):
     return mean, scale, w
 
 
-def _sample(docs: DataFrame, marks: DataFrame, bins: np.ndarray) -> DataFrame:
+#: Labelled ids up to which their table may be broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def _sample(docs: DataFrame, marks: DataFrame, words: Lexicon) -> DataFrame:
     """Binned words of at most SAMPLE rows, half of either label where there
     are as many; the choice is a hash of the id."""
-    get = share(docs.sparkSession, bins)
+    get = share(docs.sparkSession, words)
     halves = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE // 2)
               for c in (0, 1)]
 
     def run(batches):
         import pyarrow as pa
-        bins, table, sep = get(), byte_table(), separators()
+        words, table, sep = get(), byte_table(), separators()
         for b in batches:
-            for i, _, o, _, _, h, w in words_of(b.column("text"), sep, table):
-                x = bins[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+            toxic = b.column("toxic").to_pylist()
+            for i, data, o, s, e, h, w in words_of(b.column("text"), sep, table):
+                t = token_hashes(data, s, e, h)
                 k = len(o) - 1
+                bins = [words.bins(t[:, w[d]:w[d + 1]], toxic[i + d]).astype(np.uint8).tobytes() for d in range(k)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("toxic").slice(i, k),
-                     pa.array([x[w[d]:w[d + 1]].tobytes() for d in range(k)], pa.binary())], names=["toxic", "bins"])
+                    [b.column("toxic").slice(i, k), pa.array(bins, pa.binary())], names=["toxic", "bins"])
 
     keys = F.broadcast(halves[0].unionByName(halves[1]))      # at most SAMPLE rows
     return docs.join(keys, "doc_id").select("toxic", F.col("text").cast("string").alias("text")).mapInArrow(
@@ -225,13 +279,15 @@ def _sample(docs: DataFrame, marks: DataFrame, bins: np.ndarray) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Word counts from all labelled rows; field and regression on a sample."""
-    marks = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    odds = log_odds(*word_counts(word_sets(docs).join(marks, "doc_id").select("toxic", "words")))
-    bins = bins_of(odds).astype(np.uint8)
-    own = np.linspace(-3, 3, BINS)
-    f = Field(bins, own, np.zeros((2, BINS)), np.array([[0.5, -0.5], [0.0, 0.0]]), np.array([0.0, -1.0]),
-              np.zeros(3), np.ones(3), np.zeros(4))
-    got = _sample(docs, marks, bins).collect()
+    marks = materialize(labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+                        .select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct(), "labels")
+    few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
+        F.broadcast(marks) if few else marks, "doc_id").select("toxic", "text")
+    words = lexicon(labelled)
+    f = Field(words, np.linspace(-3, 3, BINS), np.zeros((2, BINS)), np.array([[0.5, -0.5], [0.0, 0.0]]),
+              np.array([0.0, -1.0]), np.zeros(3), np.ones(3), np.zeros(4))
+    got = _sample(docs, marks, words).collect()
     if not got:
         return f
     got.sort(key=lambda r: (r["toxic"], bytes(r["bins"])))
@@ -244,6 +300,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
         fit_field(f, b, marked.astype(np.int64), first)
     p, _, _ = forward_backward(emissions(f, b, first), first, f.move, f.begin)
     f.mean, f.scale, f.weights = fit_logistic(document_features(p, first), y.astype(float))
+    # the sample holds the labels in other shares than the training rows
+    n, k = len(y), int(y.sum())
+    if 0 < k < n:
+        f.weights[-1] += np.log(f.words.n_bad / f.words.n_good) - np.log(k / (n - k))
     return f
 
 
@@ -260,9 +320,9 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
         f, table, sep = get(), byte_table(), separators()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            for i, _, o, s, e, h, w in words_of(b.column("text"), sep, table):
+            for i, data, o, s, e, h, w in words_of(b.column("text"), sep, table):
                 k = len(o) - 1
-                x = f.bins[(h >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.int64)
+                x = f.words.bins(token_hashes(data, s, e, h))
                 p, _, _ = forward_backward(emissions(f, x, w), w, f.move, f.begin)
                 a = (document_features(p, w) - f.mean) / f.scale
                 z = np.c_[a, np.ones(k)] @ f.weights

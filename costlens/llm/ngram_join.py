@@ -36,7 +36,7 @@ MOST_SHARED = 4
 #: What verifying a candidate costs against indexing a token.
 VERIFY_COST = 4.0
 #: Pairs per posting from which another pivot comes before single pairs.
-PAIRS_PER_POSTING = 2
+PAIRS_PER_POSTING = 64
 #: Document ids up to which their list may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -109,7 +109,7 @@ class Order:
         return values[order], best + 1, int(sizes[best])
 
 
-SET = "doc_id long, n long, cls long, prefix array<long>"
+SET = "doc_id long, n long, cls long, l int, prefix array<long>"
 
 
 def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -123,20 +123,21 @@ def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFra
             ids = b.column("doc_id")
             for i, values, at in gram_sets(b.column("text"), n):
                 k = len(at) - 1
-                cls, prefix = np.zeros(k, np.int64), []
+                cls, asked, prefix = np.zeros(k, np.int64), np.ones(k, np.int32), []
                 for d in range(k):
                     v = values[at[d]:at[d + 1]]
                     if not len(v):
                         prefix.append(np.zeros(0, np.int64))
                         continue
                     cls[d] = set_hash(v)
-                    g, _, p = order.arrange(v)
+                    g, asked[d], p = order.arrange(v)
                     prefix.append(g[:p].astype(np.int64))
                 off = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, k), pa.array(np.diff(at).astype(np.int64)), pa.array(cls),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["doc_id", "n", "cls", "prefix"])
+                    [ids.slice(i, k), pa.array(np.diff(at).astype(np.int64)), pa.array(cls), pa.array(asked),
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
+                    names=["doc_id", "n", "cls", "l", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SET)
 
@@ -193,6 +194,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def may_link(n: str, pos: str, n2: str, pos2: str, percent: int):
+    """Whether two sets that share the grams at these places of their orders
+    can overlap enough: at most the lesser of what comes before, and of the rest."""
+    return F.expr(f"(100 + {percent}) * (least({pos}, {pos2}) + least({n} - {pos}, {n2} - {pos2})) "
+                  f">= {percent} * ({n} + {n2})")
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``; rows that
     repeat an id are documents of their own with that id."""
@@ -200,44 +208,52 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     table = gram_counts(docs, n)
     base = materialize(indexed(docs, table, n, percent), "gram-sets")
     full = base.where("n > 0")
-    postings = full.select("cls", F.explode("prefix").alias("token"))
+    postings = full.select("cls", "n", "l", F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
     shared = materialize(
-        postings.select("token", "cls", F.min("cls").over(by_token).alias("pivot"), F.max("cls").over(by_token).alias("most"))
-        .where("pivot < most").select("token", "cls", "pivot").distinct(), "shared")
+        postings.withColumn("first", F.min(F.struct("cls", "n", "pos")).over(by_token))
+        .withColumn("most", F.max("cls").over(by_token)).where("first.cls < most").drop("most").distinct(), "shared")
     wanted = full.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sets = materialize(class_sets(docs, materialize(wanted, "wanted"), table, n, percent)
                        .dropDuplicates(["cls"]), "class-sets")
-    links = materialize(verify(shared.where("cls != pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-                               .distinct(), sets, percent), "links")
+    met = shared.where((F.col("cls") != F.col("first.cls")) & may_link("n", "pos", "first.n", "first.pos", percent))
+    links = materialize(verify(met.select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct(),
+                               sets, percent), "links")
     comp = components(links)
     # a token's pivot has met all its classes and leaves it
-    rest = shared.where("cls != pivot").select("token", "cls")
+    rest = shared.where("cls != first.cls").drop("first")
     while True:
-        own = rest.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select(
-            "token", "cls", F.coalesce("comp", "cls").alias("comp"))
-        parts = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("low"))
+        own = rest.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        parts = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("cls", "n", "pos")).alias("low"))
         tokens = parts.groupBy("token").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.min("low").alias("pivot"),
-            F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
-        live = materialize(own.join(tokens, "token"), "live")
-        row = live.select("token", "k", "kk").distinct().agg(
-            F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"),
+            F.min(F.struct("low.cls", "low.n", "low.pos", "comp")).alias("first"),
+            F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1").drop("n_parts")
+        tokens = materialize(tokens, "live-tokens")
+        row = tokens.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
         if not row["rows"]:
             break
+        live = materialize(own.join(tokens.drop("k", "kk"), "token"), "live")
         last = row["pairs"] <= PAIRS_PER_POSTING * row["rows"]
         if last:
-            x, y = live.select("token", "cls", "comp"), live.select("token", F.col("cls").alias("o"), F.col("comp").alias("oc"))
-            pairs = x.join(y, "token").where("cls < o AND comp != oc").select(F.col("cls").alias("a"), F.col("o").alias("b"))
+            x = live.select("token", "cls", "n", "l", "pos", "comp")
+            y = x.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "l", "pos", "comp")])
+            # a pair that no pivot has met shares live tokens only, so counting
+            # them is the multi-match test
+            pairs = (x.join(y, "token").where((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")))
+                     .where(may_link("n", "pos", "n2", "pos2", percent))
+                     .groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+                     .agg(F.count(F.lit(1)).alias("c"), F.max(F.least("l", "l2")).alias("asked"))
+                     .where("c >= asked").select("a", "b"))
         else:
-            low = live.where("cls = pivot").select("token", F.col("comp").alias("pc"))
-            pairs = live.join(low, "token").where("comp != pc").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-        found = materialize(verify(pairs.distinct(), sets, percent), "links")
+            pairs = live.where((F.col("comp") != F.col("first.comp")) & may_link("n", "pos", "first.n", "first.pos", percent)
+                               ).select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct()
+        found = materialize(verify(pairs, sets, percent), "links")
         links = links.unionByName(found)
         comp = components(links)
         if last:
             break
-        rest = live.where("cls != pivot").select("token", "cls")
+        rest = live.where("cls != first.cls").select(*rest.columns)
     grouped = full.select("doc_id", "n", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select(
         "doc_id", "n", F.coalesce("comp", "cls").alias("comp"))
     least = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
