@@ -39,9 +39,10 @@ LENGTH = 200
 GRAM = 32
 BLOCK_BYTES = 2 << 20
 MOST = 20_000
-#: Rows of segments to read, or of documents to cut, up to which the list may
-#: be broadcast; beyond it the texts are shuffled to it.
-BROADCAST_ROWS = 300_000
+#: Rows of segments to read, and bytes of the merged spans, up to which the
+#: list may be broadcast; beyond it the texts are shuffled to it.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 SEGMENT = "anchor long, seg long, key long, start int, n int"
 
@@ -330,24 +331,37 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     marks = cand.join(whole.unionByName(single), ["anchor", "seg"]).select(
         "key", F.explode(F.transform("ranges", lambda r: F.struct(
             (F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"]).alias("hi")))).alias("r"))
-    return marks.groupBy("key").agg(F.array_sort(F.collect_set("r")).alias("spans"))     # bounded by the text
+    listed = marks.groupBy("key").agg(F.collect_set("r").alias("spans"))     # bounded by the text
+    return listed.mapInArrow(_merged, "key long, spans binary")
 
 
-def merge(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s in sorted((x["lo"], x["hi"]) for x in spans or ()):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(list(s))
-    return [(a, b) for a, b in out]
+def merge(spans: np.ndarray) -> np.ndarray:
+    """Ranges [n, 2] as disjoint ones in order."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    far = np.maximum.accumulate(spans[:, 1])
+    cut = np.flatnonzero(np.r_[True, spans[1:, 0] > far[:-1]])
+    return np.stack([spans[cut, 0], far[np.r_[cut[1:], len(spans)] - 1]], 1)
+
+
+def _merged(batches):
+    import pyarrow as pa
+    for b in batches:
+        out = []
+        for spans in b.column("spans"):
+            v = spans.values
+            out.append(merge(np.stack([v.field("lo").to_numpy(), v.field("hi").to_numpy()], 1)).astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.binary())], names=["key", "spans"])
+
+
+def unpack(spans: bytes | None) -> list[list[int]]:
+    return np.frombuffer(spans or b"", "<i4").reshape(-1, 2).tolist()
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     keyed = with_key(docs)
     spans = materialize(repeated_spans(keyed).withColumnRenamed("key", "__key"), "spans")
-    few = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(spans) if few else spans, "__key", "left")
+    size = spans.agg(F.sum(F.octet_length("spans") + 64)).first()[0] or 0
+    return keyed.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "__key", "left")
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>"
@@ -365,7 +379,7 @@ def removal_digest(docs: DataFrame) -> DataFrame:
             raw, off = string_buffers(b.column("text"))
             sizes, gone, digests, cuts = [], [], [], []
             for o, e, spans in zip(off, off[1:], b.column("spans").to_pylist()):
-                m = merge(spans)
+                m = unpack(spans)
                 text = raw[o:e].tobytes()
                 h, at = hashlib.sha256(), 0
                 for x, y in m:
@@ -400,7 +414,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for i, s in enumerate(spans):
                 if s:
                     raw, at, out = texts[i].encode(), 0, []
-                    for x, y in merge(s):
+                    for x, y in unpack(s):
                         out.append(raw[at:x].decode(errors="ignore"))
                         at = y
                     out.append(raw[at:].decode(errors="ignore"))
