@@ -213,12 +213,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     shared = materialize(
         postings.withColumn("first", F.min(F.struct("cls", "n", "pos")).over(by_token))
         .withColumn("most", F.max("cls").over(by_token)).where("first.cls < most").drop("most").distinct(), "shared")
-    wanted = full.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(class_sets(docs, materialize(wanted, "wanted"), table, n, percent)
-                       .dropDuplicates(["cls"]), "class-sets")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only the sets of documents in pairs are built."""
+        pairs = materialize(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        wanted = full.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        sets = class_sets(docs, materialize(wanted, "wanted"), table, n, percent).dropDuplicates(["cls"])
+        return materialize(verify(pairs, sets, percent), "links")
+
     met = shared.where((F.col("cls") != F.col("first.cls")) & may_link("n", "pos", "first.n", "first.pos", percent))
-    links = materialize(verify(met.select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct(),
-                               sets, percent), "links")
+    links = linked(met.select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct())
     comp = components(links)
     # a token's pivot has met all its classes and leaves it
     rest = shared.where("cls != first.cls").drop("first")
@@ -248,8 +252,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         else:
             pairs = live.where((F.col("comp") != F.col("first.comp")) & may_link("n", "pos", "first.n", "first.pos", percent)
                                ).select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct()
-        found = materialize(verify(pairs, sets, percent), "links")
-        links = links.unionByName(found)
+        links = links.unionByName(linked(pairs))
         comp = components(links)
         if last:
             break
