@@ -69,5 +69,7 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     from pyspark.errors import AnalysisException
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
