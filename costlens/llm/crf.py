@@ -122,20 +122,17 @@ def lexicon(labelled: DataFrame) -> Lexicon:
 
 
 def evidence(bad, good, n_bad, n_good) -> np.ndarray:
-    """How surely a word leans to toxic documents: the root of the likelihood
-    ratio statistic of word and label. Words whose odds are not at least twice
-    as high there, at the lower end of the confidence interval, have none."""
+    """How surely a word leans to toxic documents (above zero) or to others:
+    the signed root of the likelihood ratio statistic of word and label."""
     bad, good = np.maximum(bad, 0).astype(np.float64), np.maximum(good, 0).astype(np.float64)
     if n_bad <= 0 or n_good <= 0:
         return np.zeros(len(bad))
-    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-    clear = odds - 1.64 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)) >= np.log(2)
     share = (bad + good) / (n_bad + n_good)
     total = np.zeros(len(bad))
     for seen, n, p in ((bad, n_bad, share), (n_bad - bad, n_bad, 1 - share),
                        (good, n_good, share), (n_good - good, n_good, 1 - share)):
         total += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(n * p, 1e-9)), 0)
-    return np.where(clear, np.sqrt(np.maximum(2 * total, 0)), 0)
+    return np.sign(bad / n_bad - good / n_good) * np.sqrt(np.maximum(2 * total, 0))
 
 
 def bins_of(lean: np.ndarray) -> np.ndarray:
