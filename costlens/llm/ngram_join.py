@@ -16,6 +16,10 @@ different components go on, with the next pivot, or, once that is little,
 pair by pair. So a group of thousands of near copies costs a few pairs each,
 and no link between different components is left out.
 
+A pair is verified in two steps: parity signatures of the sets bound from below
+how many grams only one of them holds, which sends off most pairs that share a
+few tokens only; sets are built and compared for the rest.
+
 Texts without words have an empty set and link with nothing; fewer words than
 n are one gram. Sets and classes are told apart by 64-bit hashes.
 """
@@ -109,7 +113,28 @@ class Order:
         return values[order], best + 1, int(sizes[best])
 
 
-SET = "doc_id long, n long, cls long, l int, prefix array<long>"
+def signature(v: np.ndarray) -> bytes:
+    """One bit per bucket of hashes: whether the set has an odd number there.
+    Bits in which two signatures differ are at most the grams in one set only."""
+    bits = 64
+    while bits < 2 * len(v):
+        bits *= 2
+    odd = np.bincount((v & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound on the grams that only one of two sets holds; a longer
+    signature folds into a shorter."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+SET = "doc_id long, n long, cls long, l int, prefix array<long>, sig binary"
 
 
 def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -123,9 +148,10 @@ def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFra
             ids = b.column("doc_id")
             for i, values, at in gram_sets(b.column("text"), n):
                 k = len(at) - 1
-                cls, asked, prefix = np.zeros(k, np.int64), np.ones(k, np.int32), []
+                cls, asked, prefix, sig = np.zeros(k, np.int64), np.ones(k, np.int32), [], []
                 for d in range(k):
                     v = values[at[d]:at[d + 1]]
+                    sig.append(signature(v))
                     if not len(v):
                         prefix.append(np.zeros(0, np.int64))
                         continue
@@ -136,8 +162,8 @@ def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFra
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, k), pa.array(np.diff(at).astype(np.int64)), pa.array(cls), pa.array(asked),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                    names=["doc_id", "n", "cls", "l", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sig, pa.binary())],
+                    names=["doc_id", "n", "cls", "l", "prefix", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SET)
 
@@ -167,6 +193,23 @@ def class_sets(docs: DataFrame, wanted: DataFrame, table: np.ndarray, n: int, pe
     return picked.mapInArrow(run, "cls long, l int, p int, grams binary")
 
 
+def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their signatures leave possible: linked sets differ
+    in at most (100 - t) / (100 + t) of the sum of their sizes."""
+    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            na, nb, sa, sb = (b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))
+            keep = [(100 + percent) * least_difference(s, t) <= (100 - percent) * (n + m)
+                    for n, m, s, t in zip(na, nb, sa, sb)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: first enough shared prefix tokens, then the
     whole sets."""
@@ -208,16 +251,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     table = gram_counts(docs, n)
     base = materialize(indexed(docs, table, n, percent), "gram-sets")
     full = base.where("n > 0")
+    # one row per class of equal sets, with the copies added up before the shuffle
+    classes = materialize(full.groupBy("cls").agg(
+        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
     postings = full.select("cls", "n", "l", F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
     shared = materialize(
         postings.withColumn("first", F.min(F.struct("cls", "n", "pos")).over(by_token))
         .withColumn("most", F.max("cls").over(by_token)).where("first.cls < most").drop("most").distinct(), "shared")
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that link; only the sets of documents in pairs are built."""
-        pairs = materialize(pairs, "pairs")
+        """The pairs that link; only the sets of documents in pairs that their
+        signatures leave are built."""
+        pairs = materialize(near(pairs, classes, percent), "pairs")
         ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        wanted = full.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        wanted = classes.join(ids, "cls", "left_semi").select("cls", "doc_id")
         sets = class_sets(docs, materialize(wanted, "wanted"), table, n, percent).dropDuplicates(["cls"])
         return materialize(verify(pairs, sets, percent), "links")
 

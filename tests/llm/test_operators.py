@@ -73,6 +73,15 @@ def test_first_of_each_keeps_one(docs_of):
     assert sorted(r["doc_id"] for r in kept) == [4, 7, 8]
 
 
+def test_signatures_bound_the_difference():
+    r = np.random.default_rng(6)
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (40, 37, 30), (500, 700, 450), (3000, 20, 20), (9000, 8800, 0)):
+        pool = r.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        a, b = pool[:n], np.concatenate((pool[:both], pool[n:n + m - both]))
+        least = ngram_join.least_difference(ngram_join.signature(a), ngram_join.signature(b))
+        assert least <= n + m - 2 * both and (least > 0) == (n + m > 2 * both)
+
+
 def test_components_of_a_long_chain(llm_spark):
     links = llm_spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, components.components(links).collect()))
