@@ -27,7 +27,7 @@ n are one gram. Sets and classes are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.llm import counts
@@ -255,10 +255,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     classes = materialize(full.groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
     postings = full.select("cls", "n", "l", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    shared = materialize(
-        postings.withColumn("first", F.min(F.struct("cls", "n", "pos")).over(by_token))
-        .withColumn("most", F.max("cls").over(by_token)).where("first.cls < most").drop("most").distinct(), "shared")
+    # tokens of one class only go; a join, as it splits the rows of a hot token
+    ends = postings.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("most")).where("pivot < most")
+    held = materialize(postings.join(ends.drop("most"), "token").distinct(), "held")
+    firsts = held.where("cls = pivot").select("token", F.struct("cls", "n", "pos").alias("first"))
+    shared = materialize(held.drop("pivot").join(firsts, "token"), "shared")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that link; only the sets of documents in pairs that their
         signatures leave are built."""
