@@ -1,8 +1,9 @@
 """Scalar column functions (all JVM-side, all inside whole-stage codegen).
 
-Money is carried as integer cents wherever values are summed so that a sum
-does not depend on the order rows arrive in (partitioning, retries), and
-every derived double comes from a single division or square root.
+Money is summed as a decimal or as integer units of 1e-8, never coarser than
+a billed rate, so that a sum does not depend on the order rows arrive in
+(partitioning, retries); whole cents come after summing. Every derived double
+comes from a single division or square root.
 """
 
 from __future__ import annotations
@@ -94,6 +95,25 @@ def cents(c: str | Column) -> Column:
     return F.round(col_(c) * 100).cast("long")
 
 
+def exact(c: str | Column) -> Column:
+    """Money as a decimal fine enough for any billed rate."""
+    return col_(c).cast("decimal(28,10)")
+
+
+def sum_cents(c: str | Column) -> Column:
+    """Whole cents of an exact sum, rounded once, after summing."""
+    return (F.round(F.sum(exact(c)), 2) * 100).cast("long")
+
+
+#: Units of one dollar in integer moments.
+UNITS = 100_000_000
+
+
+def units(c: str | Column) -> Column:
+    """Money in integer units of 1e-8, for exact moments."""
+    return F.round(col_(c) * UNITS).cast("long")
+
+
 def from_cents(c: str | Column) -> Column:
     return col_(c).cast("double") / 100
 

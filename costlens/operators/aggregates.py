@@ -1,6 +1,6 @@
 """Aggregations (E1-E14). All are partial + final aggregates in Spark
-(map-side combine before the shuffle); sums of money run on integer
-cents so they are independent of row order."""
+(map-side combine before the shuffle); sums of money run on decimals
+so they are independent of row order."""
 
 from __future__ import annotations
 
@@ -18,17 +18,17 @@ from costlens.session import materialize
 def daily_cost(spend: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     """Cost per stream and day."""
     return (spend.groupBy(*keys, C.to_day("timestamp").alias("date"))
-                 .agg(F.sum(C.cents("cost")).alias("cost_cents"),
-                      F.count(F.lit(1)).alias("n_rows"))
-                 .withColumn("cost", C.from_cents("cost_cents")))
+                 .agg(C.sum_cents("cost").alias("cost_cents"),
+                      F.count(F.lit(1)).alias("n_rows"),
+                      F.sum(C.exact("cost")).cast("double").alias("cost")))
 
 
 def daily_cost_flag(spend: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     """Cost and any-label flag per stream and day."""
     return (spend.groupBy(*keys, C.to_day("timestamp").alias("date"))
-                 .agg(F.sum(C.cents("cost")).alias("cost_cents"),
-                      F.max("is_anomaly").cast("int").alias("had_anomaly"))
-                 .withColumn("cost", C.from_cents("cost_cents")))
+                 .agg(C.sum_cents("cost").alias("cost_cents"),
+                      F.max("is_anomaly").cast("int").alias("had_anomaly"),
+                      F.sum(C.exact("cost")).cast("double").alias("cost")))
 
 
 def confusion(df: DataFrame, flag: str, label: str = "is_anomaly",

@@ -63,10 +63,14 @@ def positional_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     # seg is bounded by the partition count, not by the data: broadcast it
-    out = tagged.join(F.broadcast(seg.select(_PID, *keys, "_off", "_first")),
-                      [_PID, *keys], "inner")
+    # a null key is a stream of its own
+    seg = seg.select(F.col(_PID).alias("_of"), *[F.col(k).alias(f"_of_{k}") for k in keys], "_off", "_first")
+    on = F.col(_PID) == F.col("_of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    out = tagged.join(F.broadcast(seg), on, "inner")
     return (out.withColumn(idx, F.col("_off") + F.col(_LOCAL) - F.col("_first"))
-               .drop(_PID, _LOCAL, "_off", "_first"))
+               .drop(_PID, _LOCAL, "_off", "_first", "_of", *[f"_of_{k}" for k in keys]))
 
 
 def framed(df: DataFrame, keys: Sequence[str], build: Callable[[Window], list[Column]],

@@ -62,10 +62,10 @@ def owner_jump(ctx: DataFrame, keys: Sequence[str] = TENANT_STREAM) -> DataFrame
     mean of the two days before it; the jump is kept in half-cents so it is
     exact (jump = event - before / 2)."""
     day = C.to_day("timestamp")
-    c = C.cents("cost")
+    c = F.col("cost")
     g = ctx.groupBy(*keys, "date", "type", "normalized_team", "normalized_env").agg(
-        F.sum(F.when(day == F.col("date"), c).otherwise(0)).alias("event_cents"),
-        F.sum(F.when(day < F.col("date"), c).otherwise(0)).alias("before_cents"))
+        C.sum_cents(F.when(day == F.col("date"), c).otherwise(0)).alias("event_cents"),
+        C.sum_cents(F.when(day < F.col("date"), c).otherwise(0)).alias("before_cents"))
     j2 = 2 * F.col("event_cents") - F.col("before_cents")
     return g.select("*", j2.alias("jump_half_cents"), (j2.cast("double") / 200).alias("jump"),
                     (F.abs(j2).cast("double") / 200).alias("abs_jump"))

@@ -17,7 +17,12 @@ def minmax_scale(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S
                  suffix: str = "_scaled") -> DataFrame:
     """(x - min) / (max - min) per stream; a constant feature scales to 0."""
     st = A.minmax_stats(df, features, keys)
-    j = df.join(st, list(keys), "inner")
+    # a null key is a stream of its own
+    on = F.lit(True)
+    for k in keys:
+        st = st.withColumnRenamed(k, f"_of_{k}")
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    j = df.join(st, on, "inner")
     cols = []
     for f in features:
         lo, hi = F.col(f"{f}_min"), F.col(f"{f}_max")

@@ -81,14 +81,14 @@ def history_window(cloud_spend: DataFrame, tenant: str, provider: str, category:
     for r in ranges:
         inside = ts >= _midnight(dt.date.fromisoformat(str(end)) - dt.timedelta(days=r))
         aggs += [F.count_if(inside).alias(f"n_{r}"),
-                 F.coalesce(F.sum(F.when(inside, C.cents("cost"))), F.lit(0)).alias(f"c_{r}")]
+                 F.coalesce(F.sum(F.when(inside, C.exact("cost"))), F.lit(0)).cast("double").alias(f"c_{r}")]
     g = base.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("history_days"), F.col(f"n_{r}").alias("n_rows"),
-                                        F.col(f"c_{r}").alias("cents")) for r in ranges]))
+                                        F.col(f"c_{r}").alias("cost")) for r in ranges]))
     e = g.select(rows.alias("_r")).select("_r.*")
     end_c = F.lit(str(end)).cast("date")
     return e.select("history_days", F.date_sub(end_c, F.col("history_days")).alias("start_date"),
-                    end_c.alias("end_date"), "n_rows", (F.col("cents") / 100).alias("cost"))
+                    end_c.alias("end_date"), "n_rows", "cost")
 
 
 def last_per_day(rows: DataFrame, keys: Sequence[str] = (),
@@ -109,7 +109,7 @@ def timeline(actual_rows: DataFrame, forecast_rows: DataFrame, provider: str, ca
         act = last_per_day(actual_rows)
     else:
         act = (actual_rows.groupBy(C.to_day("timestamp").alias("date"))
-               .agg((F.sum(C.cents("cost")) / 100).alias("cost"), F.max("is_anomaly").alias("is_anomaly"),
+               .agg(F.sum(C.exact("cost")).cast("double").alias("cost"), F.max("is_anomaly").alias("is_anomaly"),
                     F.max_by("anomaly_type", "timestamp").alias("anomaly_type")))
     cut = act.agg(F.coalesce(F.max("date"), F.lit(str(end)).cast("date")).alias("_cutoff")) \
              .withColumn("_k", F.lit(1))

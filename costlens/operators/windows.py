@@ -48,14 +48,14 @@ def rolling_features(spend: DataFrame, keys: Sequence[str] = S,
 
     def build(w: Window) -> list[Column]:
         fr = w.rowsBetween(-k, -1)
-        n, s, q = _moments(C.cents("cost"), fr)
+        n, s, q = _moments(C.units("cost"), fr)
         return [n.alias("_n"), s.alias("_s"), q.alias("_q")]
 
     out = framed(idx, keys, build, before=k, bucket_rows=bucket_rows)
     n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    mean = F.when(n > 0, s.cast("double") / (n * 100))
+    mean = F.when(n > 0, s.cast("double") / (n * C.UNITS))
     var_num = (n.cast("decimal(38,0)") * q - s.cast("decimal(38,0)") * s.cast("decimal(38,0)"))
-    std = F.when(n >= 2, F.sqrt(C.dec_to_double(var_num) / (n * (n - 1) * 10000)))
+    std = F.when(n >= 2, F.sqrt(C.dec_to_double(var_num) / (n * (n - 1) * C.UNITS * C.UNITS)))
     out = out.select(
         *[c for c in out.columns if c not in ("_n", "_s", "_q")],
         C.day_of_week("timestamp").alias("day_of_week"),

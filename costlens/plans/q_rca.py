@@ -29,8 +29,8 @@ FROM inc i JOIN cs c ON {ON} AND c."timestamp" >= CAST(i.date - 2 AS TIMESTAMP)
   CAST(2 * event_cents - before_cents AS DOUBLE) / 200 AS jump,
   CAST(ABS(2 * event_cents - before_cents) AS DOUBLE) / 200 AS abs_jump
 FROM (SELECT {K}, date, type, normalized_team, normalized_env,
-        CAST(SUM(CASE WHEN CAST("timestamp" AS DATE) = date THEN {Q.cents('cost')} ELSE 0 END) AS BIGINT) AS event_cents,
-        CAST(SUM(CASE WHEN CAST("timestamp" AS DATE) < date THEN {Q.cents('cost')} ELSE 0 END) AS BIGINT) AS before_cents
+        {Q.sum_cents('CASE WHEN CAST("timestamp" AS DATE) = date THEN cost ELSE 0 END')} AS event_cents,
+        {Q.sum_cents('CASE WHEN CAST("timestamp" AS DATE) < date THEN cost ELSE 0 END')} AS before_cents
       FROM ctx GROUP BY ALL)"""),
        ("top", f"""SELECT * EXCLUDE (_rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, date
   ORDER BY jump_half_cents DESC, normalized_team, normalized_env) AS _rn FROM jumps) WHERE _rn = 1""")]

@@ -113,7 +113,7 @@ def stamp_tenant(spark, sf_dir):
 
 
 @query("history_window", Q.with_(*CS, final=f"""SELECT h AS history_days, CAST(end_date - h AS DATE) AS start_date,
-  end_date, COUNT(c."timestamp") AS n_rows, COALESCE(CAST(SUM(CAST(ROUND(c.cost * 100) AS BIGINT)) AS BIGINT), 0) / 100.0 AS cost
+  end_date, COUNT(c."timestamp") AS n_rows, COALESCE({Q.sum_money('c.cost')}, 0) AS cost
 FROM params, (SELECT CAST(unnest([30, 90, 180]) AS INTEGER) AS h) hs
 LEFT JOIN cs c ON c.organization_id = '{TENANT}' AND c.cloud_provider = '{PROVIDER}'
   AND c.unified_category = '{CATEGORY}' AND c."timestamp" >= CAST(end_date - h AS TIMESTAMP)

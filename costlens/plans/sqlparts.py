@@ -1,7 +1,7 @@
 """DuckDB SQL fragments for the oracle twins (``oracle_sql``).
 
-Each fragment mirrors one library function step for step, with the same
-integer-cents arithmetic, so both engines produce bit-identical doubles.
+Each fragment computes what one library function does, with sums over the raw
+cost in decimals or integers, so both engines produce bit-identical doubles.
 Fragments are CTE bodies; ``with_(...)`` strings them together.
 """
 
@@ -19,6 +19,19 @@ def cents(x: str) -> str:
     return f"CAST(ROUND({x} * 100) AS BIGINT)"
 
 
+def exact(x: str) -> str:
+    return f"CAST({x} AS DECIMAL(28,10))"
+
+
+def sum_money(x: str) -> str:
+    """The exact sum of a raw cost as a double (by its text: one rounding)."""
+    return f"CAST(CAST(SUM({exact(x)}) AS VARCHAR) AS DOUBLE)"
+
+
+def sum_cents(x: str) -> str:
+    return f"CAST(ROUND(SUM({exact(x)}), 2) * 100 AS BIGINT)"
+
+
 def d2d(x: str) -> str:
     """Twin of ``dec_to_double``: exact 32-bit halves, one rounding."""
     h = f"CAST({x} AS HUGEINT)"
@@ -53,16 +66,16 @@ def spend(team: bool = True, tenant: bool = False) -> str:
 
 def daily(src: str = "spend", keys: str = S) -> str:
     return f"""SELECT {keys}, CAST("timestamp" AS DATE) AS date,
-  CAST(SUM({cents('cost')}) AS BIGINT) AS cost_cents, COUNT(*) AS n_rows,
-  CAST(SUM({cents('cost')}) AS BIGINT) / 100.0 AS cost
+  {sum_cents('cost')} AS cost_cents, COUNT(*) AS n_rows,
+  {sum_money('cost')} AS cost
 FROM {src} GROUP BY ALL"""
 
 
 def daily_flag(src: str = "spend", keys: str = S) -> str:
     return f"""SELECT {keys}, CAST("timestamp" AS DATE) AS date,
-  CAST(SUM({cents('cost')}) AS BIGINT) AS cost_cents,
+  {sum_cents('cost')} AS cost_cents,
   CAST(MAX(is_anomaly) AS INTEGER) AS had_anomaly,
-  CAST(SUM({cents('cost')}) AS BIGINT) / 100.0 AS cost
+  {sum_money('cost')} AS cost
 FROM {src} GROUP BY ALL"""
 
 
@@ -215,17 +228,17 @@ SPEND_ORDER = '"timestamp", cost, normalized_env, normalized_team, is_anomaly, a
 
 def row_features(src: str = "spend", keys: str = S, order: str = SPEND_ORDER) -> str:
     w = f"(PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
-    mean = "CASE WHEN _n > 0 THEN CAST(_s AS DOUBLE) / (_n * 100) END"
+    mean = "CASE WHEN _n > 0 THEN CAST(_s AS DOUBLE) / (_n * 100000000) END"
     var = d2d("CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0))")
     return f"""SELECT * EXCLUDE (_n, _s, _q, _c),
   CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
   CAST(isodow("timestamp") - 1 IN (5, 6) AS INTEGER) AS is_weekend,
   COALESCE({mean}, 0.0) AS rolling_mean_7d,
-  COALESCE(CASE WHEN _n >= 2 THEN SQRT({var} / (_n * (_n - 1) * 10000)) END, 0.0) AS rolling_std_7d,
+  COALESCE(CASE WHEN _n >= 2 THEN SQRT({var} / (_n * (_n - 1) * 10000000000000000)) END, 0.0) AS rolling_std_7d,
   COALESCE(cost / ({mean} + 1e-05), 0.0) AS cost_ratio
 FROM (SELECT *, COUNT(_c) OVER {w} AS _n, CAST(SUM(_c) OVER {w} AS BIGINT) AS _s,
              SUM(CAST(_c AS DECIMAL(38,0)) * CAST(_c AS DECIMAL(38,0))) OVER {w} AS _q
-      FROM (SELECT *, {cents('cost')} AS _c FROM {src}))"""
+      FROM (SELECT *, CAST(ROUND(cost * 100000000) AS BIGINT) AS _c FROM {src}))"""
 
 
 def minmax_scaled(src: str = "feat", keys: str = S,

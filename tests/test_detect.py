@@ -46,3 +46,33 @@ def test_contamination_cut_is_strict(spark):
                                "cloud_provider string, unified_category string, s double")
     flagged = D.contamination_flag(df, "s").where(F.col("ml_is_anomaly") == 1).count()
     assert flagged == 5      # p95 of 0..99 is 94.05: 95..99 are above it
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(
+        [(p, "COMPUTE", t, c, "prod", "core", 0, "none") for p, t, c in rows],
+        "cloud_provider string, unified_category string, timestamp timestamp_ntz, cost double, "
+        "normalized_env string, normalized_team string, is_anomaly int, anomaly_type string")
+
+
+def test_sub_cent_costs_add_up(spark):
+    import datetime as dt
+    from costlens.operators import aggregates, windows
+    t = dt.datetime(2024, 1, 1)
+    df = _rows(spark, [("AWS", t + dt.timedelta(seconds=i), 0.004) for i in range(1000)])
+    for day in (aggregates.daily_cost(df), aggregates.daily_cost_flag(df)):
+        r = day.first()
+        assert r["cost"] == 4.0 and r["cost_cents"] == 400
+    feat = windows.rolling_features(df).orderBy("timestamp").collect()
+    assert feat[500]["rolling_mean_7d"] == 0.004 and feat[500]["rolling_std_7d"] == 0.0
+
+
+def test_null_streams_stay(spark):
+    import datetime as dt
+    from costlens.operators import scale, windows
+    t = dt.datetime(2024, 1, 1)
+    df = _rows(spark, [(p, t + dt.timedelta(days=i), 1.0 + i) for p in ("AWS", None) for i in range(5)])
+    feat = windows.rolling_features(df)
+    assert feat.count() == 10
+    out = scale.minmax_scale(feat, ["cost"]).where("cloud_provider is null").orderBy("timestamp").collect()
+    assert [r["cost_scaled"] for r in out] == [0.0, 0.25, 0.5, 0.75, 1.0]
