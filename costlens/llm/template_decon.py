@@ -3,11 +3,13 @@
 Texts become words in which numbers, capitalised names inside a sentence and
 the unit after a number are typed placeholders, so a question asked with other
 values has the same template. Windows of ``WINDOW`` template words of the
-benchmark and of every document meet in a hash join. The slots of matching
-windows must be consistent: within a document and an item every value on one
-side stands for one value on the other. A document is contaminated by an item
-if it holds at least ``SHARE`` of the item's distinct windows and its slots
-are consistent.
+benchmark and of every document meet in a hash join. A document is contaminated
+by an item if it holds an occurrence of it: at least ``SHARE`` of the item's
+distinct windows with consistent slots, so that every value on one side stands
+for one value on the other. An occurrence is all matches of the text together
+or, where those contradict each other, the matches of one position difference
+(alone, or with the nearest match of each item window within half an item), so
+that variants with other values and stray windows in a text are told apart.
 
 An item or a text of fewer than ``WINDOW`` words is one window of all its words, of
 which at least ``LEAST`` must be plain; null and empty texts match nothing.
@@ -48,12 +50,12 @@ def marked_words(text: Column) -> Column:
     return F.filter(F.split(t, " +"), lambda w: w != "")
 
 
-def windows(df: DataFrame, key: str, k: int = WINDOW) -> DataFrame:
-    """(key, pos, h, slots): one row per window with enough plain words.
+def windows(df: DataFrame, keys: list[str], k: int = WINDOW) -> DataFrame:
+    """(keys, pos, h, slots): one row per window with enough plain words.
     ``slots`` holds the values of its slots in order, null without any."""
-    words = df.select(key, marked_words(F.col("text")).alias("w"))
+    words = df.select(*keys, marked_words(F.col("text")).alias("w"))
     tagged = words.select(
-        key, "w", F.transform("w", lambda x: F.when(x < "\u0004", F.substring(x, 1, 1)).otherwise(x)).alias("t"),
+        *keys, "w", F.transform("w", lambda x: F.when(x < "\u0004", F.substring(x, 1, 1)).otherwise(x)).alias("t"),
         F.exists("w", lambda x: x < "\u0004").alias("any"))
     last = F.greatest(F.size("w") - k + 1, F.lit(1))
 
@@ -68,45 +70,86 @@ def windows(df: DataFrame, key: str, k: int = WINDOW) -> DataFrame:
             F.when(F.col("any"), plain >= LEAST).otherwise(F.size("w") >= LEAST).alias("ok"))
 
     found = F.when(F.size("w") > 0, F.transform(F.sequence(F.lit(0), last - 1), one))
-    return (tagged.select(key, F.explode(found).alias("x"))
-            .where("x.ok").select(key, F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots")))
+    return (tagged.select(*keys, F.explode(found).alias("x"))
+            .where("x.ok").select(*keys, F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots")))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_item_windows, share, consistent) for the
-    pairs that reach ``share``, consistent or not. Row identity of documents
-    is (doc_id, copy of the row): windows are counted distinct."""
-    items = materialize(
-        windows(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id")
-        .select("item_id", "h", F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("h").alias("n_item_windows"))
-    small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda df: df)
-    hashes = items.select("h").distinct()
-    mine = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    # two steps: the documents' windows meet distinct hashes, then items
-    hit = materialize(mine.join(side(hashes), "h", "left_semi")
-                      .select("doc_id", "h", "slots").distinct(), "window-hits")
-    pairs = hit.join(side(items), "h")
-    counted = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_windows"))
-    found = (counted.join(side(sizes), "item_id")
+def keyed(df: DataFrame, key: str, row: str) -> DataFrame:
+    """(key, row, text), row a hash of both: rows that repeat an id are told
+    apart by their text, and a null id is one of its own."""
+    id = F.col(key).cast("long")
+    return df.select(id.alias(key), F.xxhash64(id.isNull(), id, F.col("text")).alias(row), "text")
+
+
+#: A document's row and an item's row, never null.
+PAIR = ["row", "of"]
+
+
+def judged(pairs: DataFrame, by: list[str], share: float) -> DataFrame:
+    """(by, doc_id, item_id, n_windows, n_item_windows, share, consistent) of
+    the groups of matching windows that reach ``share``."""
+    same = [F.first(c).alias(c) for c in ("doc_id", "item_id", "n_item_windows")]
+    found = (pairs.groupBy(*by).agg(F.countDistinct("h").alias("n_windows"), *same)
              .withColumn("share", F.col("n_windows") / F.col("n_item_windows"))
              .where(F.col("share") >= share))
     # slot consistency: an item's value found as itself stands for itself, any
     # other for one value only, and no two for the same
     slots = (pairs.where(F.col("slots").isNotNull() & (F.size("slots") == F.size("item_slots")))
-             .select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-             .groupBy("doc_id", "item_id", F.col("s.item_slots").alias("a"))
+             .select(*by, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+             .groupBy(*by, F.col("s.item_slots").alias("a"))
              .agg(F.max(F.col("s.item_slots") == F.col("s.slots")).alias("same"),
                   F.min("s.slots").alias("low"), F.max("s.slots").alias("high")))
-    clash = (slots.groupBy("doc_id", "item_id")
+    clash = (slots.groupBy(*by)
              .agg(F.max(~F.col("same") & (F.col("low") != F.col("high"))).alias("split"), F.count(F.lit(1)).alias("n"),
                   F.countDistinct(F.when(F.col("same"), F.col("a")).otherwise(F.col("low"))).alias("n_values"))
              .where(F.col("split") | (F.col("n_values") < F.col("n")))
-             .select("doc_id", "item_id", F.lit(True).alias("clash")))
-    return (found.join(clash, ["doc_id", "item_id"], "left")
-            .select("doc_id", "item_id", "n_windows", "n_item_windows", "share",
-                    F.col("clash").isNull().alias("consistent")))
+             .select(*by, F.lit(True).alias("clash")))
+    return found.join(clash, by, "left").select(
+        *by, "doc_id", "item_id", "n_windows", "n_item_windows", "share", F.col("clash").isNull().alias("consistent"))
+
+
+def occurrences(pairs: DataFrame) -> DataFrame:
+    """The matches of each possible occurrence, told apart by ``near`` and
+    ``anchor``: those of one position difference, and for each difference the
+    nearest match of every item window up to half an item away, as values of
+    more or fewer words move what follows. Cells keep that join linear."""
+    kept = ["doc_id", "item_id", "n_item_windows", "h", "slots", "item_slots"]
+    at = pairs.withColumn("diff", F.col("pos") - F.col("item_pos"))
+    reach = F.greatest(F.floor(F.col("n_item_windows") / 2), F.lit(1))
+    at = at.withColumn("cell", F.floor(F.col("diff") / reach))
+    anchors = at.select(*PAIR, F.col("diff").alias("anchor"), F.explode(
+        F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")).distinct()
+    away = F.abs(F.col("diff") - F.col("anchor"))
+    nearest = (at.join(anchors, [*PAIR, "cell"]).where(away <= reach)
+               .groupBy(*PAIR, "anchor", "item_pos")
+               .agg(F.min_by(F.struct(*kept), F.struct(away, "diff")).alias("x"))
+               .select(*PAIR, F.lit(True).alias("near"), "anchor", "x.*"))
+    return at.select(*PAIR, F.lit(False).alias("near"), F.col("diff").alias("anchor"), *kept).unionByName(nearest)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_item_windows, share, consistent) for the
+    pairs that reach ``share``, consistent or not; of several occurrences or
+    rows with one id the consistent one of the greatest share. Row identity is
+    the id and the text: windows are counted distinct."""
+    items = windows(keyed(benchmark, "item_id", "of"), ["item_id", "of"]).select(
+        "item_id", "of", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
+    sizes = items.groupBy("of").agg(F.countDistinct("h").alias("n_item_windows"))
+    items = materialize(items.join(sizes, "of"), "benchmark-windows")
+    small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast if small else (lambda df: df)
+    hashes = items.select("h").distinct()
+    mine = windows(keyed(docs, "doc_id", "row"), ["doc_id", "row"])
+    # two steps: the documents' windows meet distinct hashes, then items
+    hit = materialize(mine.join(side(hashes), "h", "left_semi"), "window-hits")
+    pairs = hit.join(side(items.where("item_id is not null")), "h")
+    whole = materialize(judged(pairs, PAIR, share), "whole-texts")
+    # single occurrences only where the text as a whole contradicts itself
+    open_pairs = whole.where("not consistent").select(*PAIR)
+    single = judged(occurrences(pairs.join(open_pairs, PAIR, "left_semi")), [*PAIR, "near", "anchor"], share)
+    best = F.max(F.struct("consistent", "share", "n_windows", "n_item_windows")).alias("best")
+    return (whole.unionByName(single.select(*whole.columns)).groupBy("doc_id", "item_id").agg(best)
+            .select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.share", "best.consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

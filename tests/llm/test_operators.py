@@ -314,6 +314,22 @@ def test_templates(llm_spark, docs_of):
     assert template_decon.contaminated(docs_of([]), bench).count() == 0
 
 
+def test_templates_are_judged_by_occurrence(llm_spark, docs_of):
+    item = "A train from Paris travels 120 km in 2 hours, so how many km does it cover in 5 hours at that speed"
+    twice = ("first we pour 3 cups of the flour into a bowl then we rest a while and "
+             "last we pour 8 cups of the flour into a bowl and bake it")
+    bench = llm_spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    one, two = item.replace("120", "90").replace("Paris", "Rome"), item.replace("120", "95").replace("Paris", "New York")
+    bad = item.replace("120", "2").replace("Paris", "Rome")
+    rows = [(1, one + ". " + prose(11, 200) + ". " + two + "."),                     # two variants
+            (2, one + ". " + prose(12, 50) + " how it travels 40 km in 3 hours, so how many more"),  # and a stray window
+            (3, twice.replace("3 cups", "4 cups").replace("8 cups", "9 cups")),      # equal windows in one item
+            (4, bad + ". " + prose(13, 50) + ". " + bad.replace("Rome", "Oslo")),    # 2 stands for two values in both
+            (5, prose(14, 100)), (6, one), (6, two), (None, one), (None, bad)]
+    got = {(r["doc_id"], r["item_id"]) for r in template_decon.contaminated(docs_of(rows), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (6, 1), (None, 1)}
+
+
 def test_planted_passages_are_found(llm_spark):
     rows = pairs(small_docs(llm_spark))
     items = [tuple(r) for r in llm_spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
