@@ -134,18 +134,18 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-SET = "doc_id long, n long, cls long, l int, prefix array<long>, sig binary"
+SET = "doc_id long, row long, n long, cls long, l int, prefix array<long>, sig binary"
 
 
 def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, cls, prefix) of each document; cls is a hash of its set."""
+    """(doc_id, row, n, cls, prefix) of each document; cls is a hash of its set."""
     get = share(docs.sparkSession, Order(table, percent))
 
     def run(batches):
         import pyarrow as pa
         order = get()
         for b in batches:
-            ids = b.column("doc_id")
+            ids, rows = b.column("doc_id"), b.column("row")
             for i, values, at in gram_sets(b.column("text"), n):
                 k = len(at) - 1
                 cls, asked, prefix, sig = np.zeros(k, np.int64), np.ones(k, np.int32), [], []
@@ -161,11 +161,11 @@ def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFra
                 off = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, k), pa.array(np.diff(at).astype(np.int64)), pa.array(cls), pa.array(asked),
+                    [ids.slice(i, k), rows.slice(i, k), pa.array(np.diff(at).astype(np.int64)), pa.array(cls), pa.array(asked),
                      pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sig, pa.binary())],
-                    names=["doc_id", "n", "cls", "l", "prefix", "sig"])
+                    names=["doc_id", "row", "n", "cls", "l", "prefix", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SET)
+    return docs.select("doc_id", "row", "text").mapInArrow(run, SET)
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -244,10 +244,16 @@ def may_link(n: str, pos: str, n2: str, pos2: str, percent: int):
                   f">= {percent} * ({n} + {n2})")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs``; rows that
-    repeat an id are documents of their own with that id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def row_of(text):
+    """A hash of the text as it is, null apart from empty."""
+    return F.xxhash64(text.isNull(), text)
+
+
+def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, row, n, comp) of each row of ``docs``: a hash of its text, the
+    number of its grams and its component's label, null without words."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row_of(text).alias("row"))
     table = gram_counts(docs, n)
     base = materialize(indexed(docs, table, n, percent), "gram-sets")
     full = base.where("n > 0")
@@ -306,19 +312,38 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         if last:
             break
         rest = live.where("cls != first.cls").select(*rest.columns)
-    grouped = full.select("doc_id", "n", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "doc_id", "n", F.coalesce("comp", "cls").alias("comp"))
+    grouped = full.select("doc_id", "row", "n", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select(
+        "doc_id", "row", "n", F.coalesce("comp", "cls").alias("comp"))
+    return grouped.unionByName(base.where("n = 0").select("doc_id", "row", "n", F.lit(None).cast("long").alias("comp")))
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of ``docs``; rows that
+    repeat an id are documents of their own with that id."""
+    rows = labelled_rows(docs, n, percent)
+    grouped = rows.where("n > 0")
     least = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = grouped.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(base.where("n = 0").select(
+    return out.unionByName(rows.where("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays: the row of its smallest id. Of
-    rows that repeat an id one stays; documents without words all stay."""
-    keep = materialize(jaccard_components(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                       .groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    out = docs.join(keep.select(F.col("doc_id").alias("of")), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    # texts are shuffled once more only where ids repeat at all
-    return out.dropDuplicates(["doc_id"]) if keep.where("rows > 1").limit(1).count() else out
+    """One row of each component stays: that of its smallest id (null last),
+    and of rows with that id the one of the least text hash. An id says nothing
+    else: unlike texts that share one, or have none, all stay, as do documents
+    without words."""
+    rows = labelled_rows(docs, n, percent)
+    by_row = rows.where("n > 0").groupBy("comp", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    firsts = (by_row.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "copies")).alias("x"))
+              .select(F.col("x.doc_id").alias("of"), F.col("x.row").alias("its"), F.col("x.copies").alias("copies")))
+    empty = rows.where("n = 0").select(F.col("doc_id").alias("of"), F.col("row").alias("its"),
+                                       F.lit(0).cast("long").alias("copies")).distinct()
+    keep = materialize(firsts.unionByName(empty), "kept")
+    out = docs.withColumn("__row", row_of(F.col("text").cast("string"))).join(
+        keep, (F.col("__row") == F.col("its")) & F.col("doc_id").cast("long").eqNullSafe(F.col("of")))
+    if not keep.where("copies > 1").limit(1).count():
+        return out.select(*docs.columns)
+    # texts are shuffled once more only for rows that repeat as a whole
+    return (out.where("copies <= 1").select(*docs.columns)
+            .unionByName(out.where("copies > 1").dropDuplicates(["doc_id", "__row"]).select(*docs.columns)))

@@ -73,6 +73,15 @@ def test_first_of_each_keeps_one(docs_of):
     assert sorted(r["doc_id"] for r in kept) == [4, 7, 8]
 
 
+def test_first_of_each_decides_by_row(docs_of):
+    a, b, c = BASE, prose(4, 40), prose(5, 40)
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, "unlike words under one id here"),      # unlike texts, one id or none
+            (3, a), (5, a), (5, prose(6, 40)), (8, None), (8, ""), (8, None), (None, " ")]       # and the copy (5, a) goes
+    kept = sorted(pairs(ngram_join.first_of_each(docs_of(rows))), key=key)
+    assert kept == sorted([(None, b), (7, c), (7, "unlike words under one id here"), (3, a), (5, prose(6, 40)),
+                           (8, None), (8, ""), (8, None), (None, " ")], key=key)
+
+
 def test_signatures_bound_the_difference():
     r = np.random.default_rng(6)
     for n, m, both in ((1, 1, 0), (1, 1, 1), (40, 37, 30), (500, 700, 450), (3000, 20, 20), (9000, 8800, 0)):
