@@ -11,8 +11,13 @@ or, where those contradict each other, the matches of one position difference
 (alone, or with the nearest match of each item window within half an item), so
 that variants with other values and stray windows in a text are told apart.
 
-An item or a text of fewer than ``WINDOW`` words is one window of all its words, of
-which at least ``LEAST`` must be plain; null and empty texts match nothing.
+An item of fewer than ``WINDOW`` words is one window of all its words, which
+meets the documents' windows of as many words; null and empty texts match nothing.
+A window needs ``LEAST`` plain words. Items in which a single window decides,
+and those without any, are also found by their raw words, value for value and
+all in a row. Whether an item's first word is a name depends on the text
+before it, so its first window counts with that word as a name, too.
+
 Repeated documents are reported for each row, repeated items for each id.
 """
 
@@ -50,28 +55,72 @@ def marked_words(text: Column) -> Column:
     return F.filter(F.split(t, " +"), lambda w: w != "")
 
 
-def windows(df: DataFrame, keys: list[str], k: int = WINDOW) -> DataFrame:
-    """(keys, pos, h, slots): one row per window with enough plain words.
-    ``slots`` holds the values of its slots in order, null without any."""
+def windows(df: DataFrame, keys: list[str], sizes: list[int], raw: list[int]) -> DataFrame:
+    """(keys, pos, h, slots, w): one row per window of ``sizes`` template words
+    with enough plain words, and per window of ``raw`` words as they are; a
+    shorter text is one window. ``slots`` holds the values of its slots in
+    order, null without any; ``w`` the text's marked words."""
     words = df.select(*keys, marked_words(F.col("text")).alias("w"))
     tagged = words.select(
         *keys, "w", F.transform("w", lambda x: F.when(x < "\u0004", F.substring(x, 1, 1)).otherwise(x)).alias("t"),
         F.exists("w", lambda x: x < "\u0004").alias("any"))
-    last = F.greatest(F.size("w") - k + 1, F.lit(1))
-
-    def one(i: Column) -> Column:
-        hashes = F.xxhash64(*[F.get(F.col("t"), i + j) for j in range(k)])
-        mine = F.slice(F.col("w"), i + 1, k)
-        slots = F.filter(mine, lambda x: x < "\u0004")
-        plain = F.size(mine) - F.size(slots)
-        return F.struct(
-            i.alias("pos"), hashes.alias("h"),
-            F.when(F.col("any") & (F.size(slots) > 0), slots).alias("slots"),
-            F.when(F.col("any"), plain >= LEAST).otherwise(F.size("w") >= LEAST).alias("ok"))
-
-    found = F.when(F.size("w") > 0, F.transform(F.sequence(F.lit(0), last - 1), one))
-    return (tagged.select(*keys, F.explode(found).alias("x"))
-            .where("x.ok").select(*keys, F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots")))
+    if raw:
+        tagged = tagged.withColumn("r", F.transform("w", lambda x: F.translate(x, NUM + NAME + UNIT, "")))
+
+    def every(k: int, one) -> Column:
+        last = F.greatest(F.size("w") - k + 1, F.lit(1))
+        return F.when(F.size("w") > 0, F.transform(F.sequence(F.lit(0), last - 1), one))
+
+    def template(k: int) -> Column:
+        def one(i: Column) -> Column:
+            hashes = F.xxhash64(*[F.get(F.col("t"), i + j) for j in range(k)])
+            mine = F.slice(F.col("w"), i + 1, k)
+            slots = F.filter(mine, lambda x: x < "\u0004")
+            plain = F.size(mine) - F.size(slots)
+            return F.struct(
+                i.alias("pos"), hashes.alias("h"),
+                F.when(F.col("any") & (F.size(slots) > 0), slots).alias("slots"),
+                F.when(F.col("any"), plain >= LEAST).otherwise(F.size("w") >= LEAST).alias("ok"))
+        return every(k, one)
+
+    def as_is(k: int) -> Column:
+        return every(k, lambda i: F.struct(
+            i.alias("pos"), F.xxhash64(F.lit("raw"), *[F.get(F.col("r"), i + j) for j in range(k)]).alias("h"),
+            F.lit(None).cast("array<string>").alias("slots"), F.lit(True).alias("ok")))
+
+    found = [template(k) for k in sizes] + [as_is(k) for k in raw]
+    return (tagged.select(*keys, "w", F.explode(found[0] if len(found) == 1 else F.concat(*found)).alias("x")).where("x.ok")
+            .select(*keys, "x.pos", "x.h", "x.slots", "w"))
+
+
+def item_windows(benchmark: DataFrame, share: float) -> DataFrame:
+    """(item_id, of, raw, size, item_pos, h, own, item_slots, lead, n_item_windows)
+    of the items' windows. ``own`` is the hash that counts; a first window
+    whose first word is read as a name is a row of its own with that word as
+    ``lead``, which the document must hold."""
+    texts, keys = keyed(benchmark, "item_id", "of").where("item_id is not null"), ["item_id", "of"]
+    every = (windows(texts, keys, [WINDOW], []).withColumn("raw", F.lit(False))
+             .unionByName(windows(texts, keys, [], [WINDOW]).withColumn("raw", F.lit(True))))
+    every = materialize(every.select(
+        "item_id", "of", "raw", F.least(F.size("w"), F.lit(WINDOW)).alias("size"), F.col("pos").alias("item_pos"), "h",
+        F.col("h").alias("own"), F.col("slots").alias("item_slots"),
+        F.slice(F.col("w"), F.col("pos") + 1, WINDOW).alias("w")).distinct(), "benchmark-all")
+    template = every.where("not raw")
+    counts = template.groupBy("of").agg(F.countDistinct("h").alias("n_item_windows"))
+    # the first word is a name where a text goes before it
+    name = F.concat(F.lit(NAME), F.element_at("w", 1))
+    word = F.transform("w", lambda x, i: F.when((i == 0) | (x < "\u0004"), F.substring(x, 1, 1)).otherwise(x))
+    named = F.transform(word, lambda x, i: F.when(i == 0, F.lit(NAME)).otherwise(x))
+    leading = template.where((F.col("item_pos") == 0) & (F.element_at("w", 1) > "\u0004")).select(
+        "item_id", "of", "raw", "size", "item_pos", F.xxhash64(*[F.get(named, F.lit(j)) for j in range(WINDOW)]).alias("h"),
+        "own", F.concat(F.array(name), F.coalesce("item_slots", F.array().cast("array<string>"))).alias("item_slots"),
+        name.alias("lead"))
+    template = template.drop("w").withColumn("lead", F.lit(None).cast("string")).unionByName(leading).join(counts, "of")
+    # a single window decides where leaving one out goes below the share
+    few = counts.where(F.col("n_item_windows") - 1 >= share * F.col("n_item_windows")).select("of")
+    exact = every.where("raw").drop("w").withColumn("lead", F.lit(None).cast("string")).join(few, "of", "left_anti")
+    n = exact.groupBy("of").agg(F.countDistinct("item_pos").alias("n_item_windows"))
+    return materialize(template.unionByName(exact.join(n, "of")), "benchmark-windows")
 
 
 def keyed(df: DataFrame, key: str, row: str) -> DataFrame:
@@ -89,7 +138,7 @@ def judged(pairs: DataFrame, by: list[str], share: float) -> DataFrame:
     """(by, doc_id, item_id, n_windows, n_item_windows, share, consistent) of
     the groups of matching windows that reach ``share``."""
     same = [F.first(c).alias(c) for c in ("doc_id", "item_id", "n_item_windows")]
-    found = (pairs.groupBy(*by).agg(F.countDistinct("h").alias("n_windows"), *same)
+    found = (pairs.groupBy(*by).agg(F.countDistinct("own").alias("n_windows"), *same)
              .withColumn("share", F.col("n_windows") / F.col("n_item_windows"))
              .where(F.col("share") >= share))
     # slot consistency: an item's value found as itself stands for itself, any
@@ -113,7 +162,7 @@ def occurrences(pairs: DataFrame) -> DataFrame:
     ``anchor``: those of one position difference, and for each difference the
     nearest match of every item window up to half an item away, as values of
     more or fewer words move what follows. Cells keep that join linear."""
-    kept = ["doc_id", "item_id", "n_item_windows", "h", "slots", "item_slots"]
+    kept = ["doc_id", "item_id", "n_item_windows", "own", "slots", "item_slots"]
     at = pairs.withColumn("diff", F.col("pos") - F.col("item_pos"))
     reach = F.greatest(F.floor(F.col("n_item_windows") / 2), F.lit(1))
     at = at.withColumn("cell", F.floor(F.col("diff") / reach))
@@ -132,23 +181,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Data
     pairs that reach ``share``, consistent or not; of several occurrences or
     rows with one id the consistent one of the greatest share. Row identity is
     the id and the text: windows are counted distinct."""
-    items = windows(keyed(benchmark, "item_id", "of"), ["item_id", "of"]).select(
-        "item_id", "of", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
-    sizes = items.groupBy("of").agg(F.countDistinct("h").alias("n_item_windows"))
-    items = materialize(items.join(sizes, "of"), "benchmark-windows")
+    items = item_windows(benchmark, share)
+    widths = [tuple(r) for r in items.select("raw", "size").distinct().collect()]       # at most 2 x WINDOW
     small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = F.broadcast if small else (lambda df: df)
     hashes = items.select("h").distinct()
-    mine = windows(keyed(docs, "doc_id", "row"), ["doc_id", "row"])
+    mine = windows(keyed(docs, "doc_id", "row"), ["doc_id", "row"],
+                   sorted({WINDOW, *(k for raw, k in widths if not raw)}), sorted(k for raw, k in widths if raw))
+    mine = mine.drop("w")
     # two steps: the documents' windows meet distinct hashes, then items
     hit = materialize(mine.join(side(hashes), "h", "left_semi"), "window-hits")
-    pairs = hit.join(side(items.where("item_id is not null")), "h")
+    met = hit.join(side(items), "h")
+    pairs = met.where(~F.col("raw") & (F.col("lead").isNull() | (F.get("slots", F.lit(0)) == F.col("lead"))))
+    as_is = (met.where("raw").groupBy(*PAIR, F.expr("pos - item_pos"))
+             .agg(F.countDistinct("item_pos").alias("n_windows"),
+                  *[F.first(c).alias(c) for c in ("doc_id", "item_id", "n_item_windows")])
+             .where("n_windows = n_item_windows")
+             .select("doc_id", "item_id", "n_windows", "n_item_windows", F.lit(1.0).alias("share"), F.lit(True).alias("consistent")))
     whole = materialize(judged(pairs, PAIR, share), "whole-texts")
     # single occurrences only where the text as a whole contradicts itself
     open_pairs = whole.where("not consistent").select(*PAIR)
     single = judged(occurrences(pairs.join(open_pairs, PAIR, "left_semi")), [*PAIR, "near", "anchor"], share)
     best = F.max(F.struct("consistent", "share", "n_windows", "n_item_windows")).alias("best")
-    return (whole.unionByName(single.select(*whole.columns)).groupBy("doc_id", "item_id").agg(best)
+    found = whole.unionByName(single.select(*whole.columns)).select(*as_is.columns).unionByName(as_is)
+    return (found.groupBy("doc_id", "item_id").agg(best)
             .select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.share", "best.consistent"))
 
 

@@ -339,6 +339,18 @@ def test_templates_are_judged_by_occurrence(llm_spark, docs_of):
     assert got == {(1, 1), (2, 1), (3, 2), (6, 1), (None, 1)}
 
 
+def test_short_and_dense_items_are_found(llm_spark, docs_of):
+    items = ["Who wrote Don Quixote", "Compute 12 + 7 * 5 - 3", "Which of these was found first", "who holds it now",
+             "7 1 8 2 8 1 8 2 8 4", "Why so"]
+    bench = llm_spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, prose(20 + i, 20) + " " + t + " " + prose(30 + i, 20)) for i, t in enumerate(items)]
+    rows += [(10, "We ask: who wrote Jane Eyre, and why it is so"), (11, "compute 12 + 7 * 5 - 4 and 3"),
+             (12, prose(40, 9) + " Which of these was found, first"), (13, prose(41, 9) + " 7 1 8 2 8 1 8 2 8 5"),
+             (14, "so they ask Paris of these was found first"), (15, items[0]), (16, None)]
+    got = {(r["doc_id"], r["item_id"]) for r in template_decon.contaminated(docs_of(rows), bench).collect()}
+    assert got == {(i, i) for i in range(len(items))} | {(12, 2), (15, 0)}
+
+
 def test_planted_passages_are_found(llm_spark):
     rows = pairs(small_docs(llm_spark))
     items = [tuple(r) for r in llm_spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
