@@ -29,10 +29,8 @@ from costlens.session import materialize, share
 BINS = 12
 #: Bytes of a stem.
 STEM = 6
-#: Toxic documents that a word of the lexicon is in, at least, and the words
-#: of the lexicon, at most: the size of the model, which tasks hold whole.
+#: Toxic documents that a word of the lexicon is in, at least.
 LEAST_DOCS = 3
-LEXICON = 200_000
 #: Evidence from which a word marks a toxic document's token.
 MARK = 4.0
 #: Documents that the field is fitted on, at most; taken by a hash of the id.
@@ -114,11 +112,19 @@ class Lexicon:
 def lexicon(labelled: DataFrame) -> Lexicon:
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
-    top = (word_counts(labelled).where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") * good > F.col("good") * bad))
-           .orderBy(F.desc(F.col("bad") / (F.col("good") + 1)), "h").limit(LEXICON).collect())
-    top.sort(key=lambda r: np.uint64(r["h"] % (1 << 64)))
-    return Lexicon(np.array([r["h"] % (1 << 64) for r in top], np.uint64), np.array([r["bad"] for r in top], np.int64),
-                   np.array([r["good"] for r in top], np.int64), bad, good)
+
+    def leaning(batches):
+        import pyarrow as pa
+        for b in batches:
+            x, y = (b.column(c).to_numpy() for c in ("bad", "good"))
+            yield b.filter(pa.array(bins_of(evidence(x, y, bad, good)) > 0))
+
+    # every word that reaches a bin: 24 bytes each on the driver and in a task
+    top = word_counts(labelled).where(F.col("bad") >= LEAST_DOCS).mapInArrow(leaning, "h long, bad long, good long").toArrow()
+    h, x, y = (top.column(c).to_numpy() for c in ("h", "bad", "good"))
+    h = h.astype(np.uint64)
+    order = np.argsort(h)
+    return Lexicon(h[order], x[order], y[order], bad, good)
 
 
 def evidence(bad, good, n_bad, n_good) -> np.ndarray:

@@ -265,6 +265,14 @@ def test_toxicity_on_held_out_rows(llm_spark, docs_of):
     assert crf.toxicity_of_documents(docs_of([(1, "x")]), labels.limit(0)).count() == 1
 
 
+def test_lexicon_keeps_every_leaning_word(llm_spark, monkeypatch):
+    monkeypatch.setattr(crf, "LEXICON", 5, raising=False)       # the former cut by rank
+    rows = [(1, f"strong {WORDS[i // 3]}") for i in range(90)] + [(0, "strong")] * 35 + [(0, "plain")] * 800
+    words = crf.lexicon(llm_spark.createDataFrame(rows, "toxic int, text string"))
+    assert {(90, 35), (3, 0)} <= set(zip(words.bad.tolist(), words.good.tolist())) and len(words.h) >= 31
+    assert (np.diff(words.h.astype(object)) > 0).all()
+
+
 def test_marginals_match_enumeration():
     r = np.random.default_rng(1)
     score, move, begin = r.normal(size=(4, 2)), r.normal(size=(2, 2)), r.normal(size=2)
