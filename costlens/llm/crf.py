@@ -1,9 +1,10 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Documents carry labels, tokens don't, so labelled tokens come first: counts of
-hashed words over all training documents say how surely each word leans to
-toxic documents, and a word far on that side marks its tokens in toxic
-documents. The field has two states; its features are the binned evidence of
+hashed words over all training documents, equal texts once, say how much each
+word leans to toxic documents, and a word far on that side marks its tokens in
+toxic documents. That strength is a lower bound of the log odds ratio, which
+more rows make surer but not greater; significance is only asked for. The field has two states; its features are the binned evidence of
 a word and of its neighbours. It is fitted on a bounded sample of the training
 rows, where a document's own share is taken out of the counts, so that words
 seen nowhere else prove nothing. Forward-backward marginals of every token of every whole
@@ -31,8 +32,13 @@ BINS = 12
 STEM = 6
 #: Toxic documents that a word of the lexicon is in, at least.
 LEAST_DOCS = 3
-#: Evidence from which a word marks a toxic document's token.
-MARK = 4.0
+#: Signed root of the likelihood ratio statistic that a word needs at least.
+SUPPORT = 2.0
+#: Standard errors that the bound of a word's log odds ratio lies below it.
+BELOW = 1.0
+#: Strength from which a word marks a toxic document's token, and of a bin.
+MARK = 1.5
+STEP = 0.5
 #: Documents that the field is fitted on, at most; taken by a hash of the id.
 SAMPLE = 1000
 #: Words of the pieces that the sample's whole texts are cut into for the fit.
@@ -102,11 +108,11 @@ class Lexicon:
         if y is None:
             out[known] = self.all[k]
         else:
-            out[known] = bins_of(evidence(self.bad[k] - y, self.good[k] - (1 - y), self.n_bad - y, self.n_good - (1 - y)))
+            out[known] = bins_of(strength(self.bad[k] - y, self.good[k] - (1 - y), self.n_bad - y, self.n_good - (1 - y)))
         return out.max(0)
 
     def __post_init__(self):
-        self.all = bins_of(evidence(self.bad, self.good, self.n_bad, self.n_good))
+        self.all = bins_of(strength(self.bad, self.good, self.n_bad, self.n_good))
 
 
 def lexicon(labelled: DataFrame) -> Lexicon:
@@ -117,7 +123,7 @@ def lexicon(labelled: DataFrame) -> Lexicon:
         import pyarrow as pa
         for b in batches:
             x, y = (b.column(c).to_numpy() for c in ("bad", "good"))
-            yield b.filter(pa.array(bins_of(evidence(x, y, bad, good)) > 0))
+            yield b.filter(pa.array(bins_of(strength(x, y, bad, good)) > 0))
 
     # every word that reaches a bin: 24 bytes each on the driver and in a task
     top = word_counts(labelled).where(F.col("bad") >= LEAST_DOCS).mapInArrow(leaning, "h long, bad long, good long").toArrow()
@@ -141,9 +147,19 @@ def evidence(bad, good, n_bad, n_good) -> np.ndarray:
     return np.sign(bad / n_bad - good / n_good) * np.sqrt(np.maximum(2 * total, 0))
 
 
+def strength(bad, good, n_bad, n_good) -> np.ndarray:
+    """Lower bound of a word's log odds ratio of toxic against other rows, with
+    half a row added to each count; zero where the evidence is too little."""
+    bad, good = np.clip(bad, 0, max(n_bad, 0)).astype(np.float64), np.clip(good, 0, max(n_good, 0)).astype(np.float64)
+    cells = [x + 0.5 for x in (bad, n_bad - bad, good, n_good - good)]
+    odds = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])
+    low = odds - BELOW * np.sqrt(sum(1 / x for x in cells))
+    return np.where(evidence(bad, good, n_bad, n_good) >= SUPPORT, np.maximum(low, 0), 0)
+
+
 def bins_of(lean: np.ndarray) -> np.ndarray:
-    """No evidence (below 2) is bin 0; then steps of 1, up to 12 and beyond."""
-    return np.clip(np.floor(lean) - 1, 0, BINS - 1).astype(np.int64)
+    """No strength is bin 0; then steps of STEP, the last bin and beyond."""
+    return np.clip(np.ceil(lean / STEP + 1e-9), 0, BINS - 1).astype(np.int64) * (lean > 0)
 
 
 @dataclass
@@ -285,9 +301,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     marks = materialize(labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
                         .select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct(), "labels")
     few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
-        F.broadcast(marks) if few else marks, "doc_id").select("toxic", "text")
-    words = lexicon(labelled)
+    whole = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn(
+        "row", F.xxhash64(F.col("text").isNull(), "text"))
+    # equal texts of a label count once: the row of the least id
+    rows = materialize(whole.join(F.broadcast(marks) if few else marks, "doc_id")
+                       .groupBy("toxic", "row", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+                       .groupBy("toxic", "row").agg(F.sum("k").alias("rows"), F.min(F.struct("doc_id", "k")).alias("x"))
+                       .select("toxic", "row", "rows", "x.doc_id", "x.k"), "labelled-texts")
+    size = {r["toxic"]: r["rows"] for r in rows.groupBy("toxic").agg(F.sum("rows").alias("rows")).collect()}
+    firsts = rows.select("doc_id", "row", "toxic")
+    labelled = whole.join(F.broadcast(firsts) if few else firsts, ["doc_id", "row"]).select("toxic", "row", "text")
+    if rows.where("k > 1").limit(1).count():
+        labelled = labelled.dropDuplicates(["toxic", "row"])
+    words = lexicon(labelled.drop("row"))
     f = Field(words, np.linspace(-3, 3, BINS), np.zeros((2, BINS)), np.array([[0.5, -0.5], [0.0, 0.0]]),
               np.array([0.0, -1.0]), np.zeros(3), np.ones(3), np.zeros(4))
     got = _sample(docs, marks, words).collect()
@@ -306,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     # the sample holds the labels in other shares than the training rows
     n, k = len(y), int(y.sum())
     if 0 < k < n:
-        f.weights[-1] += np.log(f.words.n_bad / f.words.n_good) - np.log(k / (n - k))
+        f.weights[-1] += np.log(size[1] / size[0]) - np.log(k / (n - k))
     return f
 
 

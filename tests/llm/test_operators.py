@@ -273,6 +273,22 @@ def test_lexicon_keeps_every_leaning_word(llm_spark, monkeypatch):
     assert (np.diff(words.h.astype(object)) > 0).all()
 
 
+def test_strength_of_a_word_does_not_grow_with_the_rows(llm_spark, docs_of):
+    def bin_at(n, p, q):
+        k = np.array([n // 10])
+        return crf.bins_of(crf.strength((k * p).astype(int), ((n - k) * q).astype(int), int(k[0]), int(n - k[0])))[0]
+    mark = crf.bins_of(np.array([crf.MARK]))[0]
+    assert [bin_at(n, 0.205, 0.2) for n in (8_000, 2_400_000, 12_000_000)] in ([0, 1, 1], [0, 0, 0], [0, 0, 1])
+    slur = [bin_at(n, 0.2, 0.002) for n in (8_000, 2_400_000, 12_000_000)]
+    assert min(slur) >= mark > 1 and max(slur) - min(slur) <= 1
+    # sixteen copies of one toxic text are one row
+    texts = [(i, "copied wordsof prose" if i < 16 else prose(i, 30) + (" vilebad" if i % 5 == 0 else "")) for i in range(200)]
+    labels = llm_spark.createDataFrame([(i, int(i < 16 or i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    words = crf.train(docs_of(texts), labels).words
+    assert words.n_bad == sum(i % 5 == 0 for i in range(16, 200)) + 1 and words.bad.max() == words.n_bad - 1
+    assert not (words.bad == 16).any() and not (words.bad < crf.LEAST_DOCS).any()
+
+
 def test_marginals_match_enumeration():
     r = np.random.default_rng(1)
     score, move, begin = r.normal(size=(4, 2)), r.normal(size=(2, 2)), r.normal(size=2)
