@@ -5,7 +5,8 @@ settings an operator of this library should use (UTC session zone, AQE
 on, UI off) and offers two small guards used across the operators:
 
 * ``checkpoint_dir`` - read ``spark.checkpoint.dir`` from the session and
-  set a scratch one only when the session has none (tests, laptops).
+  set a scratch one only when the session has none and runs in one process
+  (tests, laptops); a cluster without the setting is an error.
 * ``bounded_broadcast`` - broadcast a join side only after a cheap,
   bounded size check; otherwise leave the join to Catalyst/AQE.
 """
@@ -48,8 +49,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the cluster's setting if present.
 
-    A scratch folder is created only when the session names none, which is
-    the case for unit tests on a single machine.
+    A scratch folder of this machine is made only where the setting is absent
+    and driver and executors are one process (a ``local`` master, as in tests);
+    on a cluster without ``spark.checkpoint.dir`` this is an error, as tables
+    in a local folder would be lost to the other machines.
     """
     try:
         sc = spark.sparkContext
@@ -60,13 +63,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if current:
             return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="costlens-ckpt-")
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", conf)
     if sc is None:
-        if conf:
-            return conf
-        path = tempfile.mkdtemp(prefix="costlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        return path
-    sc.setCheckpointDir(conf if conf else tempfile.mkdtemp(prefix="costlens-ckpt-"))
+        return conf
+    sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
 
 

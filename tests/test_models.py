@@ -2,7 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sfdata import SF_SMALL
 from costlens.operators import forecast_models as M
 from costlens.operators import stl
 from costlens.plans import q_models as QM
