@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import (chat_format, crf, hilbert, langid, ngram_join, packing, rindex, template_decon, topk,
+from costlens.llm import (chat_format, crf, hilbert, langid, ngram_join, odd_sketch, packing, rindex, template_decon, topk,
                           train_order)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,11 @@ def op10_column_generation_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_odd_sketch_dedup(spark, sf_dir):
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), 5, 85)
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
