@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import (chat_format, crf, hilbert, langid, ngram_join, odd_sketch, packing, rindex, template_decon, topk,
-                          train_order)
+from costlens.llm import (chat_format, crf, filter_audit, hilbert, langid, ngram_join, odd_sketch, packing, rindex, spelling,
+                          template_decon, topk, train_order)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,11 +93,51 @@ def op10_column_generation_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = """
+WITH d AS (SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+least AS (SELECT text, MIN(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, MAX(CAST(quality = 1 AS INT)) AS good, MAX(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, COALESCE(good, 0) AS good, COALESCE(toxic, 0) AS toxic, MAP {
+  'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+  'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+  'D': regexp_matches(text, '[#$%&*|]'), 'E': COALESCE(w.doc_id > first, FALSE)} AS fails
+  FROM w JOIN least USING (text) LEFT JOIN l USING (doc_id)),
+cells AS (SELECT part, fails, COUNT(*) AS n, SUM(good) AS good, SUM(toxic) AS toxic FROM f GROUP BY ALL),
+parts AS (SELECT DISTINCT part FROM d),
+x AS (SELECT UNNEST(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[:step - 1], '') AS before
+  FROM orders, (SELECT UNNEST([1, 2, 3, 4, 5]) AS step)),
+got AS (SELECT s.filter_order, s.step, s.own, c.part, c.n, c.good, c.toxic, c.fails[s.own] AS out,
+  len(list_filter(s.before, lambda b: b <> '' AND c.fails[b])) = 0 AS here,
+  len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda b: c.fails[b])) = 1 AS lone FROM steps s, cells c),
+told AS (SELECT part, filter_order, step, own, COALESCE(SUM(n) FILTER (here AND NOT out), 0) AS kept,
+  COALESCE(SUM(n) FILTER (here AND out), 0) AS removed, COALESCE(SUM(n) FILTER (out AND NOT here), 0) AS redundant,
+  COALESCE(SUM(n) FILTER (out AND lone), 0) AS unique_fails, COALESCE(SUM(good) FILTER (here AND out), 0) AS good_lost,
+  COALESCE(SUM(toxic) FILTER (here AND out), 0) AS toxic_lost FROM got GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM told
+"""
+
+
 @query
 def op12_odd_sketch_dedup(spark, sf_dir):
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), 5, 85)
 
 
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
