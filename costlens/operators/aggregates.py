@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costlens.functions import columns as C
-from costlens.operators.positional import IDX, positional_index
+from costlens.operators.keyed import join_groups
+from costlens.operators.rankselect import select_ranks
 from costlens.schema import S
 from costlens.session import materialize
 
@@ -40,22 +41,35 @@ def confusion(df: DataFrame, flag: str, label: str = "is_anomaly",
         F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
 
 
-def precision_recall_f1(df: DataFrame, flags: Sequence[str], label: str = "is_anomaly") -> DataFrame:
-    """E5: per flag column, precision/recall/F1 with 0 where undefined.
-    One pass: the flags are unpivoted into (tier, flag) before grouping."""
-    long = df.select(F.col(label).alias("_y"), F.explode(F.array(*[
+def evaluate(df: DataFrame, flags: Sequence[str], label: str = "is_anomaly", keys: Sequence[str] = ()) -> DataFrame:
+    """E4-E6 for every tier in one pass: the flags are unpivoted into (tier,
+    flag), and grouping sets give each tier over all rows (``is_total`` 1, keys
+    null) and, with ``keys``, per group. Ratios are 0 where undefined; a row
+    whose label or flag is null counts as not labelled or not flagged."""
+    y, p = F.coalesce(F.col("_y") == 1, F.lit(False)), F.coalesce(F.col("_t._p") == 1, F.lit(False))
+    long = df.select(*keys, F.col(label).alias("_y"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("tier"), F.col(f).alias("_p")) for f in flags])).alias("_t"))
-    g = long.groupBy(F.col("_t.tier").alias("tier")).agg(
-        F.count_if((F.col("_y") == 1) & (F.col("_t._p") == 1)).alias("tp"),
-        F.count_if((F.col("_y") != 1) & (F.col("_t._p") == 1)).alias("fp"),
-        F.count_if((F.col("_y") == 1) & (F.col("_t._p") != 1)).alias("fn"))
+    long = long.withColumn("tier", F.col("_t.tier"))
+    counts = [F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
+              F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn")]
+    if keys:
+        g = long.groupingSets([["tier"], ["tier", *keys]], "tier", *keys).agg(F.grouping(keys[0]).cast("int").alias("is_total"), *counts)
+    else:
+        g = long.groupBy("tier").agg(F.lit(1).alias("is_total"), *counts)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return g.select(
-        "tier", "tp", "fp", "fn",
-        F.when(tp + fp > 0, tp.cast("double") / (tp + fp)).otherwise(0.0).alias("precision"),
-        F.when(tp + fn > 0, tp.cast("double") / (tp + fn)).otherwise(0.0).alias("recall"),
-        F.when(2 * tp + fp + fn > 0, (2 * tp).cast("double") / (2 * tp + fp + fn))
-         .otherwise(0.0).alias("f1"))
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a.cast("double") / b).otherwise(0.0)
+    return g.select("tier", *keys, "is_total", "tp", "fp", "fn", "tn", ratio(tp, tp + fp).alias("precision"),
+                    ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+                    (tp + fn).alias("true_anomalies"), tp.alias("caught"),
+                    (tp.cast("double") / F.greatest(F.lit(1), tp + fn) * 100).alias("rate"))
+
+
+def precision_recall_f1(df: DataFrame, flags: Sequence[str], label: str = "is_anomaly") -> DataFrame:
+    """E5: per flag column, precision/recall/F1 with 0 where undefined, in the
+    one pass of ``evaluate``."""
+    return evaluate(df, flags, label).select("tier", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
 def detection_rate(df: DataFrame, flags: Sequence[str], label: str = "is_anomaly") -> DataFrame:
@@ -93,73 +107,40 @@ def residual_std(df: DataFrame, actual: str, pred: str, keys: Sequence[str] = ()
 
 def exact_percentile(df: DataFrame, value: str, p: float, keys: Sequence[str] = (),
                      out: str = "threshold", approx_accuracy: int | None = None,
-                     bracket_accuracy: int = 100_000, method: str = "sort") -> DataFrame:
+                     written: bool = False) -> DataFrame:
     """Linear-interpolated percentile per group, exact and distributed.
 
-    ``percentile()`` would buffer a whole group in one task. Two exact
-    strategies avoid that:
-
-    * ``method='sort'`` (default): index the values with the range-partitioned
-      ``positional_index`` and pick the two order statistics around rank
-      (n-1)*p. Fully distributed; fastest at small and medium sizes.
-    * ``method='bracket'``: a mergeable quantile sketch (``percentile_approx``)
-      brackets the rank with two data values [a, b]; one pass counts the
-      values below a and keeps only those inside [a, b] (about
-      6 / ``bracket_accuracy`` of a group), which a small window ranks. No
-      global sort; meant for very large groups. If a bracket ever missed its
-      rank, it falls back to the sort path, so the result is always exact.
-
-    ``approx_accuracy`` instead returns the sketch value itself, for callers
-    that accept a rank error of about 1/accuracy."""
+    ``percentile()`` would buffer a whole group in one task, and a sort would
+    put all rows of a tied value in one. The two order statistics around rank
+    (n - 1) * p are found by histograms instead (``rankselect``): only counts
+    are shuffled. Null values don't count; a group without values has no row.
+    ``df`` is read several times, so its values are written first unless it is
+    ``written`` already. A null key is a group.
+
+    ``approx_accuracy`` instead returns a sketch's value, for callers that
+    accept a rank error of about 1/accuracy."""
+    keys = list(keys)
     if approx_accuracy:
         return df.groupBy(*keys).agg(
             F.percentile_approx(F.col(value).cast("double"), p, approx_accuracy).alias(out))
-    dummy = not keys
-    if dummy:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    keys = list(keys)
+    alone = not keys
+    if alone:
+        df, keys, written = df.withColumn("_all", F.lit(0)), ["_all"], False
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if method == "sort":
-        ranked = positional_index(vals, keys, ["_v"])
-        n = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        pos = (F.col("_n") - 1).cast("double") * F.lit(p)
-        sk = n.select(*keys, pos.alias("_rk"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
-        return _pick(ranked.join(sk, keys, "inner"), keys, out, dummy)
-    # narrow (keys, value) frame read by every pass below: write it once
-    vals = materialize(vals, "percentile-values")
-    eps = 3.0 / bracket_accuracy
-    sk = vals.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps))),
-                            bracket_accuracy).alias("_ab"))
-    sk = sk.select(*keys, "_n", F.col("_ab")[0].alias("_a"), F.col("_ab")[1].alias("_b"))
+    vals = vals if written else materialize(vals, "percentile-values")
     pos = (F.col("_n") - 1).cast("double") * F.lit(p)
-    sk = sk.select("*", pos.alias("_rk"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"))
-    # one row per group: AQE broadcasts it when the groups are few
-    j = vals.join(sk, keys, "inner")
-    counts = j.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_a")).alias("_below"),
-                                  F.count_if(F.col("_v") <= F.col("_b")).alias("_upto"))
-    chk = sk.join(counts, keys, "inner")
-    ok = (F.col("_below") <= F.col("_lo")) & (F.col("_upto") - 1 >= F.col("_hi"))
-    if chk.where(~ok).limit(1).count() == 0:
-        cand = j.where((F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b"))) \
-                .join(counts.select(*keys, "_below"), keys, "inner")
-        w = Window.partitionBy(*keys).orderBy("_v")
-        ranked = cand.withColumn(IDX, F.row_number().over(w) - 1 + F.col("_below"))
-    else:
-        ranked = positional_index(vals, keys, ["_v"]).join(sk, keys, "inner")
-    return _pick(ranked, keys, out, dummy)
-
-
-def _pick(ranked: DataFrame, keys: Sequence[str], out: str, dummy: bool) -> DataFrame:
-    """Interpolate between the order statistics at ranks _lo and _hi."""
-    ranked = ranked.where((F.col(IDX) == F.col("_lo")) | (F.col(IDX) == F.col("_hi")))
-    g = ranked.groupBy(*keys).agg(F.max(F.when(F.col(IDX) == F.col("_lo"), F.col("_v"))).alias("_x"),
-                                  F.max(F.when(F.col(IDX) == F.col("_hi"), F.col("_v"))).alias("_y"),
-                                  F.first("_rk").alias("_rk"), F.first("_lo").alias("_lo"))
+    n = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(*keys, pos.alias("_rk"))
+    n = materialize(n, "percentile-ranks")
+    targets = n.select(*keys, F.explode(F.array(
+        F.struct(F.lit("lo").alias("_which"), F.floor("_rk").alias("_rank")),
+        F.struct(F.lit("hi").alias("_which"), F.ceil("_rk").alias("_rank")))).alias("_t")).select(*keys, "_t.*")
+    found = select_ranks(vals, targets, keys).groupBy(*keys).agg(
+        F.max(F.when(F.col("_which") == "lo", F.col("_value"))).alias("_x"),
+        F.max(F.when(F.col("_which") == "hi", F.col("_value"))).alias("_y"))
     a, b = F.col("_x"), F.col("_y")
-    res = g.select(*keys, (a + (b - a) * (F.col("_rk") - F.col("_lo"))).alias(out))
-    return res.drop("_all") if dummy else res
+    res = join_groups(n, found, keys).select(
+        *keys, (a + (b - a) * (F.col("_rk") - F.floor("_rk"))).alias(out))
+    return res.drop("_all") if alone else res
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],

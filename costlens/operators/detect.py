@@ -13,7 +13,9 @@ from costlens import fixed
 from costlens.functions import columns as C
 from costlens.operators import aggregates as A
 from costlens.operators import windows as W
+from costlens.operators.keyed import join_groups
 from costlens.schema import S
+from costlens.session import materialize
 
 
 def seasonal_residual(daily: DataFrame, keys: Sequence[str] = S,
@@ -43,12 +45,10 @@ def score_days(daily_resid: DataFrame, keys: Sequence[str] = S,
                min_days: int = 2 * fixed.STL_PERIOD) -> DataFrame:
     """F3 + flag: rolling z of the residual, |z| > 3 flags the day. A stream
     with fewer than ``min_days`` days scores 0 everywhere (D6)."""
-    z = W.rolling_z(daily_resid, "resid_cents", keys, out="_z")
-    n_days = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    z = z.withColumn("stat_z_score", F.when(n_days < min_days, F.lit(0.0)).otherwise(F.col("_z"))) \
-         .drop("_z")
-    return z.withColumn("stat_is_anomaly",
-                        (F.abs("stat_z_score") > fixed.Z_THRESHOLD).cast("int"))
+    z = W.rolling_z(daily_resid, "resid_cents", keys, out="_z", over="_over")
+    z = z.withColumn("_short", F.count(F.lit(1)).over(Window.partitionBy(*keys)) < min_days)
+    return z.select("*", F.when(F.col("_short"), F.lit(0.0)).otherwise(F.col("_z")).alias("stat_z_score"),
+                    F.when(F.col("_short"), F.lit(0)).otherwise(F.col("_over")).alias("stat_is_anomaly")).drop("_z", "_over", "_short")
 
 
 def day_scores(spend: DataFrame, keys: Sequence[str] = S) -> DataFrame:
@@ -75,14 +75,29 @@ def stat_detector(spend: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     return broadcast_day_score(spend, day_scores(spend, keys), keys)
 
 
+def contamination_flags(df: DataFrame, scores: dict[str, str], keys: Sequence[str] = S,
+                        contamination: float = fixed.IFOREST_CONTAMINATION, written: bool = False) -> DataFrame:
+    """I5 for several scores at once ({flag: score}): each flags rows strictly
+    above the stream's (1 - contamination) percentile of its score (exact,
+    distributed percentile). The scored frame feeds the histograms and the
+    comparison: it is written once, unless the caller has ``written`` it."""
+    df = df if written else materialize(df, "scored-rows")
+    cuts = None
+    for flag, score in scores.items():
+        th = A.exact_percentile(df, score, 1.0 - contamination, keys, out=f"_th_{flag}", written=True)
+        cuts = th if cuts is None else join_groups(cuts, th, keys, "left")
+    # one row per stream: joined to the rows once for all scores
+    j = join_groups(df, cuts, keys, "left")
+    return j.withColumns({flag: (F.col(score) > F.col(f"_th_{flag}")).cast("int") for flag, score in scores.items()}).drop(
+        *[f"_th_{flag}" for flag in scores])
+
+
 def contamination_flag(df: DataFrame, score: str, keys: Sequence[str] = S,
                        contamination: float = fixed.IFOREST_CONTAMINATION,
-                       out: str = "ml_is_anomaly") -> DataFrame:
+                       out: str = "ml_is_anomaly", written: bool = False) -> DataFrame:
     """Flag rows whose score is strictly above the stream's
-    (1 - contamination) percentile (exact, distributed percentile)."""
-    th = A.exact_percentile(df, score, 1.0 - contamination, keys, out="_th")
-    j = df.join(th, list(keys), "left")
-    return j.withColumn(out, (F.col(score) > F.col("_th")).cast("int")).drop("_th")
+    (1 - contamination) percentile."""
+    return contamination_flags(df, {out: score}, keys, contamination, written)
 
 
 def ensemble_vote(df: DataFrame, stat: str = "stat_is_anomaly", ml: str = "ml_is_anomaly",

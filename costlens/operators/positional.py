@@ -5,11 +5,17 @@ The detectors use frames such as "the 7 previous rows of this stream".
 stream can hold a third of all rows. Instead:
 
 1. ``positional_index`` numbers the rows of each stream 0..n-1 in a total
-   order. It sorts globally (range partitioning, so a hot stream spreads
-   over many tasks), counts rows per (task partition, stream) - a table
-   with at most #partitions + #streams rows - and turns those counts into
-   offsets with a small window. Each row's index is its offset plus its
-   position inside the partition. No group is ever gathered in one task.
+   order. It sorts globally by range partitions, so a hot stream spreads over
+   many tasks. Rows of equal sort keys are told apart by a hash of their
+   content, and rows alike in everything by their place among the sorted rows
+   of their input partition (the same however often a task is repeated, as such
+   rows can't be told apart). So every row has a key of its own, and no run of
+   ties, however long, has to fit into one partition.
+
+   Prefix counts have two levels. Within a partition a row's place follows from
+   the order of the rows. Across partitions, rows are counted by (partition,
+   stream), and running sums of these counts, at most #partitions of them for a
+   stream, are the offsets. No group is ever gathered in one task.
 
    The sorted, tagged frame is written once as a Parquet table in the
    shared ``spark.checkpoint.dir`` folder, so the counts and the rows agree
@@ -30,11 +36,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costlens.operators.keyed import join_groups
 from costlens.session import materialize
 
 IDX = "_pos"
 _PID = "_pid"
 _LOCAL = "_local"
+_HASH = "_hash"
+_COPY = "_copy"
 
 DEFAULT_BUCKET_ROWS = int(os.environ.get("COSTLENS_BUCKET_ROWS", str(1 << 16)))
 
@@ -47,9 +56,14 @@ def positional_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     swap places without changing any result).
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    key_cols = [F.col(k) for k in keys]
-    tagged = (df.repartitionByRange(*key_cols, *order_cols)
-                .sortWithinPartitions(*key_cols, *order_cols)
+    by = [*[F.col(k) for k in keys], *order_cols, F.col(_HASH), F.col(_COPY)]
+    # no shuffle: a local sort puts equal rows side by side, so their numbers
+    # don't depend on the order in which the rows arrived
+    distinct = (df.withColumn(_HASH, F.xxhash64(*[F.col(c) for c in df.columns])).sortWithinPartitions(_HASH)
+                .withColumn(_COPY, F.monotonically_increasing_id()))
+    tagged = (distinct.repartitionByRange(*by)
+                .sortWithinPartitions(*by)
+                .drop(_HASH, _COPY)
                 .withColumn(_PID, F.spark_partition_id())
                 .withColumn(_LOCAL, F.monotonically_increasing_id()
                             - F.shiftleft(F.col(_PID).cast("long"), 33)))
@@ -61,16 +75,10 @@ def positional_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     seg = tagged.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("_n"),
                                           F.min(_LOCAL).alias("_first"))
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # seg is bounded by the partition count, not by the data: broadcast it
-    # a null key is a stream of its own
-    seg = seg.select(F.col(_PID).alias("_of"), *[F.col(k).alias(f"_of_{k}") for k in keys], "_off", "_first")
-    on = F.col(_PID) == F.col("_of")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    out = tagged.join(F.broadcast(seg), on, "inner")
-    return (out.withColumn(idx, F.col("_off") + F.col(_LOCAL) - F.col("_first"))
-               .drop(_PID, _LOCAL, "_off", "_first", "_of", *[f"_of_{k}" for k in keys]))
+    seg = seg.select(_PID, *keys, (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_off"))
+    # at most #partitions + #streams rows: AQE broadcasts them while that is small
+    out = join_groups(tagged, seg, [_PID, *keys])
+    return out.withColumn(idx, F.col("_off") + F.col(_LOCAL)).drop(_PID, _LOCAL, "_off")
 
 
 def framed(df: DataFrame, keys: Sequence[str], build: Callable[[Window], list[Column]],

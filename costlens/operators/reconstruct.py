@@ -30,6 +30,7 @@ from costlens import fixed
 from costlens.operators import aggregates as A
 from costlens.operators import scale as SC
 from costlens.operators import windows as W
+from costlens.operators.keyed import join_groups
 from costlens.operators.positional import IDX
 from costlens.schema import S
 from costlens.session import materialize, share
@@ -138,7 +139,7 @@ def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S) -> DataFra
     scored = materialize(score_windows(full, model), "seq-scored")
     th = A.exact_percentile(scored.where(F.col("window").isNotNull()), "dl_mse_score",
                             fixed.SEQ_PERCENTILE, keys, out="_th")
-    return (scored.join(th, list(keys), "left")
+    return (join_groups(scored, th, keys, "left")
                   .withColumn("dl_is_anomaly", F.coalesce((F.col("dl_mse_score") > F.col("_th")).cast("int"),
                                                           F.lit(0)))
                   .drop("_th", "window", IDX))
