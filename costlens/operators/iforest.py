@@ -2,24 +2,29 @@
 
 Plan, sized for streams of any length:
 
-1. Training pool. Each tree of an isolation forest sees only
-   ``min(256, n)`` rows; the forest needs a pool, not the stream. Rows are
-   ranked by a content hash (deterministic under retries and repartitioning);
-   a hash threshold derived from the per-stream count keeps about
-   ``2 x pool`` rows per stream without gathering the stream anywhere, and
-   the grouped fit keeps the ``pool`` smallest hashes.
-2. Fit. ``groupBy(stream).applyInPandas`` builds 100 trees per stream from
-   the pool (a group is at most ~2 x pool rows).
-3. Score. The forests are small and bounded (streams x 100 trees x at most
-   511 nodes); they are broadcast, and every row is scored in Arrow batches
-   with a vectorised tree walk (``mapInPandas``): no row is dropped.
+1. Samples. Each tree sees min(256, n) rows, drawn from the whole stream: a row's
+   chance doesn't depend on where or in which part of the stream it lies. Every
+   row belongs to a tree's candidates with a probability of ``SPARE`` * 256 / n,
+   decided by hashes of the row; the least 256 of fresh hashes are the sample (a
+   bottom-k sample, which may be merged in any order). The first tree that a row
+   is a candidate of comes from one hash by the geometric law, so of a long
+   stream nearly all rows are passed over at the price of that hash.
+2. Fit. Candidates are grouped by (stream, tree): some 512 rows a group, whatever
+   the stream's length, and as many groups as trees.
+3. Score. A forest has at most 100 trees of 511 nodes (about 2 MB). Streams are
+   dealt into as many parts as forests of ``MODEL_BYTES`` need, each part's
+   forests are broadcast, and every row is scored in Arrow batches with a
+   vectorised tree walk (``mapInPandas``): no row is dropped.
 4. The 5 % contamination cut is the exact distributed percentile (I5).
+
+A null key is a stream. Where a tree can't split (a single row, or rows alike in
+every feature) the score is 0.5, the value of a row that is neither isolated nor
+dense.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,14 +35,17 @@ from pyspark.sql import types as T
 
 from costlens import fixed
 from costlens.operators import detect as D
+from costlens.operators.keyed import join_groups
 from costlens.schema import S
 from costlens.session import materialize, share
 
-POOL_ROWS = 4096
-# a stream's forest is at most 100 trees x 511 nodes x 5 arrays (~2 MB), and
-# the stream key (provider x category) has at most 3 x 4 values
-MAX_MODEL_BYTES = 256 * 1024 * 1024
+#: Candidates of a tree for each row of its sample, on average. That a long
+#: stream has fewer than 256 candidates lies eleven deviations off.
+SPARE = 2.0
+#: Bytes of the forests that are broadcast at once, on average.
+MODEL_BYTES = 128 * 1024 * 1024
 EULER = 0.5772156649015329
+STREAM = "_stream"
 
 
 def c_factor(n: float) -> float:
@@ -49,18 +57,32 @@ def c_factor(n: float) -> float:
     return 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
-def _hash_unit(cols: Sequence[str]) -> F.Column:
-    h = F.xxhash64(*[F.col(c) for c in cols])
-    return F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)
+def _unit(*cols) -> F.Column:
+    """A hash in [0, 1)."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
 
+def stream_id(keys: Sequence[str]) -> F.Column:
+    """One number for a stream, null keys apart from each other."""
+    return F.xxhash64(*[c for k in keys for c in (F.col(k).isNull(), F.col(k))])
 
-def training_pool(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S,
-                  pool: int = POOL_ROWS) -> DataFrame:
-    cols = [c for c in df.columns if c not in keys and c != "_pos"]
-    with_u = df.select(*keys, *features, _hash_unit(sorted(cols)).alias("_u"))
+
+def tree_candidates(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S, trees: int = fixed.IFOREST_TREES,
+                    samples: int = fixed.IFOREST_SAMPLES, seed: int = fixed.IFOREST_SEED) -> DataFrame:
+    """(_stream, tree, _u, features): the rows from which each tree draws its
+    sample, least ``_u`` first. Rows are told apart by their place in the stream
+    where ``df`` has one (``_pos``), else by their content."""
+    rows = df.select(*keys, *features, F.xxhash64(*sorted(c for c in df.columns)).alias("_h"))
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    frac = F.least(F.lit(1.0), F.lit(2.0 * pool) / F.col("_n"))
-    return with_u.join(n, list(keys), "inner").where(F.col("_u") < frac).drop("_n")
+    rows = join_groups(rows, n, keys).withColumn("_q", F.least(F.lit(1.0), F.lit(SPARE * samples) / F.col("_n")))
+    # trees before the first one that takes the row: geometric
+    first = F.when(F.col("_q") >= 1, F.lit(0.0)).otherwise(
+        F.floor(F.log(1 - _unit("_h", F.lit(seed))) / F.log(1 - F.col("_q"))))
+    rows = rows.withColumn("_first", first).where(F.col("_first") < trees)
+    taken = F.filter(F.sequence(F.col("_first").cast("int"), F.lit(trees - 1)), lambda t: (t == F.col("_first")) | (
+        _unit("_h", t, F.lit(seed)) < F.col("_q")))
+    return (rows.select(stream_id(keys).alias(STREAM), "_h", *features, F.explode(taken).alias("tree"))
+            .select(STREAM, "tree", _unit("_h", "tree", F.lit("sample")).alias("_u"), *features))
 
 
 def _build_tree(X: np.ndarray, rng: np.random.Generator, limit: int):
@@ -90,46 +112,35 @@ def _build_tree(X: np.ndarray, rng: np.random.Generator, limit: int):
     return feat, thr, left, right, val
 
 
-FOREST_SCHEMA = T.StructType([
-    T.StructField("cloud_provider", T.StringType()), T.StructField("unified_category", T.StringType()),
-    T.StructField("tree", T.IntegerType()), T.StructField("psi", T.IntegerType()),
-    T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("threshold", T.ArrayType(T.DoubleType())),
-    T.StructField("left", T.ArrayType(T.IntegerType())), T.StructField("right", T.ArrayType(T.IntegerType())),
-    T.StructField("value", T.ArrayType(T.DoubleType()))])
-
-
-def _fit_factory(features: Sequence[str], pool: int, trees: int, samples: int, seed: int):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.nsmallest(pool, "_u")
-        X = pdf[list(features)].to_numpy(dtype=float)
-        prov, cat = pdf["cloud_provider"].iloc[0], pdf["unified_category"].iloc[0]
-        rng = np.random.default_rng(seed + zlib.crc32(f"{prov}-{cat}".encode()))
-        psi = min(samples, len(X))
-        limit = int(math.ceil(math.log2(max(psi, 2))))
-        rows = []
-        for t in range(trees):
-            take = rng.choice(len(X), size=psi, replace=False)
-            f, th, lf, rt, v = _build_tree(X[take], rng, limit)
-            rows.append((prov, cat, t, psi, f, th, lf, rt, v))
-        return pd.DataFrame(rows, columns=[f.name for f in FOREST_SCHEMA.fields])
-    return fit
+FOREST_SCHEMA = ("_stream long, tree int, psi int, feature array<int>, threshold array<double>, left array<int>, "
+                 "right array<int>, value array<double>")
 
 
 def fit_forest(df: DataFrame, features: Sequence[str] = tuple(fixed.IFOREST_FEATURES),
-               keys: Sequence[str] = S, pool: int = POOL_ROWS, trees: int = fixed.IFOREST_TREES,
+               keys: Sequence[str] = S, trees: int = fixed.IFOREST_TREES,
                samples: int = fixed.IFOREST_SAMPLES, seed: int = fixed.IFOREST_SEED) -> DataFrame:
-    if list(keys) != list(S):
-        raise ValueError("fit_forest groups by stream")
-    pooled = training_pool(df, features, keys, pool)
-    return pooled.groupBy(*keys).applyInPandas(_fit_factory(features, pool, trees, samples, seed),
-                                               FOREST_SCHEMA)
+    """One row per (stream, tree)."""
+    names = list(features)
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        stream, tree = int(key[0]), int(key[1])
+        pdf = pdf.sort_values(["_u", *names], kind="stable").head(samples)
+        X = pdf[names].to_numpy(dtype=float)
+        psi = len(X)
+        rng = np.random.default_rng([seed, stream & (1 << 64) - 1, tree])
+        nodes = _build_tree(X, rng, int(math.ceil(math.log2(max(psi, 2)))))
+        return pd.DataFrame([(stream, tree, psi, *nodes)], columns=[
+            STREAM, "tree", "psi", "feature", "threshold", "left", "right", "value"])
+
+    drawn = tree_candidates(df, features, keys, trees, samples, seed)
+    return drawn.groupBy(STREAM, "tree").applyInPandas(fit, FOREST_SCHEMA)
 
 
 def _pack(forest_rows) -> dict:
     """{stream: (feature, threshold, left, right, value, psi)} as padded arrays."""
     by = {}
     for r in forest_rows:
-        by.setdefault((r["cloud_provider"], r["unified_category"]), []).append(r)
+        by.setdefault(r[STREAM], []).append(r)
     packed = {}
     for k, rs in by.items():
         rs.sort(key=lambda r: r["tree"])
@@ -146,24 +157,31 @@ def _pack(forest_rows) -> dict:
 
 
 def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str] = tuple(fixed.IFOREST_FEATURES),
-               out: str = "iforest_score") -> DataFrame:
+               out: str = "iforest_score", keys: Sequence[str] = S) -> DataFrame:
     """Anomaly score s = 2^(-E[h(x)] / c(psi)) for every row (higher = more
-    isolated). The forest table is bounded by streams x trees x nodes."""
-    spark = df.sparkSession
-    packed = _pack(forest.collect())
-    size = sum(sum(a.nbytes for a in v[:5]) for v in packed.values())
-    if size > MAX_MODEL_BYTES:
-        raise ValueError(f"forest of {size} bytes exceeds the broadcast bound {MAX_MODEL_BYTES}")
-    get_model = share(spark, packed)
+    isolated). ``forest`` is read once a part, so hand in a written table."""
+    nodes = forest.agg(F.sum(F.size("feature")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-nodes * 28 // MODEL_BYTES))
+    df = df.withColumn(STREAM, stream_id(keys))
+    done = [_score_part(df.where(F.pmod(STREAM, F.lit(parts)) == i) if parts > 1 else df,
+                        forest.where(F.pmod(STREAM, F.lit(parts)) == i), features, out) for i in range(parts)]
+    scored = done[0]
+    for more in done[1:]:
+        scored = scored.unionByName(more)
+    return scored.drop(STREAM)
+
+
+def _score_part(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str) -> DataFrame:
+    get_model = share(df.sparkSession, _pack(forest.collect()))
     feats = list(features)
 
     def run(batches):
         model = get_model()
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            score = np.zeros(len(pdf))
-            for key, grp in pdf.groupby(["cloud_provider", "unified_category"], sort=False):
-                if key not in model:
+            score = np.full(len(pdf), 0.5)
+            for key, grp in pdf.groupby(STREAM, sort=False):
+                if key not in model or model[key][5] <= 1:
                     continue
                 fe, th, lf, rt, va, psi = model[key]
                 X = grp[feats].to_numpy(dtype=float)
@@ -198,8 +216,8 @@ def isolation_forest(feat: DataFrame, keys: Sequence[str] = S,
     percentile (``ml_is_anomaly``)."""
     # the features feed the pool and the scoring: materialise them once
     feat = materialize(feat, "iforest-features")
-    forest = fit_forest(feat, features, keys)
+    forest = materialize(fit_forest(feat, features, keys), "iforest-trees")
     # scored rows feed both the percentile and the flag join: materialise
     # them once in the checkpoint folder instead of scoring twice
-    scored = materialize(score_rows(feat, forest, features), "iforest-scored")
-    return D.contamination_flag(scored, "iforest_score", keys)
+    scored = materialize(score_rows(feat, forest, features, keys=keys), "iforest-scored")
+    return D.contamination_flag(scored, "iforest_score", keys, written=True)

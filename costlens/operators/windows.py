@@ -93,17 +93,25 @@ def daily_window(keys: Sequence[str] = S) -> Window:
 
 
 def rolling_z(daily: DataFrame, value_cents: str, keys: Sequence[str] = S,
-              window: int = fixed.Z_WINDOW, out: str = "z") -> DataFrame:
+              window: int = fixed.Z_WINDOW, out: str = "z", over: str | None = None) -> DataFrame:
     """(x - mean) / std over the last ``window`` rows including the
     current one; z = 0 when std is null or exactly 0 (the numerator is then
-    0 as well). Exact integer moments, one sqrt, one division."""
+    0 as well). Exact integer moments, one sqrt, one division; z is reported to
+    six places. ``over`` names a flag for abs(z) > 3 that is decided by the
+    integers, z^2 > 9 without its root and division, so not by what is rounded."""
     w = daily_window(keys).rowsBetween(-(window - 1), 0)
     x = F.col(value_cents)
     n, s, q = _moments(x, w)
     var_num = n.cast("decimal(38,0)") * q - s.cast("decimal(38,0)") * s.cast("decimal(38,0)")
     z = F.when((n < 2) | (var_num == 0), F.lit(0.0)).otherwise(
         (n * x - s).cast("double") / F.sqrt(C.dec_to_double(var_num) * n / (n - 1)))
-    return daily.withColumn(out, F.round(z, 6))
+    daily = daily.select("*", F.round(z, 6).alias(out), *([] if over is None else [
+        n.alias("_n"), (n * x - s).cast("decimal(38,0)").alias("_gap"), var_num.alias("_var")]))
+    if over is None:
+        return daily
+    wide = F.col("_gap") * F.col("_gap") * (F.col("_n") - 1) > F.lit(int(fixed.Z_THRESHOLD ** 2)) * F.col("_n") * F.col("_var")
+    return daily.withColumn(over, F.when((F.col("_n") < 2) | (F.col("_var") == 0), F.lit(0)).otherwise(wide.cast("int"))).drop(
+        "_n", "_gap", "_var")
 
 
 def centered_median(daily: DataFrame, value_cents: str = "cost_cents", keys: Sequence[str] = S,

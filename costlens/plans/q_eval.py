@@ -1,5 +1,5 @@
 """Queries: contamination cut, evaluation metrics and labelled perturbation
-(I5, E4-E6, E9, C6, J5)."""
+(I5, E4-E6, E9, C6, I12, J5)."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from costlens.plans import sqlparts as Q
 from costlens.plans.catalog import query
 from costlens.sources import tables as T
 
-FLAGS = ["stat_is_anomaly", "ml_is_anomaly"]
+FLAGS = ["stat_is_anomaly", "ml_is_anomaly", "dl_is_anomaly", "ensemble_is_anomaly"]
 
 EVAL = [("spend", Q.spend(team=False)), ("feat", Q.row_features()), ("daily", Q.daily()),
         ("resid", Q.seasonal()), ("scores", Q.day_scores()), ("flags", Q.stat_rows("feat")),
@@ -22,6 +22,14 @@ EVAL = [("spend", Q.spend(team=False)), ("feat", Q.row_features()), ("daily", Q.
         ("ev", "SELECT f.*, CAST(f.cost_ratio > t._th AS INTEGER) AS ml_is_anomaly FROM flags f "
                "LEFT JOIN th t USING (cloud_provider, unified_category)")]
 
+# three tiers by exactly computable scores, and their vote
+VOTE = [*EVAL, ("dev", "SELECT *, ABS(cost - rolling_mean_7d) AS mean_gap FROM ev"),
+        ("th3", "SELECT cloud_provider, unified_category, quantile_cont(mean_gap, 0.95) AS _th3 FROM dev GROUP BY ALL"),
+        ("tiers", "SELECT d.*, CAST(mean_gap > _th3 AS INTEGER) AS dl_is_anomaly FROM dev d "
+                  "LEFT JOIN th3 USING (cloud_provider, unified_category)"),
+        ("vote", "SELECT *, CASE WHEN stat_is_anomaly = 1 OR (ml_is_anomaly = 1 AND dl_is_anomaly = 1) THEN 1 ELSE 0 END "
+                 "AS ensemble_is_anomaly FROM tiers")]
+
 
 def eval_frame(spark, sf_dir):
     """Spend rows with tier-2 features, the statistical flag (I3 window
@@ -49,54 +57,83 @@ def percentile_threshold(spark, sf_dir):
     return th.withColumn("threshold", F.round("threshold", 9))
 
 
-def _conf_sql(flag):
-    return f"""SELECT '{flag}' AS tier, COUNT(*) FILTER (WHERE is_anomaly = 1 AND {flag} = 1) AS tp,
-  COUNT(*) FILTER (WHERE NOT (is_anomaly = 1) AND {flag} = 1) AS fp,
-  COUNT(*) FILTER (WHERE is_anomaly = 1 AND NOT ({flag} = 1)) AS fn,
-  COUNT(*) FILTER (WHERE NOT (is_anomaly = 1) AND NOT ({flag} = 1)) AS tn FROM ev"""
+def vote_frame(spark, sf_dir):
+    """Spend rows with three exact tiers (the statistical flag, and the
+    contamination cuts of ``cost_ratio`` and of the distance from the rolling
+    mean) and the vote. Row features are computed once and written once."""
+    sp = T.spend(T.Tables(spark, sf_dir), team=False)
+    feat = W.rolling_features(sp).withColumn("mean_gap", F.abs(F.col("cost") - F.col("rolling_mean_7d")))
+    flagged = D.broadcast_day_score(feat, D.day_scores(sp))
+    return D.ensemble_vote(D.contamination_flags(flagged, {"ml_is_anomaly": "cost_ratio", "dl_is_anomaly": "mean_gap"}))
 
 
-@query("confusion", Q.with_(*EVAL, final="\nUNION ALL\n".join(_conf_sql(f) for f in FLAGS)))
-def confusion(spark, sf_dir):
-    """TP / FP / FN / TN of each tier's flag against the label."""
-    ev = eval_frame(spark, sf_dir)
-    parts = [A.confusion(ev, f).select(F.lit(f).alias("tier"), "*") for f in FLAGS]
-    return parts[0].unionByName(parts[1])
+LONG = ("long", "\nUNION ALL\n".join(
+    f"SELECT '{f}' AS tier, cloud_provider, unified_category, is_anomaly = 1 AS y, {f} = 1 AS p FROM vote" for f in FLAGS))
 
 
-PRF_SQL = """SELECT tier, tp, fp, fn,
-  CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+def _counts_sql(by, sets=None):
+    return f"""SELECT {by}, COUNT(*) FILTER (WHERE y AND p) AS tp, COUNT(*) FILTER (WHERE NOT y AND p) AS fp,
+  COUNT(*) FILTER (WHERE y AND NOT p) AS fn, COUNT(*) FILTER (WHERE NOT y AND NOT p) AS tn
+FROM long GROUP BY {sets or by}"""
+
+
+RATIOS = """CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
   CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall,
-  CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1
-FROM (""" + "\nUNION ALL\n".join(_conf_sql(f) for f in FLAGS) + ")"
+  CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1"""
 
 
-@query("precision_recall_f1", Q.with_(*EVAL, final=PRF_SQL))
+@query("confusion", Q.with_(*VOTE, LONG, final=_counts_sql("tier")))
+def confusion(spark, sf_dir):
+    """TP / FP / FN / TN of each tier's and the vote's flag against the label."""
+    return A.evaluate(vote_frame(spark, sf_dir), FLAGS).select("tier", "tp", "fp", "fn", "tn")
+
+
+@query("precision_recall_f1", Q.with_(*VOTE, LONG, ("counts", _counts_sql("tier")),
+                                      final=f"SELECT tier, tp, fp, fn, {RATIOS} FROM counts"))
 def precision_recall_f1(spark, sf_dir):
-    """E5: precision, recall and F1 per tier, 0 where undefined."""
-    return A.precision_recall_f1(eval_frame(spark, sf_dir), FLAGS)
+    """E5: precision, recall and F1 per tier and of the vote, 0 where undefined."""
+    return A.precision_recall_f1(vote_frame(spark, sf_dir), FLAGS)
+
 
+_CAUGHT = "COUNT(*) FILTER (WHERE is_anomaly = 1 AND {f} = 1)"
 
-@query("detection_rate", Q.with_(*EVAL, final="""SELECT COUNT(*) FILTER (WHERE is_anomaly = 1) AS true_anomalies,
-  COUNT(*) FILTER (WHERE is_anomaly = 1 AND stat_is_anomaly = 1) AS caught_stat_is_anomaly,
-  COUNT(*) FILTER (WHERE is_anomaly = 1 AND ml_is_anomaly = 1) AS caught_ml_is_anomaly,
-  CAST(COUNT(*) FILTER (WHERE is_anomaly = 1 AND stat_is_anomaly = 1) AS DOUBLE)
-    / GREATEST(1, COUNT(*) FILTER (WHERE is_anomaly = 1)) * 100 AS rate_stat_is_anomaly,
-  CAST(COUNT(*) FILTER (WHERE is_anomaly = 1 AND ml_is_anomaly = 1) AS DOUBLE)
-    / GREATEST(1, COUNT(*) FILTER (WHERE is_anomaly = 1)) * 100 AS rate_ml_is_anomaly FROM ev"""))
+
+@query("detection_rate", Q.with_(*VOTE, final="SELECT COUNT(*) FILTER (WHERE is_anomaly = 1) AS true_anomalies,\n  "
+                                 + ",\n  ".join(f"{_CAUGHT.format(f=f)} AS caught_{f}" for f in FLAGS) + ",\n  "
+                                 + ",\n  ".join(f"CAST({_CAUGHT.format(f=f)} AS DOUBLE) / GREATEST(1, COUNT(*) FILTER "
+                                                f"(WHERE is_anomaly = 1)) * 100 AS rate_{f}" for f in FLAGS) + " FROM vote"))
 def detection_rate(spark, sf_dir):
-    """Caught / max(1, injected) x 100 per tier."""
-    return A.detection_rate(eval_frame(spark, sf_dir), FLAGS)
+    """Caught / max(1, injected) x 100 per tier and of the vote."""
+    return A.detection_rate(vote_frame(spark, sf_dir), FLAGS)
 
 
-@query("true_anomalies", Q.with_(*EVAL, final="""SELECT "timestamp", cloud_provider, unified_category,
-  cost, anomaly_type, stat_is_anomaly, ml_is_anomaly FROM ev WHERE is_anomaly = 1"""))
+@query("true_anomalies", Q.with_(*VOTE, final=f"""SELECT "timestamp", cloud_provider, unified_category,
+  cost, anomaly_type, {', '.join(FLAGS)} FROM vote WHERE is_anomaly = 1"""))
 def true_anomalies(spark, sf_dir):
-    """Labelled rows with what each tier said about them."""
-    return eval_frame(spark, sf_dir).where(F.col("is_anomaly") == 1).select(
+    """Labelled rows with what each tier and the vote said about them."""
+    return vote_frame(spark, sf_dir).where(F.col("is_anomaly") == 1).select(
         "timestamp", "cloud_provider", "unified_category", "cost", "anomaly_type", *FLAGS)
 
 
+@query("ensemble_vote", Q.with_(*VOTE, final=f"""SELECT "timestamp", cloud_provider, unified_category, cost, is_anomaly,
+  anomaly_type, {', '.join(FLAGS)} FROM vote"""))
+def ensemble_vote(spark, sf_dir):
+    """Stat OR (ml AND dl) on every row, over the three exact tiers."""
+    return vote_frame(spark, sf_dir).select(
+        "timestamp", "cloud_provider", "unified_category", "cost", "is_anomaly", "anomaly_type", *FLAGS)
+
+
+@query("tier_evaluation", Q.with_(*VOTE, LONG, ("counts", _counts_sql(
+    "tier, cloud_provider, unified_category, CAST(GROUPING(cloud_provider) AS INTEGER) AS is_total",
+    "GROUPING SETS ((tier), (tier, cloud_provider, unified_category))")),
+    final=f"""SELECT tier, cloud_provider, unified_category, is_total, tp, fp, fn, tn, {RATIOS},
+  tp + fn AS true_anomalies, tp AS caught, CAST(tp AS DOUBLE) / GREATEST(1, tp + fn) * 100 AS rate FROM counts"""))
+def tier_evaluation(spark, sf_dir):
+    """Every tier and the vote, per stream and over all rows, from
+    one pass with grouping sets."""
+    return A.evaluate(vote_frame(spark, sf_dir), FLAGS, keys=["cloud_provider", "unified_category"])
+
+
 PERTURB = [("spend", Q.spend(team=False)), ("d", Q.daily_flag()),
            ("dr", "SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS _dr FROM (SELECT DISTINCT date FROM d)"),
            ("sr", f"SELECT {Q.S}, ROW_NUMBER() OVER (ORDER BY {Q.S}) - 1 AS _sr FROM (SELECT DISTINCT {Q.S} FROM d)"),

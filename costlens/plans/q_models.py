@@ -14,6 +14,7 @@ from costlens.operators import iforest as IF
 from costlens.operators import reconstruct as RC
 from costlens.operators import stl as STL
 from costlens.operators import windows as W
+from costlens.operators.positional import IDX
 from costlens.plans.catalog import query
 from costlens.sources import tables as T
 
@@ -44,7 +45,7 @@ def stat_detector_stl(spark, sf_dir):
 def isolation_forest(spark, sf_dir):
     """I4 + I5: per-stream isolation forest score and 5 % contamination flag
     for every spend row."""
-    return IF.isolation_forest(W.rolling_features(_spend(spark, sf_dir)))
+    return IF.isolation_forest(W.rolling_features(_spend(spark, sf_dir), keep_index=True)).drop(IDX)
 
 
 @query("sequence_reconstruction")
@@ -64,8 +65,8 @@ def tiers(spark, sf_dir):
     return D.ensemble_vote(flagged)
 
 
-@query("ensemble_vote")
-def ensemble_vote(spark, sf_dir):
+@query("ensemble_vote_models")
+def ensemble_vote_models(spark, sf_dir):
     """Stat OR (forest AND reconstruction) over the three real tiers."""
     return tiers(spark, sf_dir).select(
         "timestamp", "cloud_provider", "unified_category", "cost", "is_anomaly", "anomaly_type",

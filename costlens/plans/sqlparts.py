@@ -96,7 +96,10 @@ def seasonal(src: str = "daily", keys: str = S) -> str:
 
 def rolling_z(src: str, x: str, out: str, keys: str = S, window: int = 14) -> str:
     w = f"(PARTITION BY {keys} ORDER BY date ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    var = "(CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0)))"
+    gap = f"CAST(_n * {x} - _s AS DECIMAL(38,0))"
     return f"""SELECT * EXCLUDE (_n, _s, _q),
+  CASE WHEN _n < 2 OR {var} = 0 THEN 0 ELSE CAST({gap} * {gap} * CAST(_n - 1 AS DECIMAL(38,0)) > 9 * CAST(_n AS DECIMAL(38,0)) * {var} AS INTEGER) END AS {out}_over,
   ROUND(CASE WHEN _n < 2 OR (CAST(_n AS DECIMAL(38,0)) * _q - CAST(_s AS DECIMAL(38,0)) * CAST(_s AS DECIMAL(38,0))) = 0
              THEN 0.0
              ELSE CAST(_n * {x} - _s AS DOUBLE)
@@ -108,9 +111,9 @@ FROM (SELECT *, COUNT({x}) OVER {w} AS _n, CAST(SUM({x}) OVER {w} AS BIGINT) AS
 
 
 def day_scores(src: str = "resid", keys: str = S) -> str:
-    return f"""SELECT * EXCLUDE (_z, _nd),
+    return f"""SELECT * EXCLUDE (_z, _z_over, _nd),
   CASE WHEN _nd < 14 THEN 0.0 ELSE _z END AS stat_z_score,
-  CAST(ABS(CASE WHEN _nd < 14 THEN 0.0 ELSE _z END) > 3.0 AS INTEGER) AS stat_is_anomaly
+  CASE WHEN _nd < 14 THEN 0 ELSE _z_over END AS stat_is_anomaly
 FROM (SELECT *, COUNT(*) OVER (PARTITION BY {keys}) AS _nd FROM ({rolling_z(src, 'resid_cents', '_z', keys)}))"""
 
 

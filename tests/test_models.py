@@ -30,6 +30,53 @@ def test_forest_flags_and_scores(spark):
         assert 0 < r["lo"] <= r["hi"] <= 1
 
 
+FEATURES = ["cost", "rolling_mean_7d"]
+
+
+def _stream(spark, rows):
+    return spark.createDataFrame([(p, "COMPUTE", float(i), float(v), float(v) / 2) for p, i, v in rows],
+                                 "cloud_provider string, unified_category string, _pos double, cost double, rolling_mean_7d double")
+
+
+def test_trees_draw_from_the_whole_stream(spark):
+    """No pool: the samples of 100 trees together hold rows from every part of
+    a long stream, far more than any one tree's, each tree has 256 of them and
+    copies of one row are drawn one by one."""
+    from costlens.operators import iforest as IF
+    n = 30000
+    df = _stream(spark, [("AWS", i, i) for i in range(n)] + [("GCP", i, 1.0 if i % 100 else 2.0) for i in range(5000)])
+    got = IF.tree_candidates(df, FEATURES).toPandas()
+    own = got[got["cost"].max() == got["cost"]]
+    a = got.groupby("_stream")["cost"].max().idxmax()
+    own = got[got["_stream"] == a]
+    drawn = own.sort_values("_u").groupby("tree").head(256)
+    assert drawn.groupby("tree").size().eq(256).all() and drawn["tree"].nunique() == 100
+    assert drawn["cost"].nunique() > 12000                       # of 25,600 draws out of 30,000 rows
+    share = np.histogram(drawn["cost"], bins=10, range=(0, n))[0] / len(drawn)
+    assert share.min() > 0.08 and share.max() < 0.12
+    other = got[got["_stream"] != a].sort_values("_u").groupby("tree").head(256)
+    ones = (other["cost"] == 1.0).groupby(other["tree"]).mean()
+    assert 0.9 < ones.min() and ones.mean() < 1.0                # 99 % of the rows are alike
+    forest = IF.fit_forest(df, FEATURES).select("tree", "psi").collect()
+    assert len(forest) == 200 and {r["psi"] for r in forest} == {256}
+
+
+def test_forest_scores_are_finite(spark):
+    """One row, rows alike in every feature, a null key, and several parts."""
+    from costlens.operators import iforest as IF
+    rows = [("one", 0, 5.0)] + [("flat", i, 7.0) for i in range(300)] + [(None, i, float(i == 9) * 50) for i in range(60)]
+    df = _stream(spark, rows)
+    bound, IF.MODEL_BYTES = IF.MODEL_BYTES, 20_000
+    try:
+        parts = {(r["cloud_provider"], r["_pos"]): r["iforest_score"] for r in IF.isolation_forest(df, features=FEATURES).collect()}
+    finally:
+        IF.MODEL_BYTES = bound
+    whole = {(r["cloud_provider"], r["_pos"]): r["iforest_score"] for r in IF.isolation_forest(df, features=FEATURES).collect()}
+    assert parts == whole and len(whole) == len(rows)
+    assert whole["one", 0.0] == 0.5 and all(abs(whole["flat", float(i)] - 0.5) < 1e-9 for i in range(300))
+    assert all(0 < v < 1 for v in whole.values()) and max(whole[None, float(i)] for i in range(60)) == whole[None, 9.0]
+
+
 def test_reconstruction_warmup_and_share(spark):
     out = QM.sequence_reconstruction(spark, SF_SMALL)
     g = out.groupBy("cloud_provider", "unified_category").agg(
