@@ -23,6 +23,7 @@ from costlens import fixed
 from costlens.functions import columns as C
 from costlens.operators import aggregates as A
 from costlens.operators import windows as W
+from costlens.operators.keyed import join_groups
 from costlens.schema import S
 from costlens.session import materialize
 
@@ -177,7 +178,8 @@ def backtest_route_exact(series: DataFrame, n_val: int = fixed.VALIDATION_DAYS,
                          keys: Sequence[str] = S) -> DataFrame:
     """Hold out the last ``n_val`` rows per stream, forecast them with both
     models, WMAPE each; pick the trend model only when strictly better."""
-    sp = tail_split(series, n_val, keys)
+    # both models and the errors start from the split: cut it once
+    sp = materialize(tail_split(series, n_val, keys), "backtest-split")
     train = sp.where(F.col("is_validation") == 0)
     val = sp.where(F.col("is_validation") == 1)
     n_train = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nt"))
@@ -204,10 +206,22 @@ def backtest_route_exact(series: DataFrame, n_val: int = fixed.VALIDATION_DAYS,
 def production_forecast_exact(series: DataFrame, horizon: int = fixed.HORIZON_DAYS,
                               keys: Sequence[str] = S) -> DataFrame:
     """The routed model's ``horizon``-day forecast for every stream."""
-    route = backtest_route_exact(series, keys=keys).select(*keys, F.col("model_used").alias("_m"))
-    both = trend_weekday_forecast(series, horizon, keys).unionByName(
-        naive_forecast(series, horizon, keys))
-    return both.join(route, list(keys), "inner").where(F.col("model_used") == F.col("_m")).drop("_m")
+    route = materialize(backtest_route_exact(series, keys=keys).select(*keys, F.col("model_used").alias("_m")), "route")
+    routed = join_groups(series, route, keys)
+    # a stream is fitted by its own model only
+    trend = trend_weekday_forecast(routed.where(F.col("_m") == TREND).drop("_m"), horizon, keys)
+    return trend.unionByName(naive_forecast(routed.where(F.col("_m") == NAIVE).drop("_m"), horizon, keys))
+
+
+def train_residual_std(series: DataFrame, keys: Sequence[str] = S, season: int = 7) -> DataFrame:
+    """Population std of what the routed pair's models leave of their own
+    training rows: the trend model over all rows, the seasonal one over rows that
+    have a row ``season`` rows before them."""
+    trend = trend_weekday_fit(series, keys).select(*keys, F.col("n").alias("n_trend"), (F.col("sigma_cents") / 100).alias("std_trend"))
+    w = Window.partitionBy(*keys).orderBy("date")
+    r = series.select(*keys, ((F.col("y") - F.lag("y", season).over(w)) / 100).alias("_r"))
+    naive = A.residual_std(r.where("_r IS NOT NULL").withColumn("_zero", F.lit(0.0)), "_r", "_zero", keys)
+    return join_groups(trend, naive.select(*keys, F.col("n").alias("n_naive"), F.col("residual_std").alias("std_naive")), keys, "left")
 
 
 # --- D2 / D3 / D5 ------------------------------------------------------------

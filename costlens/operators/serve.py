@@ -4,8 +4,9 @@ C10, D4, E10, E11, E12, B12).
 Every read takes literal parameters (tenant, stream, dates), so the
 predicates reach the Parquet scan (partition pruning on
 ``organization_id`` when the table is partitioned, row-group pruning on
-the rest). The timeline merge is a union plus one small aggregate; the
-history cut-off is a one-row aggregate joined on a literal key.
+the rest). Tables that are loaded repeatedly are read through
+``sources/versions.py``. The timeline merge is a union plus one small aggregate;
+the history cut-off is a one-row aggregate joined on a literal key.
 """
 
 from __future__ import annotations
@@ -100,35 +101,44 @@ def last_per_day(rows: DataFrame, keys: Sequence[str] = (),
     return A.last_per_key(d, [*keys, "date"], order, list(values))
 
 
-def timeline(actual_rows: DataFrame, forecast_rows: DataFrame, provider: str, category: str,
-             end: str | dt.date, horizon_days: int, agg: str = "last") -> DataFrame:
-    """Actuals by day (last row wins, or ``agg='sum'``) followed by the
-    stream's forecast for (cutoff, cutoff + horizon]; the cutoff day's
-    predicted value is its actual, so the two lines meet."""
+def actual_line(actual_rows: DataFrame, agg: str = "last") -> DataFrame:
+    """The timeline's actual days: the last row of each day wins, or the day's
+    sum (``agg='sum'``)."""
     if agg == "last":
         act = last_per_day(actual_rows)
     else:
         act = (actual_rows.groupBy(C.to_day("timestamp").alias("date"))
                .agg(F.sum(C.exact("cost")).cast("double").alias("cost"), F.max("is_anomaly").alias("is_anomaly"),
                     F.max_by("anomaly_type", "timestamp").alias("anomaly_type")))
-    cut = act.agg(F.coalesce(F.max("date"), F.lit(str(end)).cast("date")).alias("_cutoff")) \
-             .withColumn("_k", F.lit(1))
-    # the cut-off is one row: joined on a literal key (a broadcast of one row)
-    act = act.withColumn("_k", F.lit(1)).join(F.broadcast(cut), "_k").drop("_k")
     actual = C.round_money("cost")
-    a = act.select("date", actual.alias("actual"),
-                   F.when(F.col("is_anomaly") == 1, actual).alias("anomalyCost"),
-                   F.when(F.col("date") == F.col("_cutoff"), actual).alias("predicted"),
-                   F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
-                   F.col("is_anomaly").cast("int").alias("isAnomaly"), F.col("anomaly_type").alias("type"))
-    fc = stream_filter(forecast_rows, provider, category).withColumn("_k", F.lit(1)) \
-        .join(F.broadcast(cut), "_k").drop("_k")
-    fc = fc.where((F.col("date") > F.col("_cutoff"))
-                  & (F.col("date") <= F.date_add("_cutoff", horizon_days)))
+    return act.select("date", actual.alias("actual"), F.when(F.col("is_anomaly") == 1, actual).alias("anomalyCost"),
+                      F.col("is_anomaly").cast("int").alias("isAnomaly"), F.col("anomaly_type").alias("type"))
+
+
+def timeline(actual_rows: DataFrame, forecast_rows: DataFrame, provider: str, category: str,
+             end: str | dt.date, horizon_days: int, agg: str = "last") -> DataFrame:
+    """Actuals by day followed by the stream's forecast after the newest
+    actual day, up to ``horizon_days`` beyond it; that day's predicted value is
+    its actual, so the two lines meet. Without any actual every forecast day up
+    to ``end + horizon_days`` is shown. A day is shown once: of several forecasts
+    of a day the one of the newest load (``load_number``, where there is one), of
+    equal loads the greatest values."""
+    act = actual_line(actual_rows, agg)
+    # one row whether or not there is an actual
+    cut = act.agg(F.max("date").alias("_newest")).withColumn("_k", F.lit(1))
+    a = act.withColumn("_k", F.lit(1)).join(F.broadcast(cut), "_k").select(
+        "date", "actual", "anomalyCost", F.when(F.col("date") == F.col("_newest"), F.col("actual")).alias("predicted"),
+        F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), "isAnomaly", "type")
+    fc = stream_filter(forecast_rows, provider, category)
+    load = F.col("load_number") if "load_number" in fc.columns else F.lit(0)
+    fc = fc.groupBy("date").agg(F.max(F.struct(load.alias("load"), "predicted_cost", "lower_bound", "upper_bound")).alias("f"))
+    fc = fc.withColumn("_k", F.lit(1)).join(F.broadcast(cut), "_k").drop("_k")
+    last = F.date_add(F.coalesce(F.col("_newest"), F.lit(str(end)).cast("date")), horizon_days)
+    fc = fc.where((F.col("_newest").isNull() | (F.col("date") > F.col("_newest"))) & (F.col("date") <= last))
     f = fc.select("date", F.lit(None).cast("double").alias("actual"),
                   F.lit(None).cast("double").alias("anomalyCost"),
-                  C.round_money("predicted_cost").alias("predicted"),
-                  C.round_money("lower_bound").alias("lower"), C.round_money("upper_bound").alias("upper"),
+                  C.round_money("f.predicted_cost").alias("predicted"),
+                  C.round_money("f.lower_bound").alias("lower"), C.round_money("f.upper_bound").alias("upper"),
                   F.lit(0).alias("isAnomaly"), F.lit("none").alias("type"))
     return a.unionByName(f)
 
@@ -146,7 +156,8 @@ def kpi_rollup(tl: DataFrame) -> DataFrame:
 
 
 def incident_queue(tl: DataFrame) -> DataFrame:
-    """Flagged timeline days."""
+    """Flagged timeline days. Forecast days are never flagged, so the
+    actual line is enough."""
     return tl.where(F.col("isAnomaly") == 1).select("date", "type", "actual")
 
 

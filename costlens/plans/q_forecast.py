@@ -147,14 +147,27 @@ def wmape(spark, sf_dir):
     return A.wmape(_val_pairs(spark, sf_dir), "actual", "pred", ["cloud_provider", "unified_category"])
 
 
-@query("residual_std", Q.with_(*SER, *Q.route(), final="""SELECT cloud_provider, unified_category,
+@query("residual_std", Q.with_(*SER, *Q.tw_fit("series", "tw_"), ("lagged", """SELECT cloud_provider, unified_category,
+  y - LAG(y, 7) OVER (PARTITION BY cloud_provider, unified_category ORDER BY date) AS _r FROM series"""),
+    ("nv", """SELECT cloud_provider, unified_category, COUNT(*) AS n_naive, SQRT(""" + Q.d2d(
+        """CAST(COUNT(*) AS DECIMAL(38,0)) * SUM(CAST(_r AS DECIMAL(38,0)) * CAST(_r AS DECIMAL(38,0)))
+       - CAST(SUM(_r) AS DECIMAL(38,0)) * CAST(SUM(_r) AS DECIMAL(38,0))""") + """ / (COUNT(*) * COUNT(*) * 10000))
+    AS std_naive FROM lagged WHERE _r IS NOT NULL GROUP BY ALL"""),
+    final="""SELECT f.cloud_provider, f.unified_category, f.n AS n_trend, g.sigma_cents / 100 AS std_trend, n_naive, std_naive
+FROM tw_fit f JOIN tw_sig g USING (cloud_provider, unified_category) LEFT JOIN nv USING (cloud_provider, unified_category)"""))
+def residual_std(spark, sf_dir):
+    """Population std of both models' residuals on their training rows."""
+    return FW.train_residual_std(_series(spark, sf_dir))
+
+
+@query("backtest_residual_std", Q.with_(*SER, *Q.route(), final="""SELECT cloud_provider, unified_category,
   COUNT(*) AS n, SQRT(""" + Q.d2d("""CAST(COUNT(*) AS DECIMAL(38,0)) * SUM(CAST(_r AS DECIMAL(38,0)) * CAST(_r AS DECIMAL(38,0)))
        - CAST(SUM(_r) AS DECIMAL(38,0)) * CAST(SUM(_r) AS DECIMAL(38,0))""") + """ / (COUNT(*) * COUNT(*) * 10000))
     AS residual_std
 FROM (SELECT *, CAST(ROUND(y / 100.0 * 100) AS BIGINT) - CAST(ROUND(naive_cents / 100.0 * 100) AS BIGINT) AS _r
       FROM rt_both) GROUP BY ALL"""))
-def residual_std(spark, sf_dir):
-    """Population std of the backtest residuals per stream."""
+def backtest_residual_std(spark, sf_dir):
+    """Population std of the held-out residuals per stream."""
     return A.residual_std(_val_pairs(spark, sf_dir), "actual", "pred",
                           ["cloud_provider", "unified_category"])
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from costlens import fixed
 from costlens.operators import rca as R
+from costlens.operators import serve as SV
 from costlens.plans import sqlparts as Q
 from costlens.plans.catalog import query
+from costlens.session import materialize
 from costlens.sources import tables as T
 
 K = "organization_id, cloud_provider, unified_category"
@@ -60,6 +62,12 @@ def _ctx(spark, sf_dir):
     return cs, R.incidents(cs)
 
 
+def _windows(spark, sf_dir):
+    """Each incident's window by owner, from the day cube; one pass over the rows."""
+    cube = materialize(R.day_cube(T.spend(T.Tables(spark, sf_dir), team=True, tenant=True)), "incident-cube")
+    return R.incident_windows(cube, R.cube_incidents(cube))
+
+
 @query("rca_context", Q.with_(*INC, final="SELECT * FROM ctx"))
 def rca_context(spark, sf_dir):
     """Spend rows around every incident (d-2 .. d+1, midnight bounds)."""
@@ -70,15 +78,13 @@ def rca_context(spark, sf_dir):
 @query("owner_jump", Q.with_(*INC, final="SELECT * FROM jumps"))
 def owner_jump(spark, sf_dir):
     """Per incident and (team, env), event-day cost vs the prior-day mean."""
-    cs, inc = _ctx(spark, sf_dir)
-    return R.owner_jump(R.rca_context(cs, inc))
+    return R.owner_jump(_windows(spark, sf_dir))
 
 
 @query("owner_attribution", Q.with_(*INC, final="SELECT * FROM top"))
 def owner_attribution(spark, sf_dir):
     """The owner with the largest jump per incident."""
-    cs, inc = _ctx(spark, sf_dir)
-    return R.owner_attribution(R.owner_jump(R.rca_context(cs, inc)))
+    return R.owner_attribution(R.owner_jump(_windows(spark, sf_dir)))
 
 
 @query("rca_report", Q.with_(*INC, ("n", f"SELECT {K}, date, COUNT(*) AS n_records FROM ctx GROUP BY ALL"),
@@ -88,8 +94,7 @@ def owner_attribution(spark, sf_dir):
 FROM inc i LEFT JOIN n USING ({K}, date) LEFT JOIN top t USING ({K}, date)"""))
 def rca_report(spark, sf_dir):
     """A root-cause report for every incident (skip note when empty)."""
-    cs, inc = _ctx(spark, sf_dir)
-    return R.rca_report(cs, inc)
+    return R.rca_report(T.spend(T.Tables(spark, sf_dir), team=True, tenant=True))
 
 
 @query("report_text", Q.with_(*INC, ("n", f"SELECT {K}, date, COUNT(*) AS n_records FROM ctx GROUP BY ALL"),
@@ -98,9 +103,28 @@ def rca_report(spark, sf_dir):
 FROM (SELECT *, CAST(NULL AS VARCHAR) AS type FROM n)"""))
 def report_text(spark, sf_dir):
     """The report template filled with the data-fetch note."""
-    cs, inc = _ctx(spark, sf_dir)
-    n = R.rca_context(cs, inc).groupBy(*R.TENANT_STREAM, "date").agg(F.count(F.lit(1)).alias("n"))
+    n = _windows(spark, sf_dir).groupBy(*R.TENANT_STREAM, "date").agg(F.sum("n_records").alias("n"))
     note = R.fetch_note(F.col("n"), F.col("cloud_provider"), F.col("unified_category"))
     return n.select(*R.TENANT_STREAM, "date",
                     R.report_text(F.col("date"), F.lit(None).cast("string"),
                                   F.concat_ws("-", "cloud_provider", "unified_category"), note).alias("report"))
+
+
+LATEST = ("one", f"""SELECT * FROM inc WHERE organization_id = 'org-1' AND cloud_provider = 'AWS'
+  AND unified_category = 'COMPUTE' ORDER BY date DESC LIMIT 1""")
+
+
+@query("rca_single", Q.with_(*INC, LATEST, ("n", f"SELECT {K}, date, COUNT(*) AS n_records FROM ctx GROUP BY ALL"),
+                             final=f"""SELECT i.organization_id, i.cloud_provider, i.unified_category, i.date, i.type,
+  COALESCE(n.n_records, 0) AS n_records, t.normalized_team AS owner_team, t.normalized_env AS owner_env,
+  {_report_sql(SUMMARY).replace('date AS', 'i.date AS').replace('COALESCE(type', 'COALESCE(i.type').replace('COALESCE(cloud_provider || \'-\' || unified_category', 'COALESCE(i.cloud_provider || \'-\' || i.unified_category')} AS report
+FROM one i LEFT JOIN n USING ({K}, date) LEFT JOIN top t USING ({K}, date)"""))
+def rca_single(spark, sf_dir):
+    """J4 as one call: the newest incident of a tenant's stream, named by day,
+    type and stream text, as the dashboard hands it over."""
+    cs = T.spend(T.Tables(spark, sf_dir), team=True, tenant=True)
+    own = SV.stream_filter(cs.where("organization_id = 'org-1'"), "AWS", "COMPUTE")
+    newest = R.incidents(own).agg(F.max(F.struct("date", "type")).alias("x")).first()["x"]
+    if newest is None:
+        return R.rca_single(cs, "org-1", "1970-01-01").limit(0)
+    return R.rca_single(cs, "org-1", newest["date"], newest["type"], "AWS-COMPUTE")

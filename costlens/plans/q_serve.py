@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from costlens.operators import forecast_window as FW
 from costlens.operators import serve as SV
+from costlens import schema as SC
 from costlens.plans import sqlparts as Q
 from costlens.plans.catalog import query
+from costlens.sources import files as IO
 from costlens.sources import tables as T
+from costlens.sources import versions as V
 
 TENANT, PROVIDER, CATEGORY, HISTORY, HORIZON = "org-1", "AWS", "COMPUTE", 180, 90
 TK = "organization_id, cloud_provider, unified_category"
@@ -56,23 +59,35 @@ def cloud_spend(spark, sf_dir):
     return T.spend(T.Tables(spark, sf_dir), team=True, tenant=True)
 
 
-def cloud_forecast(spark, sf_dir, cs=None):
-    cs = cs if cs is not None else cloud_spend(spark, sf_dir)
-    keys = ["organization_id", "cloud_provider", "unified_category"]
-    return FW.production_forecast_exact(FW.cleaned_series(cs, keys), keys=keys)
+KEYS = ["organization_id", "cloud_provider", "unified_category"]
+
+
+def stored_forecast(spark, cs):
+    """The routed forecast of the tenants and streams in ``cs``, loaded into the
+    versioned forecast table; all its loads."""
+    fc = FW.production_forecast_exact(FW.cleaned_series(cs, KEYS), keys=KEYS)
+    fc = fc.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SC.CLOUD_FORECAST.fields])
+    path = IO.scratch_path(spark, "cloud_forecast")
+    V.write_load(fc, path, "routed", 1)
+    return V.read_loads(spark, path, SC.CLOUD_FORECAST)
 
 
 def _dash(spark, sf_dir):
     cs = cloud_spend(spark, sf_dir)
-    end = SV.last_stream_day(cs, TENANT, PROVIDER, CATEGORY)
-    start = end - dt.timedelta(days=HISTORY) if end else None
-    return cs, end, start
+    end = SV.last_stream_day(cs, TENANT, PROVIDER, CATEGORY) or dt.date(1970, 1, 1)
+    return cs, end, end - dt.timedelta(days=HISTORY)
 
 
-def _timeline(spark, sf_dir):
+def _actual_rows(spark, sf_dir):
     cs, end, start = _dash(spark, sf_dir)
-    rows = SV.spend_range(cs, TENANT, PROVIDER, CATEGORY, start, end)
-    fc = SV.forecast_by_tenant(cloud_forecast(spark, sf_dir, cs), TENANT)
+    return cs, SV.spend_range(cs, TENANT, PROVIDER, CATEGORY, start, end), end
+
+
+def _timeline(spark, sf_dir):
+    cs, rows, end = _actual_rows(spark, sf_dir)
+    # only the stream that is shown gets a forecast
+    own = SV.stream_filter(cs.where(F.col("organization_id") == TENANT), PROVIDER, CATEGORY)
+    fc = V.newest(stored_forecast(spark, own), F.col("organization_id") == TENANT, keep_load=True)
     return SV.timeline(rows, fc, PROVIDER, CATEGORY, end, HORIZON)
 
 
@@ -87,7 +102,8 @@ def spend_range(spark, sf_dir):
   predicted_cost, lower_bound, upper_bound, model_used FROM fc WHERE organization_id = '{TENANT}'"""))
 def forecast_by_tenant(spark, sf_dir):
     """All forecast rows of one tenant (per-tenant routed forecasts)."""
-    return SV.forecast_by_tenant(cloud_forecast(spark, sf_dir), TENANT)
+    own = cloud_spend(spark, sf_dir).where(F.col("organization_id") == TENANT)
+    return SV.forecast_by_tenant(V.newest(stored_forecast(spark, own), F.col("organization_id") == TENANT), TENANT)
 
 
 @query("stream_filter", Q.with_(("spend", Q.spend(team=True)), final=f"""SELECT * FROM spend
@@ -145,7 +161,8 @@ def kpi_rollup(spark, sf_dir):
 WHERE "isAnomaly" = 1"""))
 def incident_queue(spark, sf_dir):
     """Flagged days of the timeline."""
-    return SV.incident_queue(_timeline(spark, sf_dir))
+    _, rows, _ = _actual_rows(spark, sf_dir)
+    return SV.incident_queue(SV.actual_line(rows))
 
 
 @query("last_per_day", Q.with_(("spend", Q.spend(team=False)), final=f"""SELECT {Q.S}, date, cost, is_anomaly, anomaly_type
