@@ -3,6 +3,7 @@
 Each normaliser is one ``select``: no Python, no UDF, so the projection
 fuses into the scan's whole-stage codegen. JSON tags use Spark's JSON
 functions (``json_object_keys`` tells a missing key from a JSON null).
+``keep`` names columns that stay as they are, such as an event's id.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ def _q(name: str):
     return F.col(f"`{name}`")
 
 
-def normalize_aws(raw: DataFrame) -> DataFrame:
+def normalize_aws(raw: DataFrame, *keep: str) -> DataFrame:
     """B1: cost is the unblended cost (net cost is ignored)."""
     return raw.select(
+        *keep,
         C.parse_ts(_q("lineItem/UsageStartDate")).alias("timestamp"),
         F.lit("AWS").alias("cloud_provider"),
         C.category_map(_q("productCode"), fixed.AWS_SERVICE_MAP).alias("unified_category"),
@@ -33,9 +35,10 @@ def normalize_aws(raw: DataFrame) -> DataFrame:
     )
 
 
-def normalize_gcp(raw: DataFrame) -> DataFrame:
+def normalize_gcp(raw: DataFrame, *keep: str) -> DataFrame:
     """B2."""
     return raw.select(
+        *keep,
         C.parse_ts(_q("usage_start_time")).alias("timestamp"),
         F.lit("GCP").alias("cloud_provider"),
         C.category_map(_q("service/description"), fixed.GCP_SERVICE_MAP).alias("unified_category"),
@@ -47,9 +50,10 @@ def normalize_gcp(raw: DataFrame) -> DataFrame:
     )
 
 
-def normalize_azure(raw: DataFrame) -> DataFrame:
+def normalize_azure(raw: DataFrame, *keep: str) -> DataFrame:
     """Env and team come from the JSON ``Tags`` string."""
     return raw.select(
+        *keep,
         C.parse_ts(_q("UsageDateTime")).alias("timestamp"),
         F.lit("Azure").alias("cloud_provider"),
         C.category_map(_q("MeterCategory"), fixed.AZURE_SERVICE_MAP).alias("unified_category"),

@@ -16,12 +16,16 @@ from costlens.operators import detect as D
 from costlens.operators import forecast_window as FW
 from costlens.operators import normalize as N
 from costlens.operators import serve as SV
+from costlens.plans import ingest as IG
 from costlens.plans import sqlparts as Q
 from costlens.plans.catalog import query
 from costlens.plans.q_serve import ORGS
+from costlens.sources import exports as EX
 from costlens.sources import files as IO
 from costlens.sources import tables as T
+from costlens.sources import versions as V
 from costlens.streaming import append as K
+from costlens.streaming import dedupe as KD
 
 FIRST = "(SELECT id FROM orgs ORDER BY created_at, id LIMIT 1)"
 
@@ -110,7 +114,71 @@ def stream_append(spark, sf_dir):
     t = T.Tables(spark, sf_dir)
     ev = t.events
     src = IO.scratch_path(spark, "arriving")
-    ev.repartition(4, "event_type").write.parquet(src)
+    ev.repartition(4, "event_id").write.parquet(src)
     sink, ckpt = IO.scratch_path(spark, "cloud_spend"), IO.scratch_path(spark, "stream_ckpt")
     K.stream_append(spark, src, ev.schema, _first_tenant(t), sink, ckpt)
     return IO.read_tenant_table(spark, sink)
+
+
+def _written_exports(spark, sf_dir, raw=lambda vendor, df: df):
+    """The three vendors' exports as CSV folders."""
+    t = T.Tables(spark, sf_dir)
+    paths = {}
+    for vendor, frame in (("aws", T.raw_aws(t)), ("gcp", T.raw_gcp(t)), ("azure", T.raw_azure(t))):
+        paths[vendor] = IO.scratch_path(spark, f"{vendor}_raw_billing.csv")
+        IO.write_billing_csv(raw(vendor, frame), paths[vendor])
+    return t, paths
+
+
+@query("ingest_exports", Q.with_(("orgs", ORGS), ("raw_aws", Q.RAW_AWS), ("raw_gcp", Q.RAW_GCP), ("raw_azure", Q.RAW_AZURE),
+                                 final=f"""SELECT u.*, o.id AS organization_id FROM (
+SELECT * FROM ({Q.norm_aws()}) UNION ALL SELECT * FROM ({Q.norm_gcp()}) UNION ALL SELECT * FROM ({Q.norm_azure()})) u, {FIRST} o"""))
+def ingest_exports(spark, sf_dir):
+    """The loader job from the three vendors' CSV exports to
+    the tenant table, loaded twice with one number, read back."""
+    t, paths = _written_exports(spark, sf_dir)
+    out = IO.scratch_path(spark, "ingest")
+    for _ in range(2):
+        report = IG.run_ingest(spark, paths, T.organizations(t), out, forecast=f"{out}/no_forecast.csv")
+    return V.newest(V.read_loads(spark, report.spend_path, SC.CLOUD_SPEND)).select(*SC.SPEND_COLUMNS, "organization_id")
+
+
+_LARGE = 1000
+
+
+@query("quarantine_exports", Q.with_(("raw_aws", Q.RAW_AWS), ("raw_gcp", Q.RAW_GCP), ("raw_azure", Q.RAW_AZURE), ("c", """
+SELECT 'aws' AS vendor, "lineItem/UnblendedCost" AS cost FROM raw_aws UNION ALL SELECT 'gcp', cost FROM raw_gcp
+UNION ALL SELECT 'azure', "CostInBillingCurrency" FROM raw_azure"""), final=f"""SELECT vendor,
+  COUNT(*) FILTER (WHERE ROUND(cost, 2) < {_LARGE}) AS n_rows, COUNT(*) FILTER (WHERE ROUND(cost, 2) >= {_LARGE}) AS n_rejected
+FROM c GROUP BY vendor"""))
+def quarantine_exports(spark, sf_dir):
+    """A1: exports whose costs of a thousand and more are written as '1,234.50':
+    those records are quarantined, none is lost, none becomes a null cost."""
+    names = {"aws": "lineItem/UnblendedCost", "gcp": "cost", "azure": "CostInBillingCurrency"}
+    t, paths = _written_exports(spark, sf_dir, lambda vendor, df: df.withColumn(
+        names[vendor], F.format_number(F.col(f"`{names[vendor]}`"), 2)))
+    rows, rejected = EX.normalized_exports(spark, paths)
+    good = rows.groupBy(F.lower("cloud_provider").alias("vendor")).agg(F.count("cost").alias("n_rows"))
+    bad = rejected.groupBy("vendor").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return good.join(bad, "vendor", "full").na.fill(0, ["n_rows", "n_rejected"])
+
+
+@query("stream_dedupe", Q.with_(("orgs", ORGS), ("raw_ev", Q.RAW_AZURE_EVENTS.replace("SELECT", "SELECT event_id,", 1)),
+                                final=f"""SELECT e.*, o.id AS organization_id FROM ({Q.norm_azure("raw_ev").replace("SELECT", "SELECT event_id,", 1)}) e, {FIRST} o"""))
+def stream_dedupe(spark, sf_dir):
+    """K1: the event feed delivered as files of which a third come twice, one of
+    them to a stream whose checkpoint was lost: every event is stored once."""
+    t = T.Tables(spark, sf_dir)
+    ev = t.events
+    src, again = IO.scratch_path(spark, "arriving"), IO.scratch_path(spark, "arriving_again")
+    dealt = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    ev.repartition(3, dealt).write.parquet(src)
+    ev.where(dealt == 0).repartition(1).write.mode("append").parquet(src)
+    ev.where(dealt == 1).write.parquet(again)
+    path, ckpt = IO.scratch_path(spark, "cloud_events"), IO.scratch_path(spark, "stream_ckpt")
+
+    def normalise(rows):
+        return N.normalize_azure(T.events_as_azure(rows, "event_id"), "event_id")
+    KD.stream_events(spark, src, ev.schema, normalise, _first_tenant(t), path, f"{ckpt}/a", "feed")
+    KD.stream_events(spark, again, ev.schema, normalise, _first_tenant(t), path, f"{ckpt}/b", "feed-2")
+    return KD.read_events(spark, path)

@@ -163,11 +163,12 @@ def raw_azure(t: Tables) -> DataFrame:
     )
 
 
-def events_as_azure(events: DataFrame) -> DataFrame:
+def events_as_azure(events: DataFrame, *keep: str) -> DataFrame:
     """Event rows in the Azure export layout: intraday timestamps and
     free-form JSON tags (``{"k": n}``: no env, no team). Works on a batch or
-    a streaming frame."""
+    a streaming frame; ``keep`` names columns that stay."""
     return events.select(
+        *keep,
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("UsageDateTime"),
         F.col("event_type").alias("MeterCategory"),
         F.col("value").alias("CostInBillingCurrency"),
