@@ -10,15 +10,13 @@ candidates to verify, where candidates that must share l tokens number at most
 the prefix's frequencies over l. Frequencies are estimates from a count table
 of fixed size; they affect the cost only, never the result.
 
-Equal sets are one class. Classes that share a token meet through that
-token's pivot, and what links is one component; only tokens that still join
-different components go on, with the next pivot, or, once that is little,
-pair by pair. So a group of thousands of near copies costs a few pairs each,
-and no link between different components is left out.
-
-A pair is verified in two steps: parity signatures of the sets bound from below
-how many grams only one of them holds, which sends off most pairs that share a
-few tokens only; sets are built and compared for the rest.
+Equal sets are one class. Classes that share a prefix token meet under that token,
+in the rounds of ``rounds.py``: pivots of a token meet all its classes and links
+make components, so a group of thousands of near copies costs a few pairs each,
+and no link between different components is left out. Tokens that the same classes
+hold are one. A candidate is sent off by parity bitmaps of the sets, which bound
+from below how many grams only one of them holds, then by the number of prefix
+tokens it shares, before the sets themselves are compared.
 
 Texts without words have an empty set and link with nothing; fewer words than
 n are one gram. Sets and classes are told apart by 64-bit hashes.
@@ -31,18 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.llm import counts
-from costlens.llm.components import components
 from costlens.llm.kernels import SPACE, byte_table, chain, words_of
+from costlens.llm.rounds import join_rounds, set_sketch, unlike_keys
 from costlens.session import materialize, share
 
 SKETCH_BITS = 18
 MOST_SHARED = 4
 #: What verifying a candidate costs against indexing a token.
 VERIFY_COST = 4.0
-#: Pairs per posting from which another pivot comes before single pairs.
-PAIRS_PER_POSTING = 64
-#: Document ids up to which their list may be broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def gram_sets(col, n: int):
@@ -113,28 +107,7 @@ class Order:
         return values[order], best + 1, int(sizes[best])
 
 
-def signature(v: np.ndarray) -> bytes:
-    """One bit per bucket of hashes: whether the set has an odd number there.
-    Bits in which two signatures differ are at most the grams in one set only."""
-    bits = 64
-    while bits < 2 * len(v):
-        bits *= 2
-    odd = np.bincount((v & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound on the grams that only one of two sets holds; a longer
-    signature folds into a shorter."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    while len(x) > len(y):
-        x = x[:len(x) // 2] ^ x[len(x) // 2:]
-    while len(y) > len(x):
-        y = y[:len(y) // 2] ^ y[len(y) // 2:]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-SET = "doc_id long, row long, n long, cls long, l int, prefix array<long>, sig binary"
+SET = "doc_id long, row long, n long, cls long, prefix array<long>"
 
 
 def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -148,31 +121,28 @@ def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFra
             ids, rows = b.column("doc_id"), b.column("row")
             for i, values, at in gram_sets(b.column("text"), n):
                 k = len(at) - 1
-                cls, asked, prefix, sig = np.zeros(k, np.int64), np.ones(k, np.int32), [], []
+                cls, prefix = np.zeros(k, np.int64), []
                 for d in range(k):
                     v = values[at[d]:at[d + 1]]
-                    sig.append(signature(v))
                     if not len(v):
                         prefix.append(np.zeros(0, np.int64))
                         continue
                     cls[d] = set_hash(v)
-                    g, asked[d], p = order.arrange(v)
+                    g, _, p = order.arrange(v)
                     prefix.append(g[:p].astype(np.int64))
                 off = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, k), rows.slice(i, k), pa.array(np.diff(at).astype(np.int64)), pa.array(cls), pa.array(asked),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sig, pa.binary())],
-                    names=["doc_id", "row", "n", "cls", "l", "prefix", "sig"])
+                    [ids.slice(i, k), rows.slice(i, k), pa.array(np.diff(at).astype(np.int64)), pa.array(cls),
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["doc_id", "row", "n", "cls", "prefix"])
 
     return docs.select("doc_id", "row", "text").mapInArrow(run, SET)
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(cls, l, p, grams) of the documents named by ``wanted`` (doc_id, cls),
-    grams in the global order as 64-bit integers."""
+    """(cls, n, l, prefix, grams, sketch) of the documents named by ``wanted``
+    (doc_id, cls): the prefix and all grams in the global order, as 64-bit integers."""
     get = share(docs.sparkSession, Order(table, percent))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def run(batches):
         import pyarrow as pa
@@ -181,67 +151,55 @@ def class_sets(docs: DataFrame, wanted: DataFrame, table: np.ndarray, n: int, pe
             cls = b.column("cls").to_pylist()
             for i, values, at in gram_sets(b.column("text"), n):
                 # rows that repeat a document's id may hold another text
-                own = [values[at[d]:at[d + 1]] for d in range(len(at) - 1)]
-                named = [c for c, v in zip(cls[i:], own) if len(v) and set_hash(v) == c]
-                got = [order.arrange(v) for c, v in zip(cls[i:], own) if len(v) and set_hash(v) == c]
+                own = [(c, v) for c, v in zip(cls[i:], (values[at[d]:at[d + 1]] for d in range(len(at) - 1)))
+                       if len(v) and set_hash(v) == c]
+                got = [order.arrange(v) for _, v in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(named, pa.int64()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.int32()),
-                     pa.array([x[0].tobytes() for x in got], pa.binary())], names=["cls", "l", "p", "grams"])
+                    [pa.array([c for c, _ in own], pa.int64()), pa.array([len(v) for _, v in own], pa.int64()),
+                     pa.array([x[1] for x in got], pa.int32()), pa.array([x[0][:x[2]].tobytes() for x in got], pa.binary()),
+                     pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([set_sketch(v) for _, v in own], pa.binary())],
+                    names=["cls", "n", "l", "prefix", "grams", "sketch"])
 
     named = wanted.withColumnRenamed("doc_id", "of")
-    picked = docs.join(F.broadcast(named) if few else named, F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "text")
-    return picked.mapInArrow(run, "cls long, l int, p int, grams binary")
+    picked = docs.join(named, F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "text")
+    return picked.mapInArrow(run, "cls long, n long, l int, prefix binary, grams binary, sketch binary").dropDuplicates(["cls"])
 
 
-def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their signatures leave possible: linked sets differ
-    in at most (100 - t) / (100 + t) of the sum of their sizes."""
-    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+def _common(x: bytes, y: bytes) -> int:
+    return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
 
-    def run(batches):
-        import pyarrow as pa
-        for b in batches:
-            na, nb, sa, sb = (b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))
-            keep = [(100 + percent) * least_difference(s, t) <= (100 - percent) * (n + m)
-                    for n, m, s, t in zip(na, nb, sa, sb)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs (a, b): whether they share as many prefix tokens as
+    the lesser of their two numbers l, and, only if so, whether their sets link."""
 
+    def both(pairs, *names):
+        for side in "ab":
+            pairs = pairs.join(sets.select(F.col("cls").alias(side), *[F.col(c).alias(c + side) for c in names]), side)
+        return pairs
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: first enough shared prefix tokens, then the
-    whole sets."""
-    left = sets.select(F.col("cls").alias("a"), F.col("l").alias("la"), F.col("p").alias("pa"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("cls").alias("b"), F.col("l").alias("lb"), F.col("p").alias("pb"), F.col("grams").alias("gb"))
+    def matched(batches):
+        import pyarrow as pa
+        for b in batches:
+            c = b.to_pydict()
+            enough = [_common(x, y) >= min(l, m) for x, y, l, m in zip(c["prefixa"], c["prefixb"], c["la"], c["lb"])]
+            yield b.select(["a", "b"]).append_column("enough", pa.array(enough, pa.bool_()))
 
-    def run(batches):
+    def compared(batches):
         import pyarrow as pa
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("a", "b", "la", "lb", "pa", "pb", "ga", "gb")]
-            out_a, out_b = [], []
-            for a, o, la, lb, pa_, pb, ga, gb in zip(*cols):
-                nx, ny = len(ga) // 8, len(gb) // 8
-                if 100 * min(nx, ny) < percent * max(nx, ny):
-                    continue
-                x, y = np.frombuffer(ga, np.uint64), np.frombuffer(gb, np.uint64)
-                if len(np.intersect1d(x[:pa_], y[:pb], assume_unique=True)) < min(la, lb):
-                    continue
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (nx + ny - same):
-                    out_a.append(a)
-                    out_b.append(o)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
-
-
-def may_link(n: str, pos: str, n2: str, pos2: str, percent: int):
-    """Whether two sets that share the grams at these places of their orders
-    can overlap enough: at most the lesser of what comes before, and of the rest."""
-    return F.expr(f"(100 + {percent}) * (least({pos}, {pos2}) + least({n} - {pos}, {n2} - {pos2})) "
-                  f">= {percent} * ({n} + {n2})")
+            c = b.to_pydict()
+            linked = []
+            for x, y in zip(c["gramsa"], c["gramsb"]):
+                same = _common(x, y)
+                linked.append(100 * same >= percent * (len(x) // 8 + len(y) // 8 - same))
+            yield b.select(["a", "b"]).append_column("linked", pa.array(linked, pa.bool_()))
+
+    tested = materialize(both(pairs, "l", "prefix").select("a", "b", "la", "lb", "prefixa", "prefixb").mapInArrow(
+        matched, "a long, b long, enough boolean"), "matched-pairs")
+    full = both(tested.where("enough").select("a", "b"), "grams").select("a", "b", "gramsa", "gramsb").mapInArrow(
+        compared, "a long, b long, linked boolean")
+    return full.unionByName(tested.where("NOT enough").select("a", "b", F.lit(False).alias("linked")))
 
 
 def row_of(text):
@@ -257,61 +215,16 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     table = gram_counts(docs, n)
     base = materialize(indexed(docs, table, n, percent), "gram-sets")
     full = base.where("n > 0")
-    # one row per class of equal sets, with the copies added up before the shuffle
-    classes = materialize(full.groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
-    postings = full.select("cls", "n", "l", F.posexplode("prefix").alias("pos", "token"))
+    # one row per class of equal sets, whose rows have equal prefixes
+    classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("prefix").alias("prefix")), "classes")
+    postings = classes.select("cls", F.explode("prefix").alias("key"))
     # tokens of one class only go; a join, as it splits the rows of a hot token
-    ends = postings.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("most")).where("pivot < most")
-    held = materialize(postings.join(ends.drop("most"), "token").distinct(), "held")
-    firsts = held.where("cls = pivot").select("token", F.struct("cls", "n", "pos").alias("first"))
-    shared = materialize(held.drop("pivot").join(firsts, "token"), "shared")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that link; only the sets of documents in pairs that their
-        signatures leave are built."""
-        pairs = materialize(near(pairs, classes, percent), "pairs")
-        ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        wanted = classes.join(ids, "cls", "left_semi").select("cls", "doc_id")
-        sets = class_sets(docs, materialize(wanted, "wanted"), table, n, percent).dropDuplicates(["cls"])
-        return materialize(verify(pairs, sets, percent), "links")
-
-    met = shared.where((F.col("cls") != F.col("first.cls")) & may_link("n", "pos", "first.n", "first.pos", percent))
-    links = linked(met.select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct())
-    comp = components(links)
-    # a token's pivot has met all its classes and leaves it
-    rest = shared.where("cls != first.cls").drop("first")
-    while True:
-        own = rest.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        parts = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("cls", "n", "pos")).alias("low"))
-        tokens = parts.groupBy("token").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"),
-            F.min(F.struct("low.cls", "low.n", "low.pos", "comp")).alias("first"),
-            F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1").drop("n_parts")
-        tokens = materialize(tokens, "live-tokens")
-        row = tokens.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
-        if not row["rows"]:
-            break
-        live = materialize(own.join(tokens.drop("k", "kk"), "token"), "live")
-        last = row["pairs"] <= PAIRS_PER_POSTING * row["rows"]
-        if last:
-            x = live.select("token", "cls", "n", "l", "pos", "comp")
-            y = x.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "l", "pos", "comp")])
-            # a pair that no pivot has met shares live tokens only, so counting
-            # them is the multi-match test
-            pairs = (x.join(y, "token").where((F.col("cls") < F.col("cls2")) & (F.col("comp") != F.col("comp2")))
-                     .where(may_link("n", "pos", "n2", "pos2", percent))
-                     .groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b"))
-                     .agg(F.count(F.lit(1)).alias("c"), F.max(F.least("l", "l2")).alias("asked"))
-                     .where("c >= asked").select("a", "b"))
-        else:
-            pairs = live.where((F.col("comp") != F.col("first.comp")) & may_link("n", "pos", "first.n", "first.pos", percent)
-                               ).select(F.col("cls").alias("a"), F.col("first.cls").alias("b")).distinct()
-        links = links.unionByName(linked(pairs))
-        comp = components(links)
-        if last:
-            break
-        rest = live.where("cls != first.cls").select(*rest.columns)
+    ends = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
+    shared = materialize(unlike_keys(materialize(postings.join(ends, "key"), "held")), "shared")
+    wanted = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id")
+    sets = materialize(class_sets(docs, wanted, table, n, percent), "class-sets")
+    comp = join_rounds(sets.select("cls", "n", "sketch"), shared, lambda pairs: verify(pairs, sets, percent), percent
+                       ).withColumnRenamed("cls", "id")
     grouped = full.select("doc_id", "row", "n", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select(
         "doc_id", "row", "n", F.coalesce("comp", "cls").alias("comp"))
     return grouped.unionByName(base.where("n = 0").select("doc_id", "row", "n", F.lit(None).cast("long").alias("comp")))
