@@ -118,26 +118,36 @@ def corpus_segments(keyed: DataFrame) -> DataFrame:
 
 def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Order of all suffixes, each up to its segment's end; equal ones by
-    place. ``text`` has symbols 1 to 256, ``left`` the symbols up to the end."""
+    place. ``text`` has symbols 1 to 256, ``left`` the symbols up to the end.
+    Ranks are doubled, and a suffix whose rank is its own takes no further part."""
     n = len(text)
     key = np.zeros(n, np.int64)
     for j in range(7):
         key <<= 9
         key[:n - j] |= np.where(left[:n - j] > j, text[j:], 0)
+    order = np.argsort(key, kind="stable")
+    slots = np.arange(n)                    # where the suffixes not yet told apart stand
+    sorted_key = key[order]
+    rank = np.zeros(n + 1, np.int64)        # the first slot of a suffix's group, from 1; 0 is the end
     depth, most = 7, int(left.max(initial=0))
-    while True:
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) + 1
-        if depth >= most or new.sum() == n - 1:
-            return order
-        after = np.zeros(n, np.int64)
-        after[:max(n - depth, 0)] = rank[depth:]
-        after[left <= depth] = 0
-        key = rank * (n + 2) + after
+    while len(slots):
+        new = np.ones(len(slots), bool)
+        new[1:] = sorted_key[1:] != sorted_key[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(slots)])
+        members = order[slots]
+        rank[members] = np.repeat(slots[first] + 1, size)
+        if depth >= most:
+            break
+        many = np.repeat(size > 1, size)
+        slots, members = slots[many], members[many]
+        after = np.where(left[members] > depth, rank[np.minimum(members + depth, n)], 0)
+        key = rank[members] * (n + 2) + after
+        again = np.argsort(key, kind="stable")
+        order[slots] = members[again]
+        sorted_key = key[again]
         depth *= 2
+    return order
 
 
 def common_prefix(words: np.ndarray, left: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
