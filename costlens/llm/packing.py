@@ -164,28 +164,51 @@ class Plan:
     sequences: int
 
 
+def best_fit(left: np.ndarray, units: int) -> list[tuple[np.ndarray, int]]:
+    """Best fit decreasing as patterns and counts: the longest piece first, each
+    into the sequence with the least room that holds it. Sequences filled alike
+    are one group, and pieces of a type go to a group at once, so the work
+    depends on the number of types and not on that of pieces."""
+    by_room: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(units + 1)]
+    for t in np.flatnonzero(left)[::-1]:
+        n, size = int(left[t]), int(t) + 1
+        while n:
+            room = next((r for r in range(size, units + 1) if by_room[r]), None)
+            p, count = by_room[room].pop() if room is not None else (np.zeros_like(left), -(-n // (units // size)))
+            room = units if room is None else room
+            each = room // size          # a piece leaves the least room, so the next one follows it
+            for k, some in ((each, min(count, n // each)), (n % each, 1)):
+                if k and some and count and n:
+                    q = p.copy()
+                    q[t] += k
+                    by_room[room - k * size].append((q, some))
+                    n, count = n - k * some, count - some
+            if count:
+                by_room[room].append((p, count))
+    return [(p, x) for same in by_room for p, x in same if p.any()]
+
+
 def plan(demand: np.ndarray, units: int) -> Plan:
-    """Patterns with whole counts that cover the demand exactly."""
-    left = demand.astype(np.int64).copy()
-    chosen: list[tuple[np.ndarray, int]] = []
-    if left.any():
-        patterns, amounts = solve_lp(left.astype(float), units)
-        for p, x in zip(patterns, np.floor(amounts + 1e-9).astype(np.int64)):
-            if x > 0 and p.any():
-                x = min(x, int((left[p > 0] // p[p > 0]).min()))
-            if x > 0 and p.any():
-                chosen.append((p, int(x)))
+    """Patterns with whole counts that cover the demand exactly: the program's
+    amounts rounded down, then best fit for the pieces they leave. With few
+    pieces of many types the program ends far from its optimum and rounding loses
+    most of it, so three plans are made, with all of its patterns, with the full
+    ones and with none, and the one of the fewest sequences is taken."""
+    kinds = np.arange(len(demand)) + 1
+    patterns, amounts = solve_lp(demand.astype(float), units) if demand.any() else ([], [])
+    plans = []
+    for least in (0, int(units * (1 - 2 * GAP)), units + 1):
+        left = demand.astype(np.int64).copy()
+        some: list[tuple[np.ndarray, int]] = []
+        for p, amount in zip(patterns, amounts):
+            if not p.any() or (p * kinds).sum() < least:
+                continue
+            x = min(int(np.floor(amount + 1e-9)), int((left[p > 0] // p[p > 0]).min()))
+            if x > 0:
+                some.append((p, x))
                 left -= p * x
-    # best fit decreasing by whole patterns: each pass fills one sequence from
-    # the longest piece left and repeats it as long as the pieces last
-    while left.any():
-        p, room = np.zeros_like(left), units
-        for t in np.flatnonzero(left)[::-1]:
-            k = min(int(left[t]), room // (int(t) + 1))
-            p[t], room = k, room - k * (int(t) + 1)
-        x = int((left[p > 0] // p[p > 0]).min())
-        chosen.append((p, x))
-        left -= p * x
+        plans.append(some + best_fit(left, units))
+    chosen = min(plans, key=lambda c: sum(x for _, x in c))
     upto, base, each = ([[] for _ in demand] for _ in range(3))
     first = 0
     for p, x in chosen:
