@@ -235,7 +235,9 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFram
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, every column as it was, that have a language."""
+    """The rows of ``docs``, every column as it was, that have a language. A model
+    of no language at all (no labelled row) knows letters only: texts without one
+    go, and nothing else does."""
     get = share(docs.sparkSession, model)
     at = docs.columns.index("text")
 
@@ -243,8 +245,11 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
         model = get()
         for b in batches:
-            pred = [p for _, labels, _, _ in label_texts(model, b.column(at)) for p in labels]
-            yield b.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+            if model.langs:
+                keep = [p != "und" for _, labels, _, _ in label_texts(model, b.column(at)) for p in labels]
+            else:
+                keep = [t is not None and has_letter(t) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

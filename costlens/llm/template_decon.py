@@ -126,8 +126,12 @@ def item_windows(benchmark: DataFrame, share: float) -> DataFrame:
 def keyed(df: DataFrame, key: str, row: str) -> DataFrame:
     """(key, row, text), row a hash of both: rows that repeat an id are told
     apart by their text, and a null id is one of its own."""
+    return df.select(F.col(key).cast("long").alias(key), row_of(key).alias(row), "text")
+
+
+def row_of(key: str):
     id = F.col(key).cast("long")
-    return df.select(id.alias(key), F.xxhash64(id.isNull(), id, F.col("text")).alias(row), "text")
+    return F.xxhash64(id.isNull(), id, F.col("text"))
 
 
 #: A document's row and an item's row, never null.
@@ -176,11 +180,10 @@ def occurrences(pairs: DataFrame) -> DataFrame:
     return at.select(*PAIR, F.lit(False).alias("near"), F.col("diff").alias("anchor"), *kept).unionByName(nearest)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_item_windows, share, consistent) for the
-    pairs that reach ``share``, consistent or not; of several occurrences or
-    rows with one id the consistent one of the greatest share. Row identity is
-    the id and the text: windows are counted distinct."""
+def row_matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """(row, doc_id, item_id, n_windows, n_item_windows, share, consistent) for
+    the occurrences that reach ``share``, consistent or not. Row identity is the
+    id and the text (``keyed``): windows are counted distinct."""
     items = item_windows(benchmark, share)
     widths = [tuple(r) for r in items.select("raw", "size").distinct().collect()]       # at most 2 x WINDOW
     small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -197,14 +200,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Data
              .agg(F.countDistinct("item_pos").alias("n_windows"),
                   *[F.first(c).alias(c) for c in ("doc_id", "item_id", "n_item_windows")])
              .where("n_windows = n_item_windows")
-             .select("doc_id", "item_id", "n_windows", "n_item_windows", F.lit(1.0).alias("share"), F.lit(True).alias("consistent")))
+             .select("row", "doc_id", "item_id", "n_windows", "n_item_windows", F.lit(1.0).alias("share"), F.lit(True).alias("consistent")))
     whole = materialize(judged(pairs, PAIR, share), "whole-texts")
     # single occurrences only where the text as a whole contradicts itself
     open_pairs = whole.where("not consistent").select(*PAIR)
     single = judged(occurrences(pairs.join(open_pairs, PAIR, "left_semi")), [*PAIR, "near", "anchor"], share)
+    return whole.unionByName(single.select(*whole.columns)).select(*as_is.columns).unionByName(as_is)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_item_windows, share, consistent) for the
+    pairs that reach ``share``, consistent or not; of several occurrences or
+    rows with one id the consistent one of the greatest share."""
     best = F.max(F.struct("consistent", "share", "n_windows", "n_item_windows")).alias("best")
-    found = whole.unionByName(single.select(*whole.columns)).select(*as_is.columns).unionByName(as_is)
-    return (found.groupBy("doc_id", "item_id").agg(best)
+    return (row_matches(docs, benchmark, share).groupBy("doc_id", "item_id").agg(best)
             .select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.share", "best.consistent"))
 
 
@@ -214,6 +223,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item; rows without an id are kept."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. A row is judged by its own text:
+    one without an id, or one that shares its id with a contaminated text, goes
+    or stays like any other."""
+    bad = row_matches(docs, benchmark).where("consistent").select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", row_of("doc_id")).join(bad, "__row", "left_anti").select(*docs.columns)

@@ -1,15 +1,20 @@
 """Exact top-k inner products by tiles of queries and candidate shards.
 
-Both sides are packed into blocks of rows where they are read. Blocks of
-queries meet blocks of candidates in an equi-join on a group number, each pair
-of blocks (a tile) is one matrix product, a tile keeps the k best candidates
-of each query, and a tree of merges with a fixed fan-in reduces the lists.
-Neither side is broadcast, and a task holds two blocks at a time.
+Both sides are packed into blocks of rows where they are read. Groups form a
+grid: a block of queries goes to all groups of one row, a block of candidates to
+all groups of one column, so each pair of blocks (a tile) meets in one group, by
+an equi-join on the group's number. With p groups and queries that number a share
+f of the candidates, a grid of sqrt(f p) rows ships the least. A tile is one matrix
+product and keeps the k best candidates of each query, and a tree of merges with a
+fixed fan-in reduces the lists. Neither side is broadcast, and a task holds two
+blocks at a time.
 
 Vectors that are null, or hold a null, NaN or infinite component, and rows
 without an id take no part. A query's own row is told by its id, so rows that
 repeat an id count as that same row. Vectors shorter than the longest of the
-two blocks count as padded with zeros. Ties go to the smaller id.
+two blocks count as padded with zeros, also empty ones, whose scores are 0. Ties
+go to the smaller id. Components and scores are 64-bit integers: one beyond that
+range is an error and never a wrapped number.
 """
 
 from __future__ import annotations
@@ -46,6 +51,8 @@ def pack_blocks(vectors: DataFrame, id_col: str, vec_col: str, scale: float = SC
                         continue
                     x = np.floor(scale * x.astype(np.float64))
                     if np.isfinite(x).all():
+                        if (np.abs(x) >= 2.0 ** 63).any():
+                            raise OverflowError(f"a component of vector {i} is no 64-bit integer once it is scaled")
                         ids.append(i)
                         rows.append(x)
                 if ids:
@@ -80,8 +87,14 @@ def _tile(qids, q, ids, m, k):
     top = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(m.astype(np.float64)).max(initial=0)) * dim
     if top < 2 ** 53:       # float products and sums are exact integers
         s = (q.astype(np.float64) @ m.T.astype(np.float64)).astype(np.int64)
-    else:
+    elif top < 2 ** 63:
         s = q @ m.T
+    else:                   # Python's integers have no end
+        s = q.astype(object) @ m.T.astype(object)
+        s = np.where(qids[:, None] == ids[None, :], 0, s)      # a row's own product is no score
+        if (abs(s) >= 2 ** 63 - 1).any():
+            raise OverflowError("a score is no 64-bit integer")
+        s = s.astype(np.int64)
     own = qids[:, None] == ids[None, :]
     keep = min(k, m.shape[0])
     # an id order first, then partial selection on the score alone, then the
@@ -111,14 +124,22 @@ def _lists_out(q, path, qids, ids, scores):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int,
-          groups: int = GROUPS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k best other rows."""
+          groups: int = GROUPS, share: float = 1.0) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k best other rows.
+    ``share`` is about the number of queries over that of candidates."""
     spark = vectors.sparkSession
     groups = max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    down = max(1, min(groups, round((share * groups) ** 0.5)))
+    across = -(-groups // down)
+    groups = down * across
+
+    def dealt(blocks, n):
+        return F.pmod(F.xxhash64(blocks), F.lit(n)).cast("int")
     cand = pack_blocks(vectors, id_col, vec_col).select(
-        F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda r: r * across + dealt("block", across))).alias("g"),
         F.col("block").alias("cb"), F.col("dim").alias("cdim"), F.col("ids").alias("cids"), F.col("mat").alias("cmat"))
-    ask = pack_blocks(queries, id_col, vec_col).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    ask = pack_blocks(queries, id_col, vec_col).withColumn("g", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(across - 1)), lambda c: dealt("block", down) * across + c)))
     tiles = ask.join(cand, "g").select("block", "dim", "ids", "mat", "cb", "cdim", "cids", "cmat")
 
     def products(batches):
@@ -126,8 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
             for r in range(b.num_rows):
                 q, dim, ids, mat, cb, cdim, cids, cmat = (b.column(i)[r].as_py() for i in range(8))
                 qids, cids = np.frombuffer(ids, np.int64), np.frombuffer(cids, np.int64)
-                got, score = _tile(qids, np.frombuffer(mat, np.int64).reshape(-1, dim), cids,
-                                   np.frombuffer(cmat, np.int64).reshape(-1, cdim), k)
+                got, score = _tile(qids, np.frombuffer(mat, np.int64).reshape(len(qids), dim), cids,
+                                   np.frombuffer(cmat, np.int64).reshape(len(cids), cdim), k)
                 yield _lists_out(q, cb, qids, got, score)
 
     lists = tiles.mapInArrow(products, LISTS)
@@ -173,4 +194,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k:
 def search_every(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """Rows whose ``vec_id`` is divisible by ``every`` ask all other rows."""
     slim = vectors.select("vec_id", "embedding")
-    return top_k(slim, slim.where(F.col("vec_id") % every == 0), "vec_id", "embedding", k)
+    return top_k(slim, slim.where(F.col("vec_id") % every == 0), "vec_id", "embedding", k, share=1 / every)

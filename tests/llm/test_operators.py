@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from costlens.llm import (chat_format, components, crf, hilbert, langid, ngram_join, packing, queries, rindex,
+from costlens.llm import (chat_format, components, crf, hilbert, langid, ngram_join, packing, queries, rindex, rounds,
                           template_decon, topk, tokens, train_order)
 
 SF = "/root/testdata/sf0.001"
@@ -55,7 +55,8 @@ def test_ngram_join_matches_brute_force(llm_spark, docs_of):
 
 
 def test_ngram_join_other_threshold_and_pivots(docs_of, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", 0)       # pivots to the end
+    monkeypatch.setattr(rounds, "PIVOTS", 2)                      # many rounds
+    monkeypatch.setattr(rounds, "ROWS_PER_GROUP", 4)
     rows = [r for r in ODD if r[0] is not None]
     got = ngram_join.jaccard_components(docs_of(rows), 5, 80).collect()
     assert sorted(map(tuple, got)) == brute.jaccard(rows, 5, 80)
@@ -87,7 +88,7 @@ def test_signatures_bound_the_difference():
     for n, m, both in ((1, 1, 0), (1, 1, 1), (40, 37, 30), (500, 700, 450), (3000, 20, 20), (9000, 8800, 0)):
         pool = r.integers(0, 1 << 63, n + m, dtype=np.uint64)
         a, b = pool[:n], np.concatenate((pool[:both], pool[n:n + m - both]))
-        least = ngram_join.least_difference(ngram_join.signature(a), ngram_join.signature(b))
+        least = int(np.bitwise_count(np.frombuffer(rounds.set_sketch(a), "<u8") ^ np.frombuffer(rounds.set_sketch(b), "<u8")).sum())
         assert least <= n + m - 2 * both and (least > 0) == (n + m > 2 * both)
 
 

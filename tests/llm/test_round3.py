@@ -9,8 +9,9 @@ from itertools import permutations
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from costlens.llm import filter_audit, odd_sketch, queries, spelling
+from costlens.llm import filter_audit, langid, odd_sketch, queries, rounds, spelling, template_decon, topk
 from test_operators import BASE, ODD, SF, edited, key, pairs, prose, small_docs
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -92,9 +93,7 @@ def test_contraction_is_a_sum_over_cells():
 
 def test_near_duplicates_match_brute_force(llm_spark, docs_of):
     for rows in (pairs(small_docs(llm_spark)), [r for r in ODD if r[0] is not None]):
-        for n, percent in ((5, 85), (5, 80), (3, 60)):
-            if percent == 60:           # under the threshold that the bands are made for: pairs found must still be right
-                continue
+        for n, percent in ((5, 85), (5, 80)):
             got = odd_sketch.near_duplicates(docs_of(rows), n, percent).collect()
             want = brute.jaccard(rows, n, percent)
             assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
@@ -103,8 +102,8 @@ def test_near_duplicates_match_brute_force(llm_spark, docs_of):
 
 def test_near_duplicates_in_a_large_group(docs_of, monkeypatch):
     """Chains and near misses in one group, with few pivots and small groups."""
-    monkeypatch.setattr(odd_sketch, "PIVOTS", 3)
-    monkeypatch.setattr(odd_sketch, "ROWS_PER_GROUP", 8)
+    monkeypatch.setattr(rounds, "PIVOTS", 3)
+    monkeypatch.setattr(rounds, "ROWS_PER_GROUP", 8)
     base = prose(11, 150)
     rows = [(i, edited(base, i, 1 + i % 8)) for i in range(150)] + [(1000 + i, base) for i in range(20)]
     got = odd_sketch.near_duplicates(docs_of(rows), 5, 85).collect()
@@ -131,8 +130,8 @@ def test_linked_sets_pass_their_sketches():
             grid = odd_sketch.samples(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
             x, y = odd_sketch.odd_sketches(grid)
             assert np.bitwise_count(x ^ y).sum() <= odd_sketch.most_odd(85)
-            x, y = (np.frombuffer(odd_sketch.set_sketch(v), np.uint8) for v in (a, b))
-            assert np.bitwise_count(x ^ y).sum() <= odd_sketch.most_of_sets(np.array(len(a) + len(b)), 85)
+            x, y = (np.frombuffer(rounds.set_sketch(v), np.uint8) for v in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= rounds.most_of_sets(np.array(len(a) + len(b)), 85)
             assert (odd_sketch.band_keys(grid)[0] == odd_sketch.band_keys(grid)[1]).any()
 
 
@@ -218,3 +217,95 @@ def test_neighbourhoods_are_full():
                         if (c or k) and i + k <= size]:
             assert int(spelling.reduced([v])[0]) in keys
         assert len(keys) <= 1 + size + size * (spelling.SYMBOLS - 1) + (size + 1) * spelling.SYMBOLS
+
+
+# ---- edges of earlier operators ----
+
+VECTORS = "vec_id long, embedding array<double>"
+
+
+def test_top_k_of_empty_vectors(llm_spark):
+    rows = [(i, [] if i % 3 else [float(i), -1.5]) for i in range(0, 41)] + [(100, []), (120, [])]
+    want = brute_top(rows)
+    for parts in (1, 7):
+        got = topk.search_every(llm_spark.createDataFrame(rows, VECTORS).repartition(parts)).collect()
+        assert sorted(map(tuple, got)) == want
+    only = topk.search_every(llm_spark.createDataFrame([(20, []), (40, [])], VECTORS)).collect()
+    assert sorted(map(tuple, only)) == [(20, 1, 40, 0), (40, 1, 20, 0)]
+
+
+def brute_top(rows, every=20, k=20):
+    wide = max(len(v) for _, v in rows)
+    ok = [(i, [int(np.floor(64 * x)) for x in v] + [0] * (wide - len(v))) for i, v in rows]
+    return sorted((q, r + 1, j, -s) for q, x in ok if q % every == 0 for r, (s, j) in enumerate(
+        sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in ok if j != q)[:k]))
+
+
+def test_top_k_is_exact_or_an_error(llm_spark):
+    large = [(0, [3.0e7, 1.0, 1.0]), (1, [3.0e7, 5.0, 0.0]), (2, [-3.0e7, 2.0, 7.0]), (20, [1.0, 1.0, 2.0e7])]
+    got = topk.search_every(llm_spark.createDataFrame(large, VECTORS)).collect()
+    assert sorted(map(tuple, got)) == brute_top(large)          # beyond 2 ** 53, within 64 bits
+    for bad in ([(0, [6.0e8, 0.0]), (1, [6.0e8, 1.0])], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="64-bit"):
+            topk.search_every(llm_spark.createDataFrame(bad, VECTORS)).collect()
+
+
+def test_clean_documents_judges_rows(llm_spark, docs_of):
+    item = "In which year did the famous painter Marlowe finish 12 of the large blue murals in Vienna"
+    bench = llm_spark.createDataFrame([(1, item)], "item_id long, text string")
+    bad, good = prose(21, 30) + " " + item + " " + prose(22, 30), prose(23, 60)
+    rows = [(None, bad), (None, good), (5, bad), (5, good), (6, good), (7, None), (8, "")]
+    kept = pairs(template_decon.clean_documents(docs_of(rows), bench))
+    assert sorted(kept, key=key) == sorted([(None, good), (5, good), (6, good), (7, None), (8, "")], key=key)
+
+
+def test_language_stage_without_labels(llm_spark, docs_of):
+    rows = [(1, "some words"), (2, None), (3, "12 34"), (4, "été")]
+    df = docs_of(rows).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(pairs(langid.identified_documents(df))) == [(1, "some words"), (4, "été")]
+
+
+def test_pipeline_runs_whole(llm_spark, tmp_path):
+    """run() over written tables: each stage against what its operator must do."""
+    import corpus_pipeline
+    item = "In which year did the famous painter Marlowe finish 12 of the large blue murals in Vienna"
+    passage = prose(31, 60)
+    texts = [prose(i, 80 + i) for i in range(40, 60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(100, texts[3]), (101, edited(texts[4], 1, 1)), (102, "12 34 !"), (103, None), (104, texts[5] + " " + item),
+             (105, prose(70, 90) + " " + passage), (106, prose(71, 90) + " " + passage), (7, prose(72, 50)), (None, prose(73, 50))]
+    docs = llm_spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                     "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    llm_spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(llm_spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in out}
+    assert kept == {*range(20), 105, 106, None}                     # copies, near copies, no language and contamination go
+    # what is packed are the texts without the passage that two of them share
+    base = [t for i, t in rows if i not in (100, 101, 102, 103, 104)]
+    left = brute_cut(base)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = sorted(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in left)
+    by = {}
+    for r in out:
+        by.setdefault((r["doc_id"], r["doc_tokens"]), 0)
+        by[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert sorted(r["doc_tokens"] for r in out if r["start"] == 0) == sizes
+    llm_spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    llm_spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(llm_spark, f"{tmp_path}/none").count() == 0
+
+
+def brute_cut(texts, length=200):
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[k:k + length] for b in raw for k in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = set()
+        for k in range(len(b) - length + 1):
+            if seen[b[k:k + length]] > 1:
+                gone.update(range(k, k + length))
+        out.append(bytes(x for i, x in enumerate(b) if i not in gone).decode(errors="ignore"))
+    return out
