@@ -107,7 +107,7 @@ class Order:
         return values[order], best + 1, int(sizes[best])
 
 
-SET = "doc_id long, row long, n long, cls long, prefix array<long>"
+SET = "doc_id long, row long, n long, cls long, prefix array<long>, sketch binary"
 
 
 def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -121,9 +121,10 @@ def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFra
             ids, rows = b.column("doc_id"), b.column("row")
             for i, values, at in gram_sets(b.column("text"), n):
                 k = len(at) - 1
-                cls, prefix = np.zeros(k, np.int64), []
+                cls, prefix, sketch = np.zeros(k, np.int64), [], []
                 for d in range(k):
                     v = values[at[d]:at[d + 1]]
+                    sketch.append(set_sketch(v) if len(v) else None)
                     if not len(v):
                         prefix.append(np.zeros(0, np.int64))
                         continue
@@ -134,14 +135,15 @@ def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFra
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, k), rows.slice(i, k), pa.array(np.diff(at).astype(np.int64)), pa.array(cls),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["doc_id", "row", "n", "cls", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sketch, pa.binary())],
+                    names=["doc_id", "row", "n", "cls", "prefix", "sketch"])
 
     return docs.select("doc_id", "row", "text").mapInArrow(run, SET)
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(cls, n, l, prefix, grams, sketch) of the documents named by ``wanted``
-    (doc_id, cls): the prefix and all grams in the global order, as 64-bit integers."""
+    """(cls, l, prefix, grams) of the documents named by ``wanted`` (doc_id, cls):
+    the prefix and all grams in the global order, as 64-bit integers."""
     get = share(docs.sparkSession, Order(table, percent))
 
     def run(batches):
@@ -155,14 +157,13 @@ def class_sets(docs: DataFrame, wanted: DataFrame, table: np.ndarray, n: int, pe
                        if len(v) and set_hash(v) == c]
                 got = [order.arrange(v) for _, v in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in own], pa.int64()), pa.array([len(v) for _, v in own], pa.int64()),
-                     pa.array([x[1] for x in got], pa.int32()), pa.array([x[0][:x[2]].tobytes() for x in got], pa.binary()),
-                     pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([set_sketch(v) for _, v in own], pa.binary())],
-                    names=["cls", "n", "l", "prefix", "grams", "sketch"])
+                    [pa.array([c for c, _ in own], pa.int64()), pa.array([x[1] for x in got], pa.int32()),
+                     pa.array([x[0][:x[2]].tobytes() for x in got], pa.binary()), pa.array([x[0].tobytes() for x in got], pa.binary())],
+                    names=["cls", "l", "prefix", "grams"])
 
     named = wanted.withColumnRenamed("doc_id", "of")
     picked = docs.join(named, F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "text")
-    return picked.mapInArrow(run, "cls long, n long, l int, prefix binary, grams binary, sketch binary").dropDuplicates(["cls"])
+    return picked.mapInArrow(run, "cls long, l int, prefix binary, grams binary").dropDuplicates(["cls"])
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -211,20 +212,41 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, row, n, comp) of each row of ``docs``: a hash of its text, the
     number of its grams and its component's label, null without words."""
     text = F.col("text").cast("string")
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row_of(text).alias("row"))
     table = gram_counts(docs, n)
     base = materialize(indexed(docs, table, n, percent), "gram-sets")
     full = base.where("n > 0")
     # one row per class of equal sets, whose rows have equal prefixes
-    classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("prefix").alias("prefix")), "classes")
+    classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"),
+                                                  F.max("prefix").alias("prefix"), F.max("sketch").alias("sketch")), "classes")
     postings = classes.select("cls", F.explode("prefix").alias("key"))
     # tokens of one class only go; a join, as it splits the rows of a hot token
     ends = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    shared = materialize(unlike_keys(materialize(postings.join(ends, "key"), "held")), "shared")
-    wanted = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id")
-    sets = materialize(class_sets(docs, wanted, table, n, percent), "class-sets")
-    comp = join_rounds(sets.select("cls", "n", "sketch"), shared, lambda pairs: verify(pairs, sets, percent), percent
-                       ).withColumnRenamed("cls", "id")
+    shared = materialize(unlike_keys(materialize(postings.join(ends, "key"), "shared-tokens")), "shared")
+    held = classes.select("cls", "doc_id", "n", "sketch").join(shared.select("cls").distinct(), "cls", "left_semi")
+    held = materialize(held, "held-classes")
+    known: list[DataFrame] = []
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the classes in pairs. They are read from the texts when a
+        class is first in a pair: most classes never are."""
+        asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        for have in known:
+            asked = asked.join(have.select("cls"), "cls", "left_anti")
+        wanted = materialize(held.join(asked, "cls", "left_semi").select("cls", "doc_id"), "wanted")
+        if wanted.limit(1).count():
+            known.append(materialize(class_sets(docs, wanted, table, n, percent), "class-sets"))
+        out = known[0] if known else spark.createDataFrame([], "cls long, l int, prefix binary, grams binary")
+        for more in known[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "proposed")
+        return verify(pairs, sets_of(pairs), percent)
+
+    comp = join_rounds(held.select("cls", "n", "sketch"), shared, judge, percent).withColumnRenamed("cls", "id")
     grouped = full.select("doc_id", "row", "n", "cls").join(comp.withColumnRenamed("id", "cls"), "cls", "left").select(
         "doc_id", "row", "n", F.coalesce("comp", "cls").alias("comp"))
     return grouped.unionByName(base.where("n = 0").select("doc_id", "row", "n", F.lit(None).cast("long").alias("comp")))

@@ -175,15 +175,17 @@ def join_rounds(info: DataFrame, shared: DataFrame, verify: Callable[[DataFrame]
                  .join(info, "cls").join(known, "cls", "left")
                  .repartition("key", "salt").sortWithinPartitions("key", "salt"))
         met = materialize(meet(dealt, percent, cut), "met-pairs")
-        pairs = met.where("pivot IS NULL").groupBy("a", "b").agg(F.min(F.struct(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))).alias("c"))
-        judged = materialize(pairs.join(verify(pairs.select("a", "b")), ["a", "b"])
-                             .select("a", "b", "c.ca", "c.cb", "linked"), "judged-pairs")
-        # links join components, so only the components' own graph is walked
-        joined = judged.where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        if joined.limit(1).count():
-            step = components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-            state = materialize(state.join(step, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")), "components")
-        rejects = rejects.union(judged.where("NOT linked").select("a", "b"))
+        if met.where("pivot IS NULL").limit(1).count():
+            sides = F.struct(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+            pairs = met.where("pivot IS NULL").groupBy("a", "b").agg(F.min(sides).alias("c"))
+            judged = materialize(pairs.join(verify(pairs.select("a", "b")), ["a", "b"])
+                                 .select("a", "b", "c.ca", "c.cb", "linked"), "judged-pairs")
+            # links join components, so only the components' own graph is walked
+            joined = judged.where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            if joined.limit(1).count():
+                step = components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+                state = materialize(state.join(step, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")), "components")
+            rejects = rejects.union(judged.where("NOT linked").select("a", "b"))
         # a pivot without a pair has met all of its key and leaves it
         busy = met.where("pivot IS NOT NULL").select("key", F.col("pivot").alias("cls")).distinct().withColumn("busy", F.lit(True))
         live = rows.join(busy, ["key", "cls"], "left").where("busy OR NOT pivot").select("key", "cls")
