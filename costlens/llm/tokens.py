@@ -30,7 +30,8 @@ def _load(path: str):
     if path not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        _LOADED[path] = (Tokenizer.from_file(path), {"": b""})
+        tok = Tokenizer.from_file(path)
+        _LOADED[path] = (tok, {"": b""}, _separator(tok))
     return _LOADED[path]
 
 
@@ -43,11 +44,47 @@ def chunks_of(text: str) -> list[str]:
     return _TAIL.sub(r" \1", text).replace("\n", " ").split(" ")
 
 
-def encode_texts(texts: list[str], path: str, run: int = 256) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers."""
+#: Chunks that are encoded as one text.
+JOINED = 400
+
+
+def _separator(tok) -> tuple[str, int] | None:
+    """A word of one id that no chunk is likely to hold: the last whole word of
+    the vocabulary."""
+    words = tok.get_vocab()
+    for w, i in sorted(((w, i) for w, i in words.items() if w.endswith("</w>")), key=lambda x: -x[1])[:200]:
+        plain = w.removesuffix("</w>")
+        if plain.isascii() and plain.isalpha() and tok.encode(plain, add_special_tokens=False).ids == [i]:
+            return plain, i
+    return None
+
+
+def _encode_chunks(tok, separator, chunks: list[str]) -> list[bytes]:
+    """The ids of each chunk. Hundreds of chunks are one text to the tokenizer,
+    with a word between them at whose id the result is cut; where that word's id
+    isn't found just between them, chunks are encoded one by one."""
     import numpy as np
 
-    tok, cache = _load(path)
+    out: list[bytes] = []
+    for k in range(0, len(chunks), JOINED):
+        some = chunks[k:k + JOINED]
+        if separator is not None:
+            word, mark = separator
+            ids = np.array(tok.encode(f" {word} ".join(some), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(ids == mark)
+            if len(at) == len(some) - 1:
+                raw = ids.tobytes()
+                ends = [*(4 * at).tolist(), len(raw)]
+                starts = [0, *(4 * at + 4).tolist()]
+                out += [raw[x:y] for x, y in zip(starts, ends)]
+                continue
+        out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+    return out
+
+
+def encode_texts(texts: list[str], path: str, run: int = 256) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers."""
+    tok, cache, separator = _load(path)
     out: list[bytes] = []
     for i in range(0, len(texts), run):
         parts = [chunks_of(t) for t in texts[i:i + run]]
@@ -58,10 +95,7 @@ def encode_texts(texts: list[str], path: str, run: int = 256) -> list[bytes]:
                 cache[""] = b""
                 missing = set().union(*parts).difference(cache)
             todo = list(missing)
-            for k in range(0, len(todo), 5000):
-                some = todo[k:k + 5000]
-                for c, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                    cache[c] = np.array(e.ids, "<u4").tobytes()
+            cache.update(zip(todo, _encode_chunks(tok, separator, todo)))
         get = cache.__getitem__
         out += [b"".join(map(get, p)) for p in parts]
     return out
