@@ -29,6 +29,37 @@ def query(fn):
     return fn
 
 
+def _near_sql(n: int, percent: int, more: str = "") -> str:
+    """Sets of n-word shingles, links by their similarity, and components."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, words[i:i + {n - 1}] AS gram FROM w, UNNEST(generate_series(1, greatest(len(words) - {n - 1}, 1))) t(i)
+  WHERE len(words) > 0),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM g GROUP BY doc_id),
+held AS (SELECT gram FROM g GROUP BY gram HAVING COUNT(*) > 1),
+h AS (SELECT doc_id, gram FROM g SEMI JOIN held USING (gram)),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM h a JOIN h b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+low AS (SELECT x AS doc_id, MIN(y) AS least FROM reach GROUP BY x)
+SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(least, d.doc_id) AS component_id{more}
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
+
+SQL["op1_ngram_jaccard_join"] = _near_sql(4, 85)
+SQL["op12_odd_sketch_dedup"] = _near_sql(5, 85, ", d.doc_id = COALESCE(least, d.doc_id) AS kept")
+SQL["op5_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))

@@ -1,19 +1,22 @@
 """Training-order materialisation of token sequences.
 
-Documents are tokenised, end in an end token and are cut into sequences of
-``stride`` ids. A sequence's key is its document's id and its number there; a
-keyed Feistel network over the key's domain, with cycle-walking back into it,
-permutes the keys without a sort, a random column or a driver. Equal ranges of
-the permuted keys are the shards: each shard is written in key order as a file
-of fixed-stride records (unsigned 16-bit ids, padded), so record i of a shard
-is at byte ``i * stride * 2`` and training resumes from a global slot alone.
-A sequence's global slot is its shard's first slot (from the manifest's
-counts) plus its record number.
-
-Null text is an empty text and gives one sequence with the end token; a null
-id takes the key after the largest; repeated rows share keys and are ordered
-by content; an empty table writes no shard. Files are written under a name of
-the attempt and renamed, so a lost or repeated task leaves whole files only.
+1. Documents are tokenised once, end in an end token and are written as a table.
+   A task numbers the sequences of ``stride`` ids that its documents are cut into,
+   so a document knows its first number within its part.
+2. The parts' counts, one row each, become running sums: every sequence has a dense
+   number in [0, N) without a sort.
+3. A keyed Feistel network over [0, N), with cycle-walking back into it, turns the
+   number into the sequence's global slot. Slot, shard and record follow from the
+   number alone: nothing is counted or ranked after the permutation.
+4. Sequences go to the partition of their shard, one shard a task, are put in the
+   order of their records and written as a file of fixed-stride records (padded),
+   so record i of a shard is at byte ``i * stride * width`` and training resumes
+   from a global slot alone, also in the middle of a shard.
+
+Ids take two bytes, or four where the vocabulary needs them. Null text is an empty
+text and gives one sequence with the end token; a null id and repeated rows are
+documents like others; an empty table writes no shard. Files are written under a
+name of the attempt and renamed, so a lost or repeated task leaves whole files only.
 """
 
 from __future__ import annotations
@@ -27,12 +30,19 @@ from costlens.session import checkpoint_dir, materialize
 
 STRIDE = 512
 END_ID = 49407      # <|endoftext|> of word_bpe_49k
-PAD_ID = 65535
 SHARD_BYTES = 64 << 20
 ROUNDS = 6
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def id_width(path: str, end_id: int = END_ID) -> int:
+    """Bytes of an id: two, if the ids and the padding, which is the greatest
+    value, fit into them, else four."""
+    from tokenizers import Tokenizer
+    most = max(end_id, *Tokenizer.from_file(path).get_vocab().values())
+    return 2 if most < 0xFFFF else 4
+
+
 def _scramble(x: np.ndarray, key: int) -> np.ndarray:
     x = (x + np.uint64(key)) * _MUL
     x ^= x >> np.uint64(29)
@@ -63,57 +73,81 @@ def feistel(x: np.ndarray, domain: int, key: int, back: bool = False) -> np.ndar
     return out
 
 
-ROW = "doc_id long, seq long, perm long, n_tokens int, ids binary"
+DOC = "part int, first long, n_seqs long, doc_id long, ids binary"
 
 
-def tokenised(docs: DataFrame, low: int, span: int, most: int, key: int, stride: int, path: str) -> DataFrame:
-    domain = span * most
+def tokenised(docs: DataFrame, stride: int, width: int, path: str, end_id: int) -> DataFrame:
+    """One row per document: its part, its first sequence number there, its number
+    of sequences and its ids."""
 
     def run(batches):
         import pyarrow as pa
-        end = np.array([END_ID], "<u2").tobytes()
+        from pyspark import TaskContext
+        part, first = TaskContext.get().partitionId(), 0
+        kind = f"<u{width}"
+        end = np.array([end_id], kind).tobytes()
         for b in batches:
             texts = b.column("text").fill_null("").to_pylist()
-            docids = b.column("doc_id").to_pylist()
+            ids = b.column("doc_id")
             for lo in range(0, len(texts), 256):
-                d, s, ids = [], [], []
-                for i, e in zip(docids[lo:lo + 256], encode_texts(texts[lo:lo + 256], path)):
-                    e = np.frombuffer(e, "<u4").astype("<u2").tobytes() + end
-                    for k, at in enumerate(range(0, len(e), 2 * stride)):
-                        d.append(i)
-                        s.append(k)
-                        ids.append(e[at:at + 2 * stride])
-                base = np.array([span - 1 if i is None else i - low for i in d], np.uint64)
-                perm = feistel(base * np.uint64(most) + np.array(s, np.uint64), domain, key)
+                got = [np.frombuffer(e, "<u4").astype(kind).tobytes() + end for e in encode_texts(texts[lo:lo + 256], path)]
+                n = -(-np.array([len(x) for x in got], np.int64) // (width * stride))
+                start = first + np.cumsum(n) - n
+                first += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(perm.astype(np.int64)),
-                     pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "seq", "perm", "n_tokens", "ids"])
+                    [pa.array(np.full(len(got), part, np.int32)), pa.array(start), pa.array(n), ids.slice(lo, len(got)),
+                     pa.array(got, pa.binary())], names=["part", "first", "n_seqs", "doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).mapInArrow(run, ROW)
+                       ).mapInArrow(run, DOC)
+
+
+SEQUENCE = "doc_id long, seq long, number long, slot long, shard int, record long, n_tokens int, ids binary"
+RECORD = "doc_id long, seq long, number long, slot long, shard int, record long, n_tokens int, ids_crc32 long"
+
+
+def sequences(docs: DataFrame, total: int, records: int, key: int, stride: int, width: int) -> DataFrame:
+    """The sequences of documents (doc_id, ids, base: the first dense number),
+    with slot, shard and record."""
 
+    def run(batches):
+        import pyarrow as pa
+        step = stride * width
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                some = b.slice(lo, 128)
+                d, s, ids = [], [], []
+                for i, e in zip(some.column("doc_id").to_pylist(), some.column("ids").to_pylist()):
+                    for k, at in enumerate(range(0, len(e), step)):
+                        d.append(i)
+                        s.append(k)
+                        ids.append(e[at:at + step])
+                n = np.array([-(-len(e) // step) for e in some.column("ids").to_pylist()], np.int64)
+                number = np.repeat(some.column("base").to_numpy(), n) + np.array(s, np.int64)
+                slot = feistel(number, total, key).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(number), pa.array(slot),
+                     pa.array((slot // records).astype(np.int32)), pa.array(slot % records),
+                     pa.array([len(x) // width for x in ids], pa.int32()), pa.array(ids, pa.binary())],
+                    names=[x.split()[0] for x in SEQUENCE.split(", ")])
 
-RECORD = "doc_id long, seq long, n_tokens int, shard int, record long, ids_crc32 long"
+    return docs.select("doc_id", "ids", "base").mapInArrow(run, SEQUENCE)
 
 
-def write_training_order(docs: DataFrame, out: str, key: int = 17, stride: int = STRIDE,
-                         shard_bytes: int = SHARD_BYTES, path: str | None = None) -> DataFrame:
+def write_training_order(docs: DataFrame, out: str, key: int = 17, stride: int = STRIDE, shard_bytes: int = SHARD_BYTES,
+                         path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the shards below ``out`` (any URI that ``pyarrow.fs`` opens) and
     return the manifest: one row per sequence with shard, record and slot."""
     path = path or tokenizer_path()
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    # a byte-level vocabulary gives no more ids than normalised bytes, which
-    # are at most three times the text's
-    row = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(size).alias("longest"),
-                   F.sum(size).alias("bytes")).first()
-    low, high = row["low"] or 0, row["high"] or 0
-    span, most = high - low + 2, -(-(3 * (row["longest"] or 0) + 1) // stride)
-    domain = span * most
-    shards = max(1, -(-(row["bytes"] or 0) // shard_bytes))
-    seqs = tokenised(docs, low, span, most, key, stride, path)
-    share = -(-domain // shards)
-    placed = seqs.withColumn("shard", F.expr(f"perm div {share}L").cast("int"))
+    width = id_width(path, end_id)
+    records = max(1, shard_bytes // (stride * width))
+    held = materialize(tokenised(docs, stride, width, path, end_id), "token-ids")
+    counts = materialize(held.groupBy("part").agg(F.sum("n_seqs").alias("n")), "part-counts")    # one row per part
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    base = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    numbered = held.join(base, "part").select("doc_id", "ids", (F.col("before") + F.col("first")).alias("base"))
+    shards = max(1, -(-total // records))
+    seqs = sequences(numbered, max(total, 1), records, key, stride, width)
 
     def write(batches):
         import os
@@ -125,7 +159,8 @@ def write_training_order(docs: DataFrame, out: str, key: int = 17, stride: int =
         place, root = fs.FileSystem.from_uri(out)
         place.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        now, sink, n, temp = None, None, 0, None
+        pad = b"\xff" * width
+        now, sink, temp = None, None, None
 
         def close():
             if sink is not None:
@@ -133,32 +168,28 @@ def write_training_order(docs: DataFrame, out: str, key: int = 17, stride: int =
                 place.move(temp, f"{root}/shard-{now:06d}.bin")
 
         for b in batches:
-            c = b.to_pydict()
-            rows = []
-            for d, s, t, sh, ids in zip(c["doc_id"], c["seq"], c["n_tokens"], c["shard"], c["ids"]):
-                if sh != now:
+            parts = []
+            for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
+                if shard != now:
+                    if parts:
+                        sink.write(b"".join(parts))
+                        parts = []
                     close()
-                    now, n, temp = sh, 0, f"{root}/.shard-{sh:06d}-{attempt}-{os.getpid()}"
+                    now, temp = shard, f"{root}/.shard-{shard:06d}-{attempt}-{os.getpid()}"
                     sink = place.open_output_stream(temp, compression=None)
-                sink.write(ids + PAD_ID.to_bytes(2, "little") * (stride - t))
-                rows.append((d, s, t, sh, n, zlib.crc32(ids)))
-                n += 1
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)],
-                                                 names=[x.split()[0] for x in RECORD.split(", ")])
+                parts.append(ids + pad * (stride - len(ids) // width))
+            if parts:
+                sink.write(b"".join(parts))
+            crc = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
+            yield b.drop_columns(["ids"]).append_column("ids_crc32", crc)
         close()
 
-    ordered = (placed.repartition(shards, "shard")
-               .sortWithinPartitions("shard", "perm", "doc_id", "seq", "ids"))
-    manifest = materialize(ordered.mapInArrow(write, RECORD), "training-order")
-    counts = manifest.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))     # one row per shard
-    first = counts.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
-    return manifest.join(first, "shard").select(
-        "doc_id", "seq", "n_tokens", "shard", "record", (F.col("first") + F.col("record")).alias("slot"), "ids_crc32")
+    # a shard is a partition: slots are evenly spread, so shards are of one size
+    dealt = seqs.repartitionById(shards, "shard").sortWithinPartitions("shard", "record")
+    return materialize(dealt.mapInArrow(write, RECORD), "training-order")
 
 
-def read_slots(manifest: DataFrame, out: str, stride: int = STRIDE) -> DataFrame:
+def read_slots(manifest: DataFrame, out: str, stride: int = STRIDE, width: int = 2) -> DataFrame:
     """Manifest rows with ``ids`` read back from their shard's fixed offsets."""
 
     def read(batches):
@@ -171,7 +202,7 @@ def read_slots(manifest: DataFrame, out: str, stride: int = STRIDE) -> DataFrame
             for sh, r, n in zip(*(b.column(c).to_pylist() for c in ("shard", "record", "n_tokens"))):
                 if sh != now:
                     now, f = sh, place.open_input_file(f"{root}/shard-{sh:06d}.bin")
-                got.append(f.read_at(2 * n, r * stride * 2))
+                got.append(f.read_at(width * n, r * stride * width))
             yield b.append_column("ids", pa.array(got, pa.binary()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in manifest.schema)
@@ -179,6 +210,26 @@ def read_slots(manifest: DataFrame, out: str, stride: int = STRIDE) -> DataFrame
             .mapInArrow(read, fields + ", ids binary"))
 
 
+def resume(out: str, slot: int, shard_bytes: int = SHARD_BYTES, stride: int = STRIDE, width: int = 2):
+    """The records from a global slot on, as arrays of ``stride`` ids with their
+    padding: what a training process reads, sequentially and without a manifest."""
+    from pyarrow import fs
+    place, root = fs.FileSystem.from_uri(out)
+    records = max(1, shard_bytes // (stride * width))
+    while True:
+        shard, record = divmod(slot, records)
+        name = f"{root}/shard-{shard:06d}.bin"
+        if place.get_file_info(name).type == fs.FileType.NotFound:
+            return
+        with place.open_input_stream(name, compression=None) as f:
+            f.seek(record * stride * width) if f.seekable() else f.read(record * stride * width)
+            while raw := f.read(stride * width):
+                yield np.frombuffer(raw, f"<u{width}")
+                slot += 1
+        if slot % records:
+            return
+
+
 def scratch_uri(spark, name: str) -> str:
     """A new folder of the cluster's shared checkpoint folder, as a URI."""
     import uuid

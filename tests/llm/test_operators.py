@@ -192,6 +192,43 @@ def test_training_order_reads_back(llm_spark, docs_of, tmp_path):
             assert ids == e.tobytes() + np.array([train_order.END_ID], "<u2").tobytes()
 
 
+def test_training_order_is_the_permutation(docs_of, tmp_path, monkeypatch):
+    """Slots are the permutation of dense numbers, content is that of every row
+    (null ids and repeated rows included), reading resumes in mid-shard, and ids
+    may take four bytes."""
+    rows = [*ODD, (3 * 10 ** 18, "far"), (-3 * 10 ** 18, "away")]
+    for width in (2, 4):
+        monkeypatch.setattr(train_order, "id_width", lambda *a, w=width: w)
+        out = f"file://{tmp_path}/wide{width}"
+        m = train_order.write_training_order(docs_of(rows).repartition(5), out, stride=64, shard_bytes=5_000 * width)
+        got = train_order.read_slots(m, out, stride=64, width=width).collect()
+        n = len(got)
+        assert sorted(r["number"] for r in got) == list(range(n)) and n > 200
+        slots = train_order.feistel(np.array([r["number"] for r in got]), n, 17)
+        assert slots.tolist() == [r["slot"] for r in got]
+        per = 5_000 // 64
+        assert all(divmod(r["slot"], per) == (r["shard"], r["record"]) for r in got)
+        kind = f"<u{width}"
+        whole = {}
+        for r in sorted(got, key=lambda r: r["number"]):
+            if r["seq"] == 0:
+                last = whole.setdefault(r["doc_id"], [])
+                last.append(b"")
+            whole[r["doc_id"]][-1] += bytes(r["ids"])
+        want = {}
+        for i, t in rows:
+            e = np.frombuffer(tokens.encode_texts([t or ""], tokens.tokenizer_path())[0], "<u4").astype(kind)
+            want.setdefault(i, []).append(e.tobytes() + np.array([train_order.END_ID], kind).tobytes())
+        assert {i: sorted(v) for i, v in whole.items()} == {i: sorted(v) for i, v in want.items()}
+        by_slot = {r["slot"]: bytes(r["ids"]) for r in got}
+        for start in (0, 1, per - 1, per, n // 2, n - 1):
+            read = list(train_order.resume(out, start, 5_000 * width, 64, width))
+            assert len(read) == n - start
+            for k, x in enumerate(read):
+                ids = np.frombuffer(by_slot[start + k], kind)
+                assert (x[:len(ids)] == ids).all() and (x[len(ids):] == 256 ** width - 1).all()
+
+
 # ---- 5 ----
 
 def test_top_k_matches_brute_force(llm_spark):

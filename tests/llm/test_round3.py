@@ -309,3 +309,26 @@ def brute_cut(texts, length=200):
                 gone.update(range(k, k + length))
         out.append(bytes(x for i, x in enumerate(b) if i not in gone).decode(errors="ignore"))
     return out
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op5_exact_top_k", "op12_odd_sketch_dedup"])
+def test_sql_twins(llm_spark, duck, name):
+    df = queries.QUERIES[name](llm_spark, SF)
+    twin = duck.execute(queries.SQL[name])
+    names = [d[0] for d in twin.description]
+    assert names == df.columns
+    assert sorted(map(tuple, df.collect())) == sorted(twin.fetchall())
+
+
+def test_chunks_are_encoded_as_they_are_alone():
+    """Joined chunks give the ids of single ones, also where a chunk holds the
+    separator, marks, special strings or nothing that is a token."""
+    from costlens.llm import tokens
+    tok, _, separator = tokens._load(tokens.tokenizer_path())
+    assert separator is not None
+    word = separator[0]
+    chunks = ["plain", "été", "a.b", "...", "x" * 300, "\u0301mark", "<|endoftext|>", "\t", "日本", "it's", "don't.", "ΣΑΣ"]
+    for some in (chunks, [*chunks, word], [word, word], [f"{word}s", f"1{word}"], ["one"]):
+        want = [np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in some]
+        assert tokens._encode_chunks(tok, separator, some) == want
+        assert tokens._encode_chunks(tok, None, some) == want
