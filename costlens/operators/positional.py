@@ -81,32 +81,52 @@ def positional_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     return out.withColumn(idx, F.col("_off") + F.col(_LOCAL)).drop(_PID, _LOCAL, "_off")
 
 
-def framed(df: DataFrame, keys: Sequence[str], build: Callable[[Window], list[Column]],
-           before: int, after: int = 0, idx: str = IDX,
-           bucket_rows: int | None = None) -> DataFrame:
-    """Evaluate row-frame expressions over an indexed frame.
-
-    ``build(w)`` receives the window spec (partitioned by keys and bucket,
-    ordered by ``idx``) and returns the new columns; frames must stay within
-    ``before`` rows back and ``after`` rows ahead.
-    """
+def with_halo(df: DataFrame, before: int, after: int = 0, idx: str = IDX, bucket_rows: int | None = None) -> DataFrame:
+    """Each row in its bucket (``_bucket``) of the index, and the last ``before``
+    rows of a bucket also in the next one, the first ``after`` also in the one
+    before, marked ``_halo``."""
     b = bucket_rows or DEFAULT_BUCKET_ROWS
     if b < max(before, after, 1):
         raise ValueError("bucket_rows must cover the frame")
     bucket = F.floor(F.col(idx) / b).cast("long")
     pos_in = F.col(idx) - bucket * b
-    # each row lives in its own bucket; the last `before` rows of a bucket
-    # are also copied into the next one, the first `after` into the previous
     shifts = F.array(F.lit(0))
     if before > 0:
         shifts = F.when(pos_in >= b - before, F.array_append(shifts, F.lit(1))).otherwise(shifts)
     if after > 0:
         shifts = F.when((pos_in < after) & (bucket > 0),
                         F.array_append(shifts, F.lit(-1))).otherwise(shifts)
-    u = (df.withColumn("_shift", F.explode(shifts))
-           .withColumn("_bucket", bucket + F.col("_shift"))
-           .withColumn("_halo", F.col("_shift") != 0)
-           .drop("_shift"))
+    return (df.withColumn("_shift", F.explode(shifts))
+              .withColumn("_bucket", bucket + F.col("_shift"))
+              .withColumn("_halo", F.col("_shift") != 0)
+              .drop("_shift"))
+
+
+def sub_index(df: DataFrame, keys: Sequence[str], where: Column, idx: str = IDX, out: str = "_sub",
+              bucket_rows: int | None = None) -> DataFrame:
+    """The rows of an indexed frame that meet ``where``, numbered 0..m-1 within
+    ``keys`` in the same order: counts by bucket of the index become offsets, and
+    a row's place within its bucket is a window of at most ``bucket_rows`` rows."""
+    b = bucket_rows or DEFAULT_BUCKET_ROWS
+    rows = df.where(where).withColumn("_part", F.floor(F.col(idx) / b).cast("long"))
+    n = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    off = n.select(*keys, "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(idx)) - 1
+    return join_groups(rows.withColumn("_in", place), off, [*keys, "_part"]).withColumn(
+        out, F.col("_off") + F.col("_in")).drop("_part", "_in", "_off")
+
+
+def framed(df: DataFrame, keys: Sequence[str], build: Callable[[Window], list[Column]],
+           before: int, after: int = 0, idx: str = IDX,
+           bucket_rows: int | None = None) -> DataFrame:
+    """Evaluate row-frame expressions over an indexed frame.
+
+    ``build(w)`` receives the window spec (partitioned by keys and bucket,
+    ordered by ``idx``) and returns the new columns; frames must stay within
+    ``before`` rows back and ``after`` rows ahead.
+    """
+    u = with_halo(df, before, after, idx, bucket_rows)
     w = Window.partitionBy(*keys, "_bucket").orderBy(idx)
     cols = build(w)
     return u.select("*", *cols).where(~F.col("_halo")).drop("_bucket", "_halo")

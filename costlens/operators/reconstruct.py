@@ -31,7 +31,8 @@ from costlens.operators import aggregates as A
 from costlens.operators import scale as SC
 from costlens.operators import windows as W
 from costlens.operators.keyed import join_groups
-from costlens.operators.positional import IDX
+from costlens.operators.iforest import stream_id
+from costlens.operators.positional import IDX, positional_index, sub_index, with_halo
 from costlens.schema import S
 from costlens.session import materialize, share
 
@@ -43,103 +44,124 @@ def scaled_features(feat: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     return SC.minmax_scale(feat, fixed.SEQ_FEATURES, keys)
 
 
-def gram_stats(windows: DataFrame, keys: Sequence[str] = S, col: str = "window") -> DataFrame:
-    """Per stream: n, the sum and the Gram matrix of the window vectors, as
-    (keys, k, v) rows with k = 0 (n), 1..DIM (sum), then DIM x DIM (Gram).
+def windowed_batches(batches, features: Sequence[str] = SCALED):
+    """(frame, windows, which rows have one) of frames that come in the order of
+    (_stream, _bucket, position): a row's window is the feature vectors of the
+    ``SEQ_LEN`` rows before it, oldest first. The last rows of a frame stay in a
+    buffer for the next one, so no window is ever stored."""
+    n_before, held, held_key = fixed.SEQ_LEN, np.zeros((0, len(features))), None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        stream, bucket = pdf["_stream"].to_numpy(), pdf["_bucket"].to_numpy()
+        X = pdf[list(features)].to_numpy(dtype=float)
+        cut = np.flatnonzero(np.r_[True, (stream[1:] != stream[:-1]) | (bucket[1:] != bucket[:-1])])
+        # rows of the same group before this frame
+        lead = held if held_key == (stream[0], bucket[0]) else held[:0]
+        rows = np.concatenate([lead, X])
+        start = np.repeat(np.r_[0, cut[1:] + len(lead)], np.diff(np.r_[cut, len(X)]))
+        at = np.arange(len(X)) + len(lead)
+        has = at - start >= n_before
+        windows = np.zeros((0, DIM))
+        if has.any():
+            view = np.lib.stride_tricks.sliding_window_view(rows, n_before, axis=0)     # [row, feature, step]
+            windows = view[at[has] - n_before].transpose(0, 2, 1).reshape(int(has.sum()), DIM)
+        yield pdf, windows, has
+        last = cut[-1]
+        tail = X[last:] if len(cut) > 1 else rows
+        held, held_key = tail[-n_before:].copy(), (stream[-1], bucket[-1])
+
+
+def in_order(df: DataFrame, idx: str) -> DataFrame:
+    """Buckets with their halo rows, each in the order of its positions."""
+    return df.repartition("_stream", "_bucket").sortWithinPartitions("_stream", "_bucket", idx)
+
+
+def gram_stats(ordered: DataFrame, features: Sequence[str] = SCALED) -> DataFrame:
+    """Per stream: n, the sum and the Gram matrix of the windows, as (_stream, k,
+    v) rows with k = 0 (n), 1..DIM (sum), then DIM x DIM (Gram).
 
     Each task accumulates its partial sums with numpy (``X.T @ X``) and
     emits one small block per stream it saw; Spark sums the blocks."""
-    keys = list(keys)
 
     def part(batches):
         acc: dict = {}
-        for pdf in batches:
-            pdf = pdf[pdf[col].notna()]
-            if pdf.empty:
-                continue
-            for key, grp in pdf.groupby(keys, sort=False):
-                X = np.stack(grp[col].to_numpy()).astype(float)
+        for pdf, X, has in windowed_batches(batches, features):
+            own = has & ~pdf["_halo"].to_numpy()
+            X, stream = X[own[has]], pdf["_stream"].to_numpy()[own]
+            for key in np.unique(stream):
+                Y = X[stream == key]
                 n, sm, g = acc.get(key, (0, 0.0, 0.0))
-                acc[key] = (n + len(X), sm + X.sum(axis=0), g + X.T @ X)
+                acc[key] = (n + len(Y), sm + Y.sum(axis=0), g + Y.T @ Y)
         for key, (n, sm, g) in acc.items():
             v = np.concatenate([[float(n)], sm, np.asarray(g).reshape(-1)])
-            out = pd.DataFrame({"k": np.arange(len(v), dtype=np.int32), "v": v})
-            for name, val in zip(keys, key if isinstance(key, tuple) else (key,)):
-                out.insert(0, name, val)
-            yield out[[*keys, "k", "v"]]
+            yield pd.DataFrame({"_stream": np.full(len(v), key, np.int64), "k": np.arange(len(v), dtype=np.int32), "v": v})
 
-    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys],
-                           T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType())])
-    partial = windows.select(*keys, col).mapInPandas(part, schema)
-    return partial.groupBy(*keys, "k").agg(F.sum("v").alias("v"))
+    partial = ordered.select("_stream", "_bucket", "_halo", *features).mapInPandas(part, "_stream long, k int, v double")
+    return partial.groupBy("_stream", "k").agg(F.sum("v").alias("v"))
 
 
-MODEL_SCHEMA = T.StructType([
-    T.StructField("cloud_provider", T.StringType()), T.StructField("unified_category", T.StringType()),
-    T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("basis", T.ArrayType(T.DoubleType()))])
+MODEL_SCHEMA = "_stream long, mean array<double>, basis array<double>"
 
 
 def _eigen_factory(k: int):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("k")["v"].to_numpy(dtype=float)
         n, sm, g = v[0], v[1:1 + DIM], v[1 + DIM:].reshape(DIM, DIM)
         mean = sm / n
         cov = g / n - np.outer(mean, mean)
         vals, vecs = np.linalg.eigh((cov + cov.T) / 2)
         basis = vecs[:, np.argsort(vals)[::-1][:k]]
-        return pd.DataFrame([(pdf["cloud_provider"].iloc[0], pdf["unified_category"].iloc[0], mean.tolist(),
-                              basis.reshape(-1).tolist())], columns=[f.name for f in MODEL_SCHEMA.fields])
+        return pd.DataFrame([(int(key[0]), mean.tolist(), basis.reshape(-1).tolist())], columns=["_stream", "mean", "basis"])
     return fit
 
 
-def fit_subspace(train_windows: DataFrame, keys: Sequence[str] = S, k: int = fixed.SEQ_HIDDEN) -> DataFrame:
-    return gram_stats(train_windows, keys).groupBy(*keys).applyInPandas(_eigen_factory(k), MODEL_SCHEMA)
+def fit_subspace(ordered: DataFrame, k: int = fixed.SEQ_HIDDEN) -> DataFrame:
+    return gram_stats(ordered).groupBy("_stream").applyInPandas(_eigen_factory(k), MODEL_SCHEMA)
 
 
-def score_windows(df: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN, col: str = "window",
-                  out: str = "dl_mse_score") -> DataFrame:
-    """Mean squared reconstruction error of each row's window (0 without one)."""
-    packed = {(r["cloud_provider"], r["unified_category"]):
-              (np.array(r["mean"]), np.array(r["basis"]).reshape(DIM, k)) for r in model.collect()}
-    get_model = share(df.sparkSession, packed)
+def score_rows(ordered: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN, out: str = "dl_mse_score") -> DataFrame:
+    """Mean squared reconstruction error of each row's window, 0 without one, and
+    whether it has one (``_scored``); halo rows go. A stream's model is 42 x 9
+    numbers."""
+    packed = {r["_stream"]: (np.array(r["mean"]), np.array(r["basis"]).reshape(DIM, k)) for r in model.collect()}
+    get_model = share(ordered.sparkSession, packed)
+    kept = [f for f in ordered.schema.fields if f.name not in ("_halo", "_bucket", "_stream")]
 
     def run(batches):
         m = get_model()
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
+        for pdf, X, has in windowed_batches(batches):
             score = np.zeros(len(pdf))
-            has = pdf[col].notna()
-            for key, grp in pdf[has].groupby(["cloud_provider", "unified_category"], sort=False):
-                if key not in m:
-                    continue
-                mean, basis = m[key]
-                X = np.stack(grp[col].to_numpy()).astype(float) - mean
-                rec = (X @ basis) @ basis.T
-                score[grp.index.to_numpy()] = ((X - rec) ** 2).mean(axis=1)
-            yield pdf.assign(**{out: score})
-
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-    return df.mapInPandas(run, schema)
-
-
-def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S) -> DataFrame:
-    """Scale -> windows -> fit on clean windows -> score all -> p95 -> flag."""
-    # scaled features feed both the training and the scoring windows
-    scaled = materialize(scaled_features(feat, keys), "seq-scaled")
-    # training windows run over the clean subsequence (D8): its positions
-    # are re-numbered; the full sequence reuses the feature index if present
-    clean = scaled.where(F.col("is_anomaly") == 0)
-    if IDX in clean.columns:
-        clean = clean.drop(IDX)
-    train = W.sequences(clean, SCALED, keys).select(*keys, "window")
-    model = fit_subspace(train, keys)
-    full = W.sequences(scaled, SCALED, keys)
-    # the scored frame feeds the percentile and the flag join: materialise it
-    # once in the checkpoint folder instead of scoring twice
-    scored = materialize(score_windows(full, model), "seq-scored")
-    th = A.exact_percentile(scored.where(F.col("window").isNotNull()), "dl_mse_score",
-                            fixed.SEQ_PERCENTILE, keys, out="_th")
-    return (join_groups(scored, th, keys, "left")
-                  .withColumn("dl_is_anomaly", F.coalesce((F.col("dl_mse_score") > F.col("_th")).cast("int"),
-                                                          F.lit(0)))
-                  .drop("_th", "window", IDX))
+            stream = pdf["_stream"].to_numpy()[has]
+            err = np.zeros(len(X))
+            for key in np.unique(stream):
+                if key in m:
+                    mean, basis = m[key]
+                    Y = X[stream == key] - mean
+                    err[stream == key] = ((Y - (Y @ basis) @ basis.T) ** 2).mean(axis=1)
+            score[has] = err
+            own = ~pdf["_halo"].to_numpy()
+            yield pdf.assign(**{out: score, "_scored": has})[own][[*[f.name for f in kept], out, "_scored"]]
+
+    schema = T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField("_scored", T.BooleanType())])
+    return ordered.mapInPandas(run, schema)
+
+
+def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S, bucket_rows: int | None = None) -> DataFrame:
+    """Scale -> fit on windows of clean rows -> score every row -> p95 -> flag.
+
+    One sort (the positional index, reused if ``feat`` has it) serves both: the
+    clean subsequence (D8) is numbered from counts by bucket, and its windows, as
+    those of all rows, are formed in passing from buckets with halo rows. Written
+    are the scaled rows and the scored rows."""
+    given = IDX in feat.columns
+    idx = feat if given else positional_index(feat, keys, W.spend_order(feat, keys))
+    scaled = materialize(scaled_features(idx, keys).withColumn("_stream", stream_id(keys)), "seq-scaled")
+    clean = sub_index(scaled, keys, F.col("is_anomaly") == 0, bucket_rows=bucket_rows).select("_stream", "_sub", *SCALED)
+    model = fit_subspace(in_order(with_halo(clean, fixed.SEQ_LEN, idx="_sub", bucket_rows=bucket_rows), "_sub"))
+    full = in_order(with_halo(scaled, fixed.SEQ_LEN, bucket_rows=bucket_rows), IDX)
+    scored = materialize(score_rows(full, model), "seq-scored")
+    th = A.exact_percentile(scored.where("_scored"), "dl_mse_score", fixed.SEQ_PERCENTILE, keys, out="_th", written=True)
+    out = join_groups(scored, th, keys, "left").withColumn(
+        "dl_is_anomaly", F.when(F.col("_scored"), F.coalesce((F.col("dl_mse_score") > F.col("_th")).cast("int"), F.lit(0))).otherwise(0))
+    return out.drop("_th", "_scored", IDX)

@@ -121,3 +121,42 @@ def test_forest_invariant_to_partitioning(spark):
     a, b = run(1), run(24)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_windows_in_passing_equal_stored_ones(spark):
+    """Scores from the rolling buffer over small buckets are those of windows
+    that are stored row by row, with labelled rows left out of the training."""
+    import random
+
+    from costlens.operators import reconstruct as RC
+    from costlens.operators import scale as SC
+    from costlens.operators import windows as W
+    from costlens.operators.positional import positional_index
+    rnd = random.Random(9)
+    rows = [(p, "COMPUTE", i, rnd.random() * 50, rnd.random() * 9, i % 7, int(i % 7 > 4), int(rnd.random() < 0.2))
+            for p in ("AWS", None) for i in range(150)] + [("GCP", "COMPUTE", i, 1.0, 1.0, 0, 0, 0) for i in range(9)]
+    df = spark.createDataFrame(rows, "cloud_provider string, unified_category string, t int, cost double, rolling_mean_7d double, "
+                               "day_of_week int, is_weekend int, is_anomaly int")
+    df = df.withColumn("rolling_std_7d", F.col("rolling_mean_7d") / 3).withColumn("cost_ratio", F.col("cost") / 7)
+    keys = ["cloud_provider", "unified_category"]
+    idx = positional_index(df, keys, ["t"])
+    new = {(r["cloud_provider"], r["t"]): r for r in RC.sequence_reconstruction(idx, bucket_rows=16).collect()}
+    one = {(r["cloud_provider"], r["t"]): r for r in RC.sequence_reconstruction(idx).collect()}
+    assert len(new) == len(rows) and new.keys() == one.keys()
+    assert all(abs(new[k]["dl_mse_score"] - one[k]["dl_mse_score"]) < 1e-9 and new[k]["dl_is_anomaly"] == one[k]["dl_is_anomaly"] for k in new)
+    # stored windows
+    scaled = SC.minmax_scale(df, RC.fixed.SEQ_FEATURES, keys)
+    for p in ("AWS", None):
+        own = scaled.where(F.col("cloud_provider").eqNullSafe(F.lit(p)))
+        clean = W.sequences(own.where("is_anomaly = 0"), RC.SCALED, keys, order=["t"]).where("window IS NOT NULL").toPandas()
+        X = np.stack(clean["window"].to_numpy())
+        cov = (X - X.mean(0)).T @ (X - X.mean(0)) / len(X)
+        vals, vecs = np.linalg.eigh(cov)
+        basis = vecs[:, np.argsort(vals)[::-1][:RC.fixed.SEQ_HIDDEN]]
+        full = W.sequences(own, RC.SCALED, keys, order=["t"]).where("window IS NOT NULL").toPandas()
+        Y = np.stack(full["window"].to_numpy()) - X.mean(0)
+        err = ((Y - (Y @ basis) @ basis.T) ** 2).mean(1)
+        assert len(full) == 136
+        for t, e in zip(full["t"], err):
+            assert abs(new[p, t]["dl_mse_score"] - e) < 1e-8
+    assert all(new["GCP", i]["dl_mse_score"] == 0 and new["GCP", i]["dl_is_anomaly"] == 0 for i in range(9))
