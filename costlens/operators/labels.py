@@ -2,9 +2,8 @@
 
 Rows are addressed the way a generator that writes one row per stream per
 day would number them: ``idx = date_rank * n_streams + stream_rank``. The
-distinct dates and distinct streams are ranked in two small aggregates
-(bounded by the calendar and by the stream count) and joined back; no
-global row number is needed.
+distinct dates (bounded by the calendar) and the distinct streams are ranked
+and joined back; no row number over the rows is needed. A null key is a stream.
 """
 
 from __future__ import annotations
@@ -16,19 +15,26 @@ from pyspark.sql import functions as F
 
 from costlens import fixed
 from costlens.functions import columns as C
+from costlens.operators.keyed import join_groups
+from costlens.operators.positional import positional_index
 from costlens.schema import S
-from costlens.session import bounded_broadcast
+from costlens.session import materialize
 
-MAX_RANK_ROWS = 1_000_000
+
+def _ranked(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Positions from 0 in the order of the keys, by the distributed index: there
+    may be more streams than one task should sort."""
+    return positional_index(df.withColumn("_all", F.lit(0)), ["_all"], list(keys), idx=out).drop("_all")
 
 
 def perturb_labelled(daily: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     """``daily`` has keys, date, cost_cents and had_anomaly. Returns keys,
     date, cost_cents (perturbed), cost, is_anomaly, anomaly_type."""
+    # the daily frame feeds both rankings and the result: it is written once
+    daily = materialize(daily, "daily-labels")
     dates = daily.select("date").distinct().withColumn(
-        "_dr", F.row_number().over(Window.orderBy("date")) - 1)
-    streams = daily.select(*keys).distinct().withColumn(
-        "_sr", F.row_number().over(Window.orderBy(*keys)) - 1)
+        "_dr", F.row_number().over(Window.orderBy("date")) - 1)          # the calendar's days
+    streams = materialize(_ranked(daily.select(*keys).distinct(), keys, "_sr"), "stream-ranks")
     n_streams = streams.agg(F.count(F.lit(1)).alias("_ns"))
     # anchor dates by rank (one row each)
     anchors = dates.agg(
@@ -38,12 +44,9 @@ def perturb_labelled(daily: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     # one-row constants joined on a literal key (both sides: one row)
     consts = (n_streams.withColumn("_k", F.lit(1))
               .join(anchors.select("_spike", sunday.alias("_ctx")).withColumn("_k", F.lit(1)), "_k"))
-    # the rank tables are bounded by the calendar and the stream count; they
-    # are broadcast behind a row-count check, a shuffle join beyond it
-    d = (daily.join(bounded_broadcast(dates, MAX_RANK_ROWS), ["date"], "inner")
-              .join(bounded_broadcast(streams, MAX_RANK_ROWS), list(keys), "inner")
-              .withColumn("_k", F.lit(1))
-              .join(F.broadcast(consts), "_k", "inner"))
+    # one row a day and one row a stream: AQE broadcasts them while they are small
+    d = (join_groups(join_groups(daily, dates, ["date"]), streams, keys)
+         .withColumn("_k", F.lit(1)).join(F.broadcast(consts), "_k", "inner"))
     idx = F.col("_dr") * F.col("_ns") + F.col("_sr")
     drift_i = F.col("_dr") - fixed.DRIFT_FIRST_INDEX
     is_spike = (F.col("date") == F.col("_spike")) & (F.pmod(idx, F.lit(fixed.SPIKE_MOD)) == 0)

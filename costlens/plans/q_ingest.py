@@ -40,16 +40,25 @@ def union_clouds(spark, sf_dir):
                           N.normalize_azure(T.raw_azure(t)))
 
 
-@query("category_map", Q.with_(
-    ("raw_gcp", Q.RAW_GCP),
-    final=f"""SELECT "service/description" AS service,
-  {Q.category_map('"service/description"', fixed.GCP_SERVICE_MAP)} AS unified_category, cost FROM raw_gcp"""))
+SERVICES = {"AWS": ("raw_aws", "productCode", "lineItem/UnblendedCost", fixed.AWS_SERVICE_MAP),
+            "GCP": ("raw_gcp", "service/description", "cost", fixed.GCP_SERVICE_MAP),
+            "Azure": ("raw_azure", "MeterCategory", "CostInBillingCurrency", fixed.AZURE_SERVICE_MAP)}
+
+
+def _raw(t):
+    return {"raw_aws": T.raw_aws(t), "raw_gcp": T.raw_gcp(t), "raw_azure": T.raw_azure(t)}
+
+
+@query("category_map", Q.with_(("raw_aws", Q.RAW_AWS), ("raw_gcp", Q.RAW_GCP), ("raw_azure", Q.RAW_AZURE), final="\nUNION ALL\n".join(
+    f"""SELECT '{v}' AS vendor, "{name}" AS service, {Q.category_map(f'"{name}"', m)} AS unified_category, "{cost}" AS cost
+FROM {raw}""" for v, (raw, name, cost, m) in SERVICES.items())))
 def category_map(spark, sf_dir):
-    """Vendor service name -> unified category, default OTHER."""
-    raw = T.raw_gcp(T.Tables(spark, sf_dir))
-    return raw.select(F.col("`service/description`").alias("service"),
-                      C.category_map(F.col("`service/description`"), fixed.GCP_SERVICE_MAP)
-                      .alias("unified_category"), "cost")
+    """Each vendor's service names -> unified category, default OTHER."""
+    raws = _raw(T.Tables(spark, sf_dir))
+    parts = [raws[raw].select(F.lit(v).alias("vendor"), F.col(f"`{name}`").alias("service"),
+                              C.category_map(F.col(f"`{name}`"), m).alias("unified_category"), F.col(f"`{cost}`").alias("cost"))
+             for v, (raw, name, cost, m) in SERVICES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("json_tag", f"""SELECT event_id, props, {Q.json_tag('props', 'k')} AS tag_k,
@@ -62,16 +71,24 @@ def json_tag(spark, sf_dir):
                      C.json_tag("props", "team").alias("tag_team"))
 
 
-@query("lower_fill", Q.with_(("raw_aws", Q.RAW_AWS), final=f"""SELECT
-  "resourceTags/user:Team" AS raw_team, {Q.lower_fill('"resourceTags/user:Team"')} AS normalized_team,
-  "resourceTags/user:Environment" AS raw_env,
-  {Q.lower_fill('"resourceTags/user:Environment"')} AS normalized_env FROM raw_aws"""))
+TAGS = {"AWS": ("raw_aws", "resourceTags/user:Team", "resourceTags/user:Environment"), "GCP": ("raw_gcp", "labels/owner", "labels/env")}
+
+
+@query("lower_fill", Q.with_(("raw_aws", Q.RAW_AWS), ("raw_gcp", Q.RAW_GCP), ("raw_azure", Q.RAW_AZURE), final="\nUNION ALL\n".join(
+    [f"""SELECT '{v}' AS vendor, "{team}" AS raw_team, {Q.lower_fill(f'"{team}"')} AS normalized_team,
+  "{env}" AS raw_env, {Q.lower_fill(f'"{env}"')} AS normalized_env FROM {raw}""" for v, (raw, team, env) in TAGS.items()]
+    + [f"""SELECT 'Azure', "MeterCategory", {Q.lower_fill('"MeterCategory"')}, anomaly_type, {Q.lower_fill('anomaly_type')} FROM raw_azure"""])))
 def lower_fill(spark, sf_dir):
-    """Lower-case tags, missing -> unknown."""
-    raw = T.raw_aws(T.Tables(spark, sf_dir))
-    team, env = F.col("`resourceTags/user:Team`"), F.col("`resourceTags/user:Environment`")
-    return raw.select(team.alias("raw_team"), C.lower_fill(team).alias("normalized_team"),
-                      env.alias("raw_env"), C.lower_fill(env).alias("normalized_env"))
+    """Lower-case tags, missing -> unknown; the vendor whose tags are JSON
+    (B5) gives its plain text columns."""
+    raws = _raw(T.Tables(spark, sf_dir))
+    cols = {**TAGS, "Azure": ("raw_azure", "MeterCategory", "anomaly_type")}
+    parts = []
+    for v, (raw, team, env) in cols.items():
+        team, env = F.col(f"`{team}`"), F.col(f"`{env}`")
+        parts.append(raws[raw].select(F.lit(v).alias("vendor"), team.alias("raw_team"), C.lower_fill(team).alias("normalized_team"),
+                                      env.alias("raw_env"), C.lower_fill(env).alias("normalized_env")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("parse_ts", Q.with_(("raw", Q.RAW_AZURE_EVENTS), final=f"""SELECT "UsageDateTime" AS raw_ts,

@@ -34,13 +34,23 @@ def _first_tenant(t):
     return SV.first_tenant(T.organizations(t)).first()["id"]
 
 
-@query("scan_billing_csv", Q.with_(("raw_gcp", Q.RAW_GCP), final="SELECT * FROM raw_gcp"))
+# the columns of each vendor's export, under common names
+LAYOUT = {"aws": ("lineItem/UsageStartDate", "productCode", "lineItem/UnblendedCost"),
+          "gcp": ("usage_start_time", "service/description", "cost"),
+          "azure": ("UsageDateTime", "MeterCategory", "CostInBillingCurrency")}
+
+
+@query("scan_billing_csv", Q.with_(("raw_aws", Q.RAW_AWS), ("raw_gcp", Q.RAW_GCP), ("raw_azure", Q.RAW_AZURE), final="\nUNION ALL\n".join(
+    f"""SELECT '{v}' AS vendor, "{when}" AS usage_time, "{name}" AS service, "{cost}" AS cost, is_anomaly, anomaly_type FROM raw_{v}"""
+    for v, (when, name, cost) in LAYOUT.items())))
 def scan_billing_csv(spark, sf_dir):
-    """A1: a GCP billing export written as headered CSV, read back with its
-    schema and the CSV null-token rule."""
-    path = IO.scratch_path(spark, "gcp_raw_billing.csv")
-    IO.write_billing_csv(T.raw_gcp(T.Tables(spark, sf_dir)), path)
-    return IO.read_billing_csv(spark, path, SC.RAW_GCP)
+    """A1: the three vendors' exports written as headered CSV, read back with
+    their schemas and the CSV null-token rule."""
+    _, paths = _written_exports(spark, sf_dir)
+    parts = [IO.read_billing_csv(spark, paths[v], EX.VENDORS[v][0]).select(
+        F.lit(v).alias("vendor"), F.col(f"`{when}`").alias("usage_time"), F.col(f"`{name}`").alias("service"),
+        F.col(f"`{cost}`").alias("cost"), "is_anomaly", "anomaly_type") for v, (when, name, cost) in LAYOUT.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("scan_table", Q.with_(("cs", Q.spend(team=True, tenant=True)), final="""SELECT "timestamp",

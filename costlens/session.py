@@ -2,13 +2,13 @@
 
 Nothing here hides Spark: it builds a normal ``SparkSession`` with the
 settings an operator of this library should use (UTC session zone, AQE
-on, UI off) and offers two small guards used across the operators:
+on, UI off) and offers small helpers used across the operators:
 
 * ``checkpoint_dir`` - read ``spark.checkpoint.dir`` from the session and
   set a scratch one only when the session has none and runs in one process
   (tests, laptops); a cluster without the setting is an error.
-* ``bounded_broadcast`` - broadcast a join side only after a cheap,
-  bounded size check; otherwise leave the join to Catalyst/AQE.
+* ``materialize`` - cut lineage by a written table in that folder.
+* ``share`` - ship a small, bounded model to the tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -124,15 +123,3 @@ def _register_cleanup(spark: SparkSession, path: str) -> None:
                 pass
         atexit.register(_drop)
     _CREATED.append(path)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Return ``broadcast(df)`` if it holds at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()``: it stops reading as soon
-    as the bound is exceeded, so it costs at most ``max_rows + 1`` rows of
-    work. Past the bound the plain DataFrame is returned and Catalyst/AQE
-    choose a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

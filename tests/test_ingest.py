@@ -110,3 +110,24 @@ def test_a_batch_that_runs_again_replaces_itself(spark):
     for _ in range(2):
         KD.write_batch(more, 1, path, "s")
     assert sorted(r["event_id"] for r in KD.read_events(spark, path).collect()) == [1, 2, 3]
+
+
+def test_nightly_stops_without_a_tenant(spark):
+    from costlens.plans import nightly
+    spend = spark.createDataFrame([], SC.SPEND)
+    with pytest.raises(IG.IngestStopped, match="organization"):
+        nightly.run_batch(spark, spend, _tenants(spark, 0), IO.scratch_path(spark, "nightly"))
+
+
+def test_nightly_from_exports(spark, tmp_path):
+    """The whole batch from CSV files: every accepted row is served, the rest is
+    in the quarantine, and each stream has its forecast."""
+    from costlens.plans import nightly
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    gcp = _file(tmp_path / "g.csv", GCP + "".join(f"{d},Compute Engine,{100 + 7 * (i % 7)},prod,core,0,none\n" for i, d in enumerate(days))
+                + '2026-02-01,Compute Engine,"9,999.00",prod,core,0,none\n')
+    aws = _file(tmp_path / "a.csv", AWS + "".join(f"{d} 00:00:00,AmazonEC2,{50 + i},1,Prod,Core,0,none\n" for i, d in enumerate(days)))
+    paths = nightly.run_nightly_exports(spark, {"aws": aws, "gcp": gcp}, _tenants(spark), IO.scratch_path(spark, "nightly"))
+    assert IO.read_tenant_table(spark, paths["cloud_spend"]).count() == 120
+    assert spark.read.parquet(paths["quarantine"]).count() == 1
+    assert IO.read_tenant_table(spark, paths["cloud_forecast"]).count() == 2 * 90
