@@ -20,6 +20,21 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def returning(batches):
+    """Hand on a task's batches and, at its end, give memory that is free inside
+    the Python worker back to the machine: a worker outlives its tasks, and what
+    it keeps adds to the executor's size in stages that need none of it."""
+    import ctypes
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):       # another C library
+            pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes (wraps on overflow)."""
     x = x ^ (x >> np.uint64(33))

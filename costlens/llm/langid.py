@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.llm import counts
-from costlens.llm.kernels import byte_table, mix, runs, span_hashes, string_buffers, word_bounds
+from costlens.llm.kernels import byte_table, mix, returning, runs, span_hashes, string_buffers, word_bounds
 from costlens.session import share
 
 BITS = 16
@@ -251,7 +251,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 keep = [t is not None and has_letter(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: returning(run(b)), docs.schema)
 
 
 def held_out(mod: int, rest: int):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.llm import counts
-from costlens.llm.kernels import SPACE, byte_table, chain, words_of
+from costlens.llm.kernels import SPACE, byte_table, chain, returning, words_of
 from costlens.llm.rounds import join_rounds, set_sketch, unlike_keys
 from costlens.session import materialize, share
 
@@ -75,7 +75,7 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
                 t += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
         yield from counts.emit({"all": t})
 
-    tables = counts.collect_tables(counts.add_up(docs.select("text").mapInArrow(count, counts.FIELDS)), size)
+    tables = counts.collect_tables(counts.add_up(docs.select("text").mapInArrow(lambda b: returning(count(b)), counts.FIELDS)), size)
     return tables.get("all", np.zeros(size, np.int64))
 
 
@@ -138,7 +138,7 @@ def indexed(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFra
                      pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sketch, pa.binary())],
                     names=["doc_id", "row", "n", "cls", "prefix", "sketch"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, SET)
+    return docs.select("doc_id", "row", "text").mapInArrow(lambda b: returning(run(b)), SET)
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, table: np.ndarray, n: int, pe
 
     named = wanted.withColumnRenamed("doc_id", "of")
     picked = docs.join(named, F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "text")
-    return picked.mapInArrow(run, "cls long, l int, prefix binary, grams binary").dropDuplicates(["cls"])
+    return picked.mapInArrow(lambda b: returning(run(b)), "cls long, l int, prefix binary, grams binary").dropDuplicates(["cls"])
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -197,9 +197,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select(["a", "b"]).append_column("linked", pa.array(linked, pa.bool_()))
 
     tested = materialize(both(pairs, "l", "prefix").select("a", "b", "la", "lb", "prefixa", "prefixb").mapInArrow(
-        matched, "a long, b long, enough boolean"), "matched-pairs")
+        lambda b: returning(matched(b)), "a long, b long, enough boolean"), "matched-pairs")
     full = both(tested.where("enough").select("a", "b"), "grams").select("a", "b", "gramsa", "gramsb").mapInArrow(
-        compared, "a long, b long, linked boolean")
+        lambda b: returning(compared(b)), "a long, b long, linked boolean")
     return full.unionByName(tested.where("NOT enough").select("a", "b", F.lit(False).alias("linked")))
 
 

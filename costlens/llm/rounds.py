@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.llm.components import components
+from costlens.llm.kernels import returning
 from costlens.session import materialize
 
 #: Bits of the parity bitmap of a whole set.
@@ -129,7 +130,7 @@ def meet(dealt: DataFrame, percent: int, cut: int = 0) -> DataFrame:
         if held is not None and held.num_rows and (out := one(held.combine_chunks())) is not None:
             yield out
 
-    return dealt.mapInArrow(run, MET)
+    return dealt.mapInArrow(lambda b: returning(run(b)), MET)
 
 
 def unlike_keys(shared: DataFrame) -> DataFrame:
