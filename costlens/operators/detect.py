@@ -65,8 +65,8 @@ def broadcast_day_score(rows: DataFrame, scores: DataFrame, keys: Sequence[str]
     when it is under the broadcast threshold, else it sort-merge joins.
     """
     sc = scores.select(*keys, "date", *cols)
-    j = rows.withColumn("_date", C.to_day("timestamp")).join(
-        sc.withColumnRenamed("date", "_date"), [*keys, "_date"], "left").drop("_date")
+    j = join_groups(rows.withColumn("_date", C.to_day("timestamp")), sc.withColumnRenamed("date", "_date"),
+                    [*keys, "_date"], "left").drop("_date")
     return j.fillna(0, subset=list(cols))
 
 

@@ -104,8 +104,7 @@ def trend_weekday_fit(train: DataFrame, keys: Sequence[str] = S, y: str = "y") -
 
 def trend_weekday_predict(fit: DataFrame, dates: DataFrame, keys: Sequence[str] = S) -> DataFrame:
     """Predicted cents at each (stream, date) of ``dates``."""
-    j = dates.join(fit.select(*keys, "slope", "intercept", "weekday_effect", "sigma_cents"),
-                   list(keys), "inner")
+    j = join_groups(dates, fit.select(*keys, "slope", "intercept", "weekday_effect", "sigma_cents"), keys)
     fitted = F.round(F.col("intercept") + F.col("slope") * epoch_day("date")).cast("long")
     eff = F.coalesce(F.element_at("weekday_effect", C.day_of_week("date")), F.lit(0).cast("long"))
     return j.withColumn("pred_cents", fitted + eff).drop("slope", "intercept", "weekday_effect")
@@ -161,7 +160,7 @@ def naive_predict(fit: DataFrame, steps: DataFrame, keys: Sequence[str] = S,
                   season: int = 7) -> DataFrame:
     """``steps`` carries keys and ``h`` (1 = first day after the fit's last
     row); the prediction is the value of slot (h - 1) mod season."""
-    j = steps.join(fit.select(*keys, "last_season", "sigma_cents"), list(keys), "inner")
+    j = join_groups(steps, fit.select(*keys, "last_season", "sigma_cents"), keys)
     slot = F.pmod(F.col("h") - 1, F.lit(season))
     return j.withColumn("pred_cents", F.element_at("last_season", slot)).drop("last_season")
 
@@ -183,12 +182,12 @@ def backtest_route_exact(series: DataFrame, n_val: int = fixed.VALIDATION_DAYS,
     train = sp.where(F.col("is_validation") == 0)
     val = sp.where(F.col("is_validation") == 1)
     n_train = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nt"))
-    val = val.join(n_train, list(keys), "inner").withColumn("h", F.col("pos") - F.col("_nt") + 1)
+    val = join_groups(val, n_train, keys).withColumn("h", F.col("pos") - F.col("_nt") + 1)
     tr = trend_weekday_predict(trend_weekday_fit(train, keys), val.select(*keys, "date", "h", "y"),
                                keys).withColumnRenamed("pred_cents", "trend_cents")
     nv = naive_predict(naive_fit(train, keys), val.select(*keys, "date", "h"), keys) \
         .select(*keys, "date", F.col("pred_cents").alias("naive_cents"))
-    j = tr.join(nv, [*keys, "date"], "inner")
+    j = join_groups(tr, nv, [*keys, "date"])
     err = j.groupBy(*keys).agg(
         F.sum(F.abs(F.col("y") - F.col("trend_cents"))).alias("trend_err"),
         F.sum(F.abs(F.col("y") - F.col("naive_cents"))).alias("naive_err"),
@@ -238,7 +237,7 @@ def forecast_compare(series: DataFrame, horizon: int = fixed.HORIZON_DAYS,
             ("forecast", "lower", "upper"))])
     b = naive_forecast(series, horizon, keys).select(*keys, "date",
                                                      F.col("predicted_cost").alias("naive_forecast"))
-    return a.join(b, [*keys, "date"], "left")
+    return join_groups(a, b, [*keys, "date"], "left")
 
 
 def horizon_lookup(series: DataFrame, lookaheads: Sequence[int] = tuple(fixed.LOOKAHEADS),
@@ -248,7 +247,7 @@ def horizon_lookup(series: DataFrame, lookaheads: Sequence[int] = tuple(fixed.LO
     last = series.groupBy(*keys).agg(F.max("date").alias("_last"))
     targets = last.select(*keys, F.explode(F.array(*[F.lit(k) for k in lookaheads])).alias("horizon"),
                           "_last").withColumn("date", F.date_add("_last", F.col("horizon"))).drop("_last")
-    return targets.join(cmp_, [*keys, "date"], "left")
+    return join_groups(targets, cmp_, [*keys, "date"], "left")
 
 
 def band_panel(base: DataFrame, multipliers: dict = fixed.BAND_MULTIPLIERS,

@@ -86,9 +86,9 @@ def share(spark: SparkSession, value):
         return lambda: value
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
     """Cut the lineage by writing ``df`` as a Parquet table in the shared
-    checkpoint folder and reading it back.
+    checkpoint folder and reading it back. ``options`` go to the writer.
 
     Compared with an RDD checkpoint the table is columnar and compressed,
     and later reads prune columns. A lost executor re-reads the table
@@ -96,7 +96,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/costlens-materialized/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     _register_cleanup(spark, path)
     # the schema is known: skip footer inference on the read-back
     return spark.read.schema(df.schema).parquet(path)

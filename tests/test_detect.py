@@ -76,3 +76,16 @@ def test_null_streams_stay(spark):
     assert feat.count() == 10
     out = scale.minmax_scale(feat, ["cost"]).where("cloud_provider is null").orderBy("timestamp").collect()
     assert [r["cost_scaled"] for r in out] == [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+def test_null_streams_are_scored_and_forecast(spark):
+    """A null key is a stream to the day scores and the forecasts too."""
+    import datetime as dt
+    from costlens.operators import forecast_window as FW
+    t = dt.datetime(2024, 1, 1)
+    df = _rows(spark, [(p, t + dt.timedelta(days=i), 10.0 + (i % 5) + (400 if i == 50 else 0)) for p in ("AWS", None) for i in range(70)])
+    scored = D.stat_detector(df)
+    flagged = {(r["cloud_provider"], r["timestamp"].date()) for r in scored.where("stat_is_anomaly = 1").collect()}
+    assert (None, dt.date(2024, 2, 20)) in flagged and ("AWS", dt.date(2024, 2, 20)) in flagged
+    fc = FW.production_forecast_exact(FW.cleaned_series(df)).groupBy("cloud_provider").count().collect()
+    assert {r["cloud_provider"]: r["count"] for r in fc} == {"AWS": 90, None: 90}
