@@ -141,7 +141,8 @@ def write_training_order(docs: DataFrame, out: str, key: int = 17, stride: int =
     path = path or tokenizer_path()
     width = id_width(path, end_id)
     records = max(1, shard_bytes // (stride * width))
-    held = materialize(tokenised(docs, stride, width, path, end_id), "token-ids")
+    # ids are dense: the slower codec saves a good part of the table
+    held = materialize(tokenised(docs, stride, width, path, end_id), "token-ids", compression="zstd")
     counts = materialize(held.groupBy("part").agg(F.sum("n_seqs").alias("n")), "part-counts")    # one row per part
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     base = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
