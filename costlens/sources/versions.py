@@ -41,7 +41,8 @@ def newest(loads: DataFrame, where: Column | None = None, keep_load: bool = Fals
     rows = loads if where is None else loads.where(where)
     # the newest load is that of the batch, whether or not it has rows of the stream
     last = loads.groupBy(TENANT, BATCH).agg(F.max(LOAD).alias(LOAD))
-    out = join_groups(rows, last.withColumn("_newest", F.lit(True)), [TENANT, BATCH, LOAD])
+    # few keys and all rows: dealt by them, a tenant's load would be one task's
+    out = join_groups(rows, F.broadcast(last.withColumn("_newest", F.lit(True))), [TENANT, BATCH, LOAD])
     return out.drop("_newest") if keep_load else out.drop("_newest", BATCH, LOAD)
 
 
