@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from costlens import fixed
 from costlens.operators import detect as D
-from costlens.operators.keyed import join_groups
+from costlens.operators.keyed import join_stats, stream_id
 from costlens.schema import S
 from costlens.session import materialize, share
 
@@ -62,11 +63,6 @@ def _unit(*cols) -> F.Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def stream_id(keys: Sequence[str]) -> F.Column:
-    """One number for a stream, null keys apart from each other."""
-    return F.xxhash64(*[c for k in keys for c in (F.col(k).isNull(), F.col(k))])
-
-
 def tree_candidates(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S, trees: int = fixed.IFOREST_TREES,
                     samples: int = fixed.IFOREST_SAMPLES, seed: int = fixed.IFOREST_SEED) -> DataFrame:
     """(_stream, tree, _u, features): the rows from which each tree draws its
@@ -74,7 +70,7 @@ def tree_candidates(df: DataFrame, features: Sequence[str], keys: Sequence[str]
     where ``df`` has one (``_pos``), else by their content."""
     rows = df.select(*keys, *features, F.xxhash64(*sorted(c for c in df.columns)).alias("_h"))
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = join_groups(rows, n, keys).withColumn("_q", F.least(F.lit(1.0), F.lit(SPARE * samples) / F.col("_n")))
+    rows = join_stats(rows, n, keys).withColumn("_q", F.least(F.lit(1.0), F.lit(SPARE * samples) / F.col("_n")))
     # trees before the first one that takes the row: geometric
     first = F.when(F.col("_q") >= 1, F.lit(0.0)).otherwise(
         F.floor(F.log(1 - _unit("_h", F.lit(seed))) / F.log(1 - F.col("_q"))))
@@ -136,24 +132,76 @@ def fit_forest(df: DataFrame, features: Sequence[str] = tuple(fixed.IFOREST_FEAT
     return drawn.groupBy(STREAM, "tree").applyInPandas(fit, FOREST_SCHEMA)
 
 
-def _pack(forest_rows) -> dict:
-    """{stream: (feature, threshold, left, right, value, psi)} as padded arrays."""
-    by = {}
+#: Rows that walk the trees together: their places in a hundred trees fit in a
+#: core's cache.
+WALK_ROWS = 512
+
+
+@dataclass
+class Forest:
+    """The trees of a stream, node after node, children side by side. A leaf
+    leads to itself."""
+    cuts: list[np.ndarray]      # of each feature, the thresholds of all trees
+    node: np.ndarray            # first child << 32 | place of the threshold << 8 | feature
+    value: np.ndarray
+    roots: np.ndarray
+    levels: int
+    psi: int
+
+    def depths(self, X: np.ndarray) -> np.ndarray:
+        """The mean depth of each row. ``x <= threshold`` holds where the place of
+        x among a feature's thresholds is not above the threshold's own."""
+        m, n_f = X.shape
+        place = np.empty((m, n_f), np.int64)
+        for f, cuts in enumerate(self.cuts):
+            place[:, f] = np.searchsorted(cuts, X[:, f], "left")
+        out = np.empty(m)
+        for i in range(0, m, WALK_ROWS):
+            part = place[i:i + WALK_ROWS].reshape(-1)
+            row = np.arange(0, len(part), n_f)
+            at = np.repeat(self.roots[:, None], len(row), 1)
+            for _ in range(self.levels):
+                node = self.node[at]
+                x = part[(node & 255) + row]
+                at = (node >> 32) + (x > (node >> 8 & 0xFFFFFF))
+            out[i:i + WALK_ROWS] = self.value[at].mean(axis=0)
+        return out
+
+
+def _forest(rows: list, n_f: int) -> Forest:
+    """A leaf's threshold lies above all places, so the walk stays there."""
+    feature, threshold = (np.concatenate([np.asarray(r[c]) for r in rows]) for c in ("feature", "threshold"))
+    cuts = [np.unique(threshold[feature == f]) for f in range(n_f)]
+    nodes, values, roots, levels, first = [], [], [], 0, 0
+    for r in rows:
+        fe, th, lf, rt, va = (np.asarray(r[c]) for c in ("feature", "threshold", "left", "right", "value"))
+        inner = np.flatnonzero(fe >= 0)
+        # children side by side: the root, then the pairs of all inner nodes
+        new = np.zeros(len(fe), np.int64)
+        new[lf[inner]] = 1 + 2 * np.arange(len(inner))
+        new[rt[inner]] = 2 + 2 * np.arange(len(inner))
+        place = np.full(len(fe), 0xFFFFFF, np.int64)
+        for f in range(n_f):
+            place[fe == f] = np.searchsorted(cuts[f], th[fe == f])
+        child = new.copy()
+        child[inner] = new[lf[inner]]
+        packed, value = np.empty(len(fe), np.int64), np.empty(len(fe))
+        packed[new] = child + first << 32 | place << 8 | np.maximum(fe, 0)
+        value[new] = va
+        depth = np.zeros(len(fe), np.int64)
+        for k in inner:             # parents come before their children
+            depth[lf[k]] = depth[rt[k]] = depth[k] + 1
+        levels = max(levels, int(depth.max()))
+        nodes.append(packed), values.append(value), roots.append(first)
+        first += len(fe)
+    return Forest(cuts, np.concatenate(nodes), np.concatenate(values), np.array(roots), levels, rows[0]["psi"])
+
+
+def _pack(forest_rows, n_f: int) -> dict[int, Forest]:
+    by: dict[int, list] = {}
     for r in forest_rows:
         by.setdefault(r[STREAM], []).append(r)
-    packed = {}
-    for k, rs in by.items():
-        rs.sort(key=lambda r: r["tree"])
-        m = max(len(r["feature"]) for r in rs)
-
-        def pad(name, fill, dtype):
-            a = np.full((len(rs), m), fill, dtype=dtype)
-            for i, r in enumerate(rs):
-                a[i, :len(r[name])] = r[name]
-            return a
-        packed[k] = (pad("feature", -1, np.int32), pad("threshold", 0.0, float), pad("left", 0, np.int32),
-                     pad("right", 0, np.int32), pad("value", 0.0, float), rs[0]["psi"])
-    return packed
+    return {k: _forest(sorted(rs, key=lambda r: r["tree"]), n_f) for k, rs in by.items()}
 
 
 def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str] = tuple(fixed.IFOREST_FEATURES),
@@ -172,7 +220,7 @@ def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str] = tuple
 
 
 def _score_part(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str) -> DataFrame:
-    get_model = share(df.sparkSession, _pack(forest.collect()))
+    get_model = share(df.sparkSession, _pack(forest.collect(), len(features)))
     feats = list(features)
 
     def run(batches):
@@ -181,29 +229,10 @@ def _score_part(df: DataFrame, forest: DataFrame, features: Sequence[str], out:
             pdf = pdf.reset_index(drop=True)
             score = np.full(len(pdf), 0.5)
             for key, grp in pdf.groupby(STREAM, sort=False):
-                if key not in model or model[key][5] <= 1:
+                if key not in model or model[key].psi <= 1:
                     continue
-                fe, th, lf, rt, va, psi = model[key]
-                X = grp[feats].to_numpy(dtype=float)
-                n_t, width = fe.shape
-                m, n_f = X.shape
-                # flat gathers: node ids are offsets into the padded tree arrays
-                base = (np.arange(n_t, dtype=np.int64) * width)[:, None]
-                fe_f, th_f = fe.reshape(-1), th.reshape(-1)
-                lf_f, rt_f = lf.reshape(-1).astype(np.int64), rt.reshape(-1).astype(np.int64)
-                xf = X.reshape(-1)
-                row = (np.arange(m, dtype=np.int64) * n_f)[None, :]
-                flat = np.broadcast_to(base, (n_t, m)).copy()
-                for _ in range(64):
-                    f = np.take(fe_f, flat)
-                    internal = f >= 0
-                    if not internal.any():
-                        break
-                    x = np.take(xf, row + np.maximum(f, 0))
-                    go = np.where(x <= np.take(th_f, flat), np.take(lf_f, flat), np.take(rt_f, flat))
-                    flat = np.where(internal, base + go, flat)
-                depth = np.take(va.reshape(-1), flat).mean(axis=0)
-                score[grp.index.to_numpy()] = np.power(2.0, -depth / c_factor(psi))
+                depth = model[key].depths(grp[feats].to_numpy(dtype=float))
+                score[grp.index.to_numpy()] = np.power(2.0, -depth / c_factor(model[key].psi))
             yield pdf.assign(**{out: score})
 
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])

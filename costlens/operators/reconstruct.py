@@ -30,8 +30,7 @@ from costlens import fixed
 from costlens.operators import aggregates as A
 from costlens.operators import scale as SC
 from costlens.operators import windows as W
-from costlens.operators.keyed import join_groups
-from costlens.operators.iforest import stream_id
+from costlens.operators.keyed import join_stats, stream_id
 from costlens.operators.positional import IDX, positional_index, sub_index, with_halo
 from costlens.schema import S
 from costlens.session import materialize, share
@@ -162,6 +161,6 @@ def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S, bucket_row
     full = in_order(with_halo(scaled, fixed.SEQ_LEN, bucket_rows=bucket_rows), IDX)
     scored = materialize(score_rows(full, model), "seq-scored")
     th = A.exact_percentile(scored.where("_scored"), "dl_mse_score", fixed.SEQ_PERCENTILE, keys, out="_th", written=True)
-    out = join_groups(scored, th, keys, "left").withColumn(
+    out = join_stats(scored, th, keys, "left").withColumn(
         "dl_is_anomaly", F.when(F.col("_scored"), F.coalesce((F.col("dl_mse_score") > F.col("_th")).cast("int"), F.lit(0))).otherwise(0))
     return out.drop("_th", "_scored", IDX)

@@ -1,6 +1,6 @@
 """Per-stream min-max scaling (B11) without a whole-stream window: the
-min/max table (one row per stream) is aggregated with a partial aggregate
-and joined back; AQE broadcasts it at run time."""
+min/max table (one row per stream) is aggregated with a partial aggregate,
+written and joined back, so that it is broadcast while it is small."""
 
 from __future__ import annotations
 
@@ -10,19 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.operators import aggregates as A
+from costlens.operators.keyed import join_stats
 from costlens.schema import S
 
 
 def minmax_scale(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S,
                  suffix: str = "_scaled") -> DataFrame:
     """(x - min) / (max - min) per stream; a constant feature scales to 0."""
-    st = A.minmax_stats(df, features, keys)
     # a null key is a stream of its own
-    on = F.lit(True)
-    for k in keys:
-        st = st.withColumnRenamed(k, f"_of_{k}")
-        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    j = df.join(st, on, "inner")
+    j = join_stats(df, A.minmax_stats(df, features, keys), keys)
     cols = []
     for f in features:
         lo, hi = F.col(f"{f}_min"), F.col(f"{f}_max")
