@@ -27,8 +27,9 @@ def no_guess(spark):
 
 
 def test_rows_are_not_dealt_by_load(spark, no_guess):
-    loads = spark.range(200_000).select(F.lit("t").alias(V.TENANT), F.lit("b").alias(V.BATCH),
-                                        F.lit(1).alias(V.LOAD), F.col("id").alias("cost"))
+    one = F.col("id") % 1
+    loads = spark.range(200_000).select(one.cast("string").alias(V.TENANT), one.cast("string").alias(V.BATCH),
+                                        one.cast("int").alias(V.LOAD), F.col("id").alias("cost"))
     out = V.newest(loads)
     assert "SortMergeJoin" not in _plan(out)
     assert out.count() == 200_000
