@@ -31,13 +31,18 @@ def _stored(schema: T.StructType) -> T.StructType:
                          T.StructField(STREAM, T.StringType()), T.StructField(BATCH, T.LongType())])
 
 
+def unseen(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ``ids``. The table's ids grow with it, so
+    they are never gathered in the driver for a broadcast."""
+    return rows.dropDuplicates([ID]).join(ids.hint("merge"), ID, "left_anti")
+
+
 def write_batch(rows: DataFrame, number: int, path: str, stream: str) -> None:
     """One micro-batch: the events that no other batch of the table holds. Run
     again with the same number it gives the same partition."""
     seen = read_optional(rows.sparkSession, path, _stored(rows.schema))
     others = seen.where(~((F.col(STREAM) == stream) & (F.col(BATCH) == number))).select(ID)
-    new = rows.dropDuplicates([ID]).join(others, ID, "left_anti")
-    (new.withColumn(STREAM, F.lit(stream)).withColumn(BATCH, F.lit(number).cast("long"))
+    (unseen(rows, others).withColumn(STREAM, F.lit(stream)).withColumn(BATCH, F.lit(number).cast("long"))
      .write.partitionBy(TENANT, STREAM, BATCH).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
