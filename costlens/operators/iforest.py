@@ -14,7 +14,7 @@ Plan, sized for streams of any length:
 3. Score. A forest has at most 100 trees of 511 nodes (about 2 MB). Streams are
    dealt into as many parts as forests of ``MODEL_BYTES`` need, each part's
    forests are broadcast, and every row is scored in Arrow batches with a
-   vectorised tree walk (``mapInPandas``): no row is dropped.
+   vectorised tree walk (``mapInArrow``): no row is dropped.
 4. The 5 % contamination cut is the exact distributed percentile (I5).
 
 A null key is a stream. Where a tree can't split (a single row, or rows alike in
@@ -224,27 +224,31 @@ def _score_part(df: DataFrame, forest: DataFrame, features: Sequence[str], out:
     feats = list(features)
 
     def run(batches):
+        import pyarrow as pa
         model = get_model()
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            score = np.full(len(pdf), 0.5)
-            for key, grp in pdf.groupby(STREAM, sort=False):
+        for b in batches:
+            stream = b.column(STREAM).to_numpy()
+            X = np.stack([b.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in feats], axis=1)
+            score = np.full(b.num_rows, 0.5)
+            for key in np.unique(stream).tolist():
                 if key not in model or model[key].psi <= 1:
                     continue
-                depth = model[key].depths(grp[feats].to_numpy(dtype=float))
-                score[grp.index.to_numpy()] = np.power(2.0, -depth / c_factor(model[key].psi))
-            yield pdf.assign(**{out: score})
+                own = np.flatnonzero(stream == key)
+                score[own] = np.power(2.0, -model[key].depths(X[own]) / c_factor(model[key].psi))
+            yield b.append_column(out, pa.array(score))
 
+    # the other columns stay in Arrow
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def isolation_forest(feat: DataFrame, keys: Sequence[str] = S,
-                     features: Sequence[str] = tuple(fixed.IFOREST_FEATURES)) -> DataFrame:
+                     features: Sequence[str] = tuple(fixed.IFOREST_FEATURES), written: bool = False) -> DataFrame:
     """I4 + I5: score every row, flag scores above the stream's 95th
     percentile (``ml_is_anomaly``)."""
-    # the features feed the pool and the scoring: materialise them once
-    feat = materialize(feat, "iforest-features")
+    # the features feed the pool and the scoring: materialise them once, unless
+    # they are ``written`` already
+    feat = feat if written else materialize(feat, "iforest-features")
     forest = materialize(fit_forest(feat, features, keys), "iforest-trees")
     # scored rows feed both the percentile and the flag join: materialise
     # them once in the checkpoint folder instead of scoring twice
