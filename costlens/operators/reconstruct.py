@@ -31,7 +31,7 @@ from costlens.operators import aggregates as A
 from costlens.operators import scale as SC
 from costlens.operators import windows as W
 from costlens.operators.keyed import join_stats, stream_id
-from costlens.operators.positional import IDX, positional_index, sub_index, with_halo
+from costlens.operators.positional import IDX, more_tasks, positional_index, sub_index, with_halo
 from costlens.schema import S
 from costlens.session import materialize, share
 
@@ -44,18 +44,20 @@ def scaled_features(feat: DataFrame, keys: Sequence[str] = S) -> DataFrame:
 
 
 def windowed_batches(batches, features: Sequence[str] = SCALED):
-    """(frame, windows, which rows have one) of frames that come in the order of
-    (_stream, _bucket, position): a row's window is the feature vectors of the
-    ``SEQ_LEN`` rows before it, oldest first. The last rows of a frame stay in a
+    """(batch, windows, which rows have one) of Arrow batches that come in the order
+    of (_stream, _bucket, position): a row's window is the feature vectors of the
+    ``SEQ_LEN`` rows before it, oldest first. The last rows of a batch stay in a
     buffer for the next one, so no window is ever stored."""
+    import pyarrow as pa
+
     n_before, held, held_key = fixed.SEQ_LEN, np.zeros((0, len(features))), None
-    for pdf in batches:
-        if pdf.empty:
+    for b in batches:
+        if not b.num_rows:
             continue
-        stream, bucket = pdf["_stream"].to_numpy(), pdf["_bucket"].to_numpy()
-        X = pdf[list(features)].to_numpy(dtype=float)
+        stream, bucket = b.column("_stream").to_numpy(), b.column("_bucket").to_numpy()
+        X = np.stack([b.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in features], axis=1)
         cut = np.flatnonzero(np.r_[True, (stream[1:] != stream[:-1]) | (bucket[1:] != bucket[:-1])])
-        # rows of the same group before this frame
+        # rows of the same group before this batch
         lead = held if held_key == (stream[0], bucket[0]) else held[:0]
         rows = np.concatenate([lead, X])
         start = np.repeat(np.r_[0, cut[1:] + len(lead)], np.diff(np.r_[cut, len(X)]))
@@ -65,15 +67,15 @@ def windowed_batches(batches, features: Sequence[str] = SCALED):
         if has.any():
             view = np.lib.stride_tricks.sliding_window_view(rows, n_before, axis=0)     # [row, feature, step]
             windows = view[at[has] - n_before].transpose(0, 2, 1).reshape(int(has.sum()), DIM)
-        yield pdf, windows, has
+        yield b, windows, has
         last = cut[-1]
         tail = X[last:] if len(cut) > 1 else rows
         held, held_key = tail[-n_before:].copy(), (stream[-1], bucket[-1])
 
 
-def in_order(df: DataFrame, idx: str) -> DataFrame:
+def in_order(df: DataFrame, idx: str, tasks: Sequence[int] = ()) -> DataFrame:
     """Buckets with their halo rows, each in the order of its positions."""
-    return df.repartition("_stream", "_bucket").sortWithinPartitions("_stream", "_bucket", idx)
+    return df.repartition(*tasks, "_stream", "_bucket").sortWithinPartitions("_stream", "_bucket", idx)
 
 
 def gram_stats(ordered: DataFrame, features: Sequence[str] = SCALED) -> DataFrame:
@@ -84,19 +86,21 @@ def gram_stats(ordered: DataFrame, features: Sequence[str] = SCALED) -> DataFram
     emits one small block per stream it saw; Spark sums the blocks."""
 
     def part(batches):
+        import pyarrow as pa
         acc: dict = {}
-        for pdf, X, has in windowed_batches(batches, features):
-            own = has & ~pdf["_halo"].to_numpy()
-            X, stream = X[own[has]], pdf["_stream"].to_numpy()[own]
+        for b, X, has in windowed_batches(batches, features):
+            own = has & ~b.column("_halo").to_numpy(zero_copy_only=False)
+            X, stream = X[own[has]], b.column("_stream").to_numpy()[own]
             for key in np.unique(stream):
                 Y = X[stream == key]
                 n, sm, g = acc.get(key, (0, 0.0, 0.0))
                 acc[key] = (n + len(Y), sm + Y.sum(axis=0), g + Y.T @ Y)
         for key, (n, sm, g) in acc.items():
             v = np.concatenate([[float(n)], sm, np.asarray(g).reshape(-1)])
-            yield pd.DataFrame({"_stream": np.full(len(v), key, np.int64), "k": np.arange(len(v), dtype=np.int32), "v": v})
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), key, np.int64)), pa.array(np.arange(len(v), dtype=np.int32)),
+                                              pa.array(v)], names=["_stream", "k", "v"])
 
-    partial = ordered.select("_stream", "_bucket", "_halo", *features).mapInPandas(part, "_stream long, k int, v double")
+    partial = ordered.select("_stream", "_bucket", "_halo", *features).mapInArrow(part, "_stream long, k int, v double")
     return partial.groupBy("_stream", "k").agg(F.sum("v").alias("v"))
 
 
@@ -128,10 +132,11 @@ def score_rows(ordered: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN,
     kept = [f for f in ordered.schema.fields if f.name not in ("_halo", "_bucket", "_stream")]
 
     def run(batches):
+        import pyarrow as pa
         m = get_model()
-        for pdf, X, has in windowed_batches(batches):
-            score = np.zeros(len(pdf))
-            stream = pdf["_stream"].to_numpy()[has]
+        for b, X, has in windowed_batches(batches):
+            score = np.zeros(b.num_rows)
+            stream = b.column("_stream").to_numpy()[has]
             err = np.zeros(len(X))
             for key in np.unique(stream):
                 if key in m:
@@ -139,11 +144,13 @@ def score_rows(ordered: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN,
                     Y = X[stream == key] - mean
                     err[stream == key] = ((Y - (Y @ basis) @ basis.T) ** 2).mean(axis=1)
             score[has] = err
-            own = ~pdf["_halo"].to_numpy()
-            yield pdf.assign(**{out: score, "_scored": has})[own][[*[f.name for f in kept], out, "_scored"]]
+            own = pa.array(~b.column("_halo").to_numpy(zero_copy_only=False))
+            rows = b.select([f.name for f in kept])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score), pa.array(has)],
+                                             names=[*rows.schema.names, out, "_scored"]).filter(own)
 
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField("_scored", T.BooleanType())])
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S, bucket_rows: int | None = None) -> DataFrame:
@@ -156,9 +163,10 @@ def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S, bucket_row
     given = IDX in feat.columns
     idx = feat if given else positional_index(feat, keys, W.spend_order(feat, keys))
     scaled = materialize(scaled_features(idx, keys).withColumn("_stream", stream_id(keys)), "seq-scaled")
+    tasks = more_tasks(scaled, scaled.count())
     clean = sub_index(scaled, keys, F.col("is_anomaly") == 0, bucket_rows=bucket_rows).select("_stream", "_sub", *SCALED)
-    model = fit_subspace(in_order(with_halo(clean, fixed.SEQ_LEN, idx="_sub", bucket_rows=bucket_rows), "_sub"))
-    full = in_order(with_halo(scaled, fixed.SEQ_LEN, bucket_rows=bucket_rows), IDX)
+    model = fit_subspace(in_order(with_halo(clean, fixed.SEQ_LEN, idx="_sub", bucket_rows=bucket_rows), "_sub", tasks))
+    full = in_order(with_halo(scaled, fixed.SEQ_LEN, bucket_rows=bucket_rows), IDX, tasks)
     scored = materialize(score_rows(full, model), "seq-scored")
     th = A.exact_percentile(scored.where("_scored"), "dl_mse_score", fixed.SEQ_PERCENTILE, keys, out="_th", written=True)
     out = join_stats(scored, th, keys, "left").withColumn(

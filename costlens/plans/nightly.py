@@ -24,6 +24,7 @@ from costlens.operators import reconstruct as RC
 from costlens.operators import serve as SV
 from costlens.operators import windows as W
 from costlens.plans.ingest import IngestStopped
+from costlens.session import materialize
 from costlens.sources import exports as EX
 from costlens.sources import files as IO
 from costlens.sources import tables as T
@@ -31,8 +32,9 @@ from costlens.sources import tables as T
 
 def scored_spend(spend: DataFrame) -> DataFrame:
     """Every spend row with the three tier flags and the vote."""
-    feat = W.rolling_features(spend, keep_index=True)
-    ml = IF.isolation_forest(feat)
+    spend = materialize(spend, "spend-rows")
+    feat = W.rolling_features(spend, keep_index=True, written=True)
+    ml = IF.isolation_forest(feat, written=True)
     dl = RC.sequence_reconstruction(ml)
     return D.ensemble_vote(D.broadcast_day_score(dl, D.day_scores(spend)))
 

@@ -16,6 +16,7 @@ from costlens.operators import stl as STL
 from costlens.operators import windows as W
 from costlens.operators.positional import IDX
 from costlens.plans.catalog import query
+from costlens.session import materialize
 from costlens.sources import tables as T
 
 
@@ -45,7 +46,7 @@ def stat_detector_stl(spark, sf_dir):
 def isolation_forest(spark, sf_dir):
     """I4 + I5: per-stream isolation forest score and 5 % contamination flag
     for every spend row."""
-    return IF.isolation_forest(W.rolling_features(_spend(spark, sf_dir), keep_index=True)).drop(IDX)
+    return IF.isolation_forest(W.rolling_features(_spend(spark, sf_dir), keep_index=True), written=True).drop(IDX)
 
 
 @query("sequence_reconstruction")
@@ -57,9 +58,9 @@ def sequence_reconstruction(spark, sf_dir):
 
 def tiers(spark, sf_dir):
     """Every spend row with the three tier flags and the vote."""
-    sp = _spend(spark, sf_dir)
-    feat = W.rolling_features(sp, keep_index=True)
-    ml = IF.isolation_forest(feat)
+    sp = materialize(_spend(spark, sf_dir), "spend-rows")
+    feat = W.rolling_features(sp, keep_index=True, written=True)
+    ml = IF.isolation_forest(feat, written=True)
     dl = RC.sequence_reconstruction(ml)
     flagged = D.broadcast_day_score(dl, D.day_scores(sp))
     return D.ensemble_vote(flagged)
