@@ -9,8 +9,10 @@
    number into the sequence's global slot. Slot, shard and record follow from the
    number alone: nothing is counted or ranked after the permutation.
 4. Sequences go to the partition of their shard, one shard a task, are put in the
-   order of their records and written as a file of fixed-stride records (padded),
-   so record i of a shard is at byte ``i * stride * width`` and training resumes
+   order of their records and written as a file of fixed-stride records (padded).
+   The shards are written in ``PASSES`` jobs over the table of ids, so that only a
+   part of the sequences lies in the shuffle beside the table and the shards. Hence
+   record i of a shard is at byte ``i * stride * width`` and training resumes
    from a global slot alone, also in the middle of a shard.
 
 Ids take two bytes, or four where the vocabulary needs them. Null text is an empty
@@ -21,17 +23,20 @@ name of the attempt and renamed, so a lost or repeated task leaves whole files o
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from costlens.llm.tokens import encode_texts, tokenizer_path
-from costlens.session import checkpoint_dir, materialize
+from costlens.llm.tokens import encode_texts, runs_of, tokenizer_path
+from costlens.session import checkpoint_dir, materialize, shuffles_dropped
 
 STRIDE = 512
 END_ID = 49407      # <|endoftext|> of word_bpe_49k
 SHARD_BYTES = 64 << 20
 ROUNDS = 6
+PASSES = 3          # jobs that write the shards: each shuffles its share of the sequences
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,8 +94,8 @@ def tokenised(docs: DataFrame, stride: int, width: int, path: str, end_id: int)
         for b in batches:
             texts = b.column("text").fill_null("").to_pylist()
             ids = b.column("doc_id")
-            for lo in range(0, len(texts), 256):
-                got = [np.frombuffer(e, "<u4").astype(kind).tobytes() + end for e in encode_texts(texts[lo:lo + 256], path)]
+            for lo, hi in runs_of(texts):
+                got = [np.frombuffer(e, "<u4").astype(kind).tobytes() + end for e in encode_texts(texts[lo:hi], path)]
                 n = -(-np.array([len(x) for x in got], np.int64) // (width * stride))
                 start = first + np.cumsum(n) - n
                 first += int(n.sum())
@@ -106,9 +111,11 @@ SEQUENCE = "doc_id long, seq long, number long, slot long, shard int, record lon
 RECORD = "doc_id long, seq long, number long, slot long, shard int, record long, n_tokens int, ids_crc32 long"
 
 
-def sequences(docs: DataFrame, total: int, records: int, key: int, stride: int, width: int) -> DataFrame:
-    """The sequences of documents (doc_id, ids, base: the first dense number),
-    with slot, shard and record."""
+def sequences(docs: DataFrame, total: int, records: int, key: int, stride: int, width: int,
+              low: int, high: int) -> DataFrame:
+    """The sequences of documents (doc_id, n_seqs, ids, base: the first dense
+    number) in the shards from ``low`` to before ``high``, with slot, shard and
+    record."""
 
     def run(batches):
         import pyarrow as pa
@@ -116,22 +123,22 @@ def sequences(docs: DataFrame, total: int, records: int, key: int, stride: int,
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 some = b.slice(lo, 128)
-                d, s, ids = [], [], []
-                for i, e in zip(some.column("doc_id").to_pylist(), some.column("ids").to_pylist()):
-                    for k, at in enumerate(range(0, len(e), step)):
-                        d.append(i)
-                        s.append(k)
-                        ids.append(e[at:at + step])
-                n = np.array([-(-len(e) // step) for e in some.column("ids").to_pylist()], np.int64)
-                number = np.repeat(some.column("base").to_numpy(), n) + np.array(s, np.int64)
+                n = some.column("n_seqs").to_numpy()
+                doc = np.repeat(np.arange(len(n)), n)
+                seq = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                number = some.column("base").to_numpy()[doc] + seq
                 slot = feistel(number, total, key).astype(np.int64)
+                here = np.flatnonzero((slot // records >= low) & (slot // records < high))
+                doc, seq, number, slot = doc[here], seq[here], number[here], slot[here]
+                whole = some.column("ids").to_pylist()
+                ids = [whole[d][k:k + step] for d, k in zip(doc.tolist(), (seq * step).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(number), pa.array(slot),
+                    [some.column("doc_id").take(pa.array(doc)), pa.array(seq), pa.array(number), pa.array(slot),
                      pa.array((slot // records).astype(np.int32)), pa.array(slot % records),
                      pa.array([len(x) // width for x in ids], pa.int32()), pa.array(ids, pa.binary())],
                     names=[x.split()[0] for x in SEQUENCE.split(", ")])
 
-    return docs.select("doc_id", "ids", "base").mapInArrow(run, SEQUENCE)
+    return docs.select("doc_id", "n_seqs", "ids", "base").mapInArrow(run, SEQUENCE)
 
 
 def write_training_order(docs: DataFrame, out: str, key: int = 17, stride: int = STRIDE, shard_bytes: int = SHARD_BYTES,
@@ -146,9 +153,8 @@ def write_training_order(docs: DataFrame, out: str, key: int = 17, stride: int =
     counts = materialize(held.groupBy("part").agg(F.sum("n_seqs").alias("n")), "part-counts")    # one row per part
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     base = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    numbered = held.join(base, "part").select("doc_id", "ids", (F.col("before") + F.col("first")).alias("base"))
+    numbered = held.join(base, "part").select("doc_id", "n_seqs", "ids", (F.col("before") + F.col("first")).alias("base"))
     shards = max(1, -(-total // records))
-    seqs = sequences(numbered, max(total, 1), records, key, stride, width)
 
     def write(batches):
         import os
@@ -185,9 +191,15 @@ def write_training_order(docs: DataFrame, out: str, key: int = 17, stride: int =
             yield b.drop_columns(["ids"]).append_column("ids_crc32", crc)
         close()
 
-    # a shard is a partition: slots are evenly spread, so shards are of one size
-    dealt = seqs.repartitionById(shards, "shard").sortWithinPartitions("shard", "record")
-    return materialize(dealt.mapInArrow(write, RECORD), "training-order")
+    def one_pass(low, high):
+        # a shard is a partition: slots are evenly spread, so shards are of one size
+        seqs = sequences(numbered, max(total, 1), records, key, stride, width, low, high)
+        dealt = seqs.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("shard", "record")
+        with shuffles_dropped(docs.sparkSession):
+            return materialize(dealt.mapInArrow(write, RECORD), "training-order")
+
+    step = -(-shards // PASSES)
+    return reduce(DataFrame.unionAll, [one_pass(lo, min(lo + step, shards)) for lo in range(0, shards, step)])
 
 
 def read_slots(manifest: DataFrame, out: str, stride: int = STRIDE, width: int = 2) -> DataFrame:

@@ -1,5 +1,6 @@
 """Filter audit, odd-sketch dedup and spelling variants against brute force."""
 
+import os
 import random
 import re
 import zlib
@@ -332,3 +333,79 @@ def test_chunks_are_encoded_as_they_are_alone():
         want = [np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in some]
         assert tokens._encode_chunks(tok, separator, some) == want
         assert tokens._encode_chunks(tok, None, some) == want
+
+
+def test_ids_are_the_tokenizers_whatever_the_path():
+    """Chunks cut here, chunks left to the tokenizer, special strings (which the
+    tokenizer looks for before it lower-cases) and mixes of them."""
+    from costlens.llm import tokens
+    path = tokens.tokenizer_path()
+    tok = tokens._load(path)[0]
+    texts = ["a <|ENDOFTEXT|> B.", "A<|endoftext|>b,", "it's IT'S. we'll- 'll", "a_b-c@d.com 1234 x9,9!!", "Straße ÆØÅ ÷×, ÿ. é, \u0301",
+             "\u00aa\u00ba \u00b5 x\u00b2 \u00bd", "\x85 \xa0x\ty\r\nz", "\u4e2d. \u03a3\u03b1\u03c2, \u0130I.", "x" * 1000 + ".", "\n", ""]
+    draw = random.Random(5)
+    for letters in ("abz\u00e9\u00df\u00ff\u00f7A\u00c9Z019.,!'<|>_- \n\t\u0301\u4e2d  ", "abcde\u00e9\u00f1.,!#'-1  "):
+        texts += ["".join(draw.choice(letters) for _ in range(draw.randrange(50))) for _ in range(2000)]
+    assert tokens._model(path) is not None
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):      # unseen, then from the cache
+        assert [np.frombuffer(e, "<u4").tolist() for e in tokens.encode_texts(texts, path)] == want
+
+
+def test_texts_are_split_in_bounded_runs(monkeypatch):
+    from costlens.llm import tokens
+    path = tokens.tokenizer_path()
+    texts = ["one two", "", "three " * 50, "four", "five six"]
+    whole = tokens.encode_texts(texts, path)
+    monkeypatch.setattr(tokens, "RUN_CHARS", 12)
+    assert list(tokens.runs_of(texts)) == [(0, 2), (2, 3), (3, 5)]
+    assert tokens.encode_texts(texts, path) == whole
+    assert list(tokens.runs_of([])) == [] and tokens.encode_texts([], path) == []
+
+
+def test_plain_chunks_skip_the_slow_path(monkeypatch):
+    """Only chunks that the tokenizer must normalise or cut reach it as a whole,
+    and a mark at a word's end makes no new chunk."""
+    from costlens.llm import tokens
+    sent, path = [], tokens.tokenizer_path()
+    monkeypatch.setattr(tokens, "_LOADED", {})
+    real = tokens._encode_chunks
+    monkeypatch.setattr(tokens, "_encode_chunks", lambda tok, sep, chunks: sent.extend(chunks) or real(tok, sep, chunks))
+    tokens.encode_texts(["Plain words, of plaineau \u00e9t\u00e9. don't plain###", "words. mail3@x.org Words", "a\tb"], path)
+    assert sorted(sent) == ["a\tb", "don't"]
+    assert not {"words,", "words.", "plain###"} & set(tokens._LOADED[path][1])
+
+
+def test_training_order_shuffles_a_share_at_a_time(llm_spark, docs_of, tmp_path, monkeypatch):
+    """The shards are written by jobs of a share of the sequences each, and a job's
+    shuffle files are gone when it ends."""
+    from costlens.llm import train_order
+    rows = [(i, f"word{i} " * (20 * (i % 9))) for i in range(200)]
+    env = llm_spark._jvm.org.apache.spark.SparkEnv
+
+    def shuffled():
+        files = env.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return sum(os.path.getsize(f) for f in files if f.endswith(".data") and "/shuffle_" in f and os.path.exists(f))
+
+    written, left, real = [], [], train_order.materialize
+
+    def counted(df, name="stage", **options):
+        before = shuffled()
+        out = real(df, name, **options)
+        if name == "training-order":
+            left.append(shuffled() - before)
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(train_order, "materialize", counted)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = llm_spark.conf.get(key, None)
+    m = train_order.write_training_order(docs_of(rows), f"file://{tmp_path}/shares", stride=16, shard_bytes=3_200)
+    assert llm_spark.conf.get(key, None) == before
+    n = m.count()
+    assert sum(written) == n and n > 1000 and len(written) == train_order.PASSES
+    assert max(written) <= n / train_order.PASSES + 100     # a shard's records
+    assert all(x <= 0 for x in left)
+    got = train_order.read_slots(m, f"file://{tmp_path}/shares", stride=16).collect()
+    assert sorted(r["slot"] for r in got) == list(range(n))
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
