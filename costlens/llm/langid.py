@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costlens.llm import counts
-from costlens.llm.kernels import byte_table, mix, returning, runs, span_hashes, string_buffers, word_bounds
+from costlens.llm.kernels import RUN_BYTES, byte_table, mix, returning, runs, span_hashes, string_buffers, word_bounds
 from costlens.session import share
 
 BITS = 16
 SWITCH = 6.0
+#: Words scored at once, and bytes of texts counted at once: the arrays of their n-grams
+#: need some 200 bytes for each byte of text.
+WORDS = 1 << 15
+TRAIN_BYTES = 1 << 18
 #: A language is a candidate for a script that holds this share of its words.
 SCRIPT_SHARE = 0.01
 
@@ -86,9 +90,9 @@ class Model:
     allowed: np.ndarray     # [SCRIPTS, languages]
 
 
-def _per_run(col, table, sep):
+def _per_run(col, table, sep, limit: int = RUN_BYTES):
     raw, off = string_buffers(col)
-    for i, j in runs(off):
+    for i, j in runs(off, limit):
         data, o = raw[off[i]:off[j]], off[i:j + 1] - off[i]
         s, e = word_bounds(data, o, sep)
         yield i, data, o, s, e, np.searchsorted(s, o)
@@ -103,7 +107,7 @@ def train(rows: DataFrame) -> Model:
         grams: dict[str, np.ndarray] = {}
         for b in batches:
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
-            for i, data, o, s, e, w in _per_run(b.column("text"), table, sep):
+            for i, data, o, s, e, w in _per_run(b.column("text"), table, sep, TRAIN_BYTES):
                 if not len(s):
                     continue
                 tri, quad, tail, whole, word = features(data, s, e, table)
@@ -121,7 +125,7 @@ def train(rows: DataFrame) -> Model:
 
     labelled = rows.where(F.col("lang").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    tables = counts.collect_tables(counts.add_up(labelled.mapInArrow(count, counts.FIELDS)), size + counts.BLOCK)
+    tables = counts.collect_tables(counts.add_up(labelled.mapInArrow(lambda b: returning(count(b)), counts.FIELDS)), size + counts.BLOCK)
     langs = sorted(tables)
     if not langs:
         return Model([], np.zeros((size, 0), np.float32), np.zeros((SCRIPTS, 0), bool))
@@ -146,6 +150,15 @@ def word_scores(model: Model, data, starts, ends, table, script) -> np.ndarray:
     return np.where(model.allowed[kind], out * 0.4, -1e4)
 
 
+def run_scores(model: Model, data, starts, ends, table, script, words: int = WORDS) -> np.ndarray:
+    """The same for all words of a run, some at a time."""
+    out = np.empty((len(starts), len(model.langs)), model.logp.dtype)
+    for k in range(0, len(starts), words):
+        s, e = starts[k:k + words], ends[k:k + words]
+        out[k:k + words] = word_scores(model, data[s[0]:e[-1]], s - s[0], e - s[0], table, script)
+    return out
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best label of each word; ``first`` are the texts' first words. All
     texts advance together, one word at a time."""
@@ -192,7 +205,7 @@ def label_texts(model: Model, texts):
         pred, score = ["und"] * k, [0.0] * k
         spans: list[list] = [[] for _ in range(k)]
         if len(s) and langs:
-            labels = viterbi(word_scores(model, data, s, e, table, script), w)
+            labels = viterbi(run_scores(model, data, s, e, table, script), w)
             doc = np.repeat(np.arange(k), np.diff(w))
             weight = np.bincount(doc * len(langs) + labels, e - s, k * len(langs)).reshape(k, -1)
             best, total = weight.argmax(1), weight.sum(1)

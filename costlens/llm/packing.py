@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costlens.llm.kernels import returning
 from costlens.llm.ranks import dense_rank_in
 from costlens.llm.tokens import encode_texts, tokenizer_path
 from costlens.session import materialize
@@ -65,7 +66,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPA
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).mapInArrow(run, PIECE + (", ids binary" if with_ids else ""))
+                       ).mapInArrow(lambda b: returning(run(b)), PIECE + (", ids binary" if with_ids else ""))
 
 
 # ---- cutting stock over the histogram (driver, at most capacity/step types) ----

@@ -32,12 +32,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.kernels import byte_table, mix, powers, runs, string_buffers
+from costlens.llm.kernels import byte_table, mix, powers, returning, runs, string_buffers
 from costlens.session import materialize
 
 LENGTH = 200
 GRAM = 32
-BLOCK_BYTES = 2 << 20
+#: Bytes of texts, and of segments, that a task takes at once. Its arrays need about
+#: 90 bytes for each of the first and 70 for each of the second.
+RUN_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 20
 MOST = 20_000
 #: Rows of segments to read, and bytes of the merged spans, up to which the
 #: list may be broadcast; beyond it the texts are shuffled to it.
@@ -97,21 +100,24 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text))
 
 
-def corpus_segments(keyed: DataFrame) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
-        for b in batches:
-            raw, off = string_buffers(b.column("text"))
-            keys = b.column("__key").to_numpy()
-            for i, j in runs(off):
-                o = off[i:j + 1] - off[i]
-                doc, anchor, seg, start, n = segments(raw[off[i]:off[j]], o)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(keys[i:j][doc], pa.int64()),
-                     pa.array(start - o[doc], pa.int32()), pa.array(n, pa.int32())],
-                    names=["anchor", "seg", "key", "start", "n"])
+def segment_batches(batches):
+    """The segments of the texts of Arrow batches (``__key``, ``text``)."""
+    import pyarrow as pa
+    for b in batches:
+        raw, off = string_buffers(b.column("text"))
+        keys = b.column("__key").to_numpy()
+        for i, j in runs(off, RUN_BYTES):
+            o = off[i:j + 1] - off[i]
+            doc, anchor, seg, start, n = segments(raw[off[i]:off[j]], o)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor, pa.int64()), pa.array(seg, pa.int64()), pa.array(keys[i:j][doc], pa.int64()),
+                 pa.array(start - o[doc], pa.int32()), pa.array(n, pa.int32())],
+                names=["anchor", "seg", "key", "start", "n"])
 
-    return keyed.select("__key", F.col("text").cast("string").alias("text")).mapInArrow(run, SEGMENT)
+
+def corpus_segments(keyed: DataFrame) -> DataFrame:
+    return keyed.select("__key", F.col("text").cast("string").alias("text")).mapInArrow(
+        lambda b: returning(segment_batches(b)), SEGMENT)
 
 
 # ---- the index of one block (runs inside a task) ----
@@ -125,10 +131,11 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     for j in range(7):
         key <<= 9
         key[:n - j] |= np.where(left[:n - j] > j, text[j:], 0)
-    order = np.argsort(key, kind="stable")
-    slots = np.arange(n)                    # where the suffixes not yet told apart stand
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    slots = np.arange(n, dtype=np.int32)    # where the suffixes not yet told apart stand
     sorted_key = key[order]
-    rank = np.zeros(n + 1, np.int64)        # the first slot of a suffix's group, from 1; 0 is the end
+    del key
+    rank = np.zeros(n + 1, np.int32)        # the first slot of a suffix's group, from 1; 0 is the end
     depth, most = 7, int(left.max(initial=0))
     while len(slots):
         new = np.ones(len(slots), bool)
@@ -140,12 +147,14 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
         if depth >= most:
             break
         many = np.repeat(size > 1, size)
+        del new, sorted_key
         slots, members = slots[many], members[many]
-        after = np.where(left[members] > depth, rank[np.minimum(members + depth, n)], 0)
-        key = rank[members] * (n + 2) + after
-        again = np.argsort(key, kind="stable")
+        key = rank[members].astype(np.int64) * (n + 2)
+        key += np.where(left[members] > depth, rank[np.minimum(members + depth, n)], 0)
+        again = np.argsort(key, kind="stable").astype(np.int32)
         order[slots] = members[again]
         sorted_key = key[again]
+        del key
         depth *= 2
     return order
 
@@ -153,15 +162,15 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
 def common_prefix(words: np.ndarray, left: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Length of the common prefix of suffixes x and y; ``words`` pack seven
     symbols from each place."""
-    out = np.zeros(len(x), np.int64)
-    todo = np.arange(len(x))
+    out = np.zeros(len(x), np.int32)
+    todo = np.arange(len(x), dtype=np.int32)
     most = np.minimum(left[x], left[y])
     n = len(words)
     while len(todo):
         a, b = x[todo] + out[todo], y[todo] + out[todo]
         inside = out[todo] < most[todo]
         diff = np.where(inside, words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)], 1 << 60)
-        eq = np.full(len(todo), 7)
+        eq = np.full(len(todo), 7, np.int8)
         for k in range(7):
             eq[(diff >> (9 * (6 - k)) != 0) & (eq == 7)] = k
         out[todo] += eq
@@ -174,9 +183,10 @@ def matching_statistics(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int
     starts there and at another place; where each part begins; BWT runs."""
     size = np.array([len(p) for p in parts], np.int64)
     begin = np.concatenate(([0], np.cumsum(size)))
-    text = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"".join(parts), np.uint8).astype(np.int16) + np.int16(1)
     n = len(text)
-    left = np.repeat(begin[1:], size) - np.arange(n)
+    place = np.arange(n, dtype=np.int32)
+    left = np.repeat(begin[1:].astype(np.int32), size) - place
     sa = suffix_array(text, left)
     words = np.zeros(n, np.int64)
     for j in range(7):
@@ -186,22 +196,23 @@ def matching_statistics(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int
     # never joins two of them
     first = np.zeros(n, bool)
     first[begin[:-1][size > 0]] = True
-    bwt = np.where(first[sa], -np.arange(n) - 1, text[sa - 1])
+    bwt = np.where(first[sa], -place - 1, text[sa - 1])
     head = np.ones(n, bool)                     # run starts
     head[1:] = bwt[1:] != bwt[:-1]
+    del bwt
     tail = np.r_[head[1:], True]                # run ends
-    stat = np.zeros(n, np.int64)
+    stat = np.zeros(n, np.int32)
     for at, step in ((head, -1), (tail, 1)):
         i = np.flatnonzero(at)
         other = i + step
         ok = (other >= 0) & (other < n)
-        value = np.zeros(len(i), np.int64)
+        value = np.zeros(len(i), np.int32)
         value[ok] = common_prefix(words, left, sa[i[ok]], sa[other[ok]])
         # every place takes the nearest sample before it, less the distance
-        sample = np.full(n, -1, np.int64)
+        sample = np.full(n, -1, np.int32)
         sample[sa[i]] = value
-        near = np.maximum.accumulate(np.where(sample >= 0, np.arange(n), 0))
-        stat = np.maximum(stat, np.maximum(sample[near], 0) - (np.arange(n) - near))
+        near = np.maximum.accumulate(np.where(sample >= 0, place, 0))
+        stat = np.maximum(stat, np.maximum(sample[near], 0) - (place - near))
     return stat, begin, int(head.sum())
 
 
@@ -256,7 +267,7 @@ def index_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         if hold and (rows := flush()):
             yield _found_batch(rows)
 
-    return texts.mapInArrow(run, FOUND)
+    return texts.mapInArrow(lambda b: returning(run(b)), FOUND)
 
 
 def count_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -273,7 +284,7 @@ def count_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     [pa.array(np.full(n, anchor)), pa.array(np.full(n, seg)), pa.array(h.astype(np.int64)),
                      pa.array(np.arange(n, dtype=np.int32))], names=["anchor", "seg", "h", "at"])
 
-    rows = texts.mapInArrow(strings, "anchor long, seg long, h long, at int")
+    rows = texts.mapInArrow(lambda b: returning(strings(b)), "anchor long, seg long, h long, at int")
     again = rows.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     places = rows.join(again, ["anchor", "h"], "left_semi").groupBy("anchor", "seg").agg(F.collect_list("at").alias("at"))
 
@@ -287,7 +298,7 @@ def count_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((anchor, seg, repeated_ranges(on, length)))
             yield _found_batch(out)
 
-    return places.mapInArrow(ranges, FOUND)
+    return places.mapInArrow(lambda b: returning(ranges(b)), FOUND)
 
 
 def segment_bytes(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -313,7 +324,7 @@ def segment_bytes(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = keyed.select("__key", F.col("text").cast("string").alias("text"))
     return (texts.join(F.broadcast(lists) if few else lists, "__key").select("text", "parts")
-            .mapInArrow(run, "anchor long, seg long, n int, bytes binary").dropDuplicates(["anchor", "seg"]))
+            .mapInArrow(lambda b: returning(run(b)), "anchor long, seg long, n int, bytes binary").dropDuplicates(["anchor", "seg"]))
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
@@ -342,7 +353,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         "key", F.explode(F.transform("ranges", lambda r: F.struct(
             (F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"]).alias("hi")))).alias("r"))
     listed = marks.groupBy("key").agg(F.collect_set("r").alias("spans"))     # bounded by the text
-    return listed.mapInArrow(_merged, "key long, spans binary")
+    return listed.mapInArrow(lambda b: returning(_merged(b)), "key long, spans binary")
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -406,7 +417,8 @@ def removal_digest(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(slim).select("doc_id", "text", "spans").mapInArrow(run, DIGEST)
+    return _with_spans(slim).select("doc_id", "text", "spans").mapInArrow(
+        lambda b: returning(run(b)), DIGEST)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -440,4 +452,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 cols.append(col)
             yield pa.RecordBatch.from_arrays(cols, names=fields.names).filter(pa.array(keep))
 
-    return _with_spans(docs).select(*[F.col(c) for c in fields.names], "spans").mapInArrow(run, fields)
+    return _with_spans(docs).select(*[F.col(c) for c in fields.names], "spans").mapInArrow(
+        lambda b: returning(run(b)), fields)
