@@ -18,7 +18,7 @@ every window is scored in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from costlens.operators import aggregates as A
 from costlens.operators import scale as SC
 from costlens.operators import windows as W
 from costlens.operators.keyed import join_stats, stream_id
-from costlens.operators.positional import IDX, more_tasks, positional_index, sub_index, with_halo
+from costlens.operators.positional import IDX, Ordered, more_tasks, positional_index, sub_index, with_halo
 from costlens.schema import S
 from costlens.session import materialize, share
 
@@ -78,13 +78,7 @@ def in_order(df: DataFrame, idx: str, tasks: Sequence[int] = ()) -> DataFrame:
     return df.repartition(*tasks, "_stream", "_bucket").sortWithinPartitions("_stream", "_bucket", idx)
 
 
-def gram_stats(ordered: DataFrame, features: Sequence[str] = SCALED) -> DataFrame:
-    """Per stream: n, the sum and the Gram matrix of the windows, as (_stream, k,
-    v) rows with k = 0 (n), 1..DIM (sum), then DIM x DIM (Gram).
-
-    Each task accumulates its partial sums with numpy (``X.T @ X``) and
-    emits one small block per stream it saw; Spark sums the blocks."""
-
+def _gram_part(features: Sequence[str] = SCALED):
     def part(batches):
         import pyarrow as pa
         acc: dict = {}
@@ -100,7 +94,22 @@ def gram_stats(ordered: DataFrame, features: Sequence[str] = SCALED) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), key, np.int64)), pa.array(np.arange(len(v), dtype=np.int32)),
                                               pa.array(v)], names=["_stream", "k", "v"])
 
-    partial = ordered.select("_stream", "_bucket", "_halo", *features).mapInArrow(part, "_stream long, k int, v double")
+    return part
+
+
+GRAM = [T.StructField("_stream", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType())]
+
+
+def gram_stats(ordered: DataFrame, features: Sequence[str] = SCALED) -> DataFrame:
+    """Per stream: n, the sum and the Gram matrix of the windows, as (_stream, k,
+    v) rows with k = 0 (n), 1..DIM (sum), then DIM x DIM (Gram).
+
+    Each task accumulates its partial sums with numpy (``X.T @ X``) and
+    emits one small block per stream it saw; Spark sums the blocks."""
+    return _summed(ordered.select("_stream", "_bucket", "_halo", *features).mapInArrow(_gram_part(features), T.StructType(GRAM)))
+
+
+def _summed(partial: DataFrame) -> DataFrame:
     return partial.groupBy("_stream", "k").agg(F.sum("v").alias("v"))
 
 
@@ -120,16 +129,21 @@ def _eigen_factory(k: int):
 
 
 def fit_subspace(ordered: DataFrame, k: int = fixed.SEQ_HIDDEN) -> DataFrame:
-    return gram_stats(ordered).groupBy("_stream").applyInPandas(_eigen_factory(k), MODEL_SCHEMA)
+    return _fitted(gram_stats(ordered), k)
 
 
-def score_rows(ordered: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN, out: str = "dl_mse_score") -> DataFrame:
-    """Mean squared reconstruction error of each row's window, 0 without one, and
-    whether it has one (``_scored``); halo rows go. A stream's model is 42 x 9
-    numbers."""
+def _fitted(grams: DataFrame, k: int = fixed.SEQ_HIDDEN) -> DataFrame:
+    return grams.groupBy("_stream").applyInPandas(_eigen_factory(k), MODEL_SCHEMA)
+
+
+SCORE = [T.StructField("dl_mse_score", T.DoubleType()), T.StructField("_scored", T.BooleanType())]
+
+
+def _scorer(model: DataFrame, kept: Sequence[str], k: int = fixed.SEQ_HIDDEN, out: str = "dl_mse_score"):
+    """Takes Arrow batches and gives their ``kept`` columns, the score and whether
+    the row has a window."""
     packed = {r["_stream"]: (np.array(r["mean"]), np.array(r["basis"]).reshape(DIM, k)) for r in model.collect()}
-    get_model = share(ordered.sparkSession, packed)
-    kept = [f for f in ordered.schema.fields if f.name not in ("_halo", "_bucket", "_stream")]
+    get_model = share(model.sparkSession, packed)
 
     def run(batches):
         import pyarrow as pa
@@ -145,21 +159,80 @@ def score_rows(ordered: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN,
                     err[stream == key] = ((Y - (Y @ basis) @ basis.T) ** 2).mean(axis=1)
             score[has] = err
             own = pa.array(~b.column("_halo").to_numpy(zero_copy_only=False))
-            rows = b.select([f.name for f in kept])
+            rows = b.select(kept)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score), pa.array(has)],
                                              names=[*rows.schema.names, out, "_scored"]).filter(own)
+    return run
+
 
+def score_rows(ordered: DataFrame, model: DataFrame, k: int = fixed.SEQ_HIDDEN, out: str = "dl_mse_score") -> DataFrame:
+    """Mean squared reconstruction error of each row's window, 0 without one, and
+    whether it has one (``_scored``); halo rows go. A stream's model is 42 x 9
+    numbers."""
+    kept = [f for f in ordered.schema.fields if f.name not in ("_halo", "_bucket", "_stream")]
     schema = T.StructType([*kept, T.StructField(out, T.DoubleType()), T.StructField("_scored", T.BooleanType())])
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(_scorer(model, [f.name for f in kept], k, out), schema)
+
+
+def _scaled_batches(batches, bounds: dict[int, list]):
+    """The batches with ``SCALED``: the features scaled to their stream's ``bounds``."""
+    import pyarrow as pa
+    for b in batches:
+        if not b.num_rows:
+            continue
+        stream = b.column("_stream").to_numpy()
+        cols = [b.column(f).cast(pa.float64()) for f in fixed.SEQ_FEATURES]
+        X = np.stack([c.fill_null(0).to_numpy() for c in cols], axis=1)
+        null = np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in cols], axis=1)
+        cut = np.flatnonzero(np.r_[True, stream[1:] != stream[:-1]])
+        for a, z in zip(cut, np.r_[cut[1:], b.num_rows]):
+            X[a:z], null[a:z] = W._scaled(X[a:z], null[a:z], bounds[int(stream[a])])
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(X[:, i], mask=null[:, i]) for i in range(X.shape[1]))],
+                                         names=[*b.schema.names, *SCALED])
+
+
+def score_in_passing(of: Ordered, first: Callable | None = None, needs: Sequence[str] = (),
+                     adds: Sequence[T.StructField] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``of``, as they are in its table, with ``SCORE``, and the
+    features' ``minmax_stats``. The fit and the scores are scans of the table; its
+    kept rows are the clean ones (D8). ``first`` may add ``adds`` to the batches on
+    their way, from columns that it ``needs``."""
+    feats = list(fixed.SEQ_FEATURES)
+    stats = materialize(A.minmax_stats(of.rows(), feats, of.keys), "group-stats")
+    bounds = {r["_stream"]: [(r[f"{f}_min"], r[f"{f}_max"]) for f in feats] for r in stats.select(
+        stream_id(of.keys).alias("_stream"), *[F.col(c).cast("double") for c in stats.columns if c not in of.keys]).collect()}
+    part = _gram_part()
+    grams = _summed(of.in_passing(lambda b: part(_scaled_batches(b, bounds)), feats, GRAM, only=feats, kept=True))
+    model = materialize(_fitted(grams), "seq-model")
+    own = [*of.given, *of.adds]
+    more = [c for c in dict.fromkeys([*feats, *needs]) if c not in own]
+    run = _scorer(model, [*own, *(f.name for f in adds)])
+    return of.in_passing(lambda b: run(_scaled_batches(first(b) if first else b, bounds)), [*own, *more], [*adds, *SCORE], only=more), stats
+
+
+def flag_scores(scored: DataFrame, keys: Sequence[str] = S) -> DataFrame:
+    """p95 of the real scores of each stream, and the flag of what is above. ``scored``
+    is written."""
+    th = A.exact_percentile(scored.where("_scored"), "dl_mse_score", fixed.SEQ_PERCENTILE, keys, out="_th", written=True)
+    return join_stats(scored, th, keys, "left").withColumn(
+        "dl_is_anomaly", F.when(F.col("_scored"), F.coalesce((F.col("dl_mse_score") > F.col("_th")).cast("int"), F.lit(0))).otherwise(0)
+    ).drop("_th", "_scored")
 
 
-def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S, bucket_rows: int | None = None) -> DataFrame:
+def sequence_reconstruction(feat: DataFrame | Ordered, keys: Sequence[str] = S, bucket_rows: int | None = None) -> DataFrame:
     """Scale -> fit on windows of clean rows -> score every row -> p95 -> flag.
 
     One sort (the positional index, reused if ``feat`` has it) serves both: the
     clean subsequence (D8) is numbered from counts by bucket, and its windows, as
     those of all rows, are formed in passing from buckets with halo rows. Written
-    are the scaled rows and the scored rows."""
+    are the scaled rows and the scored rows. Rows that are ``Ordered`` are not
+    shuffled, nor scaled in a table: written are the scored rows."""
+    if isinstance(feat, Ordered):
+        rows, stats = score_in_passing(feat)
+        scored = feat.made_of(materialize(rows, "seq-scored", compression="zstd")).drop(*feat.adds)
+        out = flag_scores(SC.minmax_scale(scored, fixed.SEQ_FEATURES, keys, stats=stats), keys)
+        last = ["dl_mse_score", "dl_is_anomaly"]
+        return out.select(*[c for c in out.columns if c not in last], *last)
     given = IDX in feat.columns
     idx = feat if given else positional_index(feat, keys, W.spend_order(feat, keys))
     scaled = materialize(scaled_features(idx, keys).withColumn("_stream", stream_id(keys)), "seq-scaled")
@@ -168,7 +241,4 @@ def sequence_reconstruction(feat: DataFrame, keys: Sequence[str] = S, bucket_row
     model = fit_subspace(in_order(with_halo(clean, fixed.SEQ_LEN, idx="_sub", bucket_rows=bucket_rows), "_sub", tasks))
     full = in_order(with_halo(scaled, fixed.SEQ_LEN, bucket_rows=bucket_rows), IDX, tasks)
     scored = materialize(score_rows(full, model), "seq-scored")
-    th = A.exact_percentile(scored.where("_scored"), "dl_mse_score", fixed.SEQ_PERCENTILE, keys, out="_th", written=True)
-    out = join_stats(scored, th, keys, "left").withColumn(
-        "dl_is_anomaly", F.when(F.col("_scored"), F.coalesce((F.col("dl_mse_score") > F.col("_th")).cast("int"), F.lit(0))).otherwise(0))
-    return out.drop("_th", "_scored", IDX)
+    return flag_scores(scored, keys).drop(IDX)

@@ -15,10 +15,11 @@ from costlens.schema import S
 
 
 def minmax_scale(df: DataFrame, features: Sequence[str], keys: Sequence[str] = S,
-                 suffix: str = "_scaled") -> DataFrame:
-    """(x - min) / (max - min) per stream; a constant feature scales to 0."""
+                 suffix: str = "_scaled", stats: DataFrame | None = None) -> DataFrame:
+    """(x - min) / (max - min) per stream; a constant feature scales to 0. ``stats``
+    is ``minmax_stats``, if the caller has it."""
     # a null key is a stream of its own
-    j = join_stats(df, A.minmax_stats(df, features, keys), keys)
+    j = join_stats(df, A.minmax_stats(df, features, keys) if stats is None else stats, keys)
     cols = []
     for f in features:
         lo, hi = F.col(f"{f}_min"), F.col(f"{f}_max")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from costlens import fixed
 from costlens.operators import aggregates as A
 from costlens.operators import detect as D
 from costlens.operators import forecast_models as M
@@ -16,7 +17,7 @@ from costlens.operators import stl as STL
 from costlens.operators import windows as W
 from costlens.operators.positional import IDX
 from costlens.plans.catalog import query
-from costlens.session import materialize
+from costlens.session import materialize, release
 from costlens.sources import tables as T
 
 
@@ -49,11 +50,19 @@ def isolation_forest(spark, sf_dir):
     return IF.isolation_forest(W.rolling_features(_spend(spark, sf_dir), keep_index=True), written=True).drop(IDX)
 
 
+def _ordered(sp):
+    """Row features whose clean rows (D8) have frames of their own."""
+    return W.ordered_features(sp, reach=fixed.SEQ_LEN, kept=F.col("is_anomaly") == 0)
+
+
 @query("sequence_reconstruction")
 def sequence_reconstruction(spark, sf_dir):
     """Reconstruction error of each row's previous-14-row window under a
     rank-8 linear autoencoder fit on clean windows; p95 flag."""
-    return RC.sequence_reconstruction(W.rolling_features(_spend(spark, sf_dir), keep_index=True))
+    feat = _ordered(_spend(spark, sf_dir))
+    out = RC.sequence_reconstruction(feat)
+    release(*feat.tables())
+    return out
 
 
 def tiers(spark, sf_dir):

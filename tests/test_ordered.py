@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from sfdata import SF_SMALL
 from costlens import session
 from costlens.operators import positional as P
+from costlens.operators import reconstruct as RC
 from costlens.operators import scale as SC
 from costlens.operators import windows as W
+from costlens.plans import q_models as QM
 from costlens.plans import q_windows as QW
 
 KEYS = ["cloud_provider", "unified_category"]
@@ -85,6 +87,18 @@ def test_kept_rows_in_a_scan_equal_plain_lags(spark, parted, small_parts):
         assert rows == sorted(map(str, want.collect())) and len(rows) > 500
 
 
+def test_reconstruction_in_a_scan_equals_the_one_by_buckets(spark, parted, small_parts):
+    df = _rows(spark).fillna(2.5, ["cost"])
+    for parts in (4, 97):
+        parted(parts)
+        of = W.ordered_features(df, reach=14, kept=F.col("is_anomaly") == 0)
+        cols = [*df.columns, "cost_scaled", "dl_is_anomaly"]
+        new, old = (sorted((*(str(r[c]) for c in cols), r["dl_mse_score"]) for r in RC.sequence_reconstruction(x, bucket_rows=64).collect())
+                    for x in (of, of.rows("_pos")))
+        assert len(new) == len(old) == 1034
+        assert all(a[:-1] == b[:-1] and abs(a[-1] - b[-1]) < 1e-9 for a, b in zip(new, old))
+
+
 def test_rows_out_of_order_are_an_error():
     import pyarrow as pa
 
@@ -121,6 +135,12 @@ def test_sequences_leave_the_sorted_table_only(spark):
     assert _scanned(df)
 
 
+def test_reconstruction_leaves_the_scored_rows(spark):
+    df, tables, files = _left(spark, QM.sequence_reconstruction)
+    assert "seq-scored" in tables and not tables & {"spend-rows", "positional", "positional-cuts", "seq-scaled"}
+    assert files < 100_000 and df.count() == df.where("dl_mse_score >= 0").count() > 0
+
+
 def test_release_removes_what_a_frame_reads(spark):
     import os
     one, two = (session.materialize(spark.range(9), "kept-rows") for _ in range(2))
