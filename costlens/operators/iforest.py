@@ -25,7 +25,7 @@ dense.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -208,8 +208,7 @@ def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str] = tuple
                out: str = "iforest_score", keys: Sequence[str] = S) -> DataFrame:
     """Anomaly score s = 2^(-E[h(x)] / c(psi)) for every row (higher = more
     isolated). ``forest`` is read once a part, so hand in a written table."""
-    nodes = forest.agg(F.sum(F.size("feature")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-nodes * 28 // MODEL_BYTES))
+    parts = parts_of(forest)
     df = df.withColumn(STREAM, stream_id(keys))
     done = [_score_part(df.where(F.pmod(STREAM, F.lit(parts)) == i) if parts > 1 else df,
                         forest.where(F.pmod(STREAM, F.lit(parts)) == i), features, out) for i in range(parts)]
@@ -219,11 +218,19 @@ def score_rows(df: DataFrame, forest: DataFrame, features: Sequence[str] = tuple
     return scored.drop(STREAM)
 
 
-def _score_part(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str) -> DataFrame:
-    get_model = share(df.sparkSession, _pack(forest.collect(), len(features)))
+def parts_of(forest: DataFrame) -> int:
+    """How many parts the streams are dealt into."""
+    nodes = forest.agg(F.sum(F.size("feature")).alias("n")).first()["n"] or 0
+    return max(1, -(-nodes * 28 // MODEL_BYTES))
+
+
+def scorer(forest: DataFrame, features: Sequence[str] = tuple(fixed.IFOREST_FEATURES)) -> Callable:
+    """Takes Arrow batches with ``_stream`` and gives them with a last column, the
+    score. All of ``forest`` is broadcast."""
+    get_model = share(forest.sparkSession, _pack(forest.collect(), len(features)))
     feats = list(features)
 
-    def run(batches):
+    def run(batches, out: str = "iforest_score"):
         import pyarrow as pa
         model = get_model()
         for b in batches:
@@ -236,10 +243,14 @@ def _score_part(df: DataFrame, forest: DataFrame, features: Sequence[str], out:
                 own = np.flatnonzero(stream == key)
                 score[own] = np.power(2.0, -model[key].depths(X[own]) / c_factor(model[key].psi))
             yield b.append_column(out, pa.array(score))
+    return run
+
 
+def _score_part(df: DataFrame, forest: DataFrame, features: Sequence[str], out: str) -> DataFrame:
+    run = scorer(forest, features)
     # the other columns stay in Arrow
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda b: run(b, out), schema)
 
 
 def isolation_forest(feat: DataFrame, keys: Sequence[str] = S,

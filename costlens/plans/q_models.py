@@ -5,6 +5,7 @@ check and ``tests/`` checks their properties."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from costlens import fixed
 from costlens.operators import aggregates as A
@@ -50,9 +51,9 @@ def isolation_forest(spark, sf_dir):
     return IF.isolation_forest(W.rolling_features(_spend(spark, sf_dir), keep_index=True), written=True).drop(IDX)
 
 
-def _ordered(sp):
+def _ordered(sp, written=False):
     """Row features whose clean rows (D8) have frames of their own."""
-    return W.ordered_features(sp, reach=fixed.SEQ_LEN, kept=F.col("is_anomaly") == 0)
+    return W.ordered_features(sp, reach=fixed.SEQ_LEN, kept=F.col("is_anomaly") == 0, written=written)
 
 
 @query("sequence_reconstruction")
@@ -66,13 +67,26 @@ def sequence_reconstruction(spark, sf_dir):
 
 
 def tiers(spark, sf_dir):
-    """Every spend row with the three tier flags and the vote."""
-    sp = materialize(_spend(spark, sf_dir), "spend-rows")
-    feat = W.rolling_features(sp, keep_index=True, written=True)
-    ml = IF.isolation_forest(feat, written=True)
-    dl = RC.sequence_reconstruction(ml)
-    flagged = D.broadcast_day_score(dl, D.day_scores(sp))
-    return D.ensemble_vote(flagged)
+    """Every spend row with the three tier flags and the vote. Each written table
+    goes when the next one is written: of the rows, two at most are there at once."""
+    sp = W.spend_rows(_spend(spark, sf_dir))
+    days = materialize(D.day_scores(sp), "day-scores")
+    feat = _ordered(sp, written=True)
+    release(sp)
+    forest = materialize(IF.fit_forest(feat.rows(IDX)), "iforest-trees")
+    if IF.parts_of(forest) == 1:
+        # both tiers score a row in one pass
+        score = [ST.StructField("iforest_score", ST.DoubleType())]
+        scored, _ = RC.score_in_passing(feat, IF.scorer(forest), fixed.IFOREST_FEATURES, score)
+        scored = materialize(scored, "tier-scores", compression="zstd")
+        release(*feat.tables())
+    else:
+        dl = materialize(RC.score_in_passing(feat)[0], "seq-scored", compression="zstd")
+        release(*feat.tables())
+        scored = materialize(IF.score_rows(feat.made_of(dl), forest).drop(*W.FEATURES), "tier-scores", compression="zstd")
+        release(dl)
+    ml = D.contamination_flag(scored, "iforest_score", written=True)
+    return D.ensemble_vote(D.broadcast_day_score(RC.flag_scores(ml), days))
 
 
 @query("ensemble_vote_models")

@@ -141,6 +141,27 @@ def test_reconstruction_leaves_the_scored_rows(spark):
     assert files < 100_000 and df.count() == df.where("dl_mse_score >= 0").count() > 0
 
 
+def test_tiers_equal_their_operators_one_by_one(spark, monkeypatch):
+    """In one pass, and with the forests dealt into parts; of the rows one table stays."""
+    from costlens.operators import detect as D
+    from costlens.operators import iforest as IF
+    sp = QM._spend(spark, SF_SMALL)
+    ml = IF.isolation_forest(W.rolling_features(sp, keep_index=True), written=True)
+    want = D.ensemble_vote(D.broadcast_day_score(RC.sequence_reconstruction(ml), D.day_scores(sp)))
+    cols = ["timestamp", *KEYS, "cost", "is_anomaly", "stat_z_score", "iforest_score", "stat_is_anomaly", "ml_is_anomaly",
+            "dl_is_anomaly", "ensemble_is_anomaly"]
+
+    def rows(df):
+        return sorted((*map(str, (r[c] for c in cols)), round(r["dl_mse_score"], 9)) for r in df.collect())
+    want = rows(want)
+    for bound in (IF.MODEL_BYTES, 1 << 20):
+        monkeypatch.setattr(IF, "MODEL_BYTES", bound)
+        df, tables, files = _left(spark, QM.tiers)
+        assert "tier-scores" in tables and not tables & {"spend-rows", "positional", "positional-cuts", "seq-scaled", "seq-scored", "iforest-scored"}
+        assert files < 100_000
+        assert rows(df) == want
+
+
 def test_release_removes_what_a_frame_reads(spark):
     import os
     one, two = (session.materialize(spark.range(9), "kept-rows") for _ in range(2))
